@@ -1,45 +1,33 @@
-"""Text helpers: UTF-16 lengths and cuts, hashes, slugs."""
+"""Text helpers as SQL expressions: UTF-16 lengths and cuts, hashes, slugs."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
 
-
-def utf16_units(text: Column) -> Column:
+def utf16_units(text: str) -> str:
     """Length in UTF-16 code units, the unit senders measure text in."""
-    return (F.octet_length(F.encode(text, "UTF-16BE")) / 2).cast("int")
+    return f"cast(octet_length(encode({text}, 'UTF-16BE')) / 2 as int)"
 
 
-def longer_than(text: Column, units: int) -> Column:
+def longer_than(text: str, units: int) -> str:
     """Whether text exceeds `units` UTF-16 units.
 
     UTF-8 takes at least one byte per unit, so short text is decided by its byte size.
     """
-    return F.when(F.octet_length(text) <= units, F.lit(False)).otherwise(utf16_units(text) > units)
+    return f"if(octet_length({text}) <= {units}, false, {utf16_units(text)} > {units})"
 
 
-def utf16_head(text: Column, units: int) -> Column:
+def utf16_head(text: str, units: int) -> str:
     """The first `units` UTF-16 units; a surrogate pair is never split."""
-    wide = F.encode(text, "UTF-16BE")
-    last_unit = F.hex(F.substring(wide, 2 * units - 1, 2))
-    cut = F.when(last_unit.between("D800", "DBFF"), 2 * units - 2).otherwise(2 * units)
-    return F.when(F.octet_length(text) <= units, text).otherwise(
-        F.decode(F.substring(wide, F.lit(1), cut), "UTF-16BE")
-    )
+    wide = f"encode({text}, 'UTF-16BE')"
+    cut = f"if(hex(substring({wide}, {2 * units - 1}, 2)) between 'D800' and 'DBFF', {2 * units - 2}, {2 * units})"
+    return f"if(octet_length({text}) <= {units}, {text}, decode(substring({wide}, 1, {cut}), 'UTF-16BE'))"
 
 
-def sha_prefix(text: Column, chars: int = 32) -> Column:
+def sha_prefix(text: str, chars: int = 32) -> str:
     """Leading hex digits of the SHA-256 of text."""
-    return F.left(F.sha2(text, 256), F.lit(chars))
+    return f"left(sha2({text}, 256), {chars})"
 
 
-def slugify(name: Column, max_chars: int = 80) -> Column:
+def slugify(name: str, max_chars: int = 80) -> str:
     """Lower case, runs of anything but ``a-z0-9`` to ``-``, no outer dashes, cut to length."""
-    dashed = F.regexp_replace(F.lower(name), "[^a-z0-9]+", "-")
-    return F.left(F.regexp_replace(dashed, "^-+|-+$", ""), F.lit(max_chars))
-
-
-def escape_pattern(literal: str) -> str:
-    """A literal as a regular expression."""
-    return "".join("\\" + c if c in r".*+?^${}()|[]\\" else c for c in literal)
+    return f"left(regexp_replace(regexp_replace(lower({name}), '[^a-z0-9]+', '-'), '^-+|-+$', ''), {max_chars})"

@@ -52,28 +52,24 @@ def lit_instant(value: datetime) -> Column:
     return F.lit(value.astimezone(timezone.utc)).cast("timestamp")
 
 
-def bucket(ts: Column, unit: str) -> Column:
-    """Start of the UTC hour or day."""
+def bucket(ts: str, unit: str) -> str:
+    """SQL for the start of the UTC hour or day."""
     if unit not in GROUPS:
         raise ValueError(f"group must be one of: {', '.join(GROUPS)}")
-    return F.date_trunc(unit, ts)
+    return f"date_trunc('{unit}', {ts})"
 
 
-def parse_instant(text: Column) -> Column:
-    """Timestamp of a text column holding ISO-8601 or epoch milliseconds; NULL if neither."""
-    return F.when(text.rlike(r"^\d+$"), F.timestamp_millis(text.try_cast("bigint"))).otherwise(
-        F.try_to_timestamp(text)
-    )
+def parse_instant(text: str) -> str:
+    """SQL for the timestamp of text holding ISO-8601 or epoch milliseconds; NULL if neither."""
+    return f"if({text} rlike '^[0-9]+$', timestamp_millis(try_cast({text} as bigint)), try_to_timestamp({text}))"
 
 
-def iso(ts: Column) -> Column:
-    """ISO-8601 text with milliseconds and ``Z``."""
-    return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSXXX")
+def iso(ts: str) -> str:
+    """SQL for ISO-8601 text with milliseconds and ``Z``."""
+    return f"date_format({ts}, \"yyyy-MM-dd'T'HH:mm:ss.SSSXXX\")"
 
 
-def expires_at(received_at: Column, level: Column, ttl_days: dict) -> Column:
-    """``received_at`` plus the level's retention; fractions of a day are allowed."""
-    micros = F.lit(None).cast("bigint")
-    for name, days in ttl_days.items():
-        micros = F.when(level == name, F.lit(int(days * 86_400_000_000))).otherwise(micros)
-    return F.timestamp_micros(F.unix_micros(received_at) + micros)
+def expires_at(received_at: str, level: str, ttl_days: dict) -> str:
+    """SQL for ``received_at`` plus the level's retention; fractions of a day are allowed."""
+    whens = " ".join(f"when '{name}' then {int(days * 86_400_000_000)}" for name, days in ttl_days.items())
+    return f"timestamp_micros(unix_micros({received_at}) + case {level} {whens} end)"

@@ -1,6 +1,6 @@
 """Operators that look inside `ids` and `data` of each event.
 
-All are per-row: no shuffle and no join, whatever the documents hold.
+Documents are taken apart row by row, without a shuffle.
 """
 
 from __future__ import annotations
@@ -9,15 +9,15 @@ import json
 import re
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eventloom.functions.values import (
-    as_array,
-    as_object,
+    as_text,
     json_kind,
     parse_embedded,
     path,
+    quote,
     typed,
     value_kind,
     value_text,
@@ -27,70 +27,57 @@ from eventloom.schema import PAYLOAD_PAIRS, SENSITIVE_KEYS
 MAX_DEPTH = 8
 
 
-def _children(node: Column) -> Column:
-    """Entries of an object or items of an array as (path, value) nodes; empty for scalars."""
-    name, value = node["path"], node["value"]
+def _leaves(ev: DataFrame, max_depth: int) -> DataFrame:
+    """One row per leaf of `ids` and `data`: ``_id``, the keys from the root down, the value.
 
-    def child(key: Column, v: Column) -> Column:
-        return F.struct(F.concat_ws(".", name, key).alias("path"), v.alias("value"))
-
-    return F.coalesce(
-        F.transform(F.map_entries(as_object(value)), lambda e: child(e["key"], e["value"])),
-        F.transform(as_array(value), lambda v, i: child(i.cast("string"), v)),
-        F.array().cast("array<struct<path:string,value:variant>>"),
-    )
-
-
-def with_leaves(ev: DataFrame, max_depth: int = MAX_DEPTH, out: str = "_leaves") -> DataFrame:
-    """Add all leaves of `ids` and `data` as an array of ``path, value``.
-
-    Empty containers count as leaves, and so do containers at the depth limit,
-    so every part of a document is in exactly one leaf.
+    A chain of outer lateral explodes, one per level: scalars pass through the
+    deeper ones as they are.  Empty containers count as leaves, and so do
+    containers at the depth limit, so every part of a document is in one leaf.
     """
+    tvf = ev.sparkSession.tvf
     roots = F.array(
-        F.struct(F.lit("ids").alias("path"), F.parse_json(F.to_json("ids")).alias("value")),
-        F.struct(F.lit("data").alias("path"), F.col("data").alias("value")),
+        F.struct(F.lit("ids").alias("root"), F.to_variant_object("ids").alias("value")),
+        F.struct(F.lit("data").alias("root"), F.col("data").alias("value")),
+    )
+    df = ev.select("_id", F.explode(roots).alias("r")).select("_id", "r.root", F.col("r.value").alias("_v0"))
+    df = df.filter(F.col("_v0").isNotNull())
+    for depth in range(1, max_depth + 1):
+        inside = tvf.variant_explode_outer(F.col(f"_v{depth - 1}").outer())
+        df = df.lateralJoin(inside.toDF(f"_i{depth}", f"_k{depth}", f"_v{depth}"))
+    levels = range(1, max_depth + 1)
+    keys = [F.coalesce(F.col(f"_k{d}"), F.col(f"_i{d}").cast("string")) for d in levels]
+    return df.select(
+        "_id", "root", F.array_compact(F.array(*keys)).alias("keys"),
+        F.coalesce(*[F.col(f"_v{d}") for d in reversed(levels)], "_v0").alias("value"),
     )
-    df = ev.withColumn("_n0", F.filter(roots, lambda n: n["value"].isNotNull()))
-    found = []
-    for depth in range(max_depth):
-        df = df.withColumn(
-            f"_x{depth}",
-            F.transform(
-                f"_n{depth}",
-                lambda n: F.struct(n["path"].alias("path"), n["value"].alias("value"), _children(n).alias("kids")),
-            ),
-        )
-        df = df.withColumn(f"_n{depth + 1}", F.flatten(F.transform(f"_x{depth}", lambda n: n["kids"])))
-        found.append(
-            F.transform(
-                F.filter(f"_x{depth}", lambda n: F.size(n["kids"]) == 0),
-                lambda n: F.struct(n["path"].alias("path"), n["value"].alias("value")),
-            )
-        )
-    found.append(F.col(f"_n{max_depth}"))
-    return df.withColumn(out, F.concat(*found)).select(*ev.columns, out)
 
 
 def leaf_paths(ev: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
     """One row per leaf of `ids` and `data`: ``_id, path, kind, value``."""
-    leaves = with_leaves(ev.select("_id", "ids", "data"), max_depth)
-    value = typed(F.col("leaf.value"))
-    return leaves.select("_id", F.explode("_leaves").alias("leaf")).select(
-        "_id", F.col("leaf.path").alias("path"), value_kind(value).alias("kind"), value_text(value).alias("value")
-    )
+    leaves = _leaves(ev, max_depth).selectExpr("_id", "concat_ws('.', root, keys) as path", f"{typed('value')} as t")
+    return leaves.selectExpr("_id", "path", f"{value_kind('t')} as kind", f"{value_text('t')} as value")
 
 
-def search_docs(ev: DataFrame, text: str, max_depth: int = MAX_DEPTH) -> DataFrame:
-    """Events with the text, ignoring case, in any key or scalar value of `ids` or `data`."""
-    needle = F.lit(text.lower())
+def _in_text(json_text: str, needle: str) -> str:
+    """A cheap test that holds for every document with the needle in a key or scalar."""
+    if json.dumps(needle, ensure_ascii=False) != f'"{needle}"':
+        return "true"  # escapes would hide it in JSON text
+    return f"coalesce(contains(lower({json_text}), {quote(needle)}), false)"
+
 
-    def hit(leaf: Column) -> Column:
-        value = F.coalesce(value_text(typed(leaf["value"])), F.lit(""))
-        key = F.regexp_replace(leaf["path"], r"^(ids|data)\.?", "")
-        return F.contains(F.lower(key), needle) | F.contains(F.lower(value), needle)
+def search_docs(ev: DataFrame, text: str, max_depth: int = MAX_DEPTH) -> DataFrame:
+    """Events with the text, ignoring case, in any key or scalar value of `ids` or `data`.
 
-    return with_leaves(ev, max_depth).filter(F.exists("_leaves", hit)).drop("_leaves")
+    Documents are first sifted by their JSON text; only candidates are taken
+    apart, and only their ids meet the events again.
+    """
+    needle = text.lower()
+    candidates = ev.filter(f"{_in_text('to_json(ids)', needle)} or {_in_text('to_json(data)', needle)}")
+    leaves = _leaves(candidates, max_depth).selectExpr("_id", "keys", f"{typed('value')} as t")
+    in_key = f"exists(keys, k -> contains(lower(k), {quote(needle)}))"
+    in_value = f"coalesce(contains(lower({value_text('t')}), {quote(needle)}), false)"
+    hits = leaves.filter(f"{in_key} or {in_value}").select("_id").distinct()
+    return candidates.join(hits, "_id", "left_semi")
 
 
 def req_res_pairs(ev: DataFrame) -> DataFrame:
@@ -99,21 +86,21 @@ def req_res_pairs(ev: DataFrame) -> DataFrame:
     A side that is text holding JSON is parsed; ``request`` and ``response`` are
     text, JSON text for structured sides.  A key present with null counts.
     """
+    whens = " ".join(
+        f"when {path('data', req)} is not null and {path('data', res)} is not null then named_struct("
+        f"'request_key', {quote(req)}, 'response_key', {quote(res)}, "
+        f"'request', {path('data', req)}, 'response', {path('data', res)})"
+        for req, res in PAYLOAD_PAIRS
+    )
+    keys, sides = ("request_key", "response_key"), ("request", "response")
+    pairs = ev.selectExpr("_id", f"case {whens} end as pair").filter("pair is not null").select("_id", "pair.*")
+
+    def text(side: str) -> str:
+        return f"if({json_kind(side)} = 'string', {as_text(side)}, null)"
 
-    def side(key: str) -> Column:
-        value = path(F.col("data"), key)
-        text = F.when(json_kind(value) == "string", F.try_variant_get(value, "$", "string"))
-        return value_text(typed(F.coalesce(parse_embedded(text), value)))
-
-    pair = None
-    for req, res in PAYLOAD_PAIRS:
-        has_both = path(F.col("data"), req).isNotNull() & path(F.col("data"), res).isNotNull()
-        found = F.struct(
-            F.lit(req).alias("request_key"), F.lit(res).alias("response_key"),
-            side(req).alias("request"), side(res).alias("response"),
-        )
-        pair = F.when(has_both, found) if pair is None else pair.when(has_both, found)
-    return ev.select("_id", pair.alias("pair")).filter(F.col("pair").isNotNull()).select("_id", "pair.*")
+    parsed = pairs.selectExpr("_id", *keys, *[f"coalesce({parse_embedded(text(s))}, {s}) as {s}" for s in sides])
+    shaped = parsed.selectExpr("_id", *keys, *[f"{typed(s)} as {s}" for s in sides])
+    return shaped.selectExpr("_id", *keys, *[f"{value_text(s)} as {s}" for s in sides])
 
 
 def truncated_report(ev: DataFrame) -> DataFrame:

@@ -4,16 +4,27 @@ A body is one envelope or an array of envelopes and is admitted or rejected as a
 whole.  All checks run inside the row that holds the body (at most 1 MB and 500
 envelopes), so classifying and exploding batches needs no shuffle; the only join
 is the source lookup.
+
+Checks take SQL expression text (`v` a variant, `env` an envelope's
+``map<string,variant>``) and give SQL for the reason, NULL when all is well.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 from eventloom.functions.text import longer_than, sha_prefix, utf16_head, utf16_units
 from eventloom.functions.times import expires_at, iso
-from eventloom.functions.values import as_array, as_object, deeper_than, json_kind, number_text
+from eventloom.functions.values import (
+    as_array,
+    as_object,
+    as_text,
+    deeper_than,
+    get,
+    json_kind,
+    number_text,
+    quote,
+)
 from eventloom.schema import DEFAULT_LEVEL, ENVELOPE_KEYS, EVENT_COLUMNS, LEVELS, Limits
 
 LIMITS = Limits()
@@ -43,136 +54,126 @@ REASONS = {
 }
 
 
-def _reason(name: str, limits: Limits = LIMITS) -> Column:
-    return F.lit(REASONS[name].format(**vars(limits)))
+def _reason(name: str, limits: Limits = LIMITS) -> str:
+    return quote(REASONS[name].format(**vars(limits)))
 
 
-def _first(*checks) -> Column:
-    """The reason of the first check that fails; NULL when all pass."""
-    out = None
-    for broken, reason in checks:
-        out = F.when(broken, reason) if out is None else out.when(broken, reason)
-    return out
+def _first(*checks: tuple[str, str]) -> str:
+    """The reason of the first condition that holds."""
+    return "case " + " ".join(f"when {broken} then {reason}" for broken, reason in checks) + " end"
 
 
-def _text(value: Column) -> Column:
-    return F.try_variant_get(value, "$", "string")
+def _names(values) -> str:
+    return ", ".join(quote(v) for v in values)
 
 
-def check_object(value: Column) -> Column:
+def check_object(v: str) -> str:
     """Reason when an envelope is not a JSON object."""
-    return F.when(as_object(value).isNull(), _reason("object"))
+    return _first((f"{as_object(v)} is null", _reason("object")))
 
 
-def check_keys(env: Column) -> Column:
-    """Reason that names the first key outside the envelope."""
-    unknown = F.array_except(F.map_keys(env), F.array(*[F.lit(k) for k in ENVELOPE_KEYS]))
-    return F.when(F.size(unknown) > 0, F.concat(_reason("key"), F.get(unknown, 0), F.lit('"')))
+def check_keys(env: str) -> str:
+    """Reason that names a key outside the envelope."""
+    unknown = f"array_except(map_keys({env}), array({_names(ENVELOPE_KEYS)}))"
+    return _first((f"size({unknown}) > 0", f"concat({_reason('key')}, {unknown}[0], '\"')"))
 
 
-def check_event(value: Column, limits: Limits = LIMITS) -> Column:
+def check_event(v: str, limits: Limits = LIMITS) -> str:
     """Reason when `event` is missing, not text, empty, too long or has control characters."""
-    text = _text(value)
+    text = as_text(v)
     return _first(
-        (value.isNull() | (json_kind(value) != "string") | (text == ""), _reason("event")),
+        (f"coalesce({json_kind(v)} <> 'string' or {text} = '', true)", _reason("event")),
         (longer_than(text, limits.max_event_chars), _reason("event_long", limits)),
-        (text.rlike(r"[\x00-\x1f]"), _reason("event_control")),
+        (f"{text} rlike {quote('[' + chr(92) + 'x00-' + chr(92) + 'x1f]')}", _reason("event_control")),
     )
 
 
-def check_level(value: Column) -> Column:
+def check_level(v: str) -> str:
     """Reason when `level` is present but not one of the levels."""
-    ok = (json_kind(value) == "string") & _text(value).isin(*LEVELS)
-    return F.when(value.isNotNull() & ~ok, _reason("level"))
+    good = f"{json_kind(v)} = 'string' and {as_text(v)} in ({_names(LEVELS)})"
+    return _first((f"{v} is not null and not ({good})", _reason("level")))
 
 
-def norm_level(value: Column) -> Column:
+def norm_level(v: str) -> str:
     """The level, or the default when absent."""
-    return F.coalesce(_text(value), F.lit(DEFAULT_LEVEL))
+    return f"coalesce({as_text(v)}, {quote(DEFAULT_LEVEL)})"
 
 
-def check_ts(value: Column) -> Column:
+def check_ts(v: str) -> str:
     """Reason when `ts` is present but not an ISO-8601 date in text."""
-    ok = (json_kind(value) == "string") & F.try_to_timestamp(_text(value)).isNotNull()
-    return F.when(value.isNotNull() & ~ok, _reason("ts"))
+    good = f"{json_kind(v)} = 'string' and try_to_timestamp({as_text(v)}) is not null"
+    return _first((f"{v} is not null and not ({good})", _reason("ts")))
 
 
-def check_message(value: Column) -> Column:
+def check_message(v: str) -> str:
     """Reason when `message` is present but not text."""
-    return F.when(value.isNotNull() & (json_kind(value) != "string"), _reason("message"))
+    return _first((f"{v} is not null and {json_kind(v)} <> 'string'", _reason("message")))
 
 
-def norm_message(value: Column, limits: Limits = LIMITS) -> Column:
+def norm_message(v: str, limits: Limits = LIMITS) -> str:
     """The message, cut to its maximum length."""
-    return utf16_head(_text(value), limits.max_message_chars)
+    return utf16_head(as_text(v), limits.max_message_chars)
 
 
-def check_ids(value: Column, limits: Limits = LIMITS) -> Column:
+def check_ids(v: str, limits: Limits = LIMITS) -> str:
     """Reason when `ids` is not a flat object of at most ten scalars."""
-    entries = as_object(value)
-    scalar = ("string", "number", "boolean")
-    bad = F.map_keys(F.map_filter(entries, lambda _, v: ~json_kind(v).isin(*scalar)))
-    return F.when(
-        value.isNotNull(),
-        _first(
-            (entries.isNull(), _reason("ids")),
-            ((F.size(bad) > 0) & deeper_than(F.to_json(value), limits.max_depth), _reason("ids_depth", limits)),
-            (F.size(entries) > limits.max_ids_keys, _reason("ids_keys", limits)),
-            (F.size(bad) > 0, F.concat(F.lit("ids."), F.get(bad, 0), _reason("ids_value"))),
-        ),
+    entries = as_object(v)
+    bad = f"map_keys(map_filter({entries}, (k, x) -> {json_kind('x')} not in ('string', 'number', 'boolean')))"
+    reason = _first(
+        (f"{entries} is null", _reason("ids")),
+        (f"size({bad}) > 0 and {deeper_than(f'to_json({v})', limits.max_depth)}", _reason("ids_depth", limits)),
+        (f"size({entries}) > {limits.max_ids_keys}", _reason("ids_keys", limits)),
+        (f"size({bad}) > 0", f"concat('ids.', {bad}[0], {_reason('ids_value')})"),
     )
+    return f"if({v} is null, null, {reason})"
 
 
-def norm_ids(value: Column) -> Column:
+def norm_ids(v: str) -> str:
     """`ids` with every value as text; numbers print as JSON numbers do."""
+    number = number_text(get("x", "$", "double"))
+    return f"transform_values({as_object(v)}, (k, x) -> if({json_kind('x')} = 'number', {number}, {as_text('x')}))"
 
-    def text(v: Column) -> Column:
-        number = F.try_variant_get(v, "$", "double")
-        return F.when(json_kind(v) == "number", number_text(number)).otherwise(_text(v))
-
-    return F.transform_values(as_object(value), lambda _, v: text(v))
 
-
-def check_data(value: Column, limits: Limits = LIMITS) -> Column:
+def check_data(v: str, limits: Limits = LIMITS) -> str:
     """Reason when `data` is not an object or nests too deep."""
-    return F.when(
-        value.isNotNull(),
-        _first(
-            (as_object(value).isNull(), _reason("data")),
-            (deeper_than(F.to_json(value), limits.max_depth), _reason("data_depth", limits)),
-        ),
+    reason = _first(
+        (f"{as_object(v)} is null", _reason("data")),
+        (deeper_than(f"to_json({v})", limits.max_depth), _reason("data_depth", limits)),
     )
+    return f"if({v} is null, null, {reason})"
 
 
-def truncate_data(value: Column, raw: Column, limits: Limits = LIMITS) -> Column:
+def truncate_data(v: str, raw: str, limits: Limits = LIMITS) -> str:
     """`data`, or a stub with its original size and head when it is oversize.
 
     `raw` is the JSON text in the sender's key order; it is only looked at when
     the value is oversize.
     """
-    stub = F.to_variant_object(
-        F.struct(
-            F.lit(True).alias("_truncated"),
-            utf16_units(raw).alias("_originalBytes"),
-            utf16_head(raw, limits.head_chars).alias("_head"),
-        )
+    stub = (
+        f"to_variant_object(named_struct('_truncated', true, '_originalBytes', {utf16_units(raw)}, "
+        f"'_head', {utf16_head(raw, limits.head_chars)}))"
     )
-    return F.when(longer_than(F.to_json(value), limits.max_data_units), stub).otherwise(value)
+    return f"if({longer_than(f'to_json({v})', limits.max_data_units)}, {stub}, {v})"
 
 
-def envelope_reason(value: Column, limits: Limits = LIMITS) -> Column:
-    """Why an envelope is invalid, in the order checks are made; NULL when it is valid."""
-    env = as_object(value)
-    return F.coalesce(
-        check_object(value),
+def envelope_reason(env: str, limits: Limits = LIMITS) -> str:
+    """Why an envelope is invalid, in the order checks are made; `env` is NULL for non-objects."""
+    item = {k: f"{env}[{quote(k)}]" for k in ENVELOPE_KEYS}
+    checks = [
         check_keys(env),
-        check_event(env["event"], limits),
-        check_level(env["level"]),
-        check_ts(env["ts"]),
-        check_message(env["message"]),
-        check_ids(env["ids"], limits),
-        check_data(env["data"], limits),
-    )
+        check_event(item["event"], limits),
+        check_level(item["level"]),
+        check_ts(item["ts"]),
+        check_message(item["message"]),
+        check_ids(item["ids"], limits),
+        check_data(item["data"], limits),
+    ]
+    return f"if({env} is null, {_reason('object')}, coalesce({', '.join(checks)}))"
+
+
+def _items(v: str) -> str:
+    """A body's envelopes: the array's items, or the lone value."""
+    return f"coalesce({as_array(v)}, if({v} is null, null, array({v})))"
 
 
 def explode_batches(df: DataFrame) -> DataFrame:
@@ -180,10 +181,9 @@ def explode_batches(df: DataFrame) -> DataFrame:
 
     Bodies that are not JSON give no rows.
     """
-    value = F.try_parse_json("body")
-    items = F.coalesce(as_array(value), F.when(value.isNotNull(), F.array(value)))
     kept = [c for c in df.columns if c != "body"]
-    return df.select(*kept, F.posexplode(items).alias("pos", "envelope"))
+    parsed = df.selectExpr(*kept, "try_parse_json(body) as _value")
+    return parsed.selectExpr(*kept, f"posexplode({_items('_value')}) as (pos, envelope)")
 
 
 def stamp_source(df: DataFrame, sources: DataFrame) -> DataFrame:
@@ -192,24 +192,21 @@ def stamp_source(df: DataFrame, sources: DataFrame) -> DataFrame:
     The registry is joined without a hint: Spark broadcasts it only when its
     size is known to be small, and splits hot sources when it is not.
     """
-    known = sources.select("source_id", "app", "env", "mode")
-    return df.join(known, "source_id", "left").withColumn(
-        "reason",
-        _first(
-            (F.col("app").isNull(), _reason("source")),
-            (~F.coalesce(F.col("mode") == "write", F.lit(False)), _reason("mode")),
-        ),
+    reason = _first(
+        ("app is null", _reason("source")), ("coalesce(mode <> 'write', true)", _reason("mode"))
     )
+    known = sources.select("source_id", "app", "env", "mode")
+    return df.join(known, "source_id", "left").selectExpr("*", f"{reason} as reason")
 
 
-def derive_id(app: Column, received_at: Column, seq: Column, envelope: Column) -> Column:
+def derive_id(app: str, received_at: str, seq: str, envelope: str) -> str:
     """Event id: equal inputs always give the same id, so replays collapse."""
-    return sha_prefix(F.concat_ws("\n", app, iso(received_at), seq, envelope), 32)
+    return sha_prefix(f"concat_ws('\\n', {app}, {iso(received_at)}, {seq}, {envelope})", 32)
 
 
-def batch_seq(batch_id: Column, pos: Column) -> Column:
+def batch_seq(batch_id: str, pos: str) -> str:
     """What tells identical envelopes of one instant apart, stable when a task is retried."""
-    return F.concat_ws("-", batch_id, pos.cast("string"))
+    return f"concat_ws('-', {batch_id}, {pos})"
 
 
 def check_batches(df: DataFrame, sources: DataFrame, limits: Limits = LIMITS) -> DataFrame:
@@ -218,79 +215,57 @@ def check_batches(df: DataFrame, sources: DataFrame, limits: Limits = LIMITS) ->
     `reason` is NULL for admitted batches; `index` is the position of the first
     bad envelope, or NULL when the batch as a whole is at fault.
     """
-    value = F.try_parse_json("body")
-    df = stamp_source(df, sources).withColumn(
-        "_value", F.when(F.col("reason").isNull() & (F.octet_length("body") <= limits.max_body_bytes), value)
-    )
-    df = df.withColumn(
-        "_items",
-        F.coalesce(as_array(F.col("_value")), F.when(F.col("_value").isNotNull(), F.array("_value"))),
-    )
-    size = F.size("_items")
-    df = df.withColumn(
-        "reason",
-        F.coalesce(
-            "reason",
-            _first(
-                (F.octet_length("body") > limits.max_body_bytes, _reason("body")),
-                (F.col("_value").isNull(), _reason("json")),
-                (size == 0, _reason("empty")),
-                (size > limits.max_batch, _reason("batch", limits)),
-            ),
-        ),
-    )
-    df = df.withColumn(
-        "_reasons",
-        F.when(F.col("reason").isNull(), F.transform("_items", lambda e: envelope_reason(e, limits))),
+    fits = f"octet_length(body) <= {limits.max_body_bytes}"
+    whole = _first(
+        (f"not ({fits})", _reason("body")),
+        ("_value is null", _reason("json")),
+        ("size(_items) = 0", _reason("empty")),
+        (f"size(_items) > {limits.max_batch}", _reason("batch", limits)),
     )
-    bad = F.array_position(F.transform("_reasons", lambda r: r.isNotNull()), True)
-    df = df.withColumn("_bad", F.nullif(bad.cast("int"), F.lit(0)))
-    return df.select(
-        "batch_id", "source_id", "received_at", "body", "app", "env", "_items",
-        F.coalesce("reason", F.get("_reasons", F.col("_bad") - 1)).alias("reason"),
-        (F.col("_bad") - 1).alias("index"),
+    kept = ["batch_id", "source_id", "received_at", "body", "app", "env"]
+    return (
+        stamp_source(df, sources)
+        .selectExpr(*kept, "reason", f"if(reason is null and {fits}, try_parse_json(body), null) as _value")
+        .selectExpr(*kept, "reason", "_value", f"{_items('_value')} as _items")
+        .selectExpr(*kept, f"coalesce(reason, {whole}) as reason", "_items")
+        .selectExpr("*", f"if(reason is null, transform(_items, e -> {as_object('e')}), null) as _envs")
+        .selectExpr("*", f"transform(_envs, e -> {envelope_reason('e', limits)}) as _reasons")
+        .selectExpr("*", "nullif(array_position(transform(_reasons, r -> r is not null), true), 0) - 1 as _bad")
+        .selectExpr(*kept, "_envs", "coalesce(reason, get(_reasons, cast(_bad as int))) as reason", "cast(_bad as int) as index")
     )
 
 
 def rejected(checked: DataFrame) -> DataFrame:
     """``batch_id, index, error`` of the batches that were not admitted."""
-    return checked.filter(F.col("reason").isNotNull()).select(
-        "batch_id", "index", F.col("reason").alias("error")
-    )
+    return checked.filter("reason is not null").selectExpr("batch_id", "index", "reason as error")
 
 
 def accepted(checked: DataFrame, limits: Limits = LIMITS) -> DataFrame:
     """Events of the admitted batches, in stored form."""
-    rows = checked.filter(F.col("reason").isNull()).select(
-        "batch_id", "received_at", "body", "app", "env", F.posexplode("_items").alias("pos", "_item")
+    stamped = ["batch_id", "pos", "received_at", "app", "env"]
+    rows = checked.filter("reason is null").selectExpr(
+        "batch_id", "received_at", "body", "app", "env", "posexplode(_envs) as (pos, _env)"
     )
+    rows = rows.selectExpr(*stamped, "body", *[f"_env[{quote(k)}] as _{k}" for k in ENVELOPE_KEYS])
     # An array's items are addressed by position; only oversize data is ever read this way.
-    spot = F.when(
-        F.ltrim("body").startswith("["), F.concat(F.lit("$["), F.col("pos").cast("string"), F.lit("].data"))
-    ).otherwise("$.data")
-    rows = rows.withColumn("_env", as_object(F.col("_item"))).select(
-        "batch_id", "pos", "received_at", "app", "env",
-        _text(F.col("_env")["event"]).alias("event"),
-        norm_level(F.col("_env")["level"]).alias("level"),
-        _text(F.col("_env")["ts"]).alias("ts"),
-        norm_message(F.col("_env")["message"], limits).alias("message"),
-        norm_ids(F.col("_env")["ids"]).alias("ids"),
-        truncate_data(F.col("_env")["data"], _raw_json("body", spot), limits).alias("data"),
+    raw = "get_json_object(body, if(ltrim(body) like '[%', concat('$[', pos, '].data'), '$.data'))"
+    rows = rows.selectExpr(
+        *stamped,
+        f"{as_text('_event')} as event",
+        f"{norm_level('_level')} as level",
+        f"{as_text('_ts')} as ts",
+        f"{norm_message('_message', limits)} as message",
+        f"{norm_ids('_ids')} as ids",
+        f"{truncate_data('_data', raw, limits)} as data",
     )
-    envelope = F.to_json(F.struct("event", "level", "ts", "message", "ids", "data"))
-    return rows.select(
-        derive_id(
-            F.col("app"), F.col("received_at"), batch_seq(F.col("batch_id"), F.col("pos")), envelope
-        ).alias("_id"),
+    envelope = "to_json(struct(event, level, ts, message, ids, data))"
+    return rows.selectExpr(
+        f"{derive_id('app', 'received_at', batch_seq('batch_id', 'pos'), envelope)} as _id",
         *[c for c in EVENT_COLUMNS if c not in ("_id", "expires_at")],
-        expires_at(F.col("received_at"), F.col("level"), limits.ttl_days).alias("expires_at"),
+        f"{expires_at('received_at', 'level', limits.ttl_days)} as expires_at",
     )
 
 
-def _raw_json(column: str, spot: Column) -> Column:
-    return F.call_function("get_json_object", F.col(column), spot)
-
-
 def normalize(df: DataFrame, sources: DataFrame, limits: Limits = LIMITS) -> tuple[DataFrame, DataFrame]:
     """Batches ``batch_id, source_id, received_at, body`` to (accepted events, rejected batches)."""
     checked = check_batches(df, sources, limits)

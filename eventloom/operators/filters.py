@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eventloom.functions.times import check_window, instant, lit_instant
-from eventloom.functions.values import NUMBER, STRING, BOOLEAN, field
+from eventloom.functions.values import BOOLEAN, NUMBER, STRING, field, quote
 from eventloom.schema import LEVELS, QUERY_TEXT_MAX
 
 NUMERIC_PARAM = re.compile(r"^-?\d+(\.\d+)?$", re.ASCII)
@@ -55,26 +55,23 @@ class DataTerm:
             self.accepted = None
         self.bounds[side] = value
 
-    def predicate(self, value: Column) -> Column:
-        rank, num, text = (value.getField(f) for f in ("rank", "num", "str"))
+    def predicate(self, t: str) -> str:
+        """SQL over the path's typed value."""
         tests = []
         if self.accepted is not None:
             options = []
             for v in self.accepted:
                 if isinstance(v, bool):
-                    options.append((rank == BOOLEAN) & (num == float(v)))
+                    options.append(f"({t}.rank = {BOOLEAN} and {t}.num = {int(v)})")
                 elif isinstance(v, float):
-                    options.append((rank == NUMBER) & (num == v))
+                    options.append(f"({t}.rank = {NUMBER} and {t}.num = {v!r}D)")
                 else:
-                    options.append((rank == STRING) & (text == v))
-            tests.append(reduce(lambda a, b: a | b, options))
+                    options.append(f"({t}.rank = {STRING} and {t}.str = {quote(v)})")
+            tests.append("(" + " or ".join(options) + ")")
         if self.bounds:
-            tests.append(rank == NUMBER)
-            if "gte" in self.bounds:
-                tests.append(num >= self.bounds["gte"])
-            if "lte" in self.bounds:
-                tests.append(num <= self.bounds["lte"])
-        return reduce(lambda a, b: a & b, tests)
+            tests.append(f"{t}.rank = {NUMBER}")
+            tests += [f"{t}.num {'>=' if side == 'gte' else '<='} {v!r}D" for side, v in self.bounds.items()]
+        return " and ".join(tests)
 
 
 def _check_regex(q: str) -> None:
@@ -179,7 +176,7 @@ def predicate(ev: DataFrame, params: Params | None = None) -> Column:
     if "from" in bounds and "to" in bounds:
         check_window(bounds["from"], bounds["to"])
     tests = [window_predicate(ev, bounds.get("from"), bounds.get("to")), *simple.values()]
-    tests += [term.predicate(field(ev, key)) for key, term in data.items()]
+    tests += [F.expr(term.predicate(field(ev, key))) for key, term in data.items()]
     return reduce(lambda a, b: a & b, tests)
 
 
@@ -190,7 +187,7 @@ def filter_events(ev: DataFrame, params: Params | None = None) -> DataFrame:
 
 def is_null(ev: DataFrame, by: str) -> Column:
     """Events in the null group of a field: the value is missing or null."""
-    return field(ev, by).getField("rank").isNull()
+    return F.expr(f"{field(ev, by)}.rank is null")
 
 
 def project_apps(projects: DataFrame, slug: str) -> list[str]:

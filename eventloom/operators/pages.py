@@ -96,8 +96,11 @@ def merge_tail(page: DataFrame, tail: DataFrame, n: int = TAIL_MAX) -> DataFrame
 
 def to_api_json(df: DataFrame) -> DataFrame:
     """Events as one JSON document per row: reader field names, ISO instants, absent fields left out."""
+    return df.selectExpr(f"{document_sql(df.columns)} as json")
+
+
+def document_sql(columns) -> str:
+    """SQL for the JSON document of an event with the given columns."""
     names = {"received_at": "receivedAt", "expires_at": "expiresAt"}
-    doc = F.struct(
-        *[(iso(F.col(c)) if c in names else F.col(c)).alias(names.get(c, c)) for c in EVENT_COLUMNS if c in df.columns]
-    )
-    return df.select(F.to_json(doc).alias("json"))
+    parts = [f"'{names.get(c, c)}', {iso(c) if c in names else c}" for c in EVENT_COLUMNS if c in columns]
+    return f"to_json(named_struct({', '.join(parts)}))"

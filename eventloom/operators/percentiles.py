@@ -2,85 +2,69 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 ACCURACY = 10_000
 
 
-def approximate(value: Column, ps: list[float]) -> Column:
-    """Nearest-rank percentiles from a bounded, mergeable summary.
+def approximate(value: str, ps) -> str:
+    """SQL for nearest-rank percentiles from a bounded, mergeable summary.
 
     The rank error is at most 1/10,000 of the group, so groups below 5,000 rows
     come out exact; state per group is bounded and combines map-side.
     """
-    return F.percentile_approx(value, [float(p) for p in ps], ACCURACY)
+    return f"percentile_approx({value}, array({', '.join(f'{float(p)}D' for p in ps)}), {ACCURACY})"
 
 
-def _levels(value: Column) -> list[Column]:
-    """Three order-preserving refinements of a number, coarse to exact.
+def _range(value: Column) -> Column:
+    """An order-preserving range of a number: 4096 ranges per power of two.
 
-    The first takes 32 steps per power of two, the second 4096 steps inside one
-    of those, the last is the value itself.  Each step is a non-decreasing
-    function of the value, so ranks add up across levels.
+    At most a few hundred thousand ranges exist however many values there are.
     """
-    size = F.log2(F.abs(value) + 1) * 32
-    signed = F.when(value < 0, -size).otherwise(size)
-    coarse = F.floor(signed)
-    fine = F.floor((signed - coarse) * 4096)
-    return [coarse.cast("long"), fine.cast("long"), value]
+    size = F.log2(F.abs(value) + 1) * 4096
+    return F.floor(F.when(value < 0, -size).otherwise(size))
 
 
 def exact(df: DataFrame, keys: list[str], value: Column, ps: dict[str, float]) -> DataFrame:
     """Exact nearest-rank percentiles, one row per group, columns named by `ps`.
 
-    No task ever holds a group.  Rows collapse to distinct values with counts
-    (shuffled by group *and* value, combined map-side), then ranks are located
-    by descending through value ranges: at each level only per-range counts are
-    ordered, and only the ranges that hold a wanted rank go on to the next.
-    Groups without values give no row.
+    No task ever holds a group.  Rows collapse to distinct values with counts,
+    shuffled by group *and* value after combining map-side.  Ranks are then
+    located in two steps: ordered counts per value range find the range that
+    holds each wanted rank, and only the values of those ranges are ordered.
+    Groups without values, or with a NULL key, give no row.
     """
     names = [f"_k{i}" for i in range(len(keys))]
-    base = (
+    values = (
         df.select(*[F.col(k).alias(n) for k, n in zip(keys, names)], value.alias("_v"))
         .filter(F.col("_v").isNotNull())
         .groupBy(*names, "_v")
         .agg(F.count("*").alias("_n"))
+        .withColumn("_range", _range(F.col("_v")))
     )
-    levels = [f"_l{i}" for i in range(3)]
-    base = base.select("*", *[c.alias(n) for c, n in zip(_levels(F.col("_v")), levels)])
 
-    wanted = F.array(
-        *[F.struct(F.lit(name).alias("_p"), F.lit(float(p)).alias("_share")) for name, p in ps.items()]
+    # A few rows per group: the range of each wanted rank, and the rank inside it.
+    group = Window.partitionBy(*names)
+    wanted = F.array(*[F.struct(F.lit(n).alias("p"), F.lit(float(p)).alias("share")) for n, p in ps.items()])
+    ranges = (
+        values.groupBy(*names, "_range")
+        .agg(F.sum("_n").alias("_n"))
+        .withColumn("_upto", F.sum("_n").over(group.orderBy("_range")))
+        .withColumn("_total", F.sum("_n").over(group))
+        .withColumn("_w", F.explode(wanted))
+        .withColumn("_rank", F.greatest(F.lit(1), F.ceil(F.col("_w.share") * F.col("_total"))))
     )
-    targets = None
-    for depth, level in enumerate(levels):
-        path = [*names, *levels[:depth]]
-        rows = base
-        if targets is not None:
-            # Few rows per group; AQE broadcasts them when their measured size allows.
-            rows = base.join(targets.select(*path).distinct(), path, "left_semi")
-        counts = rows.groupBy(*path, level).agg(F.sum("_n").alias("_n"))
-        ordered = Window.partitionBy(*path).orderBy(level)
-        counts = counts.withColumn("_upto", F.sum("_n").over(ordered))
-        if targets is None:
-            total = Window.partitionBy(*path)
-            counts = (
-                counts.withColumn("_total", F.sum("_n").over(total))
-                .withColumn("_w", F.explode(wanted))
-                .select("*", "_w._p", F.greatest(F.lit(1), F.ceil(F.col("_w._share") * F.col("_total"))).alias("_rank"))
-                .drop("_w")
-            )
-        else:
-            counts = counts.join(targets, path)
-        targets = counts.filter(
-            (F.col("_upto") >= F.col("_rank")) & (F.col("_upto") - F.col("_n") < F.col("_rank"))
-        ).select(
-            *path, level, "_p", (F.col("_rank") - (F.col("_upto") - F.col("_n"))).alias("_rank")
-        )
-    found = targets.groupBy(*names).agg(
-        *[F.max(F.when(F.col("_p") == name, F.col(levels[-1]))).alias(name) for name in ps]
+    before = F.col("_upto") - F.col("_n")
+    hit = (F.col("_rank") > before) & (F.col("_rank") <= F.col("_upto"))
+    targets = ranges.filter(hit).select(*names, "_range", F.col("_w.p").alias("_p"), (F.col("_rank") - before).alias("_rank"))
+
+    inside = Window.partitionBy(*names, "_range", "_p").orderBy("_v")
+    found = (
+        values.join(targets, [*names, "_range"])
+        .withColumn("_upto", F.sum("_n").over(inside))
+        .filter(hit)
+        .groupBy(*names)
+        .agg(*[F.max(F.when(F.col("_p") == name, F.col("_v"))).alias(name) for name in ps])
     )
-    return reduce(lambda d, kn: d.withColumnRenamed(kn[1], kn[0]), zip(keys, names), found)
+    return found.withColumnsRenamed(dict(zip(names, keys)))

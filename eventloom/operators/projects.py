@@ -4,52 +4,49 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from eventloom.functions.text import longer_than, slugify
-from eventloom.functions.values import as_array, as_object, json_kind
+from eventloom.functions.values import as_array, as_object, as_text, json_kind
 
 # Limits of a project.
 NAME_MAX, APPS_MAX, APP_MAX = 80, 200, 128
 
 
-def _text(value: Column) -> Column:
-    return F.try_variant_get(value, "$", "string")
-
-
 def validate_projects(df: DataFrame) -> DataFrame:
     """Check project bodies: adds ``name``, ``apps`` and ``error`` to ``body STRING`` rows.
 
     `error` is NULL for valid bodies; names are trimmed, repeated apps dropped
     keeping the first.
     """
-    body = as_object(F.try_parse_json("body"))
-    name = F.trim(_text(F.col("_b")["name"]))
-    apps = as_array(F.col("_b")["apps"])
-    unknown = F.array_except(F.map_keys("_b"), F.array(F.lit("name"), F.lit("apps")))
-    bad_text = F.exists(apps, lambda a: (json_kind(a) != "string") | (_text(a) == ""))
-    long_app = F.exists(apps, lambda a: longer_than(_text(a), APP_MAX))
-    error = (
-        F.when(F.col("_b").isNull(), "project body must be a JSON object")
-        .when(F.size(unknown) > 0, F.concat(F.lit('unknown key "'), F.get(unknown, 0), F.lit('"')))
-        .when(F.col("_b")["name"].isNull(), "name is required")
-        .when(json_kind(F.col("_b")["name"]) != "string", "name must be a string")
-        .when(name == "", "name must be a non-empty string")
-        .when(longer_than(name, NAME_MAX), f"name exceeds {NAME_MAX} chars")
-        .when(F.col("_b")["apps"].isNotNull() & apps.isNull(), "apps must be an array of strings")
-        .when(F.size(apps) > APPS_MAX, f"apps exceeds {APPS_MAX} entries")
-        .when(bad_text, "each app must be a non-empty string")
-        .when(long_app, f"app name exceeds {APP_MAX} chars")
-    )
-    none = F.array().cast("array<string>")
+    name = f"trim({as_text('_name')})"
+    unknown = "array_except(map_keys(_b), array('name', 'apps'))"
+    bad_app = f"exists(_apps, a -> coalesce({json_kind('a')} <> 'string', true) or {as_text('a')} = '')"
+    long_app = f"exists(_apps, a -> {longer_than(as_text('a'), APP_MAX)})"
+    checks = [
+        ("_b is null", "'project body must be a JSON object'"),
+        (f"size({unknown}) > 0", f"concat('unknown key \"', {unknown}[0], '\"')"),
+        ("_name is null", "'name is required'"),
+        (f"{json_kind('_name')} <> 'string'", "'name must be a string'"),
+        (f"{name} = ''", "'name must be a non-empty string'"),
+        (longer_than(name, NAME_MAX), f"'name exceeds {NAME_MAX} chars'"),
+        ("_given is not null and _apps is null", "'apps must be an array of strings'"),
+        (f"size(_apps) > {APPS_MAX}", f"'apps exceeds {APPS_MAX} entries'"),
+        (bad_app, "'each app must be a non-empty string'"),
+        (long_app, f"'app name exceeds {APP_MAX} chars'"),
+    ]
+    error = "case " + " ".join(f"when {broken} then {reason}" for broken, reason in checks) + " end"
     return (
-        df.withColumn("_b", body)
-        .withColumn("error", error)
-        .withColumn("name", F.when(F.col("error").isNull(), name))
-        .withColumn(
-            "apps",
-            F.when(F.col("error").isNull(), F.coalesce(F.array_distinct(F.transform(apps, _text)), none)),
+        df.selectExpr("*", f"{as_object('try_parse_json(body)')} as _b")
+        .selectExpr("*", "_b['name'] as _name", "_b['apps'] as _given")
+        .selectExpr("*", f"{as_array('_given')} as _apps")
+        .selectExpr("*", f"{error} as error")
+        .selectExpr(
+            *df.columns,
+            f"if(error is null, {name}, null) as name",
+            f"if(error is null, coalesce(array_distinct(transform(_apps, a -> {as_text('a')})), array()), null) as apps",
+            "error",
         )
-        .drop("_b")
     )
 
 
@@ -70,7 +67,7 @@ def assign_slugs(df: DataFrame) -> DataFrame:
     a window.  Only roots that collide with a numbered form of another root
     have to be settled together, and those are few.
     """
-    root = slugify(F.col("name"), NAME_MAX)
+    root = F.expr(slugify("name", NAME_MAX))
     rows = df.withColumn("_root", F.when(root == "", "project").otherwise(root))
     nth = Window.partitionBy("_root").orderBy("created_at", "name")
     rows = rows.withColumn("_nth", F.row_number().over(nth))
@@ -91,7 +88,7 @@ def _numbered(root: Column, n: Column) -> Column:
 
 def _settle(rows: DataFrame) -> DataFrame:
     """Slugs of families that hold several roots, in creation order."""
-    schema = rows.schema.add("slug", "string")
+    schema = T.StructType([*rows.schema.fields, T.StructField("slug", T.StringType())])
     names = schema.fieldNames()
 
     def settle(pdf):

@@ -12,6 +12,7 @@ from eventloom.functions.values import (
     field,
     first_present,
     object_keys,
+    quote,
     to_double,
     value_kind,
     value_text,
@@ -34,43 +35,44 @@ JOBS_PERCENTILES = {"p50_ms": 0.5, "p95_ms": 0.95}
 
 def measures(ev: DataFrame) -> DataFrame:
     """The numbers the time-bucket rollup needs, one narrow row per event."""
-    return ev.select(
+    return ev.selectExpr(
         "received_at",
         "level",
-        to_double(first_present(field(ev, "data.latencyMs"), field(ev, "data.durationMs"))).alias("latency"),
-        to_double(field(ev, "data.status")).alias("status"),
-        to_double(field(ev, "data.costUsd"), 0).alias("cost"),
-        to_double(field(ev, "data.inputTokens"), 0).alias("tokens_in"),
-        to_double(field(ev, "data.outputTokens"), 0).alias("tokens_out"),
+        to_double(first_present(field(ev, "data.latencyMs"), field(ev, "data.durationMs"))) + " as latency",
+        to_double(field(ev, "data.status")) + " as status",
+        to_double(field(ev, "data.costUsd"), 0) + " as cost",
+        to_double(field(ev, "data.inputTokens"), 0) + " as tokens_in",
+        to_double(field(ev, "data.outputTokens"), 0) + " as tokens_out",
     )
 
 
 def bucket_aggregates(approximate: bool = True) -> list:
     """Aggregates of one bucket, over :func:`measures`."""
-    out = [F.count("*").alias("total")]
-    out += [F.count_if(F.col("level") == name).alias(name) for name in LEVELS]
+    out = ["count(*) as total"]
+    out += [f"count_if(level = '{name}') as {name}" for name in LEVELS]
     if approximate:
-        out.append(percentiles.approximate(F.col("latency"), list(STATS_PERCENTILES.values())).alias("_latency"))
-    return [
-        *out,
-        F.count("status").alias("_statuses"),
-        F.count_if(F.col("status") >= 400).alias("_status_errors"),
-        F.round(F.sum("cost"), 6).alias("cost_usd"),
-        F.sum("tokens_in").alias("input_tokens"),
-        F.sum("tokens_out").alias("output_tokens"),
+        out.append(percentiles.approximate("latency", STATS_PERCENTILES.values()) + " as _latency")
+    out += [
+        "count(status) as _statuses",
+        "count_if(status >= 400) as _status_errors",
+        "round(sum(cost), 6) as cost_usd",
+        "sum(tokens_in) as input_tokens",
+        "sum(tokens_out) as output_tokens",
     ]
+    return [F.expr(e) for e in out]
 
 
-def bucket_columns(df: DataFrame, *keys) -> DataFrame:
-    """Final columns of the time-bucket rollup."""
+def bucket_columns(df: DataFrame, key: str = "bucket") -> DataFrame:
+    """Final columns of the time-bucket rollup; `key` is SQL for the bucket."""
+    latency = STATS_PERCENTILES
     if "_latency" in df.columns:
-        df = df.select("*", *[F.col("_latency")[i].alias(p) for i, p in enumerate(STATS_PERCENTILES)])
-    return df.select(
-        *keys,
+        latency = [f"_latency[{i}] as {p}" for i, p in enumerate(STATS_PERCENTILES)]
+    return df.selectExpr(
+        f"{key} as bucket",
         "total",
         *LEVELS,
-        *STATS_PERCENTILES,
-        F.when(F.col("_statuses") > 0, F.col("_status_errors") / F.col("_statuses")).alias("error_rate"),
+        *latency,
+        "if(_statuses > 0, _status_errors / _statuses, null) as error_rate",
         "cost_usd",
         "input_tokens",
         "output_tokens",
@@ -92,12 +94,12 @@ def stats(
     rows = scope(in_window(ev, start, end), app, projects, project)
     if event:
         rows = rows.filter(event_prefix(event))
-    rows = measures(rows).withColumn("bucket", bucket(F.col("received_at"), group))
+    rows = measures(rows).selectExpr("*", f"{bucket('received_at', group)} as bucket")
     totals = rows.groupBy("bucket").agg(*bucket_aggregates(approximate=not exact))
     if exact:
         latency = percentiles.exact(rows, ["bucket"], F.col("latency"), STATS_PERCENTILES)
         totals = totals.join(latency, "bucket", "left")
-    return bucket_columns(totals, "bucket").orderBy("bucket")
+    return bucket_columns(totals).orderBy("bucket")
 
 
 def top_groups(counts: DataFrame, limit: int) -> DataFrame:
@@ -105,18 +107,9 @@ def top_groups(counts: DataFrame, limit: int) -> DataFrame:
     return counts.orderBy(F.desc("count"), F.asc_nulls_first("rank"), "num", "str").limit(limit)
 
 
-def _matches(like: str):
-    return (F.col("rank") == STRING) & F.contains(F.lower("str"), F.lit(like.lower()))
-
-
 def group_counts(ev: DataFrame, by: str) -> DataFrame:
     """Event count per typed value of a field; missing and null share one group."""
-    key = field(ev, by)
-    return (
-        ev.select(*[key.getField(f).alias(f) for f in ("rank", "num", "str")])
-        .groupBy("rank", "num", "str")
-        .agg(F.count("*").alias("count"))
-    )
+    return ev.selectExpr(f"{field(ev, by)} as t").groupBy("t.rank", "t.num", "t.str").agg(F.count("*").alias("count"))
 
 
 def groupby(
@@ -143,13 +136,14 @@ def groupby(
         rows = scope(rows, dict(given).get("app"), projects, project)
     counts = group_counts(rows, by)
     if like:
-        counts = counts.filter(_matches(like))
-    value = F.struct("rank", "num", "str")
+        counts = counts.filter(f"rank = {STRING} and contains(lower(str), {quote(like.lower())})")
     total = counts.agg(F.sum("count")).scalar()
     shown = F.sum("count").over(Window.partitionBy())  # at most `limit` rows here
     return (
         top_groups(counts, limit)
-        .select(value_text(value).alias("value"), value_kind(value).alias("kind"), "count", total.alias("total"))
+        .withColumn("total", total)
+        .selectExpr("count", "total", "struct(rank, num, str) as t")
+        .selectExpr(f"{value_text('t')} as value", f"{value_kind('t')} as kind", "count", "total")
         .withColumn("other_count", F.greatest(F.lit(0), F.col("total") - shown))
     )
 
@@ -161,15 +155,12 @@ def facets(ev: DataFrame, from_=None, to=None, app=None, projects=None, project=
     """
     start, end = resolve_window(from_, to, now)
     rows = scope(in_window(ev, start, end), app, projects, project)
-    none = F.array().cast("array<string>")
-
-    def tagged(kind: str, keys):
-        return F.transform(
-            F.coalesce(keys, none), lambda k: F.struct(F.lit(kind).alias("kind"), k.alias("key"))
-        )
-
-    found = F.concat(tagged("ids", F.map_keys("ids")), tagged("data", object_keys(F.col("data"))))
-    return rows.select(F.explode(found).alias("f")).select("f.kind", "f.key").distinct().orderBy("kind", "key")
+    tagged = [
+        f"transform(coalesce({keys}, array()), k -> named_struct('kind', '{kind}', 'key', k))"
+        for kind, keys in (("ids", "map_keys(ids)"), ("data", object_keys("data")))
+    ]
+    found = rows.selectExpr(f"explode(concat({', '.join(tagged)})) as f")
+    return found.select("f.kind", "f.key").distinct().orderBy("kind", "key")
 
 
 def event_names(ev: DataFrame, app=None, projects=None, project=None) -> DataFrame:
@@ -177,11 +168,11 @@ def event_names(ev: DataFrame, app=None, projects=None, project=None) -> DataFra
     return scope(ev, app, projects, project).select("app", "event").distinct().orderBy("app", "event")
 
 
-def job_failed(ev: DataFrame):
-    """Whether one job event is a failure: an error level, or a status that says so."""
+def job_failed(ev: DataFrame) -> str:
+    """SQL for whether a job event is a failure: an error level, or a status that says so."""
     status = field(ev, "data.status")
-    said = (status.getField("rank") == STRING) & F.lower(status.getField("str")).isin(*FAILED_STATUSES)
-    return (F.col("level") == "error") | F.coalesce(said, F.lit(False))
+    words = ", ".join(quote(w) for w in FAILED_STATUSES)
+    return f"(level = 'error' or coalesce({status}.rank = {STRING} and lower({status}.str) in ({words}), false))"
 
 
 def jobs(
@@ -199,31 +190,27 @@ def jobs(
     latency = field(rows, "data.latencyMs")
     if fallback:
         latency = first_present(latency, field(rows, "data.durationMs"))
-    runs = rows.select(
-        F.col("event").alias("name"), "received_at", "_id", job_failed(rows).alias("failed"),
-        to_double(latency).alias("latency"),
+    runs = rows.selectExpr(
+        "event as name", "received_at", "_id", f"{job_failed(rows)} as failed", f"{to_double(latency)} as latency"
     )
-    out = [
-        F.count("*").alias("runs"),
-        F.count_if("failed").alias("failures"),
-        F.max(F.struct("received_at", "_id", "failed")).alias("_last"),
-    ]
+    out = ["count(*) as runs", "count_if(failed) as failures", "max(struct(received_at, _id, failed)) as _last"]
     if not exact:
-        out.append(percentiles.approximate(F.col("latency"), list(JOBS_PERCENTILES.values())).alias("_latency"))
-    health = runs.groupBy("name").agg(*out)
+        out.append(percentiles.approximate("latency", JOBS_PERCENTILES.values()) + " as _latency")
+    health = runs.groupBy("name").agg(*[F.expr(e) for e in out])
     if exact:
         health = health.join(percentiles.exact(runs, ["name"], F.col("latency"), JOBS_PERCENTILES), "name", "left")
+        latency = list(JOBS_PERCENTILES)
     else:
-        health = health.select("*", *[F.col("_latency")[i].alias(p) for i, p in enumerate(JOBS_PERCENTILES)])
+        latency = [f"_latency[{i}] as {p}" for i, p in enumerate(JOBS_PERCENTILES)]
     return (
-        health.select(
+        health.selectExpr(
             "name",
-            F.col("_last.received_at").alias("last_run_at"),
-            F.when(F.col("_last.failed"), "failed").otherwise("ok").alias("last_status"),
+            "_last.received_at as last_run_at",
+            "if(_last.failed, 'failed', 'ok') as last_status",
             "runs",
             "failures",
-            F.round((F.col("runs") - F.col("failures")) / F.col("runs"), 4).alias("success_rate"),
-            *JOBS_PERCENTILES,
+            "round((runs - failures) / runs, 4) as success_rate",
+            *latency,
         )
         .orderBy(F.desc("runs"), "name")
         .limit(JOBS_MAX)

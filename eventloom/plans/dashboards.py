@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from eventloom.functions.times import resolve_window
 from eventloom.functions.values import NUMBER, field, to_double
-from eventloom.operators.filters import Params, event_prefix, in_window, pairs, scope
+from eventloom.operators.filters import Params, event_prefix, in_window, scope
 from eventloom.operators.rollups import groupby, job_failed
 from eventloom.schema import JOB_PREFIXES, JOBS_MAX, SUGGEST_MAX
 
@@ -94,28 +94,28 @@ def overview(
     start, end = resolve_window(from_, to, now)
     rows = scope(in_window(ev, start, end), None, projects, project)
     latency = field(rows, "data.latencyMs")
-    slow = (latency.getField("rank") == NUMBER) & (latency.getField("num") >= slow_ms)
-
-    cards = rows.agg(
-        F.count_if(F.col("level").isin("warn", "error")).cast("double").alias("warn_error"),
-        F.coalesce(F.round(F.sum(to_double(field(rows, "data.costUsd"), 0)), 6), F.lit(0.0)).alias("cost_usd"),
-        F.coalesce(
-            F.sum(to_double(field(rows, "data.inputTokens"), 0) + to_double(field(rows, "data.outputTokens"), 0)),
-            F.lit(0.0),
-        ).alias("tokens"),
-        F.count_if(F.coalesce(slow, F.lit(False))).cast("double").alias("slow_events"),
+    cost, tokens_in, tokens_out = (
+        to_double(field(rows, f"data.{k}"), 0) for k in ("costUsd", "inputTokens", "outputTokens")
+    )
+    cards = rows.selectExpr(
+        "level in ('warn', 'error') as loud", f"{cost} as cost", f"{tokens_in} + {tokens_out} as tokens",
+        f"coalesce({latency}.rank = {NUMBER} and {latency}.num >= {float(slow_ms)}D, false) as slow",
+    ).selectExpr(
+        "cast(count_if(loud) as double) as warn_error",
+        "coalesce(round(sum(cost), 6), 0D) as cost_usd",
+        "coalesce(sum(tokens), 0D) as tokens",
+        "cast(count_if(slow) as double) as slow_events",
     )
     # Job cards count what the jobs list shows, so its cut applies here too.
     health = (
         rows.filter(event_prefix(*prefixes))
+        .selectExpr("event", "received_at", "_id", f"{job_failed(rows)} as failed")
         .groupBy("event")
-        .agg(F.count("*").alias("runs"), F.max(F.struct("received_at", "_id", job_failed(rows).alias("failed"))).alias("last"))
+        .agg(F.count("*").alias("runs"), F.max(F.struct("received_at", "_id", "failed")).alias("last"))
         .orderBy(F.desc("runs"), "event")
         .limit(JOBS_MAX)
     )
-    jobs = health.agg(
-        F.count("*").cast("double").alias("jobs"), F.count_if(F.col("last.failed")).cast("double").alias("failing_jobs")
-    )
+    jobs = health.selectExpr("cast(count(*) as double) as jobs", "cast(count_if(last.failed) as double) as failing_jobs")
 
     def as_rows(df: DataFrame) -> DataFrame:
         return df.unpivot([], df.columns, "name", "value").select(F.lit("card").alias("section"), "name", "value")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from eventloom.functions import text as tx
 from eventloom.functions import values as vl
-from eventloom.functions.times import instant, iso, parse_instant, preset_window, resolve_window
+from eventloom.functions.times import bucket, instant, iso, parse_instant, preset_window, resolve_window
 from eventloom.operators import audit, documents, envelopes, pages, projects, rollups
 from eventloom.operators.filters import filter_events, in_window, scope_project
 from eventloom.plans import dashboards, lenses
@@ -42,7 +42,7 @@ EV = """with ev as (
          concat('event number ', cast(event_id as varchar(20))) as message,
          cast(user_id as varchar(20)) as user_id,
          ts as received_at,
-         strftime(ts, '%Y-%m-%dT%H:%M:%S.%g') || 'Z' as at,
+         strftime(ts, '%Y-%m-%dT%H:%M:%S.%g') || 'Z' as iso_at,
          case when event_type in ('view', 'purchase', 'error') then value end as latency_ms,
          case when event_type = 'signup' then value end as duration_ms,
          case when event_type = 'error' then 500 when event_type = 'purchase' then 200 end as status,
@@ -63,9 +63,9 @@ STATS_SQL = """select strftime(date_trunc('{unit}', received_at), '%Y-%m-%dT%H:%
 from ev where {where} group by 1"""
 
 JOBS_SQL = """, runs as (
-  select event as name, received_at, at, _id, (level = 'error') as failed, {latency} as latency
+  select event as name, received_at, iso_at, _id, (level = 'error') as failed, {latency} as latency
   from ev where {where})
-select name, max_by(at, (received_at, _id)) as last_run_at,
+select name, max_by(iso_at, (received_at, _id)) as last_run_at,
   case when max_by(failed, (received_at, _id)) then 'failed' else 'ok' end as last_status,
   count(*) as runs, count(*) filter (where failed) as failures,
   round(cast(count(*) filter (where not failed) as double) / count(*), 4) as success_rate,
@@ -78,7 +78,7 @@ select value, kind, count, (select cast(coalesce(sum(count), 0) as bigint) from
   (select cast(coalesce(sum(count), 0) as bigint) from g {like}) - (select cast(sum(count) as bigint) from top) as other_count
 from top"""
 
-ROW_SQL = "select _id, app, env, event, level, at as received_at, message, user_id, latency_ms from ev where {where}"
+ROW_SQL = "select _id, app, env, event, level, iso_at as received_at, message, user_id, latency_ms from ev where {where}"
 
 
 def register(name: str, sql: str | None = None, log: bool = True):
@@ -104,15 +104,15 @@ def add(name: str, sql: str | None, fn, log: bool = True) -> None:
 def rows(ev: DataFrame) -> DataFrame:
     """The compared columns of a set of events."""
     return ev.select(
-        "_id", "app", "env", "event", "level", iso(F.col("received_at")).alias("received_at"), "message",
-        F.col("ids")["userId"].alias("user_id"), vl.field(ev, "data.latencyMs")["num"].alias("latency_ms"),
+        "_id", "app", "env", "event", "level", F.expr(iso("received_at")).alias("received_at"), "message",
+        F.col("ids")["userId"].alias("user_id"), F.expr(vl.field(ev, "data.latencyMs") + ".num").alias("latency_ms"),
     )
 
 
 def out(df: DataFrame, *names: str) -> DataFrame:
     """Instants as ISO text, ratios rounded."""
     for n in names:
-        df = df.withColumn(n, iso(F.col(n)) if n in ("bucket", "last_run_at", "received_at", "expires_at") else F.round(n, 6))
+        df = df.withColumn(n, F.expr(iso(n)) if n in ("bucket", "last_run_at", "received_at", "expires_at") else F.round(n, 6))
     return df
 
 
@@ -191,10 +191,6 @@ _groups(
 _groups(
     "groupby_data_path", "data.k", "cast(k as varchar)", "'number'", "k", limit=100,
 )
-_groups(
-    "value_suggest", "ids.userId", "user_id", "'string'", "user_id", limit=8, like="12",
-)
-QUERIES.pop("value_suggest"), ORACLES.pop("value_suggest")
 add(
     "value_suggest",
     EV + "select user_id as value, count(*) as count from ev where contains(user_id, '12') group by 1 order by count desc, value limit 8",
@@ -335,8 +331,8 @@ PAGE_SQL = ROW_SQL.replace("latency_ms from", "latency_ms, count(*) over () > {l
 
 def _page(ev, **kw):
     page = pages.logs_page(ev, **kw)
-    return rows(page).withColumn("has_more", F.lit(True)) if False else page.select(
-        "_id", "app", "env", "event", "level", iso(F.col("received_at")).alias("received_at"), "message",
+    return page.select(
+        "_id", "app", "env", "event", "level", F.expr(iso("received_at")).alias("received_at"), "message",
         F.col("ids")["userId"].alias("user_id"), F.try_variant_get("data", "$.latencyMs", "double").alias("latency_ms"), "has_more",
     )
 
@@ -369,8 +365,8 @@ add(
     "merge_tail",
     EV + """, page as (select * from ev order by received_at desc, _id desc limit 100),
     tail as (select * from ev where level = 'error' and _id not in (select _id from page) order by received_at desc, _id desc limit 30)
-    select _id, app, event, level, at as received_at from page union all select _id, app, event, level, at from tail""",
-    lambda ev: pages.merge_tail(*_split(ev)).select("_id", "app", "event", "level", iso(F.col("received_at")).alias("received_at")),
+    select _id, app, event, level, iso_at as received_at from page union all select _id, app, event, level, iso_at from tail""",
+    lambda ev: pages.merge_tail(*_split(ev)).select("_id", "app", "event", "level", F.expr(iso("received_at")).alias("received_at")),
 )
 add(
     "exclude_page",
@@ -380,7 +376,7 @@ add(
 )
 add(
     "to_api_json",
-    EV + """select _id, at as "receivedAt", strftime(received_at + case level when 'debug' then interval 7 day when 'info' then interval 30 day
+    EV + """select _id, iso_at as "receivedAt", strftime(received_at + case level when 'debug' then interval 7 day when 'info' then interval 30 day
       else interval 90 day end, '%Y-%m-%dT%H:%M:%S.%g') || 'Z' as "expiresAt", user_id, k, cast(null as varchar) as ts from ev""",
     lambda ev: pages.to_api_json(ev).select(
         F.json_tuple("json", "_id", "receivedAt", "expiresAt", "ts").alias("_id", "receivedAt", "expiresAt", "ts"),
@@ -478,7 +474,7 @@ def _normalized(spark, sf_dir):
     return ev.select(
         "app", "env", "event", "level", "ts", "message", F.when(F.col("ids").isNotNull(), ids).alias("ids"),
         F.try_variant_get("data", "$.chars", "bigint").alias("chars"), F.try_variant_get("data", "$.who.role", "string").alias("role"),
-        iso(F.col("received_at")).alias("received_at"), iso(F.col("expires_at")).alias("expires_at"),
+        F.expr(iso("received_at")).alias("received_at"), F.expr(iso("expires_at")).alias("expires_at"),
     )
 
 
@@ -495,11 +491,12 @@ register(
 def _oversize(spark, sf_dir):
     """``documents`` as payloads, cut at 4 KB."""
     raw = F.to_json(F.struct("text", "lang"))
-    data = envelopes.truncate_data(F.parse_json("raw"), F.col("raw"), Limits(max_data_units=4096, head_chars=1000))
+    data = envelopes.truncate_data("data", "raw", Limits(max_data_units=4096, head_chars=1000))
     return (
         table(spark, sf_dir, "documents")
         .select("doc_id", raw.alias("raw"))
-        .select(F.col("doc_id").cast("string").alias("_id"), data.alias("data"))
+        .select("doc_id", "raw", F.parse_json("raw").alias("data"))
+        .selectExpr("cast(doc_id as string) as _id", f"{data} as data")
     )
 
 
@@ -531,10 +528,9 @@ register(
 
 add(
     "derive_id",
-    EV + """select _id, substring(sha256(app || chr(10) || at || chr(10) || event || '-0' || chr(10) || message), 1, 32) as derived from ev""",
-    lambda ev: ev.select(
-        "_id",
-        envelopes.derive_id(F.col("app"), F.col("received_at"), envelopes.batch_seq(F.col("event"), F.lit(0)), F.col("message")).alias("derived"),
+    EV + """select _id, substring(sha256(app || chr(10) || iso_at || chr(10) || event || '-0' || chr(10) || message), 1, 32) as derived from ev""",
+    lambda ev: ev.selectExpr(
+        "_id", f"{envelopes.derive_id('app', 'received_at', envelopes.batch_seq('event', '0'), 'message')} as derived"
     ),
 )
 add(
@@ -563,8 +559,8 @@ add(
 EXPIRES_SQL = """received_at + case level when 'debug' then interval 7 day when 'info' then interval 30 day else interval 90 day end"""
 add(
     "retention",
-    EV + f"select _id, level, at as received_at from ev where {EXPIRES_SQL} > timestamp '2024-02-12'",
-    lambda ev: store.apply_retention(ev, "2024-02-12T00:00:00Z").select("_id", "level", iso(F.col("received_at")).alias("received_at")),
+    EV + f"select _id, level, iso_at as received_at from ev where {EXPIRES_SQL} > timestamp '2024-02-12'",
+    lambda ev: store.apply_retention(ev, "2024-02-12T00:00:00Z").select("_id", "level", F.expr(iso("received_at")).alias("received_at")),
 )
 
 # --- store and streams: these write to the shared folder, then read back --------
@@ -688,7 +684,7 @@ def _dedup_stream(spark, sf_dir):
 
 @register(
     "stream_tail",
-    EV + "select _id, app, level, at as received_at from ev where level = 'error' order by ev.received_at desc, _id desc limit 30",
+    EV + "select _id, app, level, iso_at as received_at from ev where level = 'error' order by ev.received_at desc, _id desc limit 30",
     log=False,
 )
 def _stream_tail(spark, sf_dir):
@@ -705,7 +701,7 @@ def _stream_tail(spark, sf_dir):
     finally:
         query.stop()
     tail = pages.newest(spark.read.parquet(path).drop("batch"), 30)
-    return tail.select("_id", "app", "level", iso(F.col("received_at")).alias("received_at"))
+    return tail.select("_id", "app", "level", F.expr(iso("received_at")).alias("received_at"))
 
 
 # --- audits ------------------------------------------------------------------
@@ -815,22 +811,25 @@ add(
     "scalars",
     EV + """select _id, latency_ms as latency, coalesce(latency_ms, duration_ms) as first_latency, coalesce(cost_usd, 0) as cost,
       case when status is null then 'null' else 'number' end as status_kind, cast(status as varchar) as status_text,
-      strftime(date_trunc('day', received_at), '%Y-%m-%dT%H:%M:%S.%g') || 'Z' as day, at as parsed,
+      strftime(date_trunc('day', received_at), '%Y-%m-%dT%H:%M:%S.%g') || 'Z' as day, iso_at as parsed,
       'event-number-' || cast(cast(_id as bigint) as varchar) as slug, k as embedded, cast(length(message) as integer) as units,
       cast(1 as integer) as depth from ev""",
-    lambda ev: ev.select(
+    lambda ev: ev.selectExpr(
+        "_id", "received_at", "message", "data", f"{vl.field(ev, 'data.latencyMs')} as hot_latency",
+        *[f"{vl.typed(vl.path('data', k))} as {k}" for k in ("latencyMs", "durationMs", "costUsd", "status")],
+    ).selectExpr("*", f"{vl.first_present('latencyMs', 'durationMs')} as first").selectExpr(
         "_id",
-        vl.to_double(vl.field(ev, "data.latencyMs")).alias("latency"),
-        vl.to_double(vl.first_present(vl.typed(vl.path(F.col("data"), "latencyMs")), vl.typed(vl.path(F.col("data"), "durationMs")))).alias("first_latency"),
-        vl.to_double(vl.typed(vl.path(F.col("data"), "costUsd")), 0).alias("cost"),
-        F.coalesce(vl.json_kind(vl.path(F.col("data"), "status")), F.lit("null")).alias("status_kind"),
-        vl.value_text(vl.typed(vl.path(F.col("data"), "status"))).alias("status_text"),
-        iso(F.date_trunc("day", "received_at")).alias("day"),
-        iso(parse_instant(iso(F.col("received_at")))).alias("parsed"),
-        tx.slugify(F.col("message")).alias("slug"),
-        F.try_variant_get(vl.parse_embedded(F.to_json("data")), "$.k", "bigint").alias("embedded"),
-        tx.utf16_units(F.col("message")).alias("units"),
-        vl.json_depth(F.to_json("data")).alias("depth"),
+        f"{vl.to_double('hot_latency')} as latency",
+        f"{vl.to_double('first')} as first_latency",
+        f"{vl.to_double('costUsd', 0)} as cost",
+        f"{vl.value_kind('status')} as status_kind",
+        f"{vl.value_text('status')} as status_text",
+        f"{iso(bucket('received_at', 'day'))} as day",
+        f"{iso(parse_instant(iso('received_at')))} as parsed",
+        f"{tx.slugify('message')} as slug",
+        f"{vl.get(vl.parse_embedded('to_json(data)'), '$.k', 'bigint')} as embedded",
+        f"{tx.utf16_units('message')} as units",
+        f"{vl.json_depth('to_json(data)')} as depth",
     ),
 )
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventloom.functions.times import iso
+from eventloom.functions.values import get
+from eventloom.operators.pages import document_sql
 from eventloom.schema import EVENT_COLUMNS
 
 SEGMENT_GLOB = "seg-*.ndjson"
@@ -16,35 +17,26 @@ def _lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.options(**READER).text(path)
 
 
-def parse_events(doc: Column) -> list[Column]:
-    """Event columns of a stored JSON document; ISO text becomes instants."""
-
-    def get(key: str, kind: str) -> Column:
-        return F.try_variant_get(doc, f"$.{key}", kind)
-
-    def revived(key: str) -> Column:
-        return F.try_to_timestamp(get(key, "string"))
-
+def parse_events(doc: str = "_doc") -> list[str]:
+    """SQL for the event columns of a stored JSON document; ISO text becomes instants."""
+    texts = ("_id", "app", "env", "event", "level", "ts", "message")
     return [
-        *[get(c, "string").alias(c) for c in ("_id", "app", "env", "event", "level", "ts", "message")],
-        get("ids", "map<string,string>").alias("ids"),
-        get("data", "variant").alias("data"),
-        revived("receivedAt").alias("received_at"),
-        revived("expiresAt").alias("expires_at"),
+        *[f"{get(doc, '$.' + c, 'string')} as {c}" for c in texts],
+        f"{get(doc, '$.ids', 'map<string,string>')} as ids",
+        f"{get(doc, '$.data', 'variant')} as data",
+        f"try_to_timestamp({get(doc, '$.receivedAt', 'string')}) as received_at",
+        f"try_to_timestamp({get(doc, '$.expiresAt', 'string')}) as expires_at",
     ]
 
 
 def split_bad_lines(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Lines ``value STRING`` to (events, bad lines).  Works on batches and streams.
 
-    A line that is not a JSON document with an id never stops the reader.
+    A line that is not a JSON document with an id and an instant never stops the reader.
     """
-    parsed = lines.filter(F.trim("value") != "").select("value", F.try_parse_json("value").alias("_doc"))
-    good = F.try_variant_get("_doc", "$._id", "string").isNotNull() & F.try_variant_get(
-        "_doc", "$.receivedAt", "string"
-    ).isNotNull()
-    good = F.coalesce(good, F.lit(False))
-    return parsed.filter(good).select(*parse_events(F.col("_doc"))), parsed.filter(~good).select("value")
+    parsed = lines.filter("trim(value) <> ''").selectExpr("value", "try_parse_json(value) as _doc")
+    good = f"{get('_doc', '$._id', 'string')} is not null and {get('_doc', '$.receivedAt', 'string')} is not null"
+    return parsed.filter(good).selectExpr(*parse_events()), parsed.filter(f"not ({good})").select("value")
 
 
 def read_segments(spark: SparkSession, path: str) -> DataFrame:
@@ -94,6 +86,4 @@ def segment_report(spark: SparkSession, path: str) -> DataFrame:
 
 def to_lines(ev: DataFrame) -> DataFrame:
     """Events as segment lines ``value STRING``, in stored field order."""
-    names = {"received_at": "receivedAt", "expires_at": "expiresAt"}
-    doc = F.struct(*[(iso(F.col(c)) if c in names else F.col(c)).alias(names.get(c, c)) for c in EVENT_COLUMNS])
-    return ev.select(F.to_json(doc).alias("value"))
+    return ev.selectExpr(f"{document_sql(EVENT_COLUMNS)} as value")

@@ -27,7 +27,7 @@ STORE_SCHEMA = T.StructType(
 def to_store(ev: DataFrame) -> DataFrame:
     """Events with the typed side columns and the partition column."""
     if "hot" not in ev.columns:
-        ev = ev.withColumn("hot", hot_columns(F.col("data")))
+        ev = ev.selectExpr("*", f"{hot_columns()} as hot")
     return ev.withColumn("event_date", F.to_date("received_at")).select(*STORE_COLUMNS)
 
 

@@ -8,7 +8,6 @@ query that stays on the side columns never builds it.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from eventloom.functions.times import expires_at
 from eventloom.functions.values import typed_number, typed_text
@@ -43,46 +42,30 @@ def stream_event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def as_event_log(events: DataFrame) -> DataFrame:
     """Rows of ``events`` in event-log form."""
-    kind, value = F.col("event_type"), F.col("value")
-    text = lambda c: F.col(c).cast("string")
-    level = (
-        F.when(kind == "error", "error").when(value >= 100, "warn").when(value < 5, "debug").otherwise("info")
-    )
-    event = (
-        F.when(kind == "purchase", "ai.request")
-        .when(kind == "signup", "cron.signup")
-        .when(kind == "error", "cron.sync")
-        .when(kind == "view", "db.query")
-        .otherwise("http.click")
-    )
     numbers = {
-        "latencyMs": F.when(kind.isin("view", "purchase", "error"), value),
-        "durationMs": F.when(kind == "signup", value),
-        "status": F.when(kind == "error", 500).when(kind == "purchase", 200),
-        "costUsd": F.when(kind == "purchase", F.round(value / 1000, 6)),
-        "inputTokens": F.when(kind == "purchase", F.col("event_id") % 1000),
+        "latencyMs": "case when event_type in ('view', 'purchase', 'error') then value end",
+        "durationMs": "case when event_type = 'signup' then value end",
+        "status": "case event_type when 'error' then 500 when 'purchase' then 200 end",
+        "costUsd": "case when event_type = 'purchase' then round(value / 1000, 6) end",
+        "inputTokens": "case when event_type = 'purchase' then event_id % 1000 end",
     }
-    hot = [
-        (typed_number(numbers[k]) if k in numbers else typed_text(F.lit(None).cast("string"))).alias(k)
-        for k in HOT_KEYS
-    ]
-    data = F.struct(
-        *[c.alias(k) for k, c in numbers.items()], F.get_json_object("props", "$.k").cast("bigint").alias("k")
-    )
-    ev = events.select(
-        F.lpad(text("event_id"), 12, "0").alias("_id"),
-        F.concat(F.lit("svc"), (F.col("user_id") % 5).cast("string")).alias("app"),
-        F.when(F.col("user_id") % 2 == 0, "prod").otherwise("stg").alias("env"),
-        event.alias("event"),
-        level.alias("level"),
-        F.lit(None).cast("string").alias("ts"),
-        F.concat(F.lit("event number "), text("event_id")).alias("message"),
-        F.create_map(F.lit("userId"), text("user_id")).alias("ids"),
-        F.parse_json(F.to_json(data)).alias("data"),
-        F.col("ts").alias("received_at"),
-        F.struct(*hot).alias("hot"),
-    )
-    return ev.withColumn("expires_at", expires_at(F.col("received_at"), F.col("level"), Limits().ttl_days))
+    hot = ", ".join(f"'{k}', {typed_number(numbers[k]) if k in numbers else typed_text('null')}" for k in HOT_KEYS)
+    data = ", ".join(f"'{k}', {e}" for k, e in numbers.items()) + ", 'k', cast(get_json_object(props, '$.k') as bigint)"
+    return events.selectExpr(
+        "lpad(cast(event_id as string), 12, '0') as _id",
+        "concat('svc', user_id % 5) as app",
+        "if(user_id % 2 = 0, 'prod', 'stg') as env",
+        """case event_type when 'purchase' then 'ai.request' when 'signup' then 'cron.signup'
+                           when 'error' then 'cron.sync' when 'view' then 'db.query' else 'http.click' end as event""",
+        """case when event_type = 'error' then 'error' when value >= 100 then 'warn'
+                when value < 5 then 'debug' else 'info' end as level""",
+        "cast(null as string) as ts",
+        "concat('event number ', event_id) as message",
+        "map('userId', cast(user_id as string)) as ids",
+        f"parse_json(to_json(named_struct({data}))) as data",
+        "ts as received_at",
+        f"named_struct({hot}) as hot",
+    ).selectExpr("*", f"{expires_at('received_at', 'level', Limits().ttl_days)} as expires_at")
 
 
 def project_table(spark: SparkSession) -> DataFrame:

@@ -25,7 +25,7 @@ def stream_stats(ev: DataFrame, group: str = "hour", delay: str = "10 minutes")
         raise ValueError(f"group must be one of: {', '.join(GROUPS)}")
     rows = measures(ev.withWatermark("received_at", delay))
     buckets = rows.groupBy(F.window("received_at", f"1 {group}")).agg(*bucket_aggregates())
-    return bucket_columns(buckets, F.col("window.start").alias("bucket"))
+    return bucket_columns(buckets, "window.start")
 
 
 def stream_tail(
