@@ -99,9 +99,13 @@ def object_keys(v: str) -> str:
     return f"map_keys({as_object(v)})"
 
 
+def _rank(v: str) -> str:
+    return _by_shape(v, {kind: r for kind, r in KIND_RANK.items() if kind != "null"})
+
+
 def typed(v: str) -> str:
     """The typed value of a variant."""
-    rank = _by_shape(v, {kind: r for kind, r in KIND_RANK.items() if kind != "null"})
+    rank = _rank(v)
     num = f"case {rank} when {NUMBER} then {get(v, '$', 'double')} when {BOOLEAN} then cast({get(v, '$', 'boolean')} as double) end"
     text = f"case {rank} when {STRING} then {as_text(v)} when {OBJECT} then to_json({v}) when {ARRAY} then to_json({v}) end"
     return f"named_struct('rank', {rank}, 'num', {num}, 'str', {text})"
@@ -138,6 +142,19 @@ def field(ev: DataFrame, name: str) -> str:
     return typed_text(name)
 
 
+def parts(ev: DataFrame, name: str) -> tuple[str, str, str]:
+    """``rank, num, str`` of a field for predicates that test the rank before the value.
+
+    Cheaper than :func:`field` on a variant path: values are read without
+    checking their kind again, so they mean nothing when the rank differs.
+    """
+    t = field(ev, name)
+    if t.startswith("hot.") or not name.startswith("data."):
+        return f"{t}.rank", f"{t}.num", f"{t}.str"
+    v = path("data", name[len("data.") :])
+    return _rank(v), get(v, "$", "double"), as_text(v)
+
+
 def to_double(t: str, default: float | None = None) -> str:
     """Number of a typed value: numbers, booleans as 1/0, numeric text; else `default`."""
     out = (
@@ -165,8 +182,8 @@ def number_text(num: str) -> str:
     return f"""case
         when {size} < 1e15 and {whole} then cast(cast({num} as bigint) as string)
         when {size} >= 1e-3 and {size} < 1e7 then {text}
-        when {size} < 1e21 and {whole} then cast(try_cast({num} as decimal(38,0)) as string)
-        when {size} >= 1e-6 and {size} < 1e20 then regexp_replace(cast(try_cast({num} as decimal(38,18)) as string), '0+$', '')
+        when {size} >= 1e15 and {size} < 1e21 then cast(try_cast({num} as decimal(38,0)) as string)
+        when {size} >= 1e-6 and {size} < 1e15 then regexp_replace(cast(try_cast({num} as decimal(38,18)) as string), '0+$', '')
         else regexp_replace(regexp_replace({text}, '(\\\\.0)?E(?=[0-9])', 'e+'), '(\\\\.0)?E-', 'e-') end"""
 
 

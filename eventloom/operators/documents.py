@@ -22,7 +22,7 @@ from eventloom.functions.values import (
     value_kind,
     value_text,
 )
-from eventloom.schema import PAYLOAD_PAIRS, SENSITIVE_KEYS
+from eventloom.schema import PAYLOAD_PAIRS, SENSITIVE_KEYS, Limits
 
 MAX_DEPTH = 8
 
@@ -65,11 +65,12 @@ def _in_text(json_text: str, needle: str) -> str:
     return f"coalesce(contains(lower({json_text}), {quote(needle)}), false)"
 
 
-def search_docs(ev: DataFrame, text: str, max_depth: int = MAX_DEPTH) -> DataFrame:
+def search_docs(ev: DataFrame, text: str, max_depth: int = Limits.max_depth) -> DataFrame:
     """Events with the text, ignoring case, in any key or scalar value of `ids` or `data`.
 
     Documents are first sifted by their JSON text; only candidates are taken
-    apart, and only their ids meet the events again.
+    apart, down to the depth ingest admits, and only their ids meet the events
+    again.
     """
     needle = text.lower()
     candidates = ev.filter(f"{_in_text('to_json(ids)', needle)} or {_in_text('to_json(data)', needle)}")

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eventloom.functions.times import check_window, instant, lit_instant
-from eventloom.functions.values import BOOLEAN, NUMBER, STRING, field, quote
+from eventloom.functions.values import BOOLEAN, NUMBER, STRING, parts, quote
 from eventloom.schema import LEVELS, QUERY_TEXT_MAX
 
 NUMERIC_PARAM = re.compile(r"^-?\d+(\.\d+)?$", re.ASCII)
@@ -55,22 +55,22 @@ class DataTerm:
             self.accepted = None
         self.bounds[side] = value
 
-    def predicate(self, t: str) -> str:
-        """SQL over the path's typed value."""
+    def predicate(self, rank: str, num: str, text: str) -> str:
+        """SQL over the parts of the path's typed value."""
         tests = []
         if self.accepted is not None:
             options = []
             for v in self.accepted:
                 if isinstance(v, bool):
-                    options.append(f"({t}.rank = {BOOLEAN} and {t}.num = {int(v)})")
+                    options.append(f"({rank} = {BOOLEAN} and {num} = {int(v)})")
                 elif isinstance(v, float):
-                    options.append(f"({t}.rank = {NUMBER} and {t}.num = {v!r}D)")
+                    options.append(f"({rank} = {NUMBER} and {num} = {v!r}D)")
                 else:
-                    options.append(f"({t}.rank = {STRING} and {t}.str = {quote(v)})")
+                    options.append(f"({rank} = {STRING} and {text} = {quote(v)})")
             tests.append("(" + " or ".join(options) + ")")
         if self.bounds:
-            tests.append(f"{t}.rank = {NUMBER}")
-            tests += [f"{t}.num {'>=' if side == 'gte' else '<='} {v!r}D" for side, v in self.bounds.items()]
+            tests.append(f"{rank} = {NUMBER}")
+            tests += [f"{num} {'>=' if side == 'gte' else '<='} {v!r}D" for side, v in self.bounds.items()]
         return " and ".join(tests)
 
 
@@ -176,7 +176,7 @@ def predicate(ev: DataFrame, params: Params | None = None) -> Column:
     if "from" in bounds and "to" in bounds:
         check_window(bounds["from"], bounds["to"])
     tests = [window_predicate(ev, bounds.get("from"), bounds.get("to")), *simple.values()]
-    tests += [F.expr(term.predicate(field(ev, key))) for key, term in data.items()]
+    tests += [F.expr(term.predicate(*parts(ev, key))) for key, term in data.items()]
     return reduce(lambda a, b: a & b, tests)
 
 
@@ -187,7 +187,7 @@ def filter_events(ev: DataFrame, params: Params | None = None) -> DataFrame:
 
 def is_null(ev: DataFrame, by: str) -> Column:
     """Events in the null group of a field: the value is missing or null."""
-    return F.expr(f"{field(ev, by)}.rank is null")
+    return F.expr(f"{parts(ev, by)[0]} is null")
 
 
 def project_apps(projects: DataFrame, slug: str) -> list[str]:
