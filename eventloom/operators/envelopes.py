@@ -235,16 +235,22 @@ def check_batches(df: DataFrame, sources: DataFrame, limits: Limits = LIMITS) ->
     )
 
 
+# Both sides pick their batches inside an explode rather than by a filter: a
+# filter on `reason` would be pushed below the checks and evaluate them again.
+
+
 def rejected(checked: DataFrame) -> DataFrame:
     """``batch_id, index, error`` of the batches that were not admitted."""
-    return checked.filter("reason is not null").selectExpr("batch_id", "index", "reason as error")
+    verdict = "named_struct('batch_id', batch_id, 'index', index, 'error', reason)"
+    return checked.selectExpr(f"inline(if(reason is null, null, array({verdict})))")
 
 
 def accepted(checked: DataFrame, limits: Limits = LIMITS) -> DataFrame:
     """Events of the admitted batches, in stored form."""
     stamped = ["batch_id", "pos", "received_at", "app", "env"]
-    rows = checked.filter("reason is null").selectExpr(
-        "batch_id", "received_at", "body", "app", "env", "posexplode(_envs) as (pos, _env)"
+    rows = checked.selectExpr(
+        "batch_id", "received_at", "body", "app", "env",
+        "posexplode(if(reason is null, _envs, null)) as (pos, _env)",
     )
     rows = rows.selectExpr(*stamped, "body", *[f"_env[{quote(k)}] as _{k}" for k in ENVELOPE_KEYS])
     # An array's items are addressed by position; only oversize data is ever read this way.

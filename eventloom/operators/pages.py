@@ -40,6 +40,8 @@ def logs_page(
     rows = filter_events(ev, given)
     if project is not None:
         rows = scope(rows, dict(pairs(params)).get("app"), projects, project)
+    if "event_date" in ev.columns:
+        rows = _around_newest(rows, limit + 1)
     columns = [c for c in EVENT_COLUMNS if c in ev.columns]
     top = newest(rows.select(*columns), limit + 1)
     everything = Window.orderBy(F.desc("received_at"), F.desc("_id"))  # at most 501 rows here
@@ -52,6 +54,23 @@ def logs_page(
     )
 
 
+def _around_newest(rows: DataFrame, n: int) -> DataFrame:
+    """Rows of a stored log cut to the instants of the `n` newest.
+
+    The first pass reads keys and filter columns only; payloads are then read
+    from the few days and row groups that hold the page.
+    """
+    span = newest(rows.select("received_at", "_id"), n).agg(
+        F.unix_micros(F.min("received_at")).alias("lo"), F.unix_micros(F.max("received_at")).alias("hi")
+    ).head()
+    if span["lo"] is None:
+        return rows.limit(0)
+    lo, hi = (F.timestamp_micros(F.lit(span[k])) for k in ("lo", "hi"))
+    return rows.filter(
+        F.col("received_at").between(lo, hi) & F.col("event_date").between(F.to_date(lo), F.to_date(hi))
+    )
+
+
 def next_key(page: DataFrame) -> tuple | None:
     """Where the page after this one starts, or None at the end."""
     key = F.min(F.struct(F.unix_micros("received_at").alias("micros"), "_id"))

@@ -36,7 +36,9 @@ def split_bad_lines(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     parsed = lines.filter("trim(value) <> ''").selectExpr("value", "try_parse_json(value) as _doc")
     good = f"{get('_doc', '$._id', 'string')} is not null and {get('_doc', '$.receivedAt', 'string')} is not null"
-    return parsed.filter(good).selectExpr(*parse_events()), parsed.filter(f"not ({good})").select("value")
+    # Rows are picked by explode: a filter would be pushed below the parse and run it twice.
+    events = parsed.selectExpr(f"explode(if({good}, array(_doc), null)) as _doc").selectExpr(*parse_events())
+    return events, parsed.selectExpr(f"explode(if({good}, null, array(value))) as value")
 
 
 def read_segments(spark: SparkSession, path: str) -> DataFrame:
@@ -44,12 +46,16 @@ def read_segments(spark: SparkSession, path: str) -> DataFrame:
     return split_bad_lines(_lines(spark, path))[0]
 
 
-def stream_segments(spark: SparkSession, path: str, max_files: int = 1000) -> DataFrame:
+def stream_segments(spark: SparkSession, path: str, max_files: int = 1000, archive: str | None = None) -> DataFrame:
     """The lines of segments as they land, oldest file first, from the stream's last position.
 
-    Land sealed segments by an atomic move: a file is read once.
+    Land sealed segments by an atomic move: a file is read once.  With `archive`
+    finished segments move there, so listing the source stays cheap.
     """
-    return spark.readStream.options(**READER).option("maxFilesPerTrigger", max_files).text(path)
+    reader = spark.readStream.options(**READER).option("maxFilesPerTrigger", max_files)
+    if archive is not None:
+        reader = reader.option("cleanSource", "archive").option("sourceArchiveDir", archive)
+    return reader.text(path)
 
 
 def segment_report(spark: SparkSession, path: str) -> DataFrame:

@@ -7,6 +7,7 @@ split over many tasks and files while small days share one, and sort files by
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -69,7 +70,7 @@ def _delete(spark: SparkSession, path: str) -> None:
 
 
 def new_rows(store: DataFrame, batch: DataFrame) -> DataFrame:
-    """Rows of a batch whose `_id` is not in the store, each id once.
+    """Rows of a batch, one per id, whose `_id` is not in the store.
 
     The store is never shuffled while the batch is small: ids of the batch are
     broadcast to a scan of two columns, cut to the batch's days and instants
@@ -77,7 +78,6 @@ def new_rows(store: DataFrame, batch: DataFrame) -> DataFrame:
     duplicates found there are joined back.  A batch above ``BROADCAST_IDS``
     rows takes the same joins without the hint.
     """
-    batch = batch.dropDuplicates(["_id"])
     seen = batch.agg(
         F.count("*").alias("n"),
         F.unix_micros(F.min("received_at")).alias("lo"),
@@ -102,11 +102,14 @@ def append_new(spark: SparkSession, path: str, batch: DataFrame) -> None:
     Running it again with the same batch, or after a failed attempt, adds
     nothing twice.
     """
-    if _exists(spark, path):
-        batch = new_rows(read_events(spark, path), batch)
-    else:
-        batch = batch.dropDuplicates(["_id"])
-    write_events(batch, path)
+    # The batch is read for its span, its ids and its rows; kept in memory or on
+    # disk meanwhile, and recomputed where an executor is lost.
+    batch = batch.dropDuplicates(["_id"]).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        fresh = new_rows(read_events(spark, path), batch) if _exists(spark, path) else batch
+        write_events(fresh, path)
+    finally:
+        batch.unpersist()
 
 
 def apply_retention(ev: DataFrame, now) -> DataFrame:

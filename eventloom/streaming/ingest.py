@@ -6,7 +6,6 @@ append skips ids the table already has, so a replay of any length adds nothing.
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
@@ -18,30 +17,26 @@ from eventloom.sources.store import append_new
 def run_ingest(
     spark: SparkSession, source: str, store: str, checkpoint: str, rejects: str | None = None,
     max_files: int = 1000, interval: str | None = "200 milliseconds", available_now: bool = False,
+    archive: str | None = None,
 ) -> StreamingQuery:
     """Start copying segments below `source` into the table at `store`.
 
     Lines that are not events go to `rejects` as text, when given, and never
-    stop the stream.  `available_now` drains what has landed and ends.
+    stop the stream.  `available_now` drains what has landed and ends.  Segments
+    move to `archive`, when given, once they are in the table.
     """
     configure(spark)
 
     def write(lines: DataFrame, epoch: int) -> None:
         session = configure(lines.sparkSession)
-        # Read once for the id check, the append and the rejects; spills to disk,
-        # and is recomputed from the segments if an executor is lost.
-        lines = lines.persist(StorageLevel.MEMORY_AND_DISK)
-        try:
-            events, bad = split_bad_lines(lines)
-            append_new(session, store, events)
-            if rejects is not None:
-                # Overwriting one folder per micro-batch keeps retries from repeating lines.
-                bad.write.mode("overwrite").text(f"{rejects.rstrip('/')}/batch={epoch}")
-        finally:
-            lines.unpersist()
+        events, bad = split_bad_lines(lines)
+        append_new(session, store, events)
+        if rejects is not None:
+            # Overwriting one folder per micro-batch keeps retries from repeating lines.
+            bad.write.mode("overwrite").text(f"{rejects.rstrip('/')}/batch={epoch}")
 
     writer = (
-        stream_segments(spark, source, max_files)
+        stream_segments(spark, source, max_files, archive)
         .writeStream.foreachBatch(write)
         .option("checkpointLocation", checkpoint)
     )
