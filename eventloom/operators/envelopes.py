@@ -101,7 +101,9 @@ def norm_level(v: str) -> str:
 
 def check_ts(v: str) -> str:
     """Reason when `ts` is present but not an ISO-8601 date in text."""
-    good = f"{json_kind(v)} = 'string' and try_to_timestamp({as_text(v)}) is not null"
+    # Spark alone would also take a bare time of day.
+    dated = f"{as_text(v)} rlike '^[-+]?[0-9]{{4,6}}($|-)' and try_to_timestamp({as_text(v)}) is not null"
+    good = f"{json_kind(v)} = 'string' and {dated}"
     return _first((f"{v} is not null and not ({good})", _reason("ts")))
 
 

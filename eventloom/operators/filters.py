@@ -137,7 +137,7 @@ def predicate(ev: DataFrame, params: Params | None = None) -> Column:
     bounds: dict[str, object] = {}
 
     for name, raw in pairs(params):
-        if raw is None:
+        if raw is None or name == "limit":  # a page size is not a filter
             continue
         if name in ("app", "env"):
             if raw == "":
@@ -218,10 +218,3 @@ def scope(ev: DataFrame, app: str | None = None, projects: DataFrame | None = No
             raise ValueError("project scope needs the projects table")
         return scope_project(ev, projects, project, app)
     return ev.filter(F.col("app") == app) if app else ev
-
-
-def only(known: Iterable[str], given: Mapping) -> None:
-    """Reject parameters outside `known`."""
-    for name in given:
-        if name not in known:
-            raise ValueError(f"unknown parameter: {name}")

@@ -35,7 +35,7 @@ def logs_page(
     `after` is the ``(received_at, _id)`` of the last row of the page before.
     One row beyond the page is fetched to know whether another page follows.
     """
-    limit = page_limit(limit)
+    limit = page_limit(dict(pairs(params)).get("limit", limit))
     given = pairs(params) + ([("after", after)] if after is not None else [])
     rows = filter_events(ev, given)
     if project is not None:
@@ -55,20 +55,17 @@ def logs_page(
 
 
 def _around_newest(rows: DataFrame, n: int) -> DataFrame:
-    """Rows of a stored log cut to the instants of the `n` newest.
+    """Rows of a stored log from the instant of the n-th newest on.
 
-    The first pass reads keys and filter columns only; payloads are then read
-    from the few days and row groups that hold the page.
+    The first pass reads instants and filter columns only; payloads are then
+    read from the few days and row groups that hold the page.
     """
-    span = newest(rows.select("received_at", "_id"), n).agg(
-        F.unix_micros(F.min("received_at")).alias("lo"), F.unix_micros(F.max("received_at")).alias("hi")
-    ).head()
-    if span["lo"] is None:
+    instants = rows.select("received_at").orderBy(F.desc("received_at")).limit(n)
+    oldest = instants.select(F.unix_micros(F.min("received_at")).alias("at")).head()["at"]
+    if oldest is None:
         return rows.limit(0)
-    lo, hi = (F.timestamp_micros(F.lit(span[k])) for k in ("lo", "hi"))
-    return rows.filter(
-        F.col("received_at").between(lo, hi) & F.col("event_date").between(F.to_date(lo), F.to_date(hi))
-    )
+    at = F.timestamp_micros(F.lit(oldest))
+    return rows.filter((F.col("received_at") >= at) & (F.col("event_date") >= F.to_date(at)))
 
 
 def next_key(page: DataFrame) -> tuple | None:

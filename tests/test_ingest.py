@@ -59,6 +59,7 @@ REJECTED = [
     ({"event": "x", "level": None}, 0, "level must be one of debug|info|warn|error"),
     ({"event": "x", "ts": "nope"}, 0, "ts must be a Date.parse-able string"),
     ({"event": "x", "ts": 1749600000000}, 0, "ts must be a Date.parse-able string"),
+    ({"event": "x", "ts": "10:30"}, 0, "ts must be a Date.parse-able string"),
     ({"event": "x", "ts": None}, 0, "ts must be a Date.parse-able string"),
     ({"event": "x", "message": 42}, 0, "message must be a string"),
     ({"event": "x", "ids": []}, 0, "ids must be a plain object"),
@@ -96,7 +97,7 @@ def test_accepted_values(spark, sources):
         {"event": "ai.request", "level": "warn", "ts": "2026-06-11T09:00:00Z", "message": "m" * 600,
          "ids": {"taskId": "abc", "attempt": 3, "cached": False, "half": 0.5, "big": 1e3, "tiny": 0.000001, "huge": 1e21},
          "data": {"model": "m", "latencyMs": 41200}},
-        [{"event": "e" * 200}, X, X],
+        [{"event": "e" * 200, "ts": "2026-06-11"}, {"event": "x", "ts": "2026-06-11T09:00:00.123+02:00"}, X],
         {"event": "x", "data": big},
         {"event": "x", "data": {"a": deep(31)}},
         {"event": "a b", "message": "😀" * 300},

@@ -92,7 +92,7 @@ def test_pages_split_ties(ties, stored):
     ({"from": "2026-06-11T10:01:00Z", "to": "2026-06-11T10:02:00Z"}, [4, 5, 6, 7]),
     ({"event": "db.", "data.latencyMs__lte": "30"}, [1, 3]),
     ({"data.missing": "x"}, []),
-    ({"app": ""}, list(range(25))),
+    ({"app": "", "limit": "5"}, list(range(25))),
 ])
 @pytest.mark.parametrize("stored", [False, True])
 def test_filters(ties, params, want, stored):
