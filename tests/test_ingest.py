@@ -240,3 +240,26 @@ def test_side_columns_equal_the_variant(spark):
     both = ev.select("_id", "hot").join(store.to_store(ev.drop("hot")).selectExpr("_id", "hot as derived"), "_id")
     same = " and ".join(f"hot.{k} <=> derived.{k}" for k in ev.schema["hot"].dataType.fieldNames())
     assert both.filter(f"not ({same})").count() == 0
+
+
+def test_expire_picks_up_an_interrupted_run(spark, tmp_path):
+    path = str(tmp_path / "events")
+    rows = [dict(_id=i, expires_at=e) for i, e in (("a", "2026-06-12T00:00:00Z"), ("b", "2026-07-01T00:00:00Z"))]
+    store.write_events(log(spark, rows), path)
+    survivors = store.read_events(spark, path).filter("_id = 'b'")
+    store._write_laid_out(survivors, f"{path}__retained", "overwrite")  # died before putting it in place
+    assert store.expire_events(spark, path, "2026-06-13T00:00:00Z") == []
+    assert [r._id for r in store.read_events(spark, path).collect()] == ["b"]
+    assert not store._exists(spark, f"{path}__retained")
+
+
+def test_archive_of_finished_segments(spark, landed, tmp_path):
+    import shutil
+
+    source, archive = tmp_path / "in", tmp_path / "done"
+    shutil.copytree(landed, source)
+    for _ in range(2):
+        run_ingest(
+            spark, str(source), str(tmp_path / "events"), str(tmp_path / "cp"), max_files=1, available_now=True, archive=str(archive)
+        ).awaitTermination()
+    assert store.read_events(spark, str(tmp_path / "events")).count() == 250
