@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventloom.llm import exact_dedup, sharding
+from eventloom.llm import exact_dedup, packing, sharding
 from eventloom.llm.common import table
 from eventloom.session import configure
 
@@ -48,3 +48,8 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shuffle_shards(records, "doc_id", "size", SHARDS).select(
         "doc_id", "size", F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"), F.lit("key").alias("law"), "shard", "slot", "grown_shard"
     )
+
+
+@register("op9_best_fit_packing")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
