@@ -7,8 +7,11 @@ those bytes inside a longer character, so byte runs and character runs agree.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -53,6 +56,16 @@ def span_hash(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarra
     return mix((total[end] - total[begin]) * back[begin])
 
 
+def small_batches(batches: Iterator[pa.RecordBatch], column: int = 1, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Slices of about `limit` bytes of text, so that working arrays stay small; one long text is one slice."""
+    for batch in batches:
+        size = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), dtype=np.int64))
+        cuts = np.unique(np.searchsorted(size, np.arange(limit, (size[-1] if len(size) else 0) + limit, limit)) + 1)
+        for a, b in zip([0, *cuts[:-1]], cuts, strict=True):
+            if a < batch.num_rows:
+                yield batch.slice(a, min(b, batch.num_rows) - a)
+
+
 def split_words(column: pa.Array | pa.ChunkedArray, keep: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(hash of each word, text number of each word, begin, end): begin and end in the joined bytes.
 
