@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventloom.llm import exact_dedup, near_dedup, packing, sharding
+from eventloom.llm import decontaminate, exact_dedup, near_dedup, packing, sharding
 from eventloom.llm.common import table
 from eventloom.session import configure
 
@@ -58,3 +58,8 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op3_minhash_near_dedup")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_groups(table(spark, sf_dir, "documents"), k=2, threshold=80)
+
+
+@register("op1_benchmark_decontamination")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
