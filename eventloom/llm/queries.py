@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventloom.llm import decontaminate, exact_dedup, near_dedup, packing, sharding
+from eventloom.llm import decontaminate, exact_dedup, near_dedup, packing, sharding, toxicity
 from eventloom.llm.common import table
 from eventloom.session import configure
 
@@ -63,3 +63,8 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op1_benchmark_decontamination")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@register("op4_toxicity")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

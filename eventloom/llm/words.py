@@ -43,17 +43,28 @@ def text_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarr
     return np.frombuffer(data, dtype=np.uint8)[starts[0] : starts[-1]], starts - starts[0]
 
 
-def span_hash(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A hash of data[begin:end] for each pair: a polynomial from running sums, then mixed."""
-    power = np.full(len(data) + 1, BASE, dtype=np.uint64)
-    power[0] = 1
-    np.multiply.accumulate(power, out=power)
+_powers = [np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64)]
+
+
+def _power(n: int, inverse: bool) -> np.ndarray:
+    """The first n powers of the base or its inverse, kept for the next batch."""
+    if len(_powers[inverse]) < n:
+        full = np.full(n + n // 4, _INVERSE if inverse else BASE, dtype=np.uint64)
+        full[0] = 1
+        _powers[inverse] = np.multiply.accumulate(full)
+    return _powers[inverse][:n]
+
+
+def span_sums(data: np.ndarray) -> np.ndarray:
+    """Running polynomial sums of bytes, for :func:`span_hash`."""
     total = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[:-1], out=total[1:])
-    back = np.full(len(data) + 1, _INVERSE, dtype=np.uint64)
-    back[0] = 1
-    np.multiply.accumulate(back, out=back)
-    return mix((total[end] - total[begin]) * back[begin])
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _power(len(data), False), out=total[1:])
+    return total
+
+
+def span_hash(sums: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A hash of the bytes begin:end for each pair: a polynomial from running sums, then mixed."""
+    return mix((sums[end] - sums[begin]) * _power(len(sums), True)[begin])
 
 
 def small_batches(batches: Iterator[pa.RecordBatch], column: int = 1, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
@@ -84,7 +95,7 @@ def split_words(column: pa.Array | pa.ChunkedArray, keep: np.ndarray | None = No
     last[inner - 1] = word[inner - 1]
     begin, end = np.flatnonzero(first), np.flatnonzero(last) + 1
     owner = np.searchsorted(starts, begin, side="right") - 1
-    return span_hash(data, begin, end), owner, begin, end
+    return span_hash(span_sums(data), begin, end), owner, begin, end
 
 
 def shingles(hashes: np.ndarray, owner: np.ndarray, k: int, short: bool = True) -> tuple[np.ndarray, np.ndarray]:
