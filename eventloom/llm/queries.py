@@ -71,8 +71,8 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
-SPANS_SQL = """list_transform(range(1, len({m}) + 1), i -> struct_pack(start := list_sum(list_transform({s}[1:i], x -> len(x))) +
-  coalesce(list_sum(list_transform({m}[1:i - 1], x -> len(x))), 0), place := {place}, size := len({m}[i]), part := len({v}[i])))"""
+SPANS_SQL = """list_transform(range(1, len({m}) + 1), lambda i: struct_pack(start := list_sum(list_transform({s}[1:i], lambda x: len(x))) +
+  coalesce(list_sum(list_transform({m}[1:i - 1], lambda x: len(x))), 0), place := {place}, size := len({m}[i]), part := len({v}[i])))"""
 
 
 @register(
@@ -81,11 +81,11 @@ SPANS_SQL = """list_transform(range(1, len({m}) + 1), i -> struct_pack(start :=
     p as (select doc_id, regexp_extract_all(t, '{ASSIGN}', 0) as am, regexp_extract_all(t, '{ASSIGN}', 2) as av, string_split_regex(t, '{ASSIGN}') as s0,
       regexp_extract_all(t, 'AKIA[A-Z0-9]+', 0) as km, string_split_regex(t, 'AKIA[A-Z0-9]+') as s1,
       regexp_extract_all(t, '[0-9a-f]{{24,}}', 0) as hm, string_split_regex(t, '[0-9a-f]{{24,}}') as s2 from d),
-    q as (select doc_id, list_filter({SPANS_SQL.format(m="am", s="s0", v="av", place=0)}, x -> x.part >= 6) as a,
-      list_filter({SPANS_SQL.format(m="km", s="s1", v="km", place=1)}, x -> x.part >= 20) as k,
+    q as (select doc_id, list_filter({SPANS_SQL.format(m="am", s="s0", v="av", place=0)}, lambda x: x.part >= 6) as a,
+      list_filter({SPANS_SQL.format(m="km", s="s1", v="km", place=1)}, lambda x: x.part >= 20) as k,
       {SPANS_SQL.format(m="hm", s="s2", v="hm", place=2)} as h from p),
     r as (select doc_id, len(a) as n_assign, len(k) as n_access, len(h) as n_hex, coalesce(array_to_string(list_transform(list_sort(a || k || h),
-      x -> concat(['assign', 'access', 'hex'][x.place + 1], ':', cast(x.start as bigint), ':', cast(x.start + x.size as bigint))), ','), '') as spans from q)
+      lambda x: concat(['assign', 'access', 'hex'][x.place + 1], ':', cast(x.start as bigint), ':', cast(x.start + x.size as bigint))), ','), '') as spans from q)
     select doc_id, n_assign, n_access, n_hex, sha256(spans) as base_sha256, spans from r""",
 )
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
