@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventloom.llm import decontaminate, exact_dedup, near_dedup, packing, secrets, sharding, toxicity
+from eventloom.llm import decontaminate, exact_dedup, near_dedup, packing, secrets, sharding, toxicity, wrapper
 from eventloom.llm.common import table
 from eventloom.session import configure
 
@@ -93,3 +93,8 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     count = lambda kind: F.size(F.filter("found", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     spans = F.array_join(F.transform("found", lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     return found.select("doc_id", *[count(k) for k in ("assign", "access", "hex")], F.sha2(spans, 256).alias("base_sha256"), spans.alias("spans"))
+
+
+@register("op10_html_extraction")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrapper.extract(table(spark, sf_dir, "pages"))
