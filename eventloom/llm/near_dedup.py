@@ -6,13 +6,13 @@ share a band are candidates; the signature's collision-corrected estimate
 throws out clear misses, full sets confirm the rest, and confirmed links give
 connected components.
 
-A band with many documents does not emit all its pairs.  The first round
-compares every member of a band with one pivot (the member that meets most
-others overall).  Bands that have become one component are done; in the others
-the pivot is retired and the next round takes four times as many pivots, always
-skipping pairs inside a component and pairs tested before.  Rounds end when
-every band is one component or out of pivots, so no link between candidates is
-lost, and only bands of mutually unlike documents ever see more than a few.
+A band with many documents does not emit its pairs.  Every member is compared
+with the band's pivot, the member that meets most others overall; near copies
+of one text share one pivot in most bands.  Bands whose members are then one
+component are done.  What is left is compared family by family (the members of
+open bands with one pivot): those outside the family's largest component meet
+the whole family on full sets, in blocks of bounded size, and only links leave
+a task.  So no link between candidates is lost.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,6 +32,7 @@ MINIMA, BANDS, BITS = 128, 32, 4
 SET_SCHEMA = "doc_id long, n_shingles long, fp binary, signature binary, bands array<long>"
 #: Estimates this far below the threshold are beyond six standard errors of 128 minima.
 MARGIN = 0.23
+BLOCK_SHINGLES = 100_000
 
 
 def _permutations() -> tuple[np.ndarray, np.ndarray]:
@@ -150,6 +152,62 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, k: int, threshold: int) -> Da
     return pairs.join(side("b"), "b").join(side("a"), "a").mapInArrow(run, "a long, b long")
 
 
+def shared_counts(left: list[np.ndarray], right: list[np.ndarray]) -> Iterator[np.ndarray]:
+    """For each left set, how many elements it shares with every right set."""
+    owner = np.repeat(np.arange(len(right)), [len(x) for x in right])
+    value = np.concatenate(right) if right else np.zeros(0, np.int64)
+    order = np.argsort(value, kind="stable")
+    value, owner = value[order], owner[order]
+    for x in left:
+        low, high = np.searchsorted(value, x, "left"), np.searchsorted(value, x, "right")
+        size = high - low
+        at = np.repeat(low - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
+        yield np.bincount(owner[at], minlength=len(right))
+
+
+def _within_families(left: DataFrame, texts: DataFrame, k: int, threshold: int) -> DataFrame:
+    """Links between different components of a family (family, rep, comp), on full sets.
+
+    Everything outside a family's largest component meets the whole family.
+    Both sides are cut into blocks of about BLOCK_SHINGLES shingles and a task
+    compares two blocks, so its memory is bounded and only links leave it.
+    """
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches):
+            value, starts = distinct_shingles(batch.column(1), k)
+            lists = pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(value.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(starts)), lists], ["rep", "n", "shingles"])
+
+    mine = texts.join(left.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    full = written(mine.mapInArrow(sets, "rep long, n long, shingles array<long>"), "shingles")
+    sized = left.join(full.select("rep", "n"), "rep")
+    parts = sized.groupBy("family", "comp").agg(F.sum("n").alias("n"), F.count("*").alias("docs"))
+    shape = parts.groupBy("family").agg(F.max(F.struct("docs", "comp", "n")).alias("main"), F.sum("n").alias("n"))
+    blocks = lambda n: F.ceil(n / F.lit(BLOCK_SHINGLES)).cast("int")
+    shape = shape.select(
+        "family", F.col("main.comp").alias("main"), F.greatest(blocks(F.col("n") - F.col("main.n")), F.lit(1)).alias("outer"), blocks(F.col("n")).alias("whole")
+    )
+    rows = left.join(shape, "family")
+    block = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    outside = rows.filter("comp <> main").select("family", "rep", "comp", block("outer").alias("i"), every("whole").alias("j"), F.lit(0).alias("side"))
+    inside = rows.select("family", "rep", "comp", every("outer").alias("i"), block("whole").alias("j"), F.lit(1).alias("side"))
+
+    def compare(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(["side", "rep"], kind="stable")
+        one, two = frame[frame["side"] == 0], frame[frame["side"] == 1]
+        reps, comps, size = two["rep"].to_numpy(), two["comp"].to_numpy(), two["shingles"].map(len).to_numpy()
+        found: list[tuple[int, int]] = []
+        counts = shared_counts(list(one["shingles"]), list(two["shingles"]))
+        for rep, comp, n, shared in zip(one["rep"], one["comp"], one["shingles"].map(len), counts, strict=True):
+            hit = (shared > 0) & (100 * shared >= threshold * (n + size - shared)) & (comps != comp)
+            found += [(min(rep, r), max(rep, r)) for r in reps[hit].tolist()]
+        return pd.DataFrame(found, columns=["a", "b"])
+
+    return outside.unionAll(inside).join(full.select("rep", "shingles"), "rep").groupBy("family", "i", "j").applyInPandas(compare, "a long, b long")
+
+
 def near_groups(docs: DataFrame, k: int = 5, threshold: int = 80) -> DataFrame:
     """One row per row of `docs`: doc_id, n_shingles, component_id, kept.
 
@@ -169,39 +227,27 @@ def near_groups(docs: DataFrame, k: int = 5, threshold: int = 80) -> DataFrame:
     counts = keyed.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
     members = written(keyed.join(counts, "key"), "members")
     popular = members.groupBy("rep").agg(F.sum("size").alias("pop"))
-    active = written(members.select("key", "rep").join(popular, "rep"), "active").withColumn("comp", F.col("rep"))
+    active = members.select("key", "rep").join(popular, "rep")
 
-    docs_text = doc_key(docs).join(reps.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
+    texts = doc_key(docs).join(reps.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
     # two sets may share a doc_id: they are one document
-    links, tested = None, None
-    labels = reps.select(F.col("rep").alias("node"), F.col("rep").alias("component")).limit(0)
+    best = F.max(F.struct("pop", (-F.col("rep")).alias("neg"))).alias("p")
+    pivots = active.groupBy("key").agg(best).select("key", (-F.col("p.neg")).alias("pivot"))
+    met = written(active.join(pivots, "key").select("key", "rep", "pivot"), "met")
+    pairs = met.filter("rep <> pivot").select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct()
     side = lambda c: reps.select(F.col("rep").alias(c), F.col("signature").alias(f"sig_{c}"), F.col("n").alias(f"n_{c}"))
-    fan = 1
-    while not active.isEmpty():
-        best = F.max(F.struct("pop", (-F.col("rep")).alias("neg"), "comp")).alias("p")
-        pivots = active.groupBy("key", F.pmod(F.xxhash64("rep"), F.lit(fan)).alias("salt")).agg(best)
-        pivots = pivots.select("key", (-F.col("p.neg")).alias("pivot"), F.col("p.comp").alias("pivot_comp"))
-        met = active.join(pivots, "key").filter("comp <> pivot_comp")
-        pairs = met.select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = written(pairs, "pairs")
-        tested = pairs if tested is None else tested.unionAll(pairs)
-        sized = pairs.join(side("a"), "a").join(side("b"), "b").filter(f"100 * least(n_a, n_b) >= {threshold} * greatest(n_a, n_b)")
-        likely = written(_plausible(sized.select("a", "b", "sig_a", "sig_b"), threshold), "likely")
-        ends = likely.select(F.col("a").alias("doc_id")).union(likely.select(F.col("b").alias("doc_id"))).distinct()
-        found = written(_confirmed(likely, docs_text.join(ends, "doc_id", "left_semi"), k, threshold).distinct(), "links")
-        if not found.isEmpty():
-            links = found if links is None else links.unionAll(found)
-            labels = components(links)
-        spent = pivots.select("key", F.col("pivot").alias("rep"))
-        rest = active.drop("comp").join(spent, ["key", "rep"], "left_anti")
-        rest = rest.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select(
-            "key", "rep", "pop", F.coalesce("component", "rep").alias("comp")
-        )
-        open_keys = rest.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("key")
-        active = written(rest.join(open_keys, "key", "left_semi"), "active")
-        fan *= 4
+    sized = pairs.join(side("a"), "a").join(side("b"), "b").filter(f"100 * least(n_a, n_b) >= {threshold} * greatest(n_a, n_b)")
+    likely = written(_plausible(sized.select("a", "b", "sig_a", "sig_b"), threshold), "likely")
+    ends = likely.select(F.col("a").alias("doc_id")).union(likely.select(F.col("b").alias("doc_id"))).distinct()
+    links = written(_confirmed(likely, texts.join(ends, "doc_id", "left_semi"), k, threshold).distinct(), "links")
+    labels = components(links)
+
+    named = met.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep"))
+    split = named.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("key")
+    left = written(named.join(split, "key", "left_semi").select(F.col("pivot").alias("family"), "rep", "comp").distinct(), "left")
+    more = written(_within_families(left, texts, k, threshold).distinct(), "links")
+    if not more.isEmpty():
+        labels = components(links.unionAll(more))
 
     named = classes.select("fp", F.col("doc_id").alias("node")).join(labels, "node", "left")
     named = named.select("fp", F.coalesce("component", "node").alias("component_id"))
