@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventloom.llm import decontaminate, exact_dedup, near_dedup, packing, secrets, sharding, suffix_dedup, toxicity, wrapper
+from eventloom.llm import decontaminate, exact_dedup, lm_scoring, near_dedup, packing, secrets, sharding, suffix_dedup, toxicity, wrapper
 from eventloom.llm.common import table
 from eventloom.session import configure
 
@@ -105,3 +105,8 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.drop_repeats(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")
     )
+
+
+@register("op6_lm_scoring")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score(table(spark, sf_dir, "documents"))
