@@ -26,8 +26,8 @@ FOLDS = 4
 BUCKET_BITS = 18
 PREFIXES = (4, 5, 6, 7)
 ROUNDS, STEP, SHRINK, SMOOTH = 40, 1.0, 1e-3, 20.0
-#: Clean texts score far below this, most toxic ones far above (held-out figures in the tests).
-THRESHOLD = 0.2
+#: What one clean text taken for toxic costs against one toxic text found, when the cut is chosen.
+FALSE_COST = 2.0
 CATEGORIES = ("low_quality", "toxic")
 
 
@@ -83,10 +83,11 @@ def _sample(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...], row
     """At most `rows` labelled, distinct texts, by the order of a hash: (doc_id, fold, y, index)."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), *[F.col(c).cast("double").alias(c) for c in categories])
     known = known.dropna().groupBy("doc_id").agg(*[F.max(c).alias(c) for c in categories])
-    own = doc_key(docs).join(known, "doc_id")
-    distinct = own.groupBy(F.xxhash64("text").alias("order")).agg(F.min("doc_id").alias("doc_id")).orderBy("order", "doc_id").limit(rows)
-    chosen = written(distinct, "sample")  # at most `rows` ids
-    picked = own.join(F.broadcast(chosen), "doc_id").filter(F.xxhash64("text") == F.col("order")).dropDuplicates(["doc_id"])
+    # texts stay where they are: only ids and hashes are shuffled, and the chosen ids (at most `rows`) broadcast
+    hashed = doc_key(docs).select("doc_id", F.xxhash64("text").alias("order")).join(known, "doc_id")
+    chosen = hashed.groupBy("order").agg(F.min(F.struct("doc_id", *categories)).alias("r")).select("order", "r.*").orderBy("order", "doc_id").limit(rows)
+    chosen = written(chosen, "sample")
+    picked = doc_key(docs).join(F.broadcast(chosen), "doc_id").filter(F.xxhash64("text") == F.col("order")).dropDuplicates(["doc_id"])
     picked = picked.select("doc_id", "text", F.pmod(F.hash("order"), F.lit(FOLDS)).alias("fold"), F.array(*categories).alias("y"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,36 +122,55 @@ def _learner(place: int) -> Callable[[tuple, pd.DataFrame], pd.DataFrame]:
     return learn
 
 
-def train(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...] = CATEGORIES, rows: int = FIT_ROWS) -> list[np.ndarray]:
-    """The weights of each category's model, in order; each fit is a Spark task over the bounded sample."""
+def chain(models: list[np.ndarray], texts: pa.Array) -> np.ndarray:
+    """The log-odds of every text (rows) for every category (columns), each model seeing those before it."""
+    index, starts = features(texts)
+    odds = np.zeros((len(texts), 0))
+    for weights in models:
+        odds = np.column_stack([odds, margins(weights, index, starts, odds)])
+    return odds
+
+
+def best_cut(odds: np.ndarray, y: np.ndarray) -> float:
+    """The log-odds above which true hits less FALSE_COST times false ones are most, midway to the next row; infinite if never positive."""
+    order = np.argsort(-odds, kind="stable")
+    odds, y = odds[order], y[order]
+    gain = np.cumsum(np.where(y > 0, 1.0, -FALSE_COST))
+    if not len(gain) or gain.max() <= 0:
+        return np.inf
+    last = int(gain.argmax())
+    return float(odds[last] if last + 1 == len(odds) else (odds[last] + odds[last + 1]) / 2)
+
+
+def train(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...] = CATEGORIES, rows: int = FIT_ROWS) -> tuple[list[np.ndarray], float]:
+    """(weights of each category's model, cut for the last one's log-odds); each fit is a Spark task over the bounded sample.
+
+    The cut also comes from out-of-fold predictions.
+    """
     sample = _sample(docs, labels, categories, rows).withColumn("earlier", F.expr("cast(array() as array<double>)"))
     models = []
     for place in range(len(categories)):
-        last = place == len(categories) - 1
-        wanted = [FOLDS] if last else list(range(FOLDS + 1))  # model FOLDS leaves no row out
-        copies = sample.withColumn("model", F.explode(F.array(*[F.lit(m) for m in wanted])))
+        copies = sample.withColumn("model", F.explode(F.array(*[F.lit(m) for m in range(FOLDS + 1)])))  # model FOLDS leaves no row out
         fitted = written(copies.groupBy("model").applyInPandas(_learner(place), "doc_id long, odds double, weights binary"), "models")
         whole = fitted.filter("weights is not null").first()
         models.append(np.frombuffer(bytes(whole["weights"])) if whole else np.zeros((1 << BUCKET_BITS) + place + 1))
-        if not last:
-            odds = fitted.filter("weights is null").select("doc_id", "odds")
-            sample = written(sample.join(odds, "doc_id").withColumn("earlier", F.concat("earlier", F.array("odds"))).drop("odds"), "features")
-    return models
+        held = sample.join(fitted.filter("weights is null").select("doc_id", "odds"), "doc_id")
+        if place < len(categories) - 1:
+            sample = written(held.withColumn("earlier", F.concat("earlier", F.array("odds"))).drop("odds"), "features")
+    seen = held.select("odds", F.col("y")[len(categories) - 1].alias("y")).orderBy("odds").toPandas()  # at most `rows` rows
+    return models, best_cut(seen["odds"].to_numpy(float), seen["y"].to_numpy(float))
 
 
-def score(docs: DataFrame, models: list[np.ndarray], threshold: float = THRESHOLD) -> DataFrame:
-    """Per row of `docs`: doc_id, probabilities (one per category, in order) and toxic (the last one reaches the threshold)."""
+def score(docs: DataFrame, models: list[np.ndarray], cut: float) -> DataFrame:
+    """Per row of `docs`: doc_id, probabilities (one per category, in order) and toxic (the last log-odds reach the cut)."""
     sent = docs.sparkSession.sparkContext.broadcast([m.astype(np.float32) for m in models])  # a megabyte each
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches):
-            index, starts = features(batch.column(1))
-            odds = np.zeros((batch.num_rows, 0))
-            for weights in sent.value:
-                odds = np.column_stack([odds, margins(weights, index, starts, odds)])
+            odds = chain(sent.value, batch.column(1))
             likely = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(odds) + 1, dtype=np.int32) * len(models)), pa.array(likely.reshape(-1)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), lists, pa.array(likely[:, -1] >= threshold)], ["doc_id", "probabilities", "toxic"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists, pa.array(odds[:, -1] >= cut)], ["doc_id", "probabilities", "toxic"])
 
     return doc_key(docs).mapInArrow(run, "doc_id long, probabilities array<double>, toxic boolean")
 
@@ -160,7 +180,7 @@ def with_low_quality(labels: DataFrame) -> DataFrame:
     return labels.select("doc_id", (1 - F.col("quality")).alias("low_quality"), "toxic")
 
 
-def classify(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, threshold: float = THRESHOLD) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> DataFrame:
     """One row per row of `docs`: doc_id, low_quality and toxicity (probabilities), toxic, kept.
 
     The models are fitted on at most `rows` labelled texts of `docs`; labels
@@ -170,29 +190,20 @@ def classify(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, threshold
     Repeated rows and null ids are scored like any other; an empty table gives
     no rows; other columns are ignored.
     """
-    models = train(docs, with_low_quality(labels), CATEGORIES, rows)
-    if not any(m.any() for m in models):
-        threshold = 1.1
-    return score(docs, models, threshold).select(
+    scored = score(docs, *train(docs, with_low_quality(labels), CATEGORIES, rows))
+    return scored.select(
         "doc_id", F.col("probabilities")[0].alias("low_quality"), F.col("probabilities")[1].alias("toxicity"), "toxic", (~F.col("toxic")).alias("kept")
     )
 
 
-def drop_toxic(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of `docs` that are not toxic, with all their columns."""
-    models = train(docs, with_low_quality(labels), CATEGORIES, rows)
-    if not any(m.any() for m in models):
-        return docs
-    names = docs.columns
+def drop_toxic(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> DataFrame:
+    """The rows of `docs` that are not toxic, with all their columns; each row is judged by itself, in place."""
+    models, cut = train(docs, with_low_quality(labels), CATEGORIES, rows)
     sent = docs.sparkSession.sparkContext.broadcast([m.astype(np.float32) for m in models])
-    at = names.index("text")
+    at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, at):
-            index, starts = features(batch.column(at))
-            odds = np.zeros((batch.num_rows, 0))
-            for weights in sent.value:
-                odds = np.column_stack([odds, margins(weights, index, starts, odds)])
-            yield batch.filter(pa.array(odds[:, -1] < np.log(threshold / (1 - threshold))))
+            yield batch.filter(pa.array(chain(sent.value, batch.column(at))[:, -1] < cut))
 
     return docs.mapInArrow(run, docs.schema)
