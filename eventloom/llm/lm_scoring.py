@@ -205,7 +205,8 @@ def score(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF) -> Data
                     used[hit] = n - 1
                 full = np.minimum(place, order - 1)
                 log += (full - used) * np.log(backoff)
-                sums = [np.bincount(owner, w, len(docs)) for w in (log, (used == full).astype(float))]
+                # of no words at all, bincount gives integers
+                sums = [np.bincount(owner, w, len(docs)).astype(float) for w in (log, (used == full).astype(float))]
                 exact = sums[1].astype(np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(docs, mask=valid == 0), pa.array(count.astype(np.int64)), pa.array(sums[0]), pa.array(exact), pa.array(count - exact)],

@@ -70,11 +70,13 @@ def span_hash(sums: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarra
 def small_batches(batches: Iterator[pa.RecordBatch], column: int = 1, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of about `limit` bytes of text, so that working arrays stay small; one long text is one slice."""
     for batch in batches:
-        size = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), dtype=np.int64))
-        cuts = np.unique(np.searchsorted(size, np.arange(limit, (size[-1] if len(size) else 0) + limit, limit)) + 1)
-        for a, b in zip([0, *cuts[:-1]], cuts, strict=True):
-            if a < batch.num_rows:
-                yield batch.slice(a, min(b, batch.num_rows) - a)
+        if not batch.num_rows:
+            continue
+        size = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), dtype=np.int64)
+        group = (np.cumsum(size) - size) // limit
+        cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), batch.num_rows]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            yield batch.slice(a, b - a)
 
 
 def split_words(column: pa.Array | pa.ChunkedArray, keep: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
