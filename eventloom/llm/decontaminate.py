@@ -172,5 +172,5 @@ def _search(own: DataFrame, tests: DataFrame, seeds: DataFrame, known: np.ndarra
 
 def drop_leaks(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """The rows of `docs` that hold no test item, with all their columns; rows without doc_id stay."""
-    hit = leaks(docs, items, similarity).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(hit, F.col("doc_id").cast("long") == F.col("_id"), "left_anti")
+    hit = leaks(docs, items, similarity).select(F.col("doc_id").alias("hit_id")).distinct()
+    return docs.join(hit, docs["doc_id"].cast("long") == hit["hit_id"], "left_anti")

@@ -73,7 +73,9 @@ def group_exact(docs: DataFrame, counters: int = COUNTERS) -> DataFrame:
 
 def drop_exact(docs: DataFrame, counters: int = COUNTERS) -> DataFrame:
     """The rows of `docs` that :func:`group_exact` keeps, with all their columns; rows that repeat id and text come once."""
-    kept = group_exact(docs, counters).filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_digest")).distinct()
-    mine = docs.withColumn("_key", F.col("doc_id").cast("long")).withColumn("_sha", F.sha2(F.coalesce(F.col("text"), F.lit("")), 256))
-    both = mine.join(kept, F.col("_key").eqNullSafe(F.col("_id")) & (F.col("_sha") == F.col("_digest")), "left_semi")
-    return both.dropDuplicates(["_key", "_sha"]).select(*docs.columns)
+    kept = group_exact(docs, counters).filter("kept").select("doc_id", "text_sha256").distinct()
+    whole = docs.select(
+        F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("id"), F.sha2(F.coalesce(F.col("text"), F.lit("")), 256).alias("sha")
+    )
+    mine = whole.join(kept, whole["id"].eqNullSafe(kept["doc_id"]) & (whole["sha"] == kept["text_sha256"]), "left_semi")
+    return mine.dropDuplicates(["id", "sha"]).select("row.*")

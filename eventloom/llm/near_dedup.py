@@ -259,5 +259,5 @@ def near_groups(docs: DataFrame, k: int = 5, threshold: int = 80) -> DataFrame:
 
 def drop_near(docs: DataFrame, k: int = 5, threshold: int = 80) -> DataFrame:
     """The rows of `docs` that :func:`near_groups` keeps, with all their columns."""
-    kept = near_groups(docs, k, threshold).filter("kept").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left_semi")
+    kept = near_groups(docs, k, threshold).filter("kept").select(F.col("doc_id").alias("kept_id")).distinct()
+    return docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(kept["kept_id"]), "left_semi")
