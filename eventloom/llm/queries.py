@@ -41,12 +41,16 @@ SHARDS = 40
 
 @register("op8_sharding")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = F.coalesce(F.col("text"), F.lit(""))
-    records = table(spark, sf_dir, "documents").select(
-        "doc_id", "text", "lang", "source", "n_chars", (F.octet_length(text) + 16).cast("long").alias("size")
-    )
-    return sharding.shuffle_shards(records, "doc_id", "size", SHARDS).select(
-        "doc_id", "size", F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"), F.lit("key").alias("law"), "shard", "slot", "grown_shard"
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 16
+    shards = sharding.shuffle_shards(table(spark, sf_dir, "documents").withColumn("size", size), "doc_id", "size", SHARDS)
+    return shards.select(
+        "record.doc_id",
+        "record.size",
+        F.crc32(F.coalesce(F.col("record.text"), F.lit("")).cast("binary")).alias("text_crc32"),
+        F.lit("key").alias("law"),
+        "shard",
+        "slot",
+        "grown_shard",
     )
 
 

@@ -11,8 +11,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from eventloom.llm.common import written
-
 SEED = 20240611
 BUCKET_BYTES = 16 << 20
 
@@ -22,16 +20,16 @@ def _score(key: Column, shard: int, seed: int) -> Column:
 
 
 def pick_shard(key: Column, shards: int, seed: int = SEED) -> Column:
-    """The shard whose hash with the key is largest (the highest number wins a tie).
+    """(score, shard): the shard whose hash with the key is largest (the highest number wins a tie).
 
     The key and the number of shards decide; with one more shard, a record
     either stays or moves into the new one.
     """
-    return F.greatest(*[F.struct(_score(key, s, seed).alias("score"), F.lit(s).alias("shard")) for s in range(shards)])["shard"]
+    return F.greatest(*[F.struct(_score(key, s, seed).alias("score"), F.lit(s).alias("shard")) for s in range(shards)])
 
 
 def scatter(records: DataFrame, key: str, size: str, shards: int, seed: int = SEED, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
-    """Adds shard, grown_shard and bucket.
+    """(key, record, shard, grown_shard, bucket) for every record.
 
     A shard has as many buckets as its bytes need on average.  Buckets spread
     by a hash of the whole record, so rows that share a key spread too; a
@@ -39,39 +37,37 @@ def scatter(records: DataFrame, key: str, size: str, shards: int, seed: int = SE
     """
     total = records.agg(F.coalesce(F.sum(size), F.lit(0)).alias("n")).first()["n"]
     buckets = max(1, -(-total // (bucket_bytes * shards)))
-    best = F.greatest(*[F.struct(_score(F.col(key), s, seed).alias("score"), F.lit(s).alias("shard")) for s in range(shards)])
-    new = _score(F.col(key), shards, seed)
-    return (
-        records.withColumn("_best", best)
-        .withColumn("shard", F.col("_best.shard"))
-        .withColumn("grown_shard", F.when(new >= F.col("_best.score"), F.lit(shards)).otherwise(F.col("_best.shard")))
-        .withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed + 1), *[F.col(c) for c in records.columns]), F.lit(buckets)).cast("int"))
-        .drop("_best")
+    new = _score(F.col("key"), shards, seed)
+    dealt = records.select(F.col(key).alias("key"), F.struct(*records.columns).alias("record"), pick_shard(F.col(key), shards, seed).alias("best"))
+    return dealt.select(
+        "key",
+        "record",
+        F.col("best.shard").alias("shard"),
+        F.when(new >= F.col("best.score"), F.lit(shards)).otherwise(F.col("best.shard")).alias("grown_shard"),
+        F.pmod(F.xxhash64(F.lit(seed + 1), "record"), F.lit(buckets)).cast("int").alias("bucket"),
     )
 
 
 def shuffle_shards(records: DataFrame, key: str, size: str, shards: int, seed: int = SEED, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
-    """All `records`, each with shard, grown_shard and slot (its place in the shard, gapless from 0).
+    """(record, shard, slot, grown_shard) for every record; slot is its place in the shard, gapless from 0.
 
-    `size` names the column of a record's bytes.  A bucket is sorted before it
-    is shuffled, so a repeated task gives the same order.  Null keys hash like
-    any key, equal rows are all kept, an empty table gives no rows; `records`
-    must not have columns named shard, grown_shard, bucket or slot.
+    `record` is the whole row, so its column names are free; `size` names the
+    column of its bytes.  A bucket is sorted before it is shuffled and buckets
+    have a fixed order in their task, so a repeated task gives the same order.
+    Null keys hash like any key, equal rows are all kept, an empty table gives
+    no rows.
     """
-    columns = records.columns
-    if clash := {"shard", "grown_shard", "bucket", "slot", "_best"} & set(columns):
-        raise ValueError(f"reserved column names: {sorted(clash)}")
     dealt = scatter(records, key, size, shards, seed, bucket_bytes)
-    row = F.struct(*columns, "grown_shard")
-    held = dealt.groupBy("shard", "bucket").agg(F.sort_array(F.collect_list(row)).alias("rows"))
-    # shuffle() draws from its seed and the partition; a fixed order of buckets in it makes the draw repeatable.
-    mixed = held.sortWithinPartitions("shard", "bucket").withColumn("rows", F.shuffle("rows", seed))
-    mixed = written(mixed.select("shard", "bucket", F.size("rows").alias("n"), F.posexplode("rows").alias("pos", "row")), "shards")
-    counts = mixed.filter("pos = 0").select("shard", "bucket", "n")
+    held = dealt.groupBy("shard", "bucket").agg(F.sort_array(F.collect_list(F.struct("key", "record", "grown_shard"))).alias("rows"))
+    counts = dealt.groupBy("shard", "bucket").agg(F.count("*").alias("n"))
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("shard", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    placed = mixed.join(offsets, ["shard", "bucket"])
-    return placed.select("row.*", "shard", (F.col("offset") + F.col("pos")).cast("long").alias("slot"))
+    # the buckets are already where the join needs them: only offsets move
+    placed = held.join(offsets, ["shard", "bucket"]).sortWithinPartitions("shard", "bucket")
+    # Fisher-Yates within a bucket; the generator's state follows the seed, the partition and the order fixed above
+    mixed = placed.select("shard", "offset", F.shuffle("rows", seed).alias("rows"))
+    out = mixed.select("shard", "offset", F.posexplode("rows").alias("pos", "row"))
+    return out.select("row.record", "shard", (F.col("offset") + F.col("pos")).cast("long").alias("slot"), "row.grown_shard")
 
 
 def write_shards(records: DataFrame, path: str, key: str, size: str, shards: int, seed: int = SEED) -> None:
