@@ -31,6 +31,7 @@ SHAPES = {
     "boolean": ("BOOLEAN",),
 }
 
+# Fixed value: the fields that can be grouped by.
 IDENTIFIER = re.compile(r"^(app|env|level|event|ids\.[\w.-]+|data\.[\w.-]+)$")
 
 

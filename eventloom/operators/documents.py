@@ -24,7 +24,7 @@ from eventloom.functions.values import (
 )
 from eventloom.schema import PAYLOAD_PAIRS, SENSITIVE_KEYS, Limits
 
-MAX_DEPTH = 8
+MAX_DEPTH = Limits.max_depth
 
 
 def _leaves(ev: DataFrame, max_depth: int) -> DataFrame:
@@ -39,17 +39,18 @@ def _leaves(ev: DataFrame, max_depth: int) -> DataFrame:
         F.struct(F.lit("ids").alias("root"), F.to_variant_object("ids").alias("value")),
         F.struct(F.lit("data").alias("root"), F.col("data").alias("value")),
     )
-    df = ev.select("_id", F.explode(roots).alias("r")).select("_id", "r.root", F.col("r.value").alias("_v0"))
-    df = df.filter(F.col("_v0").isNotNull())
-    for depth in range(1, max_depth + 1):
-        inside = tvf.variant_explode_outer(F.col(f"_v{depth - 1}").outer())
-        df = df.lateralJoin(inside.toDF(f"_i{depth}", f"_k{depth}", f"_v{depth}"))
-    levels = range(1, max_depth + 1)
-    keys = [F.coalesce(F.col(f"_k{d}"), F.col(f"_i{d}").cast("string")) for d in levels]
-    return df.select(
-        "_id", "root", F.array_compact(F.array(*keys)).alias("keys"),
-        F.coalesce(*[F.col(f"_v{d}") for d in reversed(levels)], "_v0").alias("value"),
+    df = ev.select("_id", F.explode(roots).alias("r")).select(
+        "_id", "r.root", F.expr("cast(array() as array<string>)").alias("keys"), F.col("r.value").alias("value")
     )
+    df = df.filter(F.col("value").isNotNull())
+    for _ in range(max_depth):
+        # each level is folded into the leaf so far: no ancestor stays alive
+        inside = tvf.variant_explode_outer(F.col("value").outer()).toDF("_i", "_k", "_v")
+        key = F.coalesce("_k", F.col("_i").cast("string"))
+        df = df.lateralJoin(inside).select(
+            "_id", "root", F.when(key.isNull(), F.col("keys")).otherwise(F.concat("keys", F.array(key))).alias("keys"), F.coalesce("_v", "value").alias("value")
+        )
+    return df
 
 
 def leaf_paths(ev: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
@@ -62,6 +63,8 @@ def _in_text(json_text: str, needle: str) -> str:
     """A cheap test that holds for every document with the needle in a key or scalar."""
     if json.dumps(needle, ensure_ascii=False) != f'"{needle}"':
         return "true"  # escapes would hide it in JSON text
+    if not set(needle) - set("0123456789.-+e"):
+        return "true"  # JSON text may spell a number otherwise
     return f"coalesce(contains(lower({json_text}), {quote(needle)}), false)"
 
 
@@ -74,9 +77,11 @@ def search_docs(ev: DataFrame, text: str, max_depth: int = Limits.max_depth) ->
     """
     needle = text.lower()
     candidates = ev.filter(f"{_in_text('to_json(ids)', needle)} or {_in_text('to_json(data)', needle)}")
-    leaves = _leaves(candidates, max_depth).selectExpr("_id", "keys", f"{typed('value')} as t")
+    leaves = _leaves(candidates, max_depth).selectExpr("_id", "keys", "value", f"{typed('value')} as t")
     in_key = f"exists(keys, k -> contains(lower(k), {quote(needle)}))"
     in_value = f"coalesce(contains(lower({value_text('t')}), {quote(needle)}), false)"
+    if needle in "null":
+        in_value += " or is_variant_null(value)"
     hits = leaves.filter(f"{in_key} or {in_value}").select("_id").distinct()
     return candidates.join(hits, "_id", "left_semi")
 

@@ -11,13 +11,16 @@ import re
 from collections.abc import Iterable, Mapping
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import IllegalArgumentException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventloom.functions.times import check_window, instant, lit_instant
 from eventloom.functions.values import BOOLEAN, NUMBER, STRING, parts, quote
 from eventloom.schema import LEVELS, QUERY_TEXT_MAX
 
+# Fixed value: what counts as a number in a filter.
 NUMERIC_PARAM = re.compile(r"^-?\d+(\.\d+)?$", re.ASCII)
 Params = Mapping | Iterable[tuple[str, object]]
 
@@ -74,12 +77,13 @@ class DataTerm:
         return " and ".join(tests)
 
 
-def _check_regex(q: str) -> None:
+def _check_regex(spark: SparkSession, q: str) -> None:
+    """Refuses what the engine that will run it cannot compile."""
     if len(q) > QUERY_TEXT_MAX:
         raise ValueError(f"q exceeds {QUERY_TEXT_MAX} chars")
     try:
-        re.compile(re.sub(r"\(\?<(?![=!])", "(?P<", q))
-    except re.error:
+        spark._jvm.java.util.regex.Pattern.compile(q)
+    except (Py4JJavaError, IllegalArgumentException):
         raise ValueError("q is not a valid regular expression") from None
 
 
@@ -106,7 +110,8 @@ def window_predicate(ev: DataFrame, from_=None, to=None) -> Column:
     if to is not None:
         tests.append(F.col("received_at") < lit_instant(to))
         if dated:
-            tests.append(F.col("event_date") <= F.to_date(lit_instant(to)))
+            last = lit_instant(to) - F.expr("interval 1 microsecond")  # `to` itself is outside
+            tests.append(F.col("event_date") <= F.to_date(last))
     return reduce(lambda a, b: a & b, tests)
 
 
@@ -151,8 +156,8 @@ def predicate(ev: DataFrame, params: Params | None = None) -> Column:
         elif name in ("from", "to"):
             bounds[name] = instant(raw, name)
         elif name == "q":
-            _check_regex(raw)
-            simple[name] = F.col("message").rlike("(?i)" + raw)
+            _check_regex(ev.sparkSession, raw)
+            simple[name] = F.col("message").rlike("(?iu)" + raw)
         elif name == "after":
             simple[name] = after_predicate(ev, raw)
         elif name.startswith("ids.") and len(name) > len("ids."):

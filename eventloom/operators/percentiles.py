@@ -1,4 +1,4 @@
-"""Percentiles per group, approximate in one pass or exact without large groups."""
+"""Percentiles per group, exact without large groups, or approximate in one pass."""
 
 from __future__ import annotations
 
@@ -38,7 +38,7 @@ def exact(df: DataFrame, keys: list[str], value: Column, ps: dict[str, float]) -
     names = [f"_k{i}" for i in range(len(keys))]
     values = (
         df.select(*[F.col(k).alias(n) for k, n in zip(keys, names)], value.alias("_v"))
-        .filter(F.col("_v").isNotNull())
+        .filter(" and ".join(f"{n} is not null" for n in [*names, "_v"]))
         .groupBy(*names, "_v")
         .agg(F.count("*").alias("_n"))
         .withColumn("_range", _range(F.col("_v")))
@@ -59,9 +59,11 @@ def exact(df: DataFrame, keys: list[str], value: Column, ps: dict[str, float]) -
     hit = (F.col("_rank") > before) & (F.col("_rank") <= F.col("_upto"))
     targets = ranges.filter(hit).select(*names, "_range", F.col("_w.p").alias("_p"), (F.col("_rank") - before).alias("_rank"))
 
+    same = [F.col(c).eqNullSafe(F.col(f"{c}_t")) for c in [*names, "_range"]]
     inside = Window.partitionBy(*names, "_range", "_p").orderBy("_v")
     found = (
-        values.join(targets, [*names, "_range"])
+        # null-safe equality adds no filters of its own, so both sides share the shuffle of `values`
+        values.join(targets.withColumnsRenamed({c: f"{c}_t" for c in [*names, "_range"]}), same)
         .withColumn("_upto", F.sum("_n").over(inside))
         .filter(hit)
         .groupBy(*names)

@@ -81,12 +81,13 @@ def bucket_columns(df: DataFrame, key: str = "bucket") -> DataFrame:
 
 def stats(
     ev: DataFrame, group: str = "hour", from_=None, to=None, app=None, event=None,
-    projects=None, project=None, now=None, exact: bool = False,
+    projects=None, project=None, now=None, exact: bool = True,
 ) -> DataFrame:
     """Volume by level, latency percentiles, error rate, cost and tokens per UTC hour or day.
 
-    One shuffle of per-bucket partial aggregates.  `exact` replaces the bounded
-    percentile summary by :func:`eventloom.operators.percentiles.exact`.
+    One shuffle of per-bucket partial aggregates, and exact percentiles from
+    :func:`eventloom.operators.percentiles.exact`.  `exact=False` takes a bounded
+    summary instead, for streams and quick looks.
     Buckets without events are absent; a bucket without latencies or statuses
     has NULL there.
     """
@@ -177,11 +178,12 @@ def job_failed(ev: DataFrame) -> str:
 
 def jobs(
     ev: DataFrame, prefixes=JOB_PREFIXES, from_=None, to=None, app=None,
-    projects=None, project=None, now=None, exact: bool = False, fallback: bool = False,
+    projects=None, project=None, now=None, exact: bool = True, fallback: bool = False, limit: int | None = JOBS_MAX,
 ) -> DataFrame:
     """Health per job event: runs, failures, success rate, last run, latency percentiles.
 
-    Largest first, ties by name, at most 200.  The last run is the greatest
+    Largest first, ties by name, a page of `limit` (None for all); `total_jobs`
+    tells how many there are in all.  The last run is the greatest
     ``(received_at, _id)``, found by aggregation rather than a sort.  `fallback`
     lets `durationMs` stand in for a missing `latencyMs`.
     """
@@ -197,12 +199,13 @@ def jobs(
     if not exact:
         out.append(percentiles.approximate("latency", JOBS_PERCENTILES.values()) + " as _latency")
     health = runs.groupBy("name").agg(*[F.expr(e) for e in out])
+    total = health.agg(F.count("*")).scalar()  # over the same shuffle
     if exact:
         health = health.join(percentiles.exact(runs, ["name"], F.col("latency"), JOBS_PERCENTILES), "name", "left")
         latency = list(JOBS_PERCENTILES)
     else:
         latency = [f"_latency[{i}] as {p}" for i, p in enumerate(JOBS_PERCENTILES)]
-    return (
+    page = (
         health.selectExpr(
             "name",
             "_last.received_at as last_run_at",
@@ -212,6 +215,7 @@ def jobs(
             "round((runs - failures) / runs, 4) as success_rate",
             *latency,
         )
+        .withColumn("total_jobs", total)
         .orderBy(F.desc("runs"), "name")
-        .limit(JOBS_MAX)
     )
+    return page if limit is None else page.limit(limit)

@@ -9,7 +9,7 @@ from eventloom.functions.times import resolve_window
 from eventloom.functions.values import NUMBER, field, to_double
 from eventloom.operators.filters import Params, event_prefix, in_window, scope
 from eventloom.operators.rollups import groupby, job_failed
-from eventloom.schema import JOB_PREFIXES, JOBS_MAX, SUGGEST_MAX
+from eventloom.schema import JOB_PREFIXES, SUGGEST_MAX
 
 SLOW_MS = 300
 USER_KEY = "userEmail"
@@ -106,14 +106,11 @@ def overview(
         "coalesce(sum(tokens), 0D) as tokens",
         "cast(count_if(slow) as double) as slow_events",
     )
-    # Job cards count what the jobs list shows, so its cut applies here too.
     health = (
         rows.filter(event_prefix(*prefixes))
         .selectExpr("event", "received_at", "_id", f"{job_failed(rows)} as failed")
         .groupBy("event")
-        .agg(F.count("*").alias("runs"), F.max(F.struct("received_at", "_id", "failed")).alias("last"))
-        .orderBy(F.desc("runs"), "event")
-        .limit(JOBS_MAX)
+        .agg(F.max(F.struct("received_at", "_id", "failed")).alias("last"))
     )
     jobs = health.selectExpr("cast(count(*) as double) as jobs", "cast(count_if(last.failed) as double) as failing_jobs")
 

@@ -69,7 +69,7 @@ select name, max_by(iso_at, (received_at, _id)) as last_run_at,
   case when max_by(failed, (received_at, _id)) then 'failed' else 'ok' end as last_status,
   count(*) as runs, count(*) filter (where failed) as failures,
   round(cast(count(*) filter (where not failed) as double) / count(*), 4) as success_rate,
-  quantile_disc(latency, 0.5) as p50_ms, quantile_disc(latency, 0.95) as p95_ms
+  quantile_disc(latency, 0.5) as p50_ms, quantile_disc(latency, 0.95) as p95_ms, count(*) over () as total_jobs
 from runs group by name order by runs desc, name limit 200"""
 
 GROUPS_SQL = """, g as (select {value} as value, {kind} as kind, {order} as ord, count(*) as count from ev where {where} group by all),
@@ -628,14 +628,29 @@ def _segment_report(spark, sf_dir):
     )
 
 
+# The first forty characters of an error event's line.
+BAD_LINES_SQL = """select md5(line) as line_md5, length(line) as length from (
+  select left('{"_id":"' || _id || '","app":"' || app || '","env":"' || env || '","event":"' || event || '"', 40) as line
+  from ev where level = 'error')"""
+
+
 @register(
     "bad_lines",
-    EV + "select level, count(*) as n from ev where level = 'error' group by 1",
+    EV + BAD_LINES_SQL,
     log=False,
 )
 def _bad_lines(spark, sf_dir):
     lines = spark.read.text(_landed(spark, sf_dir, "bad"))
-    return segments.split_bad_lines(lines)[1].groupBy(F.lit("error").alias("level")).agg(F.count("*").alias("n"))
+    return segments.split_bad_lines(lines)[1].select(F.md5("value").alias("line_md5"), F.length("value").alias("length"))
+
+
+@register("ingest_rejects", EV + BAD_LINES_SQL, log=False)
+def _ingest_rejects(spark, sf_dir):
+    """What a drained stream leaves in the rejects folder it makes by itself."""
+    source, path = _landed(spark, sf_dir, "rejected"), shared_path(spark, "ingested")
+    run_ingest(spark, source, path, shared_path(spark, "checkpoint"), available_now=True).awaitTermination()
+    lines = spark.read.text(f"{path}__rejects")
+    return lines.select(F.md5("value").alias("line_md5"), F.length("value").alias("length"))
 
 
 @register("stream_ingest", EV + STORED_SQL.format(where="level <> 'error'"), log=False)

@@ -32,10 +32,13 @@ def parse_events(doc: str = "_doc") -> list[str]:
 def split_bad_lines(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Lines ``value STRING`` to (events, bad lines).  Works on batches and streams.
 
-    A line that is not a JSON document with an id and an instant never stops the reader.
+    An event has every text that the table requires, and instants that can be
+    read: a line without them could neither be found again nor expire.
     """
     parsed = lines.filter("trim(value) <> ''").selectExpr("value", "try_parse_json(value) as _doc")
-    good = f"{get('_doc', '$._id', 'string')} is not null and {get('_doc', '$.receivedAt', 'string')} is not null"
+    needed = [get("_doc", f"$.{c}", "string") for c in ("_id", "app", "env", "event", "level")]
+    needed += [f"try_to_timestamp({get('_doc', f'$.{c}', 'string')})" for c in ("receivedAt", "expiresAt")]
+    good = " and ".join(f"{e} is not null" for e in needed)
     # Rows are picked by explode: a filter would be pushed below the parse and run it twice.
     events = parsed.selectExpr(f"explode(if({good}, array(_doc), null)) as _doc").selectExpr(*parse_events())
     return events, parsed.selectExpr(f"explode(if({good}, null, array(value))) as value")

@@ -8,7 +8,7 @@ split over many tasks and files while small days share one, and sort files by
 from __future__ import annotations
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -16,10 +16,6 @@ from eventloom.functions.times import instant, lit_instant
 from eventloom.functions.values import hot_columns
 from eventloom.schema import EVENT_SCHEMA, HOT_SCHEMA, STORE_COLUMNS
 
-# Ids of a batch are broadcast up to this many rows (about 100 MB); beyond it the
-# duplicate check shuffles instead.
-BROADCAST_IDS = 1_000_000
-
 STORE_SCHEMA = T.StructType(
     [*EVENT_SCHEMA.fields, T.StructField("hot", HOT_SCHEMA), T.StructField("event_date", T.DateType())]
 )
@@ -48,9 +44,13 @@ def write_events(ev: DataFrame, path: str, mode: str = "append") -> None:
     _write_laid_out(to_store(ev), path, mode)
 
 
-def read_events(spark: SparkSession, path: str) -> DataFrame:
-    """The event table."""
-    return spark.read.schema(STORE_SCHEMA).parquet(path)
+def read_events(spark: SparkSession, path: str, days: list | None = None) -> DataFrame:
+    """The event table, or only the folders of some days: other days are not even listed."""
+    reader = spark.read.schema(STORE_SCHEMA)
+    if days is None:
+        return reader.parquet(path)
+    folders = [f for d in days if _exists(spark, f := f"{path.rstrip('/')}/event_date={d}")]
+    return reader.option("basePath", path).parquet(*folders) if folders else spark.createDataFrame([], STORE_SCHEMA)
 
 
 def _files(spark: SparkSession, path: str):
@@ -69,44 +69,43 @@ def _delete(spark: SparkSession, path: str) -> None:
     fs.delete(where, True)
 
 
+def one_per_id(batch: DataFrame) -> DataFrame:
+    """One row per `_id`: the earliest, ties by content, so that every retry keeps the same one."""
+    texts = [F.col(c) for c in ("app", "env", "event", "level", "ts", "message")]
+    order = Window.partitionBy("_id").orderBy("received_at", *texts, F.to_json("ids"), F.to_json("data"))
+    return batch.withColumn("_nth", F.row_number().over(order)).filter("_nth = 1").drop("_nth")
+
+
 def new_rows(store: DataFrame, batch: DataFrame) -> DataFrame:
-    """Rows of a batch, one per id, whose `_id` is not in the store.
+    """Rows of a batch, one per id, whose `_id` is not in the store on any day of the batch.
 
-    The store is never shuffled while the batch is small: ids of the batch are
-    broadcast to a scan of two columns, cut to the batch's days and instants
-    (an id fixes its instant, so nothing else can match), and only the
-    duplicates found there are joined back.  A batch above ``BROADCAST_IDS``
-    rows takes the same joins without the hint.
+    Two columns of those days are read.  Spark picks the join from the sizes it
+    has measured: a small batch is broadcast, a large one shuffled.
     """
-    seen = batch.agg(
-        F.count("*").alias("n"),
-        F.unix_micros(F.min("received_at")).alias("lo"),
-        F.unix_micros(F.max("received_at")).alias("hi"),
-    ).head()
-    if seen["n"] == 0:
-        return batch
-    lo, hi = F.timestamp_micros(F.lit(seen["lo"])), F.timestamp_micros(F.lit(seen["hi"]))
-    kept = store.filter(F.col("received_at").between(lo, hi))
+    kept = store
     if "event_date" in store.columns:
-        kept = kept.filter(F.col("event_date").between(F.to_date(lo), F.to_date(hi)))
-    ids = batch.select("_id")
-    if seen["n"] <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
-    duplicates = kept.select("_id").join(ids, "_id", "left_semi")
+        kept = kept.filter(F.col("event_date").isin(_days(batch)))
+    duplicates = kept.select("_id").join(batch.select("_id"), "_id", "left_semi")
     return batch.join(duplicates, "_id", "left_anti").select(*batch.columns)
 
 
+def _days(batch: DataFrame) -> list:
+    """The days of a batch, a row each."""
+    return sorted(r[0] for r in batch.select(F.to_date("received_at")).distinct().collect())
+
+
 def append_new(spark: SparkSession, path: str, batch: DataFrame) -> None:
     """Append the rows of a batch that the table does not have yet.
 
     Running it again with the same batch, or after a failed attempt, adds
-    nothing twice.
+    nothing twice.  An id belongs to one day: the same id on the same day is the
+    same event whatever its instant.
     """
-    # The batch is read for its span, its ids and its rows; kept in memory or on
+    # The batch is read for its days, its ids and its rows; kept in memory or on
     # disk meanwhile, and recomputed where an executor is lost.
-    batch = batch.dropDuplicates(["_id"]).persist(StorageLevel.MEMORY_AND_DISK)
+    batch = one_per_id(batch).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        fresh = new_rows(read_events(spark, path), batch) if _exists(spark, path) else batch
+        fresh = new_rows(read_events(spark, path, _days(batch)), batch) if _exists(spark, path) else batch
         write_events(fresh, path)
     finally:
         batch.unpersist()
@@ -117,37 +116,60 @@ def apply_retention(ev: DataFrame, now) -> DataFrame:
     return ev.filter(F.col("expires_at") > lit_instant(instant(now)))
 
 
-def expire_events(spark: SparkSession, path: str, now) -> list:
+def expire_events(spark: SparkSession, path: str, now, shortest_days: int | None = None) -> list:
     """Drop expired events from the table; returns the days that changed.
 
-    Only days that hold expired rows are touched.  Their survivors are written
-    to a staging table, which then replaces those days; days without survivors
-    are deleted.  A complete staging table left by an interrupted run is put in
-    place first, so no survivor is ever lost.
+    Only days that hold expired rows are touched, and in them only the files
+    there when they were read: survivors become new files, then exactly the
+    recorded old ones go.  Rows appended meanwhile are in other files and stay.
+    An interrupted run is finished first: its survivors and its list of files
+    are complete in a staging folder before anything moves.  Between the two
+    steps a reader may see a survivor twice, never not at all.
+    `shortest_days`, the shortest lifetime in use, leaves younger days unread.
     """
     path = path.rstrip("/")
     staging = f"{path}__retained"
-    if _exists(spark, f"{staging}/_SUCCESS"):
-        _replace_days(spark, path, staging)
+    finish_retention(spark, path)
     table = read_events(spark, path)
     at = lit_instant(instant(now))
+    old = table if shortest_days is None else table.filter(F.col("event_date") <= F.date_sub(F.to_date(at), shortest_days))
     per_day = (
-        table.groupBy("event_date")
-        .agg(F.count_if(F.col("expires_at") <= at).alias("gone"), F.count("*").alias("rows"))
+        old.groupBy("event_date")
+        .agg(F.count_if(F.col("expires_at") <= at).alias("gone"))
         .filter("gone > 0")
         .collect()  # one row per day of the table
     )
-    partly = [r["event_date"] for r in per_day if r["gone"] < r["rows"]]
-    wholly = [r["event_date"] for r in per_day if r["gone"] == r["rows"]]
-    if partly:
-        keep = table.filter(F.col("event_date").isin(partly) & (F.col("expires_at") > at))
-        _write_laid_out(keep, staging, "overwrite")
-        _replace_days(spark, path, staging)
-    for day in wholly:
-        _delete(spark, f"{path}/event_date={day}")
-    return sorted(partly + wholly)
-
-
-def _replace_days(spark: SparkSession, path: str, staging: str) -> None:
-    _write_laid_out(read_events(spark, staging), path, "overwrite", partitionOverwriteMode="dynamic")
+    days = sorted(r["event_date"] for r in per_day)
+    if days:
+        read = read_events(spark, path, days)
+        files = [(f,) for f in read.inputFiles()]  # one name per file of the days concerned
+        _write_laid_out(read.filter(F.col("expires_at") > at), f"{staging}/rows", "overwrite")
+        spark.createDataFrame(files, "file string").coalesce(1).write.mode("overwrite").text(f"{staging}/replaced")
+        finish_retention(spark, path)
+    return days
+
+
+def finish_retention(spark: SparkSession, path: str) -> None:
+    """Puts complete survivors in place and removes the files they replace; harmless to repeat."""
+    staging = f"{path.rstrip('/')}__retained"
+    if _exists(spark, f"{staging}/replaced/_SUCCESS"):
+        fs, where = _files(spark, f"{staging}/rows")
+        jvm = spark._jvm
+        for folder in fs.globStatus(jvm.org.apache.hadoop.fs.Path(f"{where}/event_date=*")) or []:
+            day = jvm.org.apache.hadoop.fs.Path(path, folder.getPath().getName())
+            fs.mkdirs(day)
+            for file in fs.listStatus(folder.getPath()):
+                fs.rename(file.getPath(), jvm.org.apache.hadoop.fs.Path(day, file.getPath().getName()))
+        for r in spark.read.text(f"{staging}/replaced").collect():
+            _delete(spark, r["value"])
     _delete(spark, staging)
+
+
+def compact_day(spark: SparkSession, path: str, day) -> None:
+    """Rewrites the files of one closed day as few sorted ones, by the same steps as retention."""
+    path = path.rstrip("/")
+    finish_retention(spark, path)
+    read = read_events(spark, path, [day])
+    _write_laid_out(read, f"{path}__retained/rows", "overwrite")
+    spark.createDataFrame([(f,) for f in read.inputFiles()], "file string").coalesce(1).write.mode("overwrite").text(f"{path}__retained/replaced")
+    finish_retention(spark, path)

@@ -6,6 +6,7 @@ append skips ids the table already has, so a replay of any length adds nothing.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
@@ -21,19 +22,23 @@ def run_ingest(
 ) -> StreamingQuery:
     """Start copying segments below `source` into the table at `store`.
 
-    Lines that are not events go to `rejects` as text, when given, and never
-    stop the stream.  `available_now` drains what has landed and ends.  Segments
+    Lines that are not events go to `rejects` as text (default: `<store>__rejects`)
+    and never stop the stream.  `available_now` drains what has landed and ends.  Segments
     move to `archive`, when given, once they are in the table.
     """
     configure(spark)
+    rejects = (rejects or f"{store.rstrip('/')}__rejects").rstrip("/")
 
     def write(lines: DataFrame, epoch: int) -> None:
         session = configure(lines.sparkSession)
-        events, bad = split_bad_lines(lines)
-        append_new(session, store, events)
-        if rejects is not None:
+        lines = lines.persist(StorageLevel.MEMORY_AND_DISK)  # both halves read it
+        try:
+            events, bad = split_bad_lines(lines)
+            append_new(session, store, events)
             # Overwriting one folder per micro-batch keeps retries from repeating lines.
-            bad.write.mode("overwrite").text(f"{rejects.rstrip('/')}/batch={epoch}")
+            bad.write.mode("overwrite").text(f"{rejects}/batch={epoch}")
+        finally:
+            lines.unpersist()
 
     writer = (
         stream_segments(spark, source, max_files, archive)

@@ -103,3 +103,18 @@ def test_names_are_unique_ignoring_case(spark):
     assert sorted(r.name for r in kept.collect()) == ["Web", "api"] and [r.name for r in clash.collect()] == ["WEB"]
     listed = projects.list_projects(projects.assign_slugs(kept).withColumn("apps", F.array(F.lit("a"))))
     assert [r.slug for r in listed.collect()] == ["api", "web"]
+
+
+def test_search_finds_numbers_and_nulls_as_shown(spark):
+    ev = log(spark, [dict(_id="a", data=dict(n=1.5e7, m=1e-7, z=None)), dict(_id="b", data=dict(s="x"))])
+    for text in ("15000000", "1e-7", "null", "ul"):
+        assert ids(documents.search_docs(ev, text)) == ["a"], text
+
+
+def test_leaves_go_as_deep_as_ingest_admits(spark):
+    data = leaf = {}
+    for _ in range(20):
+        leaf["k"] = leaf = {}
+    leaf["end"] = 1
+    got = documents.leaf_paths(log(spark, [dict(_id="a", data=data)])).collect()
+    assert [(r.path, r.value) for r in got] == [("data." + "k." * 20 + "end", "1")]

@@ -191,9 +191,35 @@ def test_append_skips_repeats_in_batch_and_store(spark, tmp_path):
     assert sorted(r._id for r in store.read_events(spark, path).collect()) == ["a", "b", "c"]
 
 
-def test_append_without_broadcast(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(store, "BROADCAST_IDS", 0)
-    test_append_skips_repeats_in_batch_and_store(spark, tmp_path)
+def test_append_keeps_one_instant_of_an_id(spark, tmp_path):
+    """An id is one event on its day, in one batch or several, and always the same copy of it stays."""
+    path = str(tmp_path / "events")
+    early, late = ("2026-06-11T01:00:00Z", "2026-06-11T02:00:00Z")
+    both = log(spark, [dict(_id="a", received_at=late, message="late"), dict(_id="a", received_at=early, message="early")])
+    for batch in (both, log(spark, [dict(_id="a", received_at=late)])):
+        store.append_new(spark, path, batch)
+    assert [r.message for r in store.read_events(spark, path).collect()] == ["early"]
+
+
+def test_append_opens_only_the_days_of_the_batch(spark, tmp_path):
+    path = str(tmp_path / "events")
+    store.write_events(log(spark, [dict(_id=str(d), received_at=f"2026-06-{d:02d}T00:00:00Z") for d in range(1, 10)]), path)
+    read = store.read_events(spark, path, ["2026-06-03", "2030-01-01"])
+    assert {f.split("event_date=")[1][:10] for f in read.inputFiles()} == {"2026-06-03"} and read.count() == 1
+    assert store.read_events(spark, path, ["2030-01-01"]).columns == read.columns
+
+
+def test_unreadable_lines_go_to_rejects_by_default(spark, tmp_path):
+    """Replayed lines without readable instants or required fields are stored never, and rejected each time."""
+    source, path = tmp_path / "in", str(tmp_path / "events")
+    source.mkdir()
+    good = {"_id": "a", "app": "x", "env": "prod", "event": "e", "level": "info", "receivedAt": "2026-06-11T00:00:00Z", "expiresAt": "2027-01-01T00:00:00Z"}
+    bad = [{**good, "_id": "b", "receivedAt": "garbage"}, {**good, "_id": "c", "expiresAt": "soon"}, {k: v for k, v in good.items() if k != "app"}]
+    (source / "seg-1.ndjson").write_text("".join(json.dumps(x) + "\n" for x in [good, *bad]) + "not json\n")
+    for attempt in range(3):
+        run_ingest(spark, str(source), path, str(tmp_path / f"cp{attempt}"), available_now=True).awaitTermination()
+    assert [r._id for r in store.read_events(spark, path).collect()] == ["a"]
+    assert spark.read.text(f"{path}__rejects").count() == 4
 
 
 def test_expire_events(spark, tmp_path):
@@ -242,17 +268,42 @@ def test_side_columns_equal_the_variant(spark):
     assert both.filter(f"not ({same})").count() == 0
 
 
-def test_expire_picks_up_an_interrupted_run(spark, tmp_path):
-    path = str(tmp_path / "events")
-    rows = [dict(_id=i, expires_at=e) for i, e in (("a", "2026-06-12T00:00:00Z"), ("b", "2026-07-01T00:00:00Z"))]
-    store.write_events(log(spark, rows), path)
-    survivors = store.read_events(spark, path).filter("_id = 'b'")
-    store._write_laid_out(survivors, f"{path}__retained", "overwrite")  # died before putting it in place
-    assert store.expire_events(spark, path, "2026-06-13T00:00:00Z") == []
-    assert [r._id for r in store.read_events(spark, path).collect()] == ["b"]
+def _expiring(spark, ids, expires_at):
+    return log(spark, [dict(_id=i, expires_at=expires_at) for i in ids])
+
+
+@pytest.mark.parametrize("moved", [False, True])
+def test_expire_finishes_an_interrupted_run_beside_ingest(spark, tmp_path, moved, monkeypatch):
+    """Rows appended while retention runs, or between a failed run and the next, stay."""
+    path, now = str(tmp_path / "events"), "2026-06-13T00:00:00Z"
+    store.write_events(_expiring(spark, "a", "2026-06-12T00:00:00Z").unionByName(_expiring(spark, "b", "2026-07-01T00:00:00Z")).coalesce(1), path)
+    finish, delete = store.finish_retention, store._delete
+
+    def die(*_):
+        raise RuntimeError("lost")
+
+    monkeypatch.setattr(store, "_delete" if moved else "finish_retention", lambda *a: die() if "__retained" not in str(a[1]) or not moved else delete(*a))
+    if not moved:
+        calls = iter([finish, die])
+        monkeypatch.setattr(store, "finish_retention", lambda *a: next(calls)(*a))
+    with pytest.raises(RuntimeError):
+        store.expire_events(spark, path, now)
+    monkeypatch.undo()
+    store.write_events(_expiring(spark, "c", "2026-07-01T00:00:00Z"), path)
+    store.expire_events(spark, path, now)
+    assert sorted(r._id for r in store.read_events(spark, path).collect()) == ["b", "c"]
     assert not store._exists(spark, f"{path}__retained")
 
 
+def test_compact_day(spark, tmp_path):
+    path = str(tmp_path / "events")
+    for i in "abc":
+        store.write_events(_expiring(spark, i, "2026-07-01T00:00:00Z"), path)
+    store.compact_day(spark, path, "2026-06-11")
+    read = store.read_events(spark, path)
+    assert sorted(r._id for r in read.collect()) == ["a", "b", "c"] and len(read.inputFiles()) == 1
+
+
 def test_archive_of_finished_segments(spark, landed, tmp_path):
     import shutil
 

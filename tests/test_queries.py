@@ -212,3 +212,33 @@ def test_tail(ties):
     tail = filter_events(ties, {"level": "error"})
     merged = ids(pages.merge_tail(page, tail.unionByName(tail), 3))
     assert merged == ["id-24", "id-23", "id-22", "id-21", "id-20", "id-19", "id-15", "id-11"]
+
+
+def test_text_search_is_checked_by_the_engine_that_runs_it(spark):
+    ev = log(spark, [dict(_id="a", message="ÄRGER x"), dict(_id="b", message="none")])
+    assert ids(filter_events(ev, {"q": "ärger"})) == ["a"]
+    for q in ("[[]", "(?P<n>x)", "x{,3}", "("):
+        try:
+            filter_events(ev, {"q": q}).count()
+        except ValueError:
+            pass
+
+
+def test_job_cards_count_all_jobs_and_pages_tell_the_total(spark):
+    from eventloom.plans import dashboards
+
+    ev = log(spark, [dict(_id=f"{i:03d}", event=f"cron.j{i}", level="error" if i >= 200 else "info") for i in range(230)])
+    span = {"from_": "2026-06-10T00:00:00Z", "to": "2026-06-12T00:00:00Z"}
+    cards = {r.name: r.value for r in dashboards.overview(ev, **span).collect() if r.section == "card"}
+    assert (cards["jobs"], cards["failing_jobs"]) == (230, 30)
+    page = rollups.jobs(ev, **span)
+    assert page.count() == 200 and page.head().total_jobs == 230 and rollups.jobs(ev, limit=None, **span).count() == 230
+
+
+def test_a_window_that_ends_at_midnight_leaves_the_next_day_closed(spark, tmp_path):
+    from eventloom.sources import store
+
+    store.write_events(log(spark, [dict(_id=str(d), received_at=f"2026-06-1{d}T00:00:00Z") for d in (1, 2)]), str(tmp_path))
+    got = filter_events(store.read_events(spark, str(tmp_path)), {"from": "2026-06-11T00:00:00Z", "to": "2026-06-12T00:00:00Z"})
+    assert ids(got) == ["1"]
+    assert "event_date <= 2026-06-11" in got._jdf.queryExecution().optimizedPlan().toString() or "2026-06-11" in str(got._jdf.queryExecution().executedPlan())

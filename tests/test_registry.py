@@ -5,8 +5,7 @@ from compare import connect, differences
 
 import __spark_entry__ as contract
 from conftest import SF_SMALL
-
-QUERIES, ORACLES = contract.queries(), contract.oracle_sql()
+from eventloom.registry import ORACLES, QUERIES
 
 
 @pytest.fixture(scope="module")
@@ -16,6 +15,7 @@ def con():
 
 def test_every_query_has_sql():
     assert set(QUERIES) == set(ORACLES)
+    assert QUERIES.items() <= contract.queries().items() and ORACLES.items() <= contract.oracle_sql().items()
 
 
 def test_entry(spark):
