@@ -17,30 +17,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventloom.llm.common import doc_key, written
-from eventloom.llm.words import mix, small_batches, split_words, text_bytes
-from eventloom.session import shared_path
+from eventloom.llm.common import written
+from eventloom.llm.parts import LOW, pack_keys, unpack_keys, write_parts
+from eventloom.llm.words import mix, split_words
 
 ORDER, BACKOFF = 3, 0.4
 PART_BYTES = 2 << 20
-KEY_BYTES = 6
-PARTS = "part long, docs binary, known binary, text binary, ends binary"
-
-
-def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row per few megabytes of texts of one task, in input order."""
-    task, n = TaskContext.get().partitionId(), 0
-    for batch in small_batches(batches, limit=PART_BYTES):
-        data, starts = text_bytes(batch.column(1))
-        keys = batch.column(0)
-        docs, known = keys.fill_null(0).to_numpy().astype(np.int64), np.asarray(keys.is_valid()).astype(np.uint8)
-        values = [x.tobytes() for x in (docs, known, data, starts[1:].astype(np.int64))]
-        yield pa.RecordBatch.from_arrays([pa.array([(task << 32) + n]), *[pa.array([v], pa.binary()) for v in values]], ["part", "docs", "known", "text", "ends"])
-        n += 1
 
 
 class Part:
@@ -74,9 +59,9 @@ class Part:
         value = mix(value)
         bucket = (value >> np.uint64(40)) % np.uint64(self.buckets)
         # a bucket and 48 more bits name an n-gram, however many buckets there are
-        name = (bucket << np.uint64(48)) | (mix(value + np.uint64(1)) & np.uint64((1 << 48) - 1))
+        name = (bucket << np.uint64(48)) | (mix(value + np.uint64(1)) & LOW)
         distinct, place = np.unique(name, return_inverse=True)
-        return distinct >> np.uint64(48), distinct & np.uint64((1 << 48) - 1), place, at
+        return distinct >> np.uint64(48), distinct & LOW, place, at
 
     def learn(self, totals: dict[int, np.ndarray]) -> None:
         """Takes the corpus totals of the next order's distinct n-grams, by bucket."""
@@ -102,7 +87,7 @@ def _explode(order: int, buckets: int):
                 bucket, key, place, _ = part.grams()
                 count = np.bincount(place, minlength=len(key)).astype(np.uint32)
                 present, first = np.unique(bucket, return_index=True)
-                raw = np.ascontiguousarray(key).view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES]
+                raw = pack_keys(key)
                 cuts = np.append(first, len(key))
                 blobs = [(raw[a:b].tobytes(), count[a:b].tobytes()) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays(
@@ -131,9 +116,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: dict[int, list[tuple[int, np.ndarray, np.ndarray]]] = {}
     for batch in batches:
         for bucket, part, keys, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            raw = np.zeros((len(keys) // KEY_BYTES, 8), np.uint8)
-            raw[:, :KEY_BYTES] = np.frombuffer(keys, dtype=np.uint8).reshape(-1, KEY_BYTES)
-            held.setdefault(bucket, []).append((part, raw.view(np.uint64).reshape(-1), np.frombuffer(counts, dtype=np.uint32)))
+            held.setdefault(bucket, []).append((part, unpack_keys(keys), np.frombuffer(counts, dtype=np.uint32)))
     for bucket, rows in held.items():
         name, place = np.unique(np.concatenate([k for _, k, _ in rows]), return_inverse=True)
         total = np.bincount(place, np.concatenate([c for _, _, c in rows])).astype(np.uint32)
@@ -164,14 +147,8 @@ def score(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF) -> Data
     score 0 with a null mean.  Rows with a null or repeated doc_id are documents
     like any other; an empty table gives no rows; other columns are ignored.
     """
-    spark = docs.sparkSession
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    path = shared_path(spark, "parts")
-    table = "parts_" + path.rpartition("-")[2]
-    # Written once and bucketed, so that totals come to the parts and texts never move again.
-    parts = doc_key(docs).mapInArrow(_parts, PARTS)
-    parts.write.bucketBy(buckets, "part").option("path", path).option("compression", "zstd").format("parquet").saveAsTable(table)
-    known, vocabulary = spark.table(table), 0
+    parts, buckets = write_parts(docs, PART_BYTES)
+    known, vocabulary = parts, 0
     for n in range(1, order + 1):
         grams = known.mapInArrow(_explode(n, buckets), "bucket int, part long, keys binary, counts binary")
         counted = grams.repartition(buckets, "bucket").mapInArrow(_count, "part long, bucket int, totals binary, distinct long")
@@ -186,7 +163,7 @@ def score(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF) -> Data
             sizes = [len(Part(t, e, 1).word) for t, e in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(sizes, pa.int64())], ["n"])
 
-    words = spark.table(table).select("text", "ends").mapInArrow(lengths, "n long").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+    words = parts.select("text", "ends").mapInArrow(lengths, "n long").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
