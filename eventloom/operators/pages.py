@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from datetime import timedelta
 
@@ -57,17 +58,31 @@ def logs_page(
 def _around_newest(rows: DataFrame, n: int) -> DataFrame:
     """Rows of a stored log from the instant of the n-th newest on.
 
-    The first pass reads instants and filter columns only; payloads are then
-    read from the few days and row groups that hold the page.
+    Day folders are opened newest first, twice as many each time, until they
+    hold `n` rows; that pass reads instants and filter columns only.  Payloads
+    are then read from the few days and row groups that hold the page.
     """
-    instants = rows.select("received_at").orderBy(F.desc("received_at")).limit(n)
-    oldest = instants.select(F.unix_micros(F.min("received_at")).alias("at")).head()["at"]
-    if oldest is None:
+    days = sorted({d for f in rows.inputFiles() if (d := _day_of(f))}, reverse=True)
+    many = 1
+    while True:
+        since = rows if many >= len(days) else rows.filter(F.col("event_date") >= F.lit(days[many - 1]).cast("date"))
+        instants = since.select("received_at").orderBy(F.desc("received_at")).limit(n)
+        seen = instants.select(F.unix_micros(F.min("received_at")).alias("at"), F.count("*").alias("n")).head()
+        if seen["n"] >= n or many >= len(days):
+            break
+        many *= 2
+    if seen["at"] is None:
         return rows.limit(0)
-    at = F.timestamp_micros(F.lit(oldest))
+    at = F.timestamp_micros(F.lit(seen["at"]))
     return rows.filter((F.col("received_at") >= at) & (F.col("event_date") >= F.to_date(at)))
 
 
+def _day_of(file: str) -> str | None:
+    """The day in a table file's path."""
+    found = re.search(r"/event_date=(\d{4}-\d\d-\d\d)/", file)
+    return found and found[1]
+
+
 def next_key(page: DataFrame) -> tuple | None:
     """Where the page after this one starts, or None at the end."""
     key = F.min(F.struct(F.unix_micros("received_at").alias("micros"), "_id"))
@@ -75,14 +90,16 @@ def next_key(page: DataFrame) -> tuple | None:
     return None if last is None else (EPOCH + timedelta(microseconds=last["micros"]), last["_id"])
 
 
-def walk_pages(ev: DataFrame, limit: int = PAGE_MAX, params: Params | None = None) -> Iterator[DataFrame]:
-    """Pages until none follows, for interactive readers; ties never repeat or drop rows.
+def walk_pages(
+    ev: DataFrame, limit: int = PAGE_MAX, params: Params | None = None, projects=None, project=None,
+) -> Iterator[DataFrame]:
+    """Pages until none follows, in a project or all, for interactive readers; ties never repeat or drop rows.
 
     To move a whole result somewhere, write ``filter_events(...)`` instead.
     """
     after = None
     while True:
-        page = logs_page(ev, limit, after, params)
+        page = logs_page(ev, limit, after, params, projects, project)
         yield page
         after = next_key(page)
         if after is None:

@@ -21,7 +21,7 @@ from eventloom.schema import Limits
 from eventloom.session import configure, shared_path
 from eventloom.sources import segments, store
 from eventloom.sources.tables import NOW, WHOLE, event_log, project_table, stream_event_log, table
-from eventloom.streaming.ingest import dedup_stream, run_ingest
+from eventloom.streaming.ingest import dedup_stream, run_body_ingest, run_ingest
 from eventloom.streaming.live import stream_stats, stream_tail
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -338,6 +338,16 @@ def _page(ev, **kw):
 
 
 add("logs_page", EV + PAGE_SQL.format(where="true", limit=100), _page)
+
+
+@register("logs_page_stored", EV + PAGE_SQL.format(where="true", limit=100), log=False)
+def _page_stored(spark, sf_dir):
+    """The page over a written table, where only its newest days are opened."""
+    path = shared_path(spark, "paged")
+    store.write_events(event_log(spark, sf_dir), path)
+    return _page(store.read_events(spark, path))
+
+
 add(
     "logs_page_filtered",
     EV + PAGE_SQL.format(where="level = 'error' and app = 'svc2'", limit=500),
@@ -450,26 +460,23 @@ register(
 )(lambda spark, d: envelopes.normalize(_batches(spark, d), _sources(spark))[1])
 
 
-@register(
-    "normalize_accepted",
-    BATCH_SQL + """, items as (
-      select *, 0 as pos from checked where error is null union all select *, 1 from checked where error is null and not single)
-    select case source_id when 'user' then 'chat' else 'bot' end as app, 'prod' as env,
-      case when pos = 0 then 'chat.' || role else 'chat.turn' end as event,
-      case when pos = 1 then 'debug' when turn % 4 = 3 then 'warn' else 'info' end as level,
-      case when pos = 0 and turn % 2 = 1 then '2024-01-02T03:04:05Z' end as ts,
-      case when pos = 0 then substring(text, 1, 512) end as message,
-      case when pos = 0 then concat(conv_id, '|', turn, '|', case when turn % 2 = 0 then 'true' else 'false' end, '|',
-        case when turn % 2 = 0 then cast(turn // 2 as varchar) else cast(turn / 2 as varchar) end) end as ids,
-      case when pos = 0 then cast(length(text) as bigint) end as chars, case when pos = 0 then role end as role,
-      strftime(received_at, '%Y-%m-%dT%H:%M:%S.%g') || 'Z' as received_at,
-      strftime(received_at + case when pos = 1 then interval 7 day when turn % 4 = 3 then interval 90 day else interval 30 day end,
-        '%Y-%m-%dT%H:%M:%S.%g') || 'Z' as expires_at
-    from items""",
-    log=False,
-)
-def _normalized(spark, sf_dir):
-    ev, _ = envelopes.normalize(_batches(spark, sf_dir), _sources(spark))
+ACCEPTED_SQL = BATCH_SQL + """, items as (
+    select *, 0 as pos from checked where error is null union all select *, 1 from checked where error is null and not single)
+  select case source_id when 'user' then 'chat' else 'bot' end as app, 'prod' as env,
+    case when pos = 0 then 'chat.' || role else 'chat.turn' end as event,
+    case when pos = 1 then 'debug' when turn % 4 = 3 then 'warn' else 'info' end as level,
+    case when pos = 0 and turn % 2 = 1 then '2024-01-02T03:04:05Z' end as ts,
+    case when pos = 0 then substring(text, 1, 512) end as message,
+    case when pos = 0 then concat(conv_id, '|', turn, '|', case when turn % 2 = 0 then 'true' else 'false' end, '|',
+      case when turn % 2 = 0 then cast(turn // 2 as varchar) else cast(turn / 2 as varchar) end) end as ids,
+    case when pos = 0 then cast(length(text) as bigint) end as chars, case when pos = 0 then role end as role,
+    strftime(received_at, '%Y-%m-%dT%H:%M:%S.%g') || 'Z' as received_at,
+    strftime(received_at + case when pos = 1 then interval 7 day when turn % 4 = 3 then interval 90 day else interval 30 day end,
+      '%Y-%m-%dT%H:%M:%S.%g') || 'Z' as expires_at
+  from items"""
+
+
+def _accepted(ev: DataFrame) -> DataFrame:
     ids = F.concat_ws("|", *[F.col("ids")[k] for k in ("convId", "turn", "even", "half")])
     return ev.select(
         "app", "env", "event", "level", "ts", "message", F.when(F.col("ids").isNotNull(), ids).alias("ids"),
@@ -478,6 +485,31 @@ def _normalized(spark, sf_dir):
     )
 
 
+register("normalize_accepted", ACCEPTED_SQL, log=False)(
+    lambda spark, d: _accepted(envelopes.normalize(_batches(spark, d), _sources(spark))[0])
+)
+
+
+def _posted(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
+    """The bodies drained as a stream, twice from fresh positions: the table and its rejects."""
+    source, path = shared_path(spark, "bodies"), shared_path(spark, "posted")
+    batches = _batches(spark, sf_dir)
+    batches.write.parquet(source)
+    for _ in range(2):
+        stream = spark.readStream.schema(batches.schema).parquet(source)
+        run_body_ingest(stream, _sources(spark), path, shared_path(spark, "checkpoint"), available_now=True).awaitTermination()
+    return path, f"{path}__rejects"
+
+
+register("stream_normalize", ACCEPTED_SQL, log=False)(lambda spark, d: _accepted(store.read_events(spark, _posted(spark, d)[0])))
+register(
+    "stream_normalize_rejected",
+    BATCH_SQL + """select batch_id, cast(case when source_id in ('user', 'assistant') and not broken then 1 end as integer) as index, error
+    from checked where error is not null""",
+    log=False,
+)(lambda spark, d: spark.read.parquet(_posted(spark, d)[1]).select("batch_id", "index", "error"))
+
+
 register(
     "explode_batches",
     BATCH_SQL + """select batch_id, 0 as pos, 'chat.' || role as event from b where not broken

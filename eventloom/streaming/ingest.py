@@ -10,6 +10,8 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
+from eventloom.operators.envelopes import accepted, check_batches, rejected
+from eventloom.schema import Limits
 from eventloom.session import configure
 from eventloom.sources.segments import split_bad_lines, stream_segments
 from eventloom.sources.store import append_new
@@ -49,6 +51,34 @@ def run_ingest(
     return writer.start()
 
 
+def run_body_ingest(
+    bodies: DataFrame, sources: DataFrame, store: str, checkpoint: str, rejects: str | None = None,
+    interval: str | None = "200 milliseconds", available_now: bool = False, limits: Limits = Limits(),
+) -> StreamingQuery:
+    """Start checking posted bodies (a stream of ``batch_id, source_id, received_at, body``) into the table at `store`.
+
+    Each micro-batch is checked once: events of admitted batches are appended,
+    verdicts on the others go to `rejects` (default: ``<store>__rejects``) as
+    Parquet, a folder per micro-batch.  Ids follow from content, so a replay
+    adds nothing.
+    """
+    configure(bodies.sparkSession)
+    rejects = (rejects or f"{store.rstrip('/')}__rejects").rstrip("/")
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        session = configure(batch.sparkSession)
+        checked = check_batches(batch, sources, limits).persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            append_new(session, store, accepted(checked, limits))
+            rejected(checked).write.mode("overwrite").parquet(f"{rejects}/batch={epoch}")
+        finally:
+            checked.unpersist()
+
+    writer = bodies.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=interval)
+    return writer.start()
+
+
 def dedup_stream(ev: DataFrame, delay: str = "10 minutes") -> DataFrame:
     """A stream with each id once within the delay; state is bounded by the watermark.
 

@@ -58,3 +58,32 @@ def test_duplicate_check_does_not_shuffle_the_store(spark, tmp_path):
     text = plan(fresh)
     assert "BroadcastHashJoin" in text and "SortMergeJoin" not in text.split("LeftSemi")[0]
     assert fresh.count() == 0
+
+
+def test_page_of_a_table_opens_its_newest_days_only(spark, tmp_path):
+    from helpers import log
+
+    from eventloom.operators.pages import logs_page, walk_pages
+    from eventloom.sources import store
+
+    days = [f"2026-06-{d:02d}T0{h}:00:00Z" for d in range(1, 21) for h in range(5)]
+    store.write_events(log(spark, [dict(_id=f"{i:03d}", received_at=t, app="ab"[i % 2]) for i, t in enumerate(days)]), str(tmp_path))
+    ev = store.read_events(spark, str(tmp_path))
+    page = logs_page(ev, 7)
+    assert [r._id for r in page.collect()] == [f"{i:03d}" for i in range(99, 92, -1)]
+    assert "2026-06-19" in page._jdf.queryExecution().executedPlan().toString()
+    walked = [r._id for p in walk_pages(ev, 30) for r in p.collect()]
+    assert walked == [f"{i:03d}" for i in range(99, -1, -1)]
+    projects = spark.createDataFrame([("p", ["a"])], "slug string, apps array<string>")
+    assert [r._id for p in walk_pages(ev, 30, None, projects, "p") for r in p.collect()] == [f"{i:03d}" for i in range(98, -1, -2)]
+
+
+def test_exact_percentiles_share_one_shuffle_of_values(spark):
+    from conftest import SF_SMALL
+
+    from eventloom.operators import rollups
+    from eventloom.sources.tables import event_log
+
+    df = rollups.stats(event_log(spark, SF_SMALL), "day", "2024-01-01", "2024-03-01")
+    df.collect()
+    assert "ReusedExchange" in df._jdf.queryExecution().executedPlan().toString() or "ReusedQueryStage" in df._jdf.queryExecution().executedPlan().toString()
