@@ -113,6 +113,30 @@ def group_counts(ev: DataFrame, by: str) -> DataFrame:
     return ev.selectExpr(f"{field(ev, by)} as t").groupBy("t.rank", "t.num", "t.str").agg(F.count("*").alias("count"))
 
 
+def top_values(rows: DataFrame, limits: dict[str, int]) -> DataFrame:
+    """The largest groups of several fields, from one scan: ``dim, value, count``, `limits` naming how many of each.
+
+    Spark keeps only each task's largest groups of a field before they are
+    ranked, so no task ever sees all values of one.
+    """
+    one = [f"named_struct('dim', {quote(by)}, 't', {field(rows, by)})" for by in limits]
+    counts = rows.selectExpr(f"explode(array({', '.join(one)})) as d").groupBy("d.dim", "d.t.rank", "d.t.num", "d.t.str")
+    order = Window.partitionBy("dim").orderBy(F.desc("count"), F.asc_nulls_first("rank"), "num", "str")
+    ranked = counts.agg(F.count("*").alias("count")).withColumn("_nth", F.row_number().over(order))
+    most = F.create_map(*[F.lit(x) for pair in limits.items() for x in pair])
+    top = ranked.filter(F.col("_nth") <= max(limits.values())).filter(F.col("_nth") <= most[F.col("dim")])
+    return top.selectExpr("dim", "count", "struct(rank, num, str) as t").selectExpr("dim", f"{value_text('t')} as value", "count")
+
+
+def selected(ev: DataFrame, params: Params | None = None, projects=None, project=None, now=None) -> DataFrame:
+    """Events that match parameters, in their window (by default the last 24 hours) and project."""
+    given = [(k, v) for k, v in pairs(params) if k not in ("limit", "after")]
+    start, end = resolve_window(dict(given).get("from"), dict(given).get("to"), now)
+    given = [(k, v) for k, v in given if k not in ("from", "to")] + [("from", start), ("to", end)]
+    rows = filter_events(ev, given)
+    return rows if project is None else scope(rows, dict(given).get("app"), projects, project)
+
+
 def groupby(
     ev: DataFrame, by: str, limit: int = GROUPS_DEFAULT, like: str | None = None, params: Params | None = None,
     projects=None, project=None, now=None,
@@ -129,13 +153,7 @@ def groupby(
     limit = min(max(int(limit), 1), GROUPS_MAX)
     if like is not None and len(like) > LIKE_TEXT_MAX:
         raise ValueError(f"like exceeds {LIKE_TEXT_MAX} chars")
-    given = [(k, v) for k, v in pairs(params) if k not in ("limit", "after")]
-    start, end = resolve_window(dict(given).get("from"), dict(given).get("to"), now)
-    given = [(k, v) for k, v in given if k not in ("from", "to")] + [("from", start), ("to", end)]
-    rows = filter_events(ev, given)
-    if project is not None:
-        rows = scope(rows, dict(given).get("app"), projects, project)
-    counts = group_counts(rows, by)
+    counts = group_counts(selected(ev, params, projects, project, now), by)
     if like:
         counts = counts.filter(f"rank = {STRING} and contains(lower(str), {quote(like.lower())})")
     total = counts.agg(F.sum("count")).scalar()

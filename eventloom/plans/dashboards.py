@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from eventloom.functions.times import resolve_window
 from eventloom.functions.values import NUMBER, field, to_double
 from eventloom.operators.filters import Params, event_prefix, in_window, scope
-from eventloom.operators.rollups import groupby, job_failed
+from eventloom.operators.rollups import groupby, job_failed, selected, top_values
 from eventloom.schema import JOB_PREFIXES, SUGGEST_MAX
 
 SLOW_MS = 300
@@ -73,12 +73,10 @@ def top_by(
     projects=None, project=None, now=None,
 ) -> DataFrame:
     """Top apps, users and models in one table ``dim, value, count, share_percent``."""
-    out = None
-    for dim in ("app", f"ids.{user_key}", "data.model"):
-        top = groupby(ev, dim, limit, None, params, projects, project, now)
-        top = share_of_max(top, with_other=False).select(F.lit(dim).alias("dim"), "value", "count", "share_percent")
-        out = top if out is None else out.unionByName(top)
-    return out
+    rows = selected(ev, params, projects, project, now)
+    top = top_values(rows, dict.fromkeys(("app", f"ids.{user_key}", "data.model"), limit))
+    most = F.greatest(F.max("count").over(Window.partitionBy("dim")), F.lit(1))  # `limit` rows each
+    return top.select("dim", "value", "count", F.round(100 * F.col("count") / most).cast("int").alias("share_percent"))
 
 
 def overview(
@@ -89,7 +87,7 @@ def overview(
 
     Section ``card`` has warnings and errors, cost, tokens, slow events, jobs
     and failing jobs; ``user`` the five and ``service`` the ten largest groups.
-    All event-level cards come from one pass.
+    Event-level cards, job cards and groups take one pass each.
     """
     start, end = resolve_window(from_, to, now)
     rows = scope(in_window(ev, start, end), None, projects, project)
@@ -117,15 +115,12 @@ def overview(
     def as_rows(df: DataFrame) -> DataFrame:
         return df.unpivot([], df.columns, "name", "value").select(F.lit("card").alias("section"), "name", "value")
 
-    def groups(by: str, limit: int, section: str) -> DataFrame:
-        top = groupby(rows, by, limit, params={"from": start, "to": end})
-        return top.select(F.lit(section).alias("section"), F.col("value").alias("name"), F.col("count").cast("double").alias("value"))
-
+    top = top_values(rows, {f"ids.{user_key}": 5, "app": 10})
+    section = F.when(F.col("dim") == "app", "service").otherwise("user")
     return (
         as_rows(cards)
         .unionByName(as_rows(jobs))
-        .unionByName(groups(f"ids.{user_key}", 5, "user"))
-        .unionByName(groups("app", 10, "service"))
+        .unionByName(top.select(section.alias("section"), F.col("value").alias("name"), F.col("count").cast("double").alias("value")))
     )
 
 

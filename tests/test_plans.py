@@ -87,3 +87,15 @@ def test_exact_percentiles_share_one_shuffle_of_values(spark):
     df = rollups.stats(event_log(spark, SF_SMALL), "day", "2024-01-01", "2024-03-01")
     df.collect()
     assert "ReusedExchange" in df._jdf.queryExecution().executedPlan().toString() or "ReusedQueryStage" in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_top_values_take_one_scan(spark):
+    from conftest import SF_SMALL
+
+    from eventloom.plans import dashboards
+    from eventloom.sources.tables import WHOLE, event_log
+
+    df = dashboards.top_by(event_log(spark, SF_SMALL), "userId", params=WHOLE)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") + plan.count("Scan parquet") <= 2 and "WindowGroupLimit" in plan
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 1
