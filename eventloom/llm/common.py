@@ -29,7 +29,7 @@ def doc_key(docs: DataFrame, column: str = "doc_id", text: str = "text") -> Data
     return docs.select(F.col(column).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
 
 
-def partitions_for(spark: SparkSession, rows: int, per: int) -> int:
+def partitions_for(rows: int, per: int) -> int:
     """How many partitions hold `rows` rows, `per` in each at most on average."""
     return max(1, -(-rows // per))
 

@@ -164,9 +164,8 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY
     repeated doc_id are packed like any other; an empty table gives no rows;
     columns other than doc_id and text are ignored.
     """
-    spark = docs.sparkSession
     cut = written(pieces(docs, tokenizer, capacity, separator), "pieces")
-    parts = partitions_for(spark, cut.count(), block)
+    parts = partitions_for(cut.count(), block)
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, done, held = TaskContext.get().partitionId(), 0, []
