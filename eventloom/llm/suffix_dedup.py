@@ -3,11 +3,12 @@
 Which suffixes to index is decided by content: every 50-byte string has an
 anchor, its leftmost 16-byte gram of least hash, so equal strings have equal
 anchors.  A first exchange drops anchors that only one document has.  For the
-rest, the bytes around the anchor travel to the task that owns the gram.  There,
-batches of suffixes, cut at 50 bytes, become sorted arrays; equal-sized arrays
-merge, so a task holds a logarithmic family of levels; each entry keeps the
-smallest document it was seen in.  Merge-scanning every batch against the
-levels tells which strings an earlier document has.
+rest, the bytes around each anchor, once per part of the corpus and with the
+smallest document that has them there, go to the task that owns the gram.
+There, batches of suffixes cut at 50 bytes become sorted arrays; equal-sized
+arrays merge, so a task holds a logarithmic family of levels, each entry with
+the smallest document it was seen in.  Merge-scanning every batch against the
+levels gives each string's earliest document, and parts compare their own.
 """
 
 from __future__ import annotations
@@ -20,10 +21,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eventloom.llm.common import written
-from eventloom.llm.words import small_batches, span_hash, span_sums, text_bytes
-from eventloom.session import shared_path
+from eventloom.llm.parts import LOW, pack_keys, unpack_keys, write_parts
+from eventloom.llm.words import mix, span_hash, span_sums
 
 LENGTH, GRAM = 50, 16
+PART_BYTES = 2 << 20
 #: Suffixes in one batch of the index.
 BATCH = 1 << 19
 LAST = (1 << 63) - 1
@@ -56,229 +58,289 @@ def anchors(data: np.ndarray, starts: np.ndarray, length: int = LENGTH) -> tuple
     return value[at], text[whole[first]], at - starts[text[whole[first]]], whole[first], whole[last] + length
 
 
+class PartTexts:
+    """A part's bytes, its documents, and its anchors grouped by gram."""
+
+    def __init__(self, batch: pa.RecordBatch, i: int, shards: int, length: int) -> None:
+        row = {n: batch.column(n)[i].as_py() for n in ("part", "docs", "known", "text", "ends")}
+        self.part, self.length = row["part"], length
+        known = np.frombuffer(row["known"], np.uint8) > 0
+        self.known, self.docs = known, np.where(known, np.frombuffer(row["docs"], np.int64), LAST)
+        self.data = np.frombuffer(row["text"], np.uint8)
+        self.starts = np.concatenate([[0], np.frombuffer(row["ends"], np.int64)])
+        key, self.text, _, self.begin, self.end = anchors(self.data, self.starts, length)
+        # a shard and 47 more bits name a gram; the lowest bit tells that several documents of the part have it
+        self.name = (((key >> np.uint64(40)) % np.uint64(shards)) << np.uint64(48)) | (mix(key + np.uint64(1)) & LOW & ~np.uint64(1))
+
+    def grams(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(name, several) of the distinct grams in order, and each anchor's."""
+        name, place = np.unique(self.name, return_inverse=True)
+        low, high = np.full(len(name), LAST), np.full(len(name), -1)
+        np.minimum.at(low, place, self.docs[self.text])
+        np.maximum.at(high, place, self.docs[self.text])
+        return name, low != high, place
+
+    def contexts(self, masks: list[dict]) -> tuple[np.ndarray, ...]:
+        """(shard, begin, end, smallest doc) of the distinct contexts of repeated grams in order; the anchors that have them, and which."""
+        name, _, place = self.grams()
+        again = np.zeros(len(name), dtype=bool)
+        for m in masks:
+            a, b = np.searchsorted(name >> np.uint64(48), (m["shard"], m["shard"] + 1))
+            again[a:b] = np.unpackbits(np.frombuffer(m["mask"], np.uint8), count=b - a) > 0
+        mine = np.flatnonzero(again[place])
+        begin, end = self.begin[mine], self.end[mine]
+        whole = span_hash(span_sums(self.data), begin, end) ^ (end - begin).astype(np.uint64)
+        order = np.lexsort((whole, self.name[mine]))
+        mine, whole = mine[order], whole[order]
+        own = self.name[mine]
+        fresh = np.ones(len(mine), dtype=bool)
+        fresh[1:] = (own[1:] != own[:-1]) | (whole[1:] != whole[:-1])
+        first, number = np.flatnonzero(fresh), np.cumsum(fresh) - 1
+        least = np.minimum.reduceat(self.docs[self.text[mine]], first) if len(first) else np.zeros(0, np.int64)
+        at = mine[first]
+        return (self.name[at] >> np.uint64(48)).astype(np.int64), self.begin[at], self.end[at], least, mine, number
+
+
 def _exploded(starts: np.ndarray, size: np.ndarray) -> np.ndarray:
     """start, start + 1, ... for each start, `size` of each, end to end."""
-    return np.repeat(starts - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
+    return np.repeat(starts - np.concatenate([[0], np.cumsum(size)[:-1]]).astype(np.int64), size) + np.arange(size.sum())
 
 
-def _packed(values: np.ndarray, cuts: np.ndarray) -> pa.Array:
-    """Binary values: the bytes of values[cuts[i]:cuts[i + 1]]."""
-    raw = np.ascontiguousarray(values)
-    return pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer((cuts * raw.itemsize).astype(np.int32)), pa.py_buffer(raw)])
+def _cuts(shard: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(shard, from, to) of each run of a sorted array."""
+    present, first = np.unique(shard, return_index=True)
+    yield from zip(present.tolist(), first.tolist(), [*first[1:].tolist(), len(shard)], strict=True)
 
 
-def _grams(base: DataFrame, shards: int, length: int) -> DataFrame:
-    """(shard, keys, rows, docs): the anchors' keys of a batch of texts that belong to a shard, and whose they are."""
+def _rows(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+    fields = [f.split() for f in schema.split(", ")]
+    columns = list(zip(*rows, strict=True)) or [[]] * len(fields)
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(columns, fields, strict=True)], [n for n, _ in fields])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches, 2):
-            data, starts = text_bytes(batch.column(2))
-            key, text, _, _, _ = anchors(data, starts, length)
-            rows, docs = (batch.column(c).to_numpy() for c in (0, 1))
-            shard = (key % np.uint64(shards)).astype(np.int64)
-            order = np.lexsort((key, shard))
-            key, text, shard = key[order], text[order], shard[order]
-            # a gram that a text repeats counts once
-            once = np.ones(len(key), dtype=bool)
-            once[1:] = (key[1:] != key[:-1]) | (text[1:] != text[:-1])
-            key, text, shard = key[once], text[once], shard[once]
-            present, first = np.unique(shard, return_index=True)
-            cuts = np.append(first, len(shard))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(present.astype(np.int32)), _packed(key, cuts), _packed(rows[text], cuts), _packed(docs[text], cuts)], ["shard", "keys", "rows", "docs"]
-            )
-
-    return base.mapInArrow(run, "shard int, keys binary, rows binary, docs binary")
 
+GRAMS = "shard int, part long, keys binary"
+MASKS = "part long, shard int, mask binary"
+CONTEXTS = "shard int, part long, bytes binary, sizes binary, docs binary"
+RUNS = "part long, shard int, runs binary"
+#: A run of strings of one context: the context's number in its part and shard, first and last string, earliest document.
+RUN = np.dtype([("context", "<u4"), ("first", "<u2"), ("last", "<u2"), ("doc", "<i8")])
 
-def _repeated(grams: DataFrame, shards: int) -> DataFrame:
-    """(row, keys): per text, packed keys of its grams that texts of another doc also have."""
 
+def _grams(parts: DataFrame, shards: int, length: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # a task owns its shards whole: about total / shards, a few bytes per anchor
-        read = [[np.frombuffer(b, dtype=t) for b in batch.column(c).to_pylist()] for batch in batches for c, t in ((1, np.uint64), (2, np.int64), (3, np.int64))]
-        key, row, doc = (np.concatenate([x for part in read[c::3] for x in part] or [np.zeros(0, np.int64)]) for c in range(3))
-        if not len(key):
-            return
-        order = np.argsort(key.view(np.uint64), kind="stable")
-        key, row, doc = key.view(np.uint64)[order], row[order], doc[order]
-        first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-        many = np.minimum.reduceat(doc, first) != np.maximum.reduceat(doc, first)
-        mine = np.repeat(many, np.diff(np.append(first, len(key))))
-        key, row = key[mine], row[mine]
-        order = np.argsort(row, kind="stable")
-        key, row = key[order], row[order]
-        present, at = np.unique(row, return_index=True)
-        cuts = np.append(at, len(row))
-        for a in range(0, len(present), 20_000):
-            yield pa.RecordBatch.from_arrays([pa.array(present[a : a + 20_000]), _packed(key, cuts[a : a + 20_001])], ["row", "keys"])
+        for batch in batches:
+            for i in range(batch.num_rows):
+                own = PartTexts(batch, i, shards, length)
+                name, several, _ = own.grams()
+                keys = pack_keys((name & LOW) | several.astype(np.uint64))
+                yield _rows([(s, own.part, keys[a:b].tobytes()) for s, a, b in _cuts(name >> np.uint64(48))], GRAMS)
 
-    return grams.repartition(shards, "shard").mapInArrow(run, "row long, keys binary")
+    return parts.mapInArrow(run, GRAMS)
 
 
-CONTEXT = "key long, context binary, rows binary, docs binary, begins binary"
+def _repeated(grams: DataFrame, shards: int) -> DataFrame:
+    """Which of each part's grams are in several documents or parts; a task holds the keys of its shards, six bytes an anchor."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[tuple[int, bytes]]] = {}
+        for batch in batches:
+            for shard, part, keys in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                held.setdefault(shard, []).append((part, keys))
+        for shard, rows in held.items():
+            key = np.concatenate([unpack_keys(k) for _, k in rows])
+            _, place, count = np.unique(key >> np.uint64(1), return_inverse=True, return_counts=True)
+            again = count > 1
+            again[place[(key & np.uint64(1)) > 0]] = True
+            mask, at = again[place], 0
+            out = []
+            for part, keys in rows:
+                n = len(unpack_keys(keys))
+                out.append((part, shard, np.packbits(mask[at : at + n]).tobytes()))
+                at += n
+            yield _rows(out, MASKS)
 
-def _contexts(texts: DataFrame, length: int) -> DataFrame:
-    """The bytes around every repeated anchor, once per batch, with the texts that have them and where."""
+    return grams.repartition(shards, "shard").mapInArrow(run, MASKS)
 
+
+def _contexts(parts: DataFrame, shards: int, length: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches, 2):
-            data, starts = text_bytes(batch.column(2))
-            key, text, _, begin, end = anchors(data, starts, length)
-            rows, docs = (batch.column(c).to_numpy() for c in (0, 1))
-            known = [np.unique(np.frombuffer(b"".join(k or ()), dtype=np.uint64)) for k in batch.column(3).to_pylist()]
-            mine = np.zeros(len(key), dtype=bool)
-            cuts = np.searchsorted(text, np.arange(batch.num_rows + 1))
-            for i, k in enumerate(known):
-                if len(k):
-                    part = key[cuts[i] : cuts[i + 1]]
-                    mine[cuts[i] : cuts[i + 1]] = k[np.minimum(np.searchsorted(k, part), len(k) - 1)] == part
-            key, text, begin, end = (x[mine] for x in (key, text, begin, end))
-            if not len(key):
-                continue
-            whole = span_hash(span_sums(data), begin, end) ^ (end - begin).astype(np.uint64)
-            order = np.lexsort((whole, key))
-            key, text, begin, end, whole = (x[order] for x in (key, text, begin, end, whole))
-            first = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (whole[1:] != whole[:-1])))
-            cuts = np.append(first, len(key))
-            size = (end - begin)[first]
-            bytes_ = data[_exploded(begin[first], size)]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(key[first].view(np.int64)),
-                    _packed(bytes_, np.concatenate([[0], np.cumsum(size)])),
-                    _packed(rows[text], cuts),
-                    _packed(docs[text], cuts),
-                    _packed((begin - starts[text]).astype(np.int64), cuts),
-                ],
-                ["key", "context", "rows", "docs", "begins"],
-            )
-
-    return texts.mapInArrow(run, CONTEXT)
+        for batch in batches:
+            for i in range(batch.num_rows):
+                own = PartTexts(batch, i, shards, length)
+                shard, begin, end, least, _, _ = own.contexts(batch.column("masks")[i].as_py() or [])
+                size = end - begin
+                out = []
+                for s, a, b in _cuts(shard):
+                    data = own.data[_exploded(begin[a:b], size[a:b])]
+                    out.append((s, own.part, data.tobytes(), size[a:b].astype(np.uint16).tobytes(), least[a:b].tobytes()))
+                yield _rows(out, CONTEXTS)
+
+    return parts.mapInArrow(run, CONTEXTS)
+
+
+def sorted_order(name: np.ndarray, code: np.ndarray) -> np.ndarray:
+    """The order of (name, code).  Names alone nearly decide it; only runs of one name with several codes are sorted twice."""
+    order = np.argsort(name)
+    n, c = name[order], code[order]
+    same = n[1:] == n[:-1]
+    mixed = same & (c[1:] != c[:-1])
+    if mixed.any():
+        run = np.concatenate([[0], np.cumsum(~same)])
+        bad = np.zeros(run[-1] + 1, dtype=bool)
+        bad[run[1:][mixed]] = True
+        at = np.flatnonzero(bad[run])
+        sub = order[at]
+        order[at] = sub[np.lexsort((code[sub], name[sub]))]
+    return order
 
 
 class Levels:
-    """Sorted arrays of (prefix, hash, smallest doc), sizes at least doubling downwards."""
+    """Sorted suffix arrays (name, code, smallest doc), each more than twice as long as the next.
+
+    A name is a suffix's first four bytes and 32 bits of its hash, so arrays are
+    in byte order as far as four bytes go; name and code together stand for the
+    suffix.
+    """
 
     def __init__(self) -> None:
         self.held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
     @staticmethod
-    def array(prefix: np.ndarray, code: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Suffixes in order of their first eight bytes, then of the hash of all; equal ones once, with their smallest doc."""
-        order = np.lexsort((code, prefix))
-        prefix, code, doc = prefix[order], code[order], doc[order]
-        first = np.flatnonzero(np.append(True, (prefix[1:] != prefix[:-1]) | (code[1:] != code[:-1])))
-        return prefix[first], code[first], np.minimum.reduceat(doc, first)
-
-    def add(self, prefix: np.ndarray, code: np.ndarray, doc: np.ndarray) -> None:
-        if not len(prefix):
+    def array(name: np.ndarray, code: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The suffixes in order, equal ones once, with their smallest doc."""
+        order = sorted_order(name, code)
+        name, code, doc = name[order], code[order], doc[order]
+        first = np.flatnonzero(np.append(True, (name[1:] != name[:-1]) | (code[1:] != code[:-1])))
+        return name[first], code[first], np.minimum.reduceat(doc, first)
+
+    def add(self, name: np.ndarray, code: np.ndarray, doc: np.ndarray) -> None:
+        """A new batch becomes a level; levels of its size merge with it."""
+        if not len(name):
             return
-        new = self.array(prefix, code, doc)
+        new = self.array(name, code, doc)
         while self.held and len(self.held[-1][0]) <= 2 * len(new[0]):
-            old = self.held.pop()
-            new = self.array(*(np.concatenate(x) for x in zip(old, new, strict=True)))
+            new = self.array(*(np.concatenate(x) for x in zip(self.held.pop(), new, strict=True)))
         self.held.append(new)
 
-    def scan(self, code: np.ndarray, prefix: np.ndarray) -> np.ndarray:
-        """The smallest doc that any level holds for each suffix."""
-        least = np.full(len(code), LAST)
-        for own_prefix, own, doc in self.held:
-            both = np.lexsort((np.concatenate([np.zeros(len(own), np.int8), np.ones(len(code), np.int8)]), np.concatenate([own, code]), np.concatenate([own_prefix, prefix])))
-            ours = both < len(own)
-            at = np.maximum.accumulate(np.where(ours, both, -1))
-            asked = ~ours & (at >= 0)
-            i, j = both[asked] - len(own), at[asked]
-            same = (own[j] == code[i]) & (own_prefix[j] == prefix[i])
-            least[i[same]] = np.minimum(least[i[same]], doc[j[same]])
+    def scan(self, name: np.ndarray, code: np.ndarray) -> np.ndarray:
+        """The smallest doc that any level holds for each suffix; the batch is merged along in its own order."""
+        least = np.full(len(name), LAST)
+        if not len(name):
+            return least
+        order = sorted_order(name, code)
+        n, c = name[order], code[order]
+        first = np.flatnonzero(np.append(True, (n[1:] != n[:-1]) | (c[1:] != c[:-1])))
+        group = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(n))))
+        n, c = n[first], c[first]
+        best = np.full(len(n), LAST)
+        for own_name, own, doc in self.held:
+            at = np.searchsorted(own_name, n)
+            todo = np.arange(len(n))
+            while len(todo):  # more than once only where names collide
+                inside = at[todo] < len(own_name)
+                todo = todo[inside]
+                todo = todo[own_name[at[todo]] == n[todo]]
+                same = own[at[todo]] == c[todo]
+                hit = todo[same]
+                best[hit] = np.minimum(best[hit], doc[at[hit]])
+                todo = todo[~same]
+                at[todo] += 1
+        least[order] = best[group]
         return least
 
 
-def _suffixes(context: pa.Array, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(prefix, hash, context number) of every `length`-byte string of every context, in order."""
-    context = context.cast(pa.large_binary())
-    starts = np.frombuffer(context.buffers()[1], dtype=np.int64)[context.offset : context.offset + len(context) + 1]
-    data = np.frombuffer(context.buffers()[2], dtype=np.uint8)[starts[0] : starts[-1]]
-    starts = starts - starts[0]
-    count = np.diff(starts) - length + 1
-    at = _exploded(starts[:-1], count)
+def _suffixes(data: np.ndarray, size: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(name, code, context number) of every `length`-byte string of every context, in order."""
+    starts = np.concatenate([[0], np.cumsum(size)[:-1]]).astype(np.int64)
+    count = size - length + 1
+    at = _exploded(starts, count)
     code = span_hash(span_sums(data), at, at + length)
     prefix = np.zeros(len(at), np.uint64)
-    for i in range(8):
+    for i in range(4):
         prefix = (prefix << np.uint64(8)) | data[at + i].astype(np.uint64)
-    return prefix, code, np.repeat(np.arange(len(context)), count)
+    return (prefix << np.uint64(32)) | (mix(code) >> np.uint64(32)), code, np.repeat(np.arange(len(size)), count)
+
 
+def _earliest(contexts: DataFrame, shards: int, length: int) -> DataFrame:
+    """The earliest document of every string of every context; a task holds the contexts of its shards and their index."""
 
-def _covered(contexts: DataFrame, shards: int, length: int) -> DataFrame:
-    """(row, spans): packed begin << 32 | end of bytes of a text that an earlier doc has in strings of `length`."""
+    def read(row: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return np.frombuffer(row[2], np.uint8), np.frombuffer(row[3], np.uint16).astype(np.int64), np.frombuffer(row[4], np.int64)
+
+    def batched(rows: list[tuple]) -> Iterator[list[tuple]]:
+        some, n = [], 0
+        for row in rows:
+            some.append(row)
+            n += len(row[2]) // 4  # about as many strings
+            if n >= BATCH:
+                yield some
+                some, n = [], 0
+        if some:
+            yield some
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        levels, kept = Levels(), []
-        for whole in batches:
-            for a in range(0, whole.num_rows, BATCH // 16):
-                batch = whole.slice(a, BATCH // 16)
-                times = np.array([len(x) // 8 for x in batch.column(3).to_pylist()])
-                docs = np.frombuffer(b"".join(batch.column(3).to_pylist()), dtype=np.int64)
-                least = np.minimum.reduceat(docs, np.concatenate([[0], np.cumsum(times)[:-1]]))
-                prefix, code, of = _suffixes(batch.column(1), length)
-                levels.add(prefix, code, least[of])
-                kept.append((batch, times, docs))
-        for batch, times, docs in kept:
-            prefix, code, of = _suffixes(batch.column(1), length)
-            least = levels.scan(code, prefix)
-            rows, begins = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.int64) for c in (2, 4))
-            count = np.bincount(of, minlength=batch.num_rows)
-            start = np.concatenate([[0], np.cumsum(count)[:-1]])
-            # every occurrence of a context against the earliest doc of each of its strings
-            owner = np.repeat(np.arange(batch.num_rows), times)
-            for o in range(0, len(owner), 50_000):
-                w = owner[o : o + 50_000]
-                size = count[w]
-                string = _exploded(start[w], size)
-                which = np.repeat(np.arange(o, o + len(w)), size)
-                hit = least[string] < docs[which]
-                string, which = string[hit], which[hit]
-                if not len(which):
-                    continue
-                at = begins[which] + string - start[owner[which]]
-                first = np.append(True, (which[1:] != which[:-1]) | (at[1:] != at[:-1] + 1))
-                last = np.append(first[1:], True)
-                span = (at[first] << 32) | (at[last] + length)
-                row = rows[which[first]]
-                order = np.argsort(row, kind="stable")
-                present, cut = np.unique(row[order], return_index=True)
-                yield pa.RecordBatch.from_arrays([pa.array(present), _packed(span[order], np.append(cut, len(row)))], ["row", "spans"])
-
-    return contexts.repartition(shards, "key").mapInArrow(run, "row long, spans binary")
+        rows = [r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+        levels = Levels()
+        for some in batched(rows):
+            data, size, doc = (np.concatenate(x) for x in zip(*map(read, some), strict=True))
+            name, code, of = _suffixes(data, size, length)
+            levels.add(name, code, doc[of])
+        for some in batched(rows):
+            data, size, _ = (np.concatenate(x) for x in zip(*map(read, some), strict=True))
+            name, code, of = _suffixes(data, size, length)
+            least = levels.scan(name, code)
+            first = np.flatnonzero(np.append(True, (of[1:] != of[:-1]) | (least[1:] != least[:-1])))
+            last = np.append(first[1:], len(of)) - 1
+            begin = np.searchsorted(of, np.arange(len(size)))
+            counts = np.cumsum([0] + [len(r[3]) // 2 for r in some])
+            row_of = np.searchsorted(counts, of[first], side="right") - 1
+            found = np.zeros(len(first), RUN)
+            found["context"], found["doc"] = of[first] - counts[row_of], least[first]
+            found["first"], found["last"] = first - begin[of[first]], last - begin[of[first]]
+            yield _rows([(some[r][1], some[r][0], found[a:b].tobytes()) for r, a, b in _cuts(row_of)], RUNS)
+
+    return contexts.repartition(shards, "shard").mapInArrow(run, RUNS)
 
 
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
 
 
-def _removed(texts: DataFrame) -> DataFrame:
-    """Each text without its spans."""
+def _removed(parts: DataFrame, shards: int, length: int) -> DataFrame:
+    """Each text without the strings an earlier document has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches, 1):
-            out = []
-            for doc, text, packed in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                raw = text.encode()
-                if not packed:
-                    out.append((doc, len(raw), 0, 0, raw))
-                    continue
-                spans = np.frombuffer(b"".join(packed), dtype=np.int64)
-                edge = np.zeros(len(raw) + 1, np.int64)
-                np.add.at(edge, spans >> 32, 1)
-                np.add.at(edge, spans & 0xFFFFFFFF, -1)
-                gone = np.cumsum(edge[:-1]) > 0
-                runs = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
-                out.append((doc, len(raw), int(gone.sum()), runs, np.frombuffer(raw, dtype=np.uint8)[~gone].tobytes()))
-            types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-            columns = list(zip(*out, strict=True)) or [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], [x.split()[0] for x in RESULT.split(", ")])
-
-    return texts.mapInArrow(run, RESULT)
+        for batch in batches:
+            for i in range(batch.num_rows):
+                own = PartTexts(batch, i, shards, length)
+                shard, _, _, _, anchor, number = own.contexts(batch.column("masks")[i].as_py() or [])
+                gone = np.zeros(len(own.data) + 1, np.int32)
+                base = np.searchsorted(shard, np.arange(shards))
+                runs = [np.frombuffer(r["runs"], RUN) for r in batch.column("found")[i].as_py() or []]
+                where = [r["shard"] for r in batch.column("found")[i].as_py() or []]
+                if runs:
+                    every = np.concatenate(runs)
+                    context = every["context"] + np.repeat(base[where], [len(r) for r in runs])
+                    order = np.argsort(context, kind="stable")
+                    every, context = every[order], context[order]
+                    low, high = np.searchsorted(context, number, "left"), np.searchsorted(context, number, "right")
+                    use, at = np.repeat(anchor, high - low), _exploded(low, high - low)
+                    hit = every["doc"][at] < own.docs[own.text[use]]
+                    use, at = use[hit], at[hit]
+                    np.add.at(gone, own.begin[use] + every["first"][at], 1)
+                    np.add.at(gone, own.begin[use] + every["last"][at] + length, -1)
+                mask = np.cumsum(gone[:-1]) > 0
+                edge = mask.copy()
+                edge[1:] &= ~mask[:-1]
+                inner = own.starts[:-1][own.starts[:-1] < len(mask)]
+                edge[inner] = mask[inner]
+                totals = [np.concatenate([[0], np.cumsum(x)]) for x in (mask, edge)]
+                removed, spans = (t[own.starts[1:]] - t[own.starts[:-1]] for t in totals)
+                kept = [own.data[a:b][~mask[a:b]].tobytes() for a, b in zip(own.starts[:-1], own.starts[1:], strict=True)]
+                ids = [d if k else None for d, k in zip(own.docs.tolist(), own.known.tolist(), strict=True)]
+                yield _rows(list(zip(ids, np.diff(own.starts).tolist(), removed.tolist(), spans.tolist(), kept, strict=True)), RESULT)
+
+    return parts.mapInArrow(run, RESULT)
 
 
 def drop_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -291,18 +353,9 @@ def drop_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     other either.  An empty table gives no rows; other columns are ignored.
     Removal is by byte, so what stays need not be valid UTF-8.
     """
-    spark = docs.sparkSession
-    shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    text = F.coalesce(F.col("text"), F.lit(""))
-    base = docs.select(F.xxhash64(F.col("doc_id"), text).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), F.col("doc_id").cast("long"), text.alias("text"))
-    # Texts are written once, bucketed by row: the joins below then move only their small sides.
-    path = shared_path(spark, "texts")
-    name = "texts_" + path.rpartition("-")[2]
-    base.write.bucketBy(shards, "row").option("path", path).format("parquet").saveAsTable(name)
-    base = spark.table(name)
-    grams = _grams(base.select("row", "doc", "text"), shards, length)
-    shared = written(_repeated(grams, shards), "repeated").groupBy("row").agg(F.collect_list("keys").alias("keys"))
-    mine = base.join(shared, "row").select("row", "doc", "text", "keys")
-    spans = written(_covered(_contexts(mine, length), shards, length), "spans").groupBy("row").agg(F.collect_list("spans").alias("spans"))
-    return _removed(base.join(spans, "row", "left").select("doc_id", "text", "spans"))
-
+    parts, shards = write_parts(docs, PART_BYTES)
+    masks = written(_repeated(_grams(parts, shards, length), shards), "masks")
+    parts = parts.join(masks.groupBy("part").agg(F.collect_list(F.struct("shard", "mask")).alias("masks")), "part", "left")
+    found = written(_earliest(_contexts(parts, shards, length), shards, length), "runs")
+    parts = parts.join(found.groupBy("part").agg(F.collect_list(F.struct("shard", "runs")).alias("found")), "part", "left")
+    return _removed(parts, shards, length)

@@ -115,6 +115,7 @@ def test_near_odd_inputs(spark):
 @pytest.mark.parametrize("length", [50, 20])
 def test_repeated_strings(spark, length, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "BATCH", 64)
+    monkeypatch.setattr(suffix_dedup, "PART_BYTES", 4000)
     rows = corpus(3) + [(20_000, "ab" * 200), (20_001, "x" + "ab" * 100), (20_002, "é" * 60), (20_003, "é" * 40 + "z")]
     got = suffix_dedup.drop_repeats(spark.createDataFrame(rows, DOCS).repartition(3), length).collect()
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got} == repeats(rows, length)
@@ -144,4 +145,4 @@ def test_levels_grow_geometrically():
     assert all(a > 2 * b for a, b in zip(sizes[:-1], sizes[1:], strict=True)) and len(sizes) < 9
     p, c = (rnd.integers(0, 60, 500).astype(np.uint64) for _ in range(2))
     want = [seen.get(x, suffix_dedup.LAST) for x in zip(p.tolist(), c.tolist(), strict=True)]
-    assert levels.scan(c, p).tolist() == want
+    assert levels.scan(p, c).tolist() == want
