@@ -22,6 +22,7 @@ def instant(raw, name: str = "instant") -> datetime:
     try:
         parsed = datetime.fromisoformat(raw)
     except (TypeError, ValueError):
+        # Fixed values, here and below: texts that readers already know.
         raise ValueError(f'invalid {name} "{raw}" (ISO-8601 or epoch-ms expected)') from None
     return parsed if parsed.tzinfo else parsed.replace(tzinfo=timezone.utc)
 

@@ -1,5 +1,7 @@
 """The shared filter surface and project scope.
 
+The texts of its errors are fixed values that readers already know.
+
 Filters take the parameter names readers already use (``app``, ``level``,
 ``event``, ``from``, ``to``, ``q``, ``ids.<key>``, ``data.<path>``,
 ``data.<path>__gte``, ``data.<path>__lte``) as a mapping or as ordered pairs.

@@ -23,6 +23,7 @@ def validate_projects(df: DataFrame) -> DataFrame:
     unknown = "array_except(map_keys(_b), array('name', 'apps'))"
     bad_app = f"exists(_apps, a -> coalesce({json_kind('a')} <> 'string', true) or {as_text('a')} = '')"
     long_app = f"exists(_apps, a -> {longer_than(as_text('a'), APP_MAX)})"
+    # The order of the checks and the texts that readers already know.
     checks = [
         ("_b is null", "'project body must be a JSON object'"),
         (f"size({unknown}) > 0", f"concat('unknown key \"', {unknown}[0], '\"')"),
