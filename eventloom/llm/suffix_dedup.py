@@ -25,9 +25,9 @@ from eventloom.llm.parts import LOW, pack_keys, unpack_keys, write_parts
 from eventloom.llm.words import mix, span_hash, span_sums
 
 LENGTH, GRAM = 50, 16
-PART_BYTES = 2 << 20
+PART_BYTES = 1 << 20
 #: Suffixes in one batch of the index.
-BATCH = 1 << 19
+BATCH = 1 << 18
 LAST = (1 << 63) - 1
 
 
