@@ -4,8 +4,14 @@ Pages become small trees of block elements; runs of like siblings count once,
 so a site's pages share few shapes.  Per host, the commonest shape is the
 reference, and simple tree matching aligns every other shape with it.  Over all
 pages of the host, an aligned node whose text stays the same under most titles
-is template; the slots that vary, inside the page's content region and outside
-menus, adverts and the like, are the main text.
+is template; of the slots that vary, those in the page's content region are the
+main text.
+
+Labels (elements, roles, names of classes) are evidence only.  What is labelled
+as furniture, such as a footer or a notice, stays where the host's pages show
+that its slot varies; menus, adverts and comments vary by nature and go.  No
+label counts on a container of the page's main heading, main element or only
+articles that holds half of the page's varying prose.
 """
 
 from __future__ import annotations
@@ -34,21 +40,32 @@ BLOCKS = frozenset(
 )
 RAW = frozenset("script style textarea title noscript iframe template svg object canvas math xmp noembed noframes".split())
 EMPTY = frozenset("hr".split())
-ASIDE_TAGS = frozenset("head nav footer aside form menu dialog button select fieldset search optgroup option".split())
-ASIDE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
-ASIDE_WORDS = frozenset(
-    "nav navbar navigation menu sidebar footer header ad ads adv advert adverts advertisement advertising banner cookie cookies consent gdpr notice notices promo promotion "
-    "sponsor sponsored comment comments disqus breadcrumb breadcrumbs newsletter subscribe subscription popup modal overlay social share sharing related recommended "
-    "widget widgets login signup search masthead toolbar skip pagination".split()
+# What differs from page to page without being the article, and what a site repeats.
+EXTRA_TAGS = frozenset("head nav aside menu select optgroup option button".split())
+FIXED_TAGS = frozenset("footer form dialog fieldset search".split())
+EXTRA_ROLES = frozenset("navigation complementary menu menubar toolbar".split())
+FIXED_ROLES = frozenset("banner contentinfo search form dialog alert alertdialog".split())
+EXTRA_WORDS = frozenset(
+    "nav navbar navigation menu sidebar ad ads adv advert adverts advertisement advertising promo promotion sponsor sponsored comment comments disqus breadcrumb "
+    "breadcrumbs social share sharing related recommended widget widgets toolbar pagination".split()
 )
+FIXED_WORDS = frozenset(
+    "footer header banner cookie cookies consent gdpr notice notices newsletter subscribe subscription popup modal overlay login signup search masthead skip".split()
+)
+ASIDE_WORDS = EXTRA_WORDS | FIXED_WORDS
 OWN_WORDS = frozenset("article post entry content main story".split())
+#: Words that leave the meaning of a name with an aside word as it is ("site-footer"); any other ("with-sidebar", "related-work") takes it away.
+PLAIN_WORDS = OWN_WORDS | frozenset(
+    "articles posts entries stories site page global top bottom left right inner outer upper lower primary secondary mobile desktop box bar block container wrapper wrap area "
+    "section list links link item items slot unit panel group row col column text inline button buttons icon icons google js the".split()
+)
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = {"li": {"ul", "ol", "menu", "dir"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "option": {"select"}}
 
 _TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:"[^"]*"|'[^']*'|[^>"'])*+)>|</?[a-zA-Z!?][^>]*(?:>|\Z)""", re.S
 )
-_LABEL = re.compile(r"""\b(class|id|role|hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+_ATTR = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
@@ -56,49 +73,72 @@ _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 class Node:
     tag: str
     label: str
-    aside: bool
-    region: int  # 2 inside an article, 1 inside main content, 0 elsewhere
+    region: int  # 1 inside an article or main content, 0 elsewhere
     children: list[Node] = field(default_factory=list)
     number: int = -1
 
 
 @dataclass
 class Page:
-    """A parsed page: its shape, and its text blocks as (node number in the shape, region, aside, text)."""
+    """A parsed page: its shape, and its text blocks as (node number in the shape, characters outside links, text)."""
 
     shape: str
     title: str
-    blocks: list[tuple[int, int, bool, str]]
+    blocks: list[tuple[int, int, str]]
+
+
+def _named(names: str) -> tuple[set[str], set[str]]:
+    """Of the names in a class or id: all listed words, and the aside words of names that say nothing else."""
+    known, aside = set(), set()
+    for name in names.split():
+        words = {w.lower() for w in _WORD.findall(name)}
+        known |= words & (ASIDE_WORDS | OWN_WORDS)
+        if words <= ASIDE_WORDS | PLAIN_WORDS:
+            aside |= words & ASIDE_WORDS
+    return known, aside
+
+
+@lru_cache(maxsize=65536)
+def _label(tag: str, attrs: str, outside: bool) -> str:
+    """The label of an element in shapes: tag and listed words, then "+" and its kinds: x (extra), f (furniture), r (main or article)."""
+    found: dict[str, str] = {}
+    for k, v in _ATTR.findall(attrs):
+        found.setdefault(k.lower(), v.strip("\"'"))
+    (known, aside), (more, also) = _named(found.get("class", "")), _named(found.get("id", ""))
+    words, aside = known | more, aside | also
+    if words & OWN_WORDS and not aside & {"comment", "comments", "ad", "ads", "related"}:
+        aside = set()
+    roles = set(found.get("role", "").lower().split()[:1])
+    kind = ""
+    if tag not in ("html", "body", "main"):
+        if tag in EXTRA_TAGS or roles & EXTRA_ROLES or "hidden" in found or aside & EXTRA_WORDS:
+            kind = "x"
+        elif tag in FIXED_TAGS or roles & FIXED_ROLES or aside or (tag == "header" and outside):
+            kind = "f"
+    if tag in ("article", "main") or "main" in roles:
+        kind += "r"
+    return ".".join([tag, *sorted(words)]) + (f"+{kind}" if kind else "")
 
 
 def _open(parent: Node, tag: str, attrs: str) -> Node:
-    found = {k.lower(): (v or "").strip("\"'") for k, v in _LABEL.findall(attrs)}
-    words = {w.lower() for k in ("class", "id") for w in _WORD.findall(found.get(k, ""))}
-    role = found.get("role", "").lower()
-    core = tag in ("html", "body", "article", "main")
-    aside = tag in ASIDE_TAGS or role in ASIDE_ROLES or "hidden" in found or (tag == "header" and parent.region == 0)
-    if core and tag != "article":
-        aside = False
-    elif words & ASIDE_WORDS and not (words & OWN_WORDS and not words & {"comment", "comments", "ad", "ads", "related"}):
-        aside = True
-    region = 2 if tag == "article" else 1 if tag == "main" or role == "main" else 0
-    label = ".".join([tag, *sorted(words & (ASIDE_WORDS | OWN_WORDS))])
-    node = Node(tag, label, aside or parent.aside, max(region, parent.region))
+    label = _label(tag, attrs if "=" in attrs or "hidden" in attrs.lower() else "", parent.region == 0)
+    node = Node(tag, label, max(parent.region, int(label.partition("+")[2].endswith("r"))))
     parent.children.append(node)
     return node
 
 
 def parse(text: str) -> Page:
     """Reads a page leniently: unclosed, stray and cut-off tags are as harmless as in a browser."""
-    root = Node("", "", False, 0)
+    root = Node("", "", 0)
     stack, parts, blocks, title = [root], [], [], ""
+    linked = False
 
     def flush() -> None:
         if parts:
-            line = " ".join("".join(parts).split())
-            parts.clear()
+            line = " ".join("".join(x for x, _ in parts).split())
             if line:
-                blocks.append((stack[-1], line))
+                blocks.append((stack[-1], sum(len(x) for x, link in parts if not link and not x.isspace()), line))
+            parts.clear()
 
     def close(names: set[str], stop: set[str]) -> None:
         for i in range(len(stack) - 1, 0, -1):
@@ -113,7 +153,7 @@ def parse(text: str) -> Page:
         m = _TOKEN.search(text, at)
         end = m.start() if m else len(text)
         if end > at:
-            parts.append(html.unescape(text[at:end]))
+            parts.append((html.unescape(text[at:end]), linked))
         if m is None:
             break
         at = m.end()
@@ -127,9 +167,11 @@ def parse(text: str) -> Page:
                 if tag == "title" and not title:
                     title = " ".join(html.unescape(text[at:inner_end]).split())
                 at = inner_end
-            parts.append(" ")
+            parts.append((" ", linked))
         elif tag == "br":
-            parts.append(" ")
+            parts.append((" ", linked))
+        elif tag == "a":
+            linked = not m["end"]
         elif tag in BLOCKS:
             flush()
             if m["end"]:
@@ -150,7 +192,7 @@ def parse(text: str) -> Page:
                 stack.append(node)
     flush()
     shape = _shape(root)
-    return Page(shape, title, [(n.number, n.region, n.aside, line) for n, line in blocks])
+    return Page(shape, title, [(n.number, own, line) for n, own, line in blocks])
 
 
 def _shape(root: Node) -> str:
@@ -219,6 +261,50 @@ def match(shape: str, reference: str) -> dict[int, int]:
     return pairs
 
 
+@dataclass(frozen=True)
+class Place:
+    """Where a node of a shape stands: its tag, whether main content, and the labelled nodes (number, kinds) from the outermost to itself."""
+
+    tag: str
+    region: bool
+    marks: tuple[tuple[int, str], ...]
+
+
+@lru_cache(maxsize=4096)
+def outline(shape: str) -> list[Place]:
+    """The nodes of a shape by number."""
+    out, above = [], [Place("", False, ())]
+    for m in re.finditer(r"[^\s()]+|[()]", shape):
+        if m[0] == "(":
+            above.append(out[-1])
+        elif m[0] == ")":
+            above.pop()
+        else:
+            name, _, kinds = m[0].partition("+")
+            mark = ((len(out), kinds[0]),) if kinds[:1] in ("x", "f") else ()
+            out.append(Place(name.partition(".")[0], above[-1].region or kinds.endswith("r"), above[-1].marks + mark))
+    return out
+
+
+def _opened(nodes: list[Place], blocks: list[tuple[int, int, str]]) -> set[int]:
+    """The labelled nodes that are containers of the page's content, by the prose of `blocks` in them."""
+    inside: dict[int, int] = {}
+    for number, own, _ in blocks:
+        for mark, _ in nodes[number].marks:
+            inside[mark] = inside.get(mark, 0) + own
+    total, opened = sum(b[1] for b in blocks), set()
+    if not any(inside.values()):
+        return opened
+    outside = any(nodes[b[0]].region and not nodes[b[0]].marks for b in blocks)
+    for number, node in enumerate(nodes):
+        if node.marks and node.marks[-1][0] != number and (node.tag == "main" or (node.tag in ("h1", "article") and not outside)):
+            for mark, _ in reversed(node.marks):
+                if inside.get(mark, 0) * 2 < total or not inside.get(mark):
+                    break
+                opened.add(mark)
+    return opened
+
+
 def _host(url: str = "url"):
     return F.coalesce(F.lower(F.regexp_extract(F.col(url), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^@/?#]*@)?([^/:?#]+)", 1)), F.lit(""))
 
@@ -228,10 +314,15 @@ def _hash(texts: list[str]) -> list[int]:
 
 
 PARSED = "host string, shape string, title long, nodes array<int>, texts array<long>"
+PLACES = "host string, shape string, place array<int>, fixed array<boolean>"
 
 
 def induce(pages: DataFrame) -> DataFrame:
-    """(host, reference, template): the reference shape and the constant texts, as "node:hash", of each host."""
+    """(host, reference, template, varying) of each host.
+
+    The reference shape, the constant texts as "node:hash", and the nodes below
+    furniture labels most of whose texts stand under fewer than LEAST titles.
+    """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -243,8 +334,8 @@ def induce(pages: DataFrame) -> DataFrame:
                         part.column(0),
                         pa.array([p.shape for p in rows], pa.string()),
                         pa.array(_hash([p.title for p in rows]), pa.int64()),
-                        pa.array([[b[0] for b in p.blocks if not b[2]] for p in rows], pa.list_(pa.int32())),
-                        pa.array([_hash([b[3] for b in p.blocks if not b[2]]) for p in rows], pa.list_(pa.int64())),
+                        pa.array([[b[0] for b in p.blocks] for p in rows], pa.list_(pa.int32())),
+                        pa.array([_hash([b[2] for b in p.blocks]) for p in rows], pa.list_(pa.int64())),
                     ],
                     ["host", "shape", "title", "nodes", "texts"],
                 )
@@ -259,34 +350,57 @@ def induce(pages: DataFrame) -> DataFrame:
             pairs = [match(s, r) for s, r in zip(frame["shape"], frame["reference"], strict=True)]
             # nodes outside the reference keep a place of their own, after its nodes
             placed = [[p.get(i, 1_000_000 + i) for i in range(len(re.findall(r"[^\s()]+", s)))] for p, s in zip(pairs, frame["shape"], strict=True)]
-            yield pd.DataFrame({"host": frame["host"], "shape": frame["shape"], "place": placed})
+            fixed = [[any(kind == "f" for _, kind in n.marks) for n in outline(s)] for s in frame["shape"]]
+            yield pd.DataFrame({"host": frame["host"], "shape": frame["shape"], "place": placed, "fixed": fixed})
 
-    places = shapes.join(reference, "host").select("host", "shape", "reference").mapInPandas(aligned, "host string, shape string, place array<int>")
-    zipped = F.arrays_zip(F.transform("nodes", lambda n: F.get("place", n)).alias("node"), F.col("texts").alias("text"))
+    places = shapes.join(reference, "host").select("host", "shape", "reference").mapInPandas(aligned, PLACES)
+    at = lambda column: F.transform("nodes", lambda n: F.get(column, n))
+    zipped = F.arrays_zip(at("place").alias("node"), at("fixed").alias("fixed"), F.col("texts").alias("text"))
     texts = parsed.join(places, ["host", "shape"]).select("host", "title", F.explode(zipped).alias("b"))
-    seen = texts.select("host", "title", "b.node", "b.text").distinct().groupBy("host", "node", "text").agg(F.count("*").alias("under"))
+    seen = texts.select("host", "title", "b.node", "b.fixed", "b.text").distinct().groupBy("host", "node", "fixed", "text").agg(F.count("*").alias("under"))
+    slots = seen.filter("fixed").groupBy("host", "node").agg(F.sum("under").alias("all"), F.sum(F.when(F.col("under") < LEAST, F.col("under"))).alias("own"))
+    varying = slots.filter(F.col("all") >= LEAST).filter(F.col("own") * 2 >= F.col("all")).groupBy("host").agg(F.collect_list("node").alias("varying"))
     constant = seen.filter(F.col("under") >= LEAST).join(titles, "host").filter(F.col("under") >= SHARE * F.col("titles"))
     # at most 1 / SHARE texts per node of a host pass
     template = constant.groupBy("host").agg(F.collect_set(F.concat_ws(":", "node", "text")).alias("template"))
-    return written(reference.join(template, "host", "left"), "wrappers")
+    return written(reference.join(template, "host", "left").join(varying, "host", "left"), "wrappers")
 
 
-def content(page: Page, reference: str, template: set[str]) -> str:
+def content(page: Page, reference: str, template: set[str], varying: frozenset[int] = frozenset()) -> str:
     """The varying blocks of the page's content region, one per line."""
-    inside = [b for b in page.blocks if not b[2]]
-    if template:
+    blocks, slots = page.blocks, [False] * len(page.blocks)
+    if template or varying:
         place = match(page.shape, reference)
-        hashes = _hash([b[3] for b in inside])
-        inside = [b for b, h in zip(inside, hashes, strict=True) if f"{place.get(b[0], 1_000_000 + b[0])}:{h}" not in template]
-    region = max((b[1] for b in inside), default=0)
-    return "\n".join(b[3] for b in inside if b[1] == region)
+        at = [place.get(b[0], 1_000_000 + b[0]) for b in blocks]
+        stay = [f"{n}:{h}" not in template for n, h in zip(at, _hash([b[2] for b in blocks]), strict=True)]
+        slots = [n in varying for n, yes in zip(at, stay, strict=True) if yes]
+        blocks = [b for b, yes in zip(blocks, stay, strict=True) if yes]
+    return "\n".join(b[2] for b in _region(outline(page.shape), blocks, slots))
+
+
+def _region(nodes: list[Place], blocks: list[tuple[int, int, str]], slots: list[bool]) -> list[tuple[int, int, str]]:
+    """Of `blocks`, those of the content region; `slots` are true where the host shows that furniture varies."""
+    opened = _opened(nodes, blocks)
+    left = [{kind for mark, kind in nodes[b[0]].marks if mark not in opened} for b in blocks]
+    sure = [not kinds for kinds in left]
+    kept = [yes or (kinds == {"f"} and varies) for yes, kinds, varies in zip(sure, left, slots, strict=True)]
+    core = [yes and nodes[b[0]].region for yes, b in zip(sure, blocks, strict=True)]
+    prose = lambda which: sum(b[1] for b, yes in zip(blocks, which, strict=True) if yes)
+    if any(core) and prose(core) * 2 >= prose(sure):
+        start = core.index(True)
+        heads = [i for i, b in enumerate(blocks) if sure[i] and nodes[b[0]].tag == "h1"]
+        # a heading before the region, and what leads from it to the region
+        lead = heads[0] if heads and not any(core[i] for i in heads) else start
+        kept = [yes and (nodes[b[0]].region or (lead <= i < start and sure[i])) for i, (b, yes) in enumerate(zip(blocks, kept, strict=True))]
+    return [b for b, yes in zip(blocks, kept, strict=True) if yes]
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """One row per row of `pages` (page_id, url, html): page_id, url, text, n_chars (code points).
 
-    The content region is the article elements, else main, else the body.  A
-    block is the text directly in one block element between child blocks, with
+    The content region is the main and article elements, with a heading before
+    them, where these hold half of the page's varying prose (text outside
+    links), else the body.  A block is the text directly in one block element between child blocks, with
     white space (line breaks included) as one space.  Null and empty pages give
     an empty text.  A null or odd url has host "".  Repeated rows are extracted
     like any other but add no title, so copies of a page never make its text a
@@ -300,8 +414,8 @@ def extract(pages: DataFrame) -> DataFrame:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 texts = [
-                    content(parse(source or ""), reference or "", set(template or ()))
-                    for source, reference, template in zip(*(part.column(c).to_pylist() for c in ("html", "reference", "template")), strict=True)
+                    content(parse(source or ""), reference or "", set(template or ()), frozenset(varying or ()))
+                    for source, reference, template, varying in zip(*(part.column(c).to_pylist() for c in ("html", "reference", "template", "varying")), strict=True)
                 ]
                 yield pa.RecordBatch.from_arrays(
                     [part.column("page_id"), part.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
@@ -309,4 +423,4 @@ def extract(pages: DataFrame) -> DataFrame:
                 )
 
     kinds = dict(pages.dtypes)
-    return own.select("page_id", "url", "html", "reference", "template").mapInArrow(run, f"page_id {kinds['page_id']}, url string, text string, n_chars long")
+    return own.select("page_id", "url", "html", "reference", "template", "varying").mapInArrow(run, f"page_id {kinds['page_id']}, url string, text string, n_chars long")

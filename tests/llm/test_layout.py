@@ -142,6 +142,36 @@ def test_constant_blocks_become_template(spark):
     assert {r.page_id: r.text for r in got} == want and len(got) == len(rows) and all(r.n_chars == len(r.text) for r in got)
 
 
+WHOLE = [
+    ("<div style='overflow:hidden' aria-hidden=false data-id=header data-role=banner><article><p>a</p></article></div>", "a"),
+    ("<div class='page with-sidebar'><article><p>a</p><section id='related-work'><p>b</p></section></article></div><div class=sidebar>no</div>", "a\nb"),
+    ("<div class=has-sidebar><p>a</p></div><div class='site-footer'>no</div><div hidden>no</div>", "a"),
+    ("<main><h1>t</h1><p>lead</p><article><p>a</p></article><p>end</p></main>", "t\nlead\na\nend"),
+    ("<p>skip</p><h1>t</h1><p>lead</p><article><p>a story of some length</p></article><p>no</p>", "t\nlead\na story of some length"),
+    ("<div><p>the story itself</p><p>and its end</p></div><article>teaser</article>", "the story itself\nand its end\nteaser"),
+    ("<form id=aspnetForm><nav><a href=x>no</a></nav><h1>t</h1><p>a</p><footer>no</footer></form>", "t\na"),
+    ("<div class=sidebar><div class=overlay><article><p>a story</p></article></div></div><div class=ad>no</div>", "a story"),
+    ("<article><p>a</p></article><section class=comments><article><p>no, longer than the story</p></article></section>", "a"),
+]
+
+
+@pytest.mark.parametrize(("source", "want"), WHOLE)
+def test_labels_are_evidence_only(source, want):
+    assert wrapper.content(wrapper.parse(f"<title>t</title><body><nav><a href=x>menu</a></nav>{source}"), "", set()) == want
+
+
+def test_varying_furniture_stays(spark):
+    """What a class calls a notice or a header stays where it differs from page to page, and goes where it does not; adverts go."""
+    rnd, rows, want = random.Random(12), [], {}
+    for i in range(12):
+        body = [prose(rnd, 6) + f" {i}" for _ in range(3)]
+        lost = f"<div class=ad>{prose(rnd, 1)}</div><div class=popup>Join us</div><div class=aside-free>Call us now</div>"
+        rows.append((i, "http://c.example/x", f"<title>{i}</title><div><h2>{i}</h2><div class=notice><p>{body[0]}</p></div><p>{body[1]}</p>{lost}<p>{body[2]}</p></div>"))
+        want[i] = "\n".join([str(i), *body])
+    got = wrapper.extract(spark.createDataFrame(rows, PAGES).repartition(3)).collect()
+    assert {r.page_id: r.text for r in got} == want
+
+
 def test_pages_odd_inputs(spark):
     odd = spark.createDataFrame([(1, "http://x/y", "<p>" * 3000 + "deep" + "<i a='" * 2000, "h", "t")], PAGES + ", host string, template string")
     assert [r.text for r in wrapper.extract(odd).collect()][0].startswith("deep")
