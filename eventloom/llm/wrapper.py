@@ -3,8 +3,8 @@
 Pages become small trees of block elements; runs of like siblings count once,
 so a site's pages share few shapes.  Per host, the commonest shape is the
 reference, and simple tree matching aligns every other shape with it.  Over all
-pages of the host, an aligned node whose text stays the same under most titles
-is template; of the slots that vary, those in the page's content region are the
+pages of the host, an aligned node whose text stays the same on most pages that
+differ is template; of the slots that vary, those in the page's content region are the
 main text.
 
 Labels (elements, roles, names of classes) are evidence only.  What is labelled
@@ -30,8 +30,10 @@ from pyspark.sql import functions as F
 
 from eventloom.llm.common import written
 
-#: A text is template where it stands under this share of a host's distinct titles, and under this many.
+#: A text is template where it stands on this share of a host's different pages, and on this many.
 SHARE, LEAST = 0.8, 5
+#: Pages differ if their titles do, or the longest blocks that together make up this share of their text.
+SAME = 0.9
 
 # Elements of HTML by their role, and the words sites use to label what is not the article.
 BLOCKS = frozenset(
@@ -313,15 +315,27 @@ def _hash(texts: list[str]) -> list[int]:
     return pd.util.hash_array(np.array(texts, dtype=object), categorize=False).view(np.int64).tolist() if texts else []
 
 
-PARSED = "host string, shape string, title long, nodes array<int>, texts array<long>"
+PARSED = "host string, shape string, page long, nodes array<int>, texts array<long>"
 PLACES = "host string, shape string, place array<int>, fixed array<boolean>"
 
 
+def _identity(page: Page) -> str:
+    """What tells a page of a host from another: its title, and the longest blocks of its content."""
+    blocks = sorted({b[2] for b in _region(outline(page.shape), page.blocks, [False] * len(page.blocks)) or page.blocks}, key=lambda x: (-len(x), x))
+    total, long = sum(map(len, blocks)), 0
+    for n, text in enumerate(blocks):
+        if long >= SAME * total:
+            return "\n".join([page.title, *blocks[:n]])
+        long += len(text)
+    return "\n".join([page.title, *blocks])
+
+
 def induce(pages: DataFrame) -> DataFrame:
     """(host, reference, template, varying) of each host.
 
     The reference shape, the constant texts as "node:hash", and the nodes below
-    furniture labels most of whose texts stand under fewer than LEAST titles.
+    furniture labels most of whose texts stand on fewer than LEAST pages.
+    Pages that do not differ count as one.
     """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -333,17 +347,17 @@ def induce(pages: DataFrame) -> DataFrame:
                     [
                         part.column(0),
                         pa.array([p.shape for p in rows], pa.string()),
-                        pa.array(_hash([p.title for p in rows]), pa.int64()),
+                        pa.array(_hash([_identity(p) for p in rows]), pa.int64()),
                         pa.array([[b[0] for b in p.blocks] for p in rows], pa.list_(pa.int32())),
                         pa.array([_hash([b[2] for b in p.blocks]) for p in rows], pa.list_(pa.int64())),
                     ],
-                    ["host", "shape", "title", "nodes", "texts"],
+                    ["host", "shape", "page", "nodes", "texts"],
                 )
 
     parsed = written(pages.select(_host().alias("host"), "html").mapInArrow(read, PARSED), "parsed")
     shapes = parsed.groupBy("host", "shape").agg(F.count("*").alias("n"))
     reference = shapes.groupBy("host").agg(F.max(F.struct("n", "shape"))["shape"].alias("reference"))
-    titles = parsed.select("host", "title").distinct().groupBy("host").agg(F.count("*").alias("titles"))
+    differing = parsed.select("host", "page").distinct().groupBy("host").agg(F.count("*").alias("pages"))
 
     def aligned(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -356,11 +370,11 @@ def induce(pages: DataFrame) -> DataFrame:
     places = shapes.join(reference, "host").select("host", "shape", "reference").mapInPandas(aligned, PLACES)
     at = lambda column: F.transform("nodes", lambda n: F.get(column, n))
     zipped = F.arrays_zip(at("place").alias("node"), at("fixed").alias("fixed"), F.col("texts").alias("text"))
-    texts = parsed.join(places, ["host", "shape"]).select("host", "title", F.explode(zipped).alias("b"))
-    seen = texts.select("host", "title", "b.node", "b.fixed", "b.text").distinct().groupBy("host", "node", "fixed", "text").agg(F.count("*").alias("under"))
+    texts = parsed.join(places, ["host", "shape"]).select("host", "page", F.explode(zipped).alias("b"))
+    seen = texts.select("host", "page", "b.node", "b.fixed", "b.text").distinct().groupBy("host", "node", "fixed", "text").agg(F.count("*").alias("under"))
     slots = seen.filter("fixed").groupBy("host", "node").agg(F.sum("under").alias("all"), F.sum(F.when(F.col("under") < LEAST, F.col("under"))).alias("own"))
     varying = slots.filter(F.col("all") >= LEAST).filter(F.col("own") * 2 >= F.col("all")).groupBy("host").agg(F.collect_list("node").alias("varying"))
-    constant = seen.filter(F.col("under") >= LEAST).join(titles, "host").filter(F.col("under") >= SHARE * F.col("titles"))
+    constant = seen.filter(F.col("under") >= LEAST).join(differing, "host").filter(F.col("under") >= SHARE * F.col("pages"))
     # at most 1 / SHARE texts per node of a host pass
     template = constant.groupBy("host").agg(F.collect_set(F.concat_ws(":", "node", "text")).alias("template"))
     return written(reference.join(template, "host", "left").join(varying, "host", "left"), "wrappers")
@@ -403,8 +417,8 @@ def extract(pages: DataFrame) -> DataFrame:
     links), else the body.  A block is the text directly in one block element between child blocks, with
     white space (line breaks included) as one space.  Null and empty pages give
     an empty text.  A null or odd url has host "".  Repeated rows are extracted
-    like any other but add no title, so copies of a page never make its text a
-    template.  An empty table gives no rows; other columns are ignored.
+    like any other but count as one page, so copies of a page never make its
+    text a template.  An empty table gives no rows; other columns are ignored.
     """
     wrappers = induce(pages)
     own = pages.select("page_id", "url", "html", _host().alias("host")).join(wrappers, "host", "left")

@@ -172,6 +172,19 @@ def test_varying_furniture_stays(spark):
     assert {r.page_id: r.text for r in got} == want
 
 
+@pytest.mark.parametrize("title", ["", "<title>Our site</title>"])
+def test_template_without_titles(spark, title):
+    """Pages count by their content where titles do not tell them apart; copies with another date still count once."""
+    rnd, rows, want = random.Random(13), [], {}
+    story = prose(rnd, 30)
+    for i in range(40):
+        body = story if i < 34 else prose(rnd, 30) + f" {i}"
+        rows.append((i, "http://d.example/x", f"{title}<div><p>Read our magazine!</p><p>{i} May</p><p>{body}</p></div>"))
+        want[i] = f"{i} May\n{body}"
+    got = wrapper.extract(spark.createDataFrame(rows, PAGES).repartition(3)).collect()
+    assert {r.page_id: r.text for r in got} == want
+
+
 def test_pages_odd_inputs(spark):
     odd = spark.createDataFrame([(1, "http://x/y", "<p>" * 3000 + "deep" + "<i a='" * 2000, "h", "t")], PAGES + ", host string, template string")
     assert [r.text for r in wrapper.extract(odd).collect()][0].startswith("deep")
