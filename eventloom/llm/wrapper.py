@@ -18,9 +18,10 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from collections.abc import Generator, Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -34,6 +35,8 @@ from eventloom.llm.common import written
 SHARE, LEAST = 0.8, 5
 #: Pages differ if their titles do, or the longest blocks that together make up this share of their text.
 SAME = 0.9
+#: Labelled elements inside each other that are told apart; deeper ones go by those around them.
+NESTED = 100
 
 # Elements of HTML by their role, and the words sites use to label what is not the article.
 BLOCKS = frozenset(
@@ -133,7 +136,7 @@ def parse(text: str) -> Page:
     """Reads a page leniently: unclosed, stray and cut-off tags are as harmless as in a browser."""
     root = Node("", "", 0)
     stack, parts, blocks, title = [root], [], [], ""
-    linked = False
+    linked, standing = False, {}
 
     def flush() -> None:
         if parts:
@@ -143,8 +146,12 @@ def parse(text: str) -> Page:
             parts.clear()
 
     def close(names: set[str], stop: set[str]) -> None:
+        if not any(standing.get(n) for n in names):
+            return
         for i in range(len(stack) - 1, 0, -1):
             if stack[i].tag in names:
+                for n in stack[i:]:
+                    standing[n.tag] -= 1
                 del stack[i:]
                 return
             if stack[i].tag in stop:
@@ -180,18 +187,19 @@ def parse(text: str) -> Page:
                 close({tag}, set())
                 continue
             if len(stack) > 1 and stack[-1].tag == "p":
-                stack.pop()
+                close({"p"}, set())
             if tag in CLOSES:
                 close(CLOSES[tag], SCOPES[tag])
             if tag in ("html", "head", "body"):
                 close({"head"}, set())
-                if any(n.tag == tag for n in stack):
+                if standing.get(tag):
                     continue
             if stack[-1].tag == "head" and tag != "head":
-                stack.pop()
+                close({"head"}, set())
             node = _open(stack[-1], tag, m["attrs"])
-            if tag not in EMPTY and len(stack) < 200:
+            if tag not in EMPTY:
                 stack.append(node)
+                standing[tag] = standing.get(tag, 0) + 1
     flush()
     shape = _shape(root)
     return Page(shape, title, [(n.number, own, line) for n, own, line in blocks])
@@ -199,25 +207,24 @@ def parse(text: str) -> Page:
 
 def _shape(root: Node) -> str:
     """The tree as text, numbering its nodes; like siblings in a row are one node."""
-    count = 0
-
-    def walk(nodes: list[Node], depth: int) -> str:
-        nonlocal count
-        out, i = [], 0
-        while i < len(nodes):
-            j = i + 1
-            while j < len(nodes) and nodes[j].label == nodes[i].label:
-                j += 1
-            number, count = count, count + 1
-            merged = []
-            for n in nodes[i:j]:
-                n.number = number
-                merged += n.children
-            out.append(f"{nodes[i].label}({walk(merged, depth + 1)})" if merged else nodes[i].label)
-            i = j
-        return " ".join(out)
-
-    return walk(root.children, 0)
+    out, count = [], 0
+    todo = [iter([list(g) for _, g in groupby(root.children, lambda n: n.label)])]
+    while todo:
+        nodes = next(todo[-1], None)
+        if nodes is None:
+            todo.pop()
+            out.append(")" if todo else "")
+            continue
+        out.append((" " if out and out[-1] != "(" else "") + nodes[0].label)
+        merged = []
+        for n in nodes:
+            n.number = count
+            merged += n.children
+        count += 1
+        if merged:
+            out.append("(")
+            todo.append(iter([list(g) for _, g in groupby(merged, lambda n: n.label)]))
+    return "".join(out)
 
 
 def _tree(shape: str) -> list:
@@ -239,21 +246,30 @@ def _tree(shape: str) -> list:
 def match(shape: str, reference: str) -> dict[int, int]:
     """Simple tree matching: node of `shape` -> node of `reference`, a largest order-preserving match of like nodes."""
 
-    def align(left: list, right: list) -> tuple[int, list[tuple[int, int]]]:
+    def align(left: list, right: list) -> Generator:
         best = [[(0, ())] * (len(right) + 1) for _ in range(len(left) + 1)]
         for i, a in enumerate(left, 1):
             for j, b in enumerate(right, 1):
                 top = max(best[i - 1][j], best[i][j - 1], key=lambda x: x[0])
                 if a[0] == b[0]:
-                    score, inner = align(a[2], b[2])
+                    score, inner = yield a[2], b[2]
                     before = best[i - 1][j - 1]
                     if before[0] + score + 1 > top[0]:
                         top = (before[0] + score + 1, (before[1], (a[1], b[1]), inner))
                 best[i][j] = top
         return best[-1][-1]
 
+    # the calls of `align` in each other, kept in a list: pages nest deeper than Python does
+    calls, back = [align(_tree(shape), _tree(reference))], None
+    while calls:
+        try:
+            calls.append(align(*calls[-1].send(back)))
+            back = None
+        except StopIteration as done:
+            calls.pop()
+            back = done.value
     pairs: dict[int, int] = {}
-    todo = [align(_tree(shape), _tree(reference))[1]]
+    todo = [back[1]]
     while todo:
         item = todo.pop()
         if item:
@@ -283,7 +299,7 @@ def outline(shape: str) -> list[Place]:
             above.pop()
         else:
             name, _, kinds = m[0].partition("+")
-            mark = ((len(out), kinds[0]),) if kinds[:1] in ("x", "f") else ()
+            mark = ((len(out), kinds[0]),) if kinds[:1] in ("x", "f") and len(above[-1].marks) < NESTED else ()
             out.append(Place(name.partition(".")[0], above[-1].region or kinds.endswith("r"), above[-1].marks + mark))
     return out
 

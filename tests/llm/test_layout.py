@@ -185,6 +185,15 @@ def test_template_without_titles(spark, title):
     assert {r.page_id: r.text for r in got} == want
 
 
+@pytest.mark.parametrize("depth", [150, 300, 30_000])
+def test_deep_pages(depth):
+    """End tags of deep elements close what they opened, and labels count at any depth."""
+    deep = "<div>" * depth + "<p>a</p><div class=ad><div><p>no</p></div></div>" + "</div>" * depth
+    page = wrapper.parse(f"<title>t</title><body><div><article>{deep}<p>b</p></article></div><p>no</p>")
+    assert wrapper.content(page, "", set()) == "a\nb"
+    assert wrapper.match(page.shape, page.shape) == {i: i for i in range(len(wrapper.outline(page.shape)))}
+
+
 def test_pages_odd_inputs(spark):
     odd = spark.createDataFrame([(1, "http://x/y", "<p>" * 3000 + "deep" + "<i a='" * 2000, "h", "t")], PAGES + ", host string, template string")
     assert [r.text for r in wrapper.extract(odd).collect()][0].startswith("deep")
