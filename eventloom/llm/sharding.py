@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from eventloom.llm.common import written
+
 SEED = 20240611
 BUCKET_BYTES = 16 << 20
 
@@ -31,23 +33,43 @@ def pick_shard(key: Column, shards: int, seed: int = SEED) -> Column:
 def scatter(records: DataFrame, key: str, size: str, shards: int, seed: int = SEED, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """(key, record, shard, grown_shard, bucket) for every record.
 
-    A shard has as many buckets as its bytes need on average.  Buckets spread
-    by a hash of the whole record, so rows that share a key spread too; a
-    record larger than a bucket has one to itself and whatever else falls there.
+    A shard has as many buckets as its own bytes need.  Buckets spread by a hash
+    of the whole record, so rows that share a key spread too; equal rows of more
+    than a quarter of a bucket spread in runs of that size.  A record larger
+    than a bucket has one to itself and whatever else falls there.
     """
-    total = records.agg(F.coalesce(F.sum(size), F.lit(0)).alias("n")).first()["n"]
-    buckets = max(1, -(-total // (bucket_bytes * shards)))
+    best = pick_shard(F.col(key), shards, seed)
+    sums = records.select(best["shard"].alias("shard"), F.col(size).alias("bytes")).groupBy("shard").agg(F.sum("bytes").alias("n")).collect()
+    held = {r["shard"]: int(r["n"] or 0) for r in sums}
+    buckets = F.array(*[F.lit(max(1, -(-held.get(s, 0) // bucket_bytes))) for s in range(shards)])
     new = _score(F.col("key"), shards, seed)
-    dealt = records.select(F.col(key).alias("key"), F.struct(*records.columns).alias("record"), pick_shard(F.col(key), shards, seed).alias("best"))
+    whole = _spread(records.select(F.col(key).alias("key"), F.struct(*records.columns).alias("record"), F.col(size).alias("bytes")), seed, bucket_bytes)
+    dealt = whole.select("key", "record", "run", pick_shard(F.col("key"), shards, seed).alias("best"))
     return dealt.select(
         "key",
         "record",
         F.col("best.shard").alias("shard"),
         F.when(new >= F.col("best.score"), F.lit(shards)).otherwise(F.col("best.shard")).alias("grown_shard"),
-        F.pmod(F.xxhash64(F.lit(seed + 1), "record"), F.lit(buckets)).cast("int").alias("bucket"),
+        F.pmod(F.xxhash64(F.lit(seed + 1), "record", "run"), F.get(buckets, F.col("best.shard"))).cast("int").alias("bucket"),
     )
 
 
+def _spread(whole: DataFrame, seed: int, bucket_bytes: int) -> DataFrame:
+    """(key, record, run): rows equal to too many others are counted and written out again in numbered runs, all others have run 0."""
+    digest = F.xxhash64(F.lit(seed), "record").alias("digest")
+    counts = whole.groupBy(digest).agg(F.count("*").alias("n"), F.max("bytes").alias("bytes"))
+    repeats = written(counts.filter("n > 1").filter(F.col("n") * F.col("bytes") * 4 > bucket_bytes).select("digest"), "repeats")
+    if repeats.isEmpty():
+        return whole.select("key", "record", F.lit(0).cast("long").alias("run"))
+    named, few = whole.select("*", digest), F.broadcast(repeats)  # four per bucket at most
+    per = F.greatest(F.lit(1), F.floor(F.lit(bucket_bytes) / 4 / F.greatest(F.lit(1), F.col("bytes")))).cast("long")
+    equal = named.join(few, "digest", "left_semi").groupBy("key", "record", "bytes").agg(F.count("*").alias("n")).select("*", per.alias("per"))
+    runs = equal.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / F.col("per")))).alias("run")).repartition("record", "run")
+    size = F.least(F.col("per"), F.col("n") - F.col("run") * F.col("per")).cast("int")
+    again = runs.select("key", "record", "run", F.explode(F.array_repeat(F.lit(0), size))).select("key", "record", "run")
+    return named.join(few, "digest", "left_anti").select("key", "record", F.lit(0).cast("long").alias("run")).union(again)
+
+
 def shuffle_shards(records: DataFrame, key: str, size: str, shards: int, seed: int = SEED, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """(record, shard, slot, grown_shard) for every record; slot is its place in the shard, gapless from 0.
 

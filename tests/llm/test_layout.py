@@ -53,6 +53,16 @@ def test_shards_odd_inputs(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == 50
 
 
+def test_equal_rows_spread_over_buckets(spark):
+    rows = [(i, "t", 100) for i in range(200)] + [(None, "x", 100)] * 150 + [(7, "y", 100)] * 150
+    docs = spark.createDataFrame(rows, DOCS + ", size long").repartition(3)
+    sizes = sharding.scatter(docs, "doc_id", "size", 4, bucket_bytes=2000).groupBy("shard", "bucket").count().collect()
+    assert sum(r["count"] for r in sizes) == len(rows) and max(r["count"] for r in sizes) <= 60
+    got = sharding.shuffle_shards(docs, "doc_id", "size", 4, bucket_bytes=2000).collect()
+    shards_of(got)
+    assert sorted(map(str, (tuple(r.record) for r in got))) == sorted(map(str, rows))
+
+
 def test_best_two_fit():
     """Valid packings, within a hundredth of plain first-fit decreasing on random lengths."""
     rnd = np.random.default_rng(3)
