@@ -31,6 +31,9 @@ SHAPES = {
     "boolean": ("BOOLEAN",),
 }
 
+# A JSON string literal, matched without backtracking.
+JSON_STRING = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
+
 # Fixed value: the fields that can be grouped by.
 IDENTIFIER = re.compile(r"^(app|env|level|event|ids\.[\w.-]+|data\.[\w.-]+)$")
 
@@ -208,8 +211,12 @@ def parse_embedded(text: str) -> str:
 
 
 def json_depth(text: str) -> str:
-    """Nesting depth of JSON text; the root container is depth 1."""
-    literals = quote(r'"(?:[^"\\]|\\.)*"|[^\[\]{}"]+')
+    """Nesting depth of JSON text; the root container is depth 1.
+
+    The runs are possessive: Java's matcher recurses once per character of a run
+    it may have to give back, and a string can be as long as a body.
+    """
+    literals = quote(JSON_STRING + r'|[^\[\]{}"]++')
     step = "if(c in ('{', '['), 1, if(c in ('}', ']'), -1, 0))"
     return (
         f"aggregate(split(regexp_replace({text}, {literals}, ''), ''), named_struct('now', 0, 'top', 0), "

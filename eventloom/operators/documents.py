@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eventloom.functions.values import (
+    JSON_STRING,
     as_text,
     json_kind,
     parse_embedded,
@@ -136,7 +137,9 @@ def redact(ev: DataFrame, pattern: str = SENSITIVE_KEYS) -> DataFrame:
         return texts.map(lambda t: None if t is None else json.dumps(mask(json.loads(t)), ensure_ascii=False))
 
     text = F.to_json("data")
-    needs = text.rlike(rf'(?i)"(?:[^"\\]|\\.)*(?:{pattern})(?:[^"\\]|\\.)*"\s*:')
+    # Every literal is matched, with the colon if one follows: no part of a text is looked at twice.
+    literals = F.regexp_extract_all(text, F.lit(JSON_STRING + r"\s*+:?+"), F.lit(0))
+    needs = text.rlike(f"(?i){pattern}") & F.exists(literals, lambda k: k.endswith(":") & k.rlike(f"(?i){pattern}"))
     return ev.withColumn(
         "ids", F.transform_values("ids", lambda k, v: F.when(k.rlike(f"(?i){pattern}"), F.lit("***")).otherwise(v))
     ).withColumn(

@@ -124,8 +124,6 @@ def _stats(**kw):
 
 add("stats_hour", EV + STATS_SQL.format(unit="hour", where="true"), _stats(**SPAN))
 add("stats_day", EV + STATS_SQL.format(unit="day", where="true"), _stats(group="day", **SPAN))
-add("stats_day_exact", EV + STATS_SQL.format(unit="day", where="true"), _stats(group="day", exact=True, **SPAN))
-add("stats_hour_exact", EV + STATS_SQL.format(unit="hour", where="true"), _stats(exact=True, **SPAN))
 add(
     "stats_app_event",
     EV + STATS_SQL.format(unit="day", where="app = 'svc1' and event like 'cron.%'"),
@@ -520,6 +518,30 @@ register(
 ))
 
 
+def _document_bodies(spark, sf_dir):
+    """Each document as one posted body: its whole text in `data`, once as it is and once inside arrays."""
+    text = F.coalesce("text", F.lit(""))
+    body = F.struct(
+        F.concat("source", F.lit(".doc")).alias("event"), F.struct("doc_id").alias("ids"),
+        F.struct(text.alias("text"), F.array(F.array(F.struct(text.alias("copy")))).alias("nested")).alias("data"),
+    )
+    return table(spark, sf_dir, "documents").select(
+        F.col("doc_id").cast("string").alias("batch_id"), F.lit("user").alias("source_id"),
+        F.lit("2024-01-01T00:00:00Z").cast("timestamp").alias("received_at"), F.to_json(body).alias("body"),
+    )
+
+
+register(
+    "normalize_documents",
+    """select cast(doc_id as varchar) as doc_id, concat(source, '.doc') as event, md5(coalesce(text, '')) as text_md5, md5(coalesce(text, '')) as nested_md5
+    from documents where length(to_json(struct_pack(text := text, nested := [[struct_pack(copy := text)]]))) <= 65536""",
+    log=False,
+)(lambda spark, d: envelopes.normalize(_document_bodies(spark, d), _sources(spark))[0].filter("not coalesce(try_variant_get(data, '$._truncated', 'boolean'), false)").select(
+    F.col("ids")["doc_id"].alias("doc_id"), "event", F.md5(F.try_variant_get("data", "$.text", "string")).alias("text_md5"),
+    F.md5(F.try_variant_get("data", "$.nested[0][0].copy", "string")).alias("nested_md5"),
+))
+
+
 def _oversize(spark, sf_dir):
     """``documents`` as payloads, cut at 4 KB."""
     raw = F.to_json(F.struct("text", "lang"))

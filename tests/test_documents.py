@@ -69,6 +69,14 @@ def test_redact(spark):
     assert (rows[1].ids, json.loads(rows[1].data), rows[2].ids, rows[2].data) == ({"user": "u"}, {"n": 1}, None, None)
 
 
+def test_redact_after_long_strings(spark):
+    for text in ("y" * 100_000, '"' * 100_000, 'a "secret": b ' * 10_000, "secret" * 50_000):
+        data = {"long": text, text[:40_000]: 1, "apiKey": "k", "n": {'q"token': [text]}}
+        (row,) = documents.redact(log(spark, [dict(data=data)])).select(F.to_json("data").alias("d")).collect()
+        kept = "***" if "secret" in text else 1
+        assert json.loads(row.d) == {"long": text, text[:40_000]: kept, "apiKey": "***", "n": {'q"token': "***"}}
+
+
 def test_validate_projects(spark):
     cases = [
         ('{"name": " Web ", "apps": ["a", "b", "a"]}', "Web", ["a", "b"], None),

@@ -314,3 +314,12 @@ def test_archive_of_finished_segments(spark, landed, tmp_path):
             spark, str(source), str(tmp_path / "events"), str(tmp_path / "cp"), max_files=1, available_now=True, archive=str(archive)
         ).awaitTermination()
     assert store.read_events(spark, str(tmp_path / "events")).count() == 250
+
+
+@pytest.mark.parametrize("text", ["x" * 900_000, '"' * 300_000, "\\" * 300_000, "[{" * 300_000, '"[' * 200_000])
+def test_long_strings_in_data(spark, sources, text):
+    good, bad = envelopes.normalize(batches(spark, [{"event": "x", "data": {"a": [text], "b": {text[:3000]: 1}}}]), sources)
+    assert bad.isEmpty()
+    assert [json.loads(r.d)["_truncated"] for r in good.select(F.to_json("data").alias("d")).collect()] == [True]
+    deeper = envelopes.normalize(batches(spark, [{"event": "x", "data": {"t": text, "a": deep(40)}}]), sources)[1]
+    assert [r.error for r in deeper.collect()] == ["data nesting exceeds 32 levels"]
