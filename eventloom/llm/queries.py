@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventloom.llm import decontaminate, exact_dedup, lm_scoring, near_dedup, packing, secrets, sharding, suffix_dedup, toxicity, wrapper
+from eventloom.llm import decontaminate, exact_dedup, lm_scoring, near_dedup, packing, secrets, sharding, suffix_dedup, toxicity, whitening, wrapper
 from eventloom.llm.common import table
 from eventloom.session import configure
 
@@ -114,3 +114,8 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op6_lm_scoring")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.score(table(spark, sf_dir, "documents"))
+
+
+@register("op13_embedding_whitening")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
