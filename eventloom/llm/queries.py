@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventloom.llm import decontaminate, exact_dedup, lm_scoring, near_dedup, packing, secrets, sharding, suffix_dedup, toxicity, whitening, wrapper
+from eventloom.llm import decontaminate, exact_dedup, hard_negatives, lm_scoring, near_dedup, packing, secrets, sharding, suffix_dedup, toxicity, whitening, wrapper
 from eventloom.llm.common import table
 from eventloom.session import configure
 
@@ -119,3 +119,22 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op13_embedding_whitening")
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+@register(
+    "op11_hard_negatives",
+    """with r as (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+        list_transform(embedding, lambda c: floor(256 * cast(c as double))) as x
+      from embeddings where label is not null and embedding is not null and len(list_filter(embedding, lambda c: coalesce(not isfinite(c), true))) = 0),
+    s as (select a.vec_id as anchor_id, a.label = b.label as same, b.vec_id, cast(list_inner_product(a.x, b.x) as bigint) as score
+      from r a, r b where a.vec_id % 100 = 0 and a.vec_id <> b.vec_id),
+    p as (select * from s where same qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5)
+    select p.anchor_id, p.vec_id as positive_id, cast(row_number() over w as integer) as rank, s.vec_id as negative_id,
+      p.score as positive_score, s.score as negative_score
+    from p join s on p.anchor_id = s.anchor_id and not s.same and 30 * p.score <= 100 * s.score and 100 * s.score <= 90 * p.score
+    window w as (partition by p.anchor_id, p.vec_id order by s.score desc, s.vec_id) qualify row_number() over w <= 10""",
+)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", label.alias("label"))
+    return hard_negatives.mine(rows, rows.filter("vec_id % 100 = 0"))

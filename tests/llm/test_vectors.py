@@ -1,12 +1,13 @@
 """Operators over embeddings, against plain answers."""
 
+import math
 from fractions import Fraction
 
 import numpy as np
 import pytest
 from conftest import SF_SMALL
 
-from eventloom.llm import whitening
+from eventloom.llm import hard_negatives, whitening
 from eventloom.llm.queries import QUERIES
 
 VECTORS = "vec_id long, embedding array<float>"
@@ -90,3 +91,49 @@ def test_products_of_large_numbers():
     for top in (2**10, 2**30, 2**46):
         x = rnd.integers(-top, top + 1, (50, 3))
         assert (whitening._products(x) == x.astype(object).T @ x.astype(object)).all()
+
+
+def plain_negatives(rows, anchors, positives=5, negatives=10, low=30, high=90):
+    """Sorted result rows of (vec_id, vector, label) lists."""
+    def coded(some):
+        fine = lambda v: v is not None and all(c is not None and math.isfinite(c) and abs(256 * c) < 2**22 for c in v)
+        return [(i, [math.floor(256 * float(np.float32(c))) for c in v], y) for i, v, y in some if i is not None and y is not None and fine(v)]
+
+    rows, best, out = coded(rows), {}, []
+    for i, x, y in coded(anchors):
+        best[i] = min(best.get(i, (y, x)), (y, x))
+    for a, (label, x) in best.items():
+        scored = sorted((-sum(p * q for p, q in zip(x, v)), i, y) for i, v, y in rows)
+        near = [(-s, i) for s, i, y in scored if y == label and i != a][:positives]
+        for p, positive in near:
+            window = [(-s, i) for s, i, y in scored if y != label and low * p <= -100 * s <= high * p]
+            out += [(a, positive, n + 1, i, p, s) for n, (s, i) in enumerate(window[:negatives])]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("entries, seed", [(1 << 20, 1), (64, 2), (16, 3)])
+def test_hard_negatives(spark, monkeypatch, entries, seed):
+    monkeypatch.setattr(hard_negatives, "ENTRIES", entries)  # many tiles
+    monkeypatch.setattr(hard_negatives, "SCORES", 40)
+    rnd = np.random.default_rng(seed)
+    rows = [(i, v, int(rnd.integers(0, 3))) for i, v in enumerate((rnd.integers(-3, 4, (120, 3)) / 4).tolist())]  # many ties
+    rows += [(500 + i, rows[0][1], int(i % 2)) for i in range(60)]  # a vector with many copies
+    rows += [(7, [0.5, 0.5, 0.5], 1), rows[9], (None, [1.0, 1.0, 1.0], 0), (900, None, 0), (901, [1.0, None, 1.0], 0), (902, [1.0, 1.0, 1.0], None)]
+    rows += [(903, [float("nan"), 1.0, 1.0], 0), (904, [float("inf"), 1.0, 1.0], 0), (905, [1e20, 1.0, 1.0], 0), (906, [1.5], 2), (907, [], 1)]
+    df = spark.createDataFrame([(*r, 1, 2) for r in rows], "vec_id long, embedding array<float>, label int, score int, slot int")
+    asked = [r for r in rows if r[0] is not None and (r[0] % 10 == 0 or r[0] in (7, 901, 902, 906))]
+    got = hard_negatives.mine(df.repartition(3), df.filter("vec_id % 10 = 0 or vec_id in (7, 901, 902, 906)"))
+    assert got.columns == ["anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score"]
+    assert sorted(map(tuple, got.collect())) == plain_negatives(rows, asked)
+
+
+def test_hard_negatives_of_little(spark):
+    df = spark.createDataFrame([(1, [1.0], 0), (2, [1.0], 0)], "vec_id long, embedding array<float>, label int")
+    for rows, anchors in ((df, df), (df.limit(0), df), (df, df.limit(0))):
+        assert hard_negatives.mine(rows, anchors).isEmpty()
+
+
+def test_scores_beyond_doubles():
+    x = np.array([[2.0**22, 3.0], [1.0, -(2.0**22)]] * 2)
+    big = np.hstack([x] * 300)
+    assert (hard_negatives._scores(big, big) == big.astype(np.int64) @ big.astype(np.int64).T).all()
