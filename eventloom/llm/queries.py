@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventloom.llm import decontaminate, exact_dedup, hard_negatives, lm_scoring, near_dedup, packing, secrets, sharding, suffix_dedup, toxicity, whitening, wrapper
+from eventloom.llm import decontaminate, exact_dedup, hard_negatives, lm_scoring, near_dedup, ngram_join, packing, secrets, sharding, suffix_dedup, toxicity, whitening, wrapper
 from eventloom.llm.common import table
 from eventloom.session import configure
 
@@ -138,3 +138,8 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", label.alias("label"))
     return hard_negatives.mine(rows, rows.filter("vec_id % 100 = 0"))
+
+
+@register("op12_ngram_jaccard_join")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join_ngrams(table(spark, sf_dir, "documents"), k=5, threshold=80)
