@@ -46,12 +46,12 @@ def measures(ev: DataFrame) -> DataFrame:
     )
 
 
-def bucket_aggregates(approximate: bool = True) -> list:
-    """Aggregates of one bucket, over :func:`measures`."""
+def bucket_aggregates(latency: str | None = None) -> list:
+    """Aggregates of one bucket, over :func:`measures`; `latency` is SQL for its percentiles, if they are among them."""
     out = ["count(*) as total"]
     out += [f"count_if(level = '{name}') as {name}" for name in LEVELS]
-    if approximate:
-        out.append(percentiles.approximate("latency", STATS_PERCENTILES.values()) + " as _latency")
+    if latency:
+        out.append(f"{latency} as _latency")
     out += [
         "count(status) as _statuses",
         "count_if(status >= 400) as _status_errors",
@@ -85,9 +85,10 @@ def stats(
 ) -> DataFrame:
     """Volume by level, latency percentiles, error rate, cost and tokens per UTC hour or day.
 
-    One shuffle of per-bucket partial aggregates, and exact percentiles from
-    :func:`eventloom.operators.percentiles.exact`.  `exact=False` takes a bounded
-    summary instead, for streams and quick looks.
+    One shuffle of per-bucket partial aggregates.  Percentiles are exact: among
+    those aggregates where a count of every bucket's latencies shows that they
+    may be held, else by :func:`eventloom.operators.percentiles.exact`.
+    `exact=False` takes a bounded summary instead, for streams and quick looks.
     Buckets without events are absent; a bucket without latencies or statuses
     has NULL there.
     """
@@ -96,8 +97,11 @@ def stats(
     if event:
         rows = rows.filter(event_prefix(event))
     rows = measures(rows).selectExpr("*", f"{bucket('received_at', group)} as bucket")
-    totals = rows.groupBy("bucket").agg(*bucket_aggregates(approximate=not exact))
+    how = percentiles.approximate
     if exact:
+        how = percentiles.held if percentiles.fits(rows, ["bucket"], "latency") else None
+    totals = rows.groupBy("bucket").agg(*bucket_aggregates(how and how("latency", STATS_PERCENTILES.values())))
+    if how is None:
         latency = percentiles.exact(rows, ["bucket"], F.col("latency"), STATS_PERCENTILES)
         totals = totals.join(latency, "bucket", "left")
     return bucket_columns(totals).orderBy("bucket")
@@ -214,11 +218,14 @@ def jobs(
         "event as name", "received_at", "_id", f"{job_failed(rows)} as failed", f"{to_double(latency)} as latency"
     )
     out = ["count(*) as runs", "count_if(failed) as failures", "max(struct(received_at, _id, failed)) as _last"]
-    if not exact:
-        out.append(percentiles.approximate("latency", JOBS_PERCENTILES.values()) + " as _latency")
+    how = percentiles.approximate
+    if exact:
+        how = percentiles.held if percentiles.fits(runs, ["name"], "latency") else None
+    if how:
+        out.append(how("latency", JOBS_PERCENTILES.values()) + " as _latency")
     health = runs.groupBy("name").agg(*[F.expr(e) for e in out])
     total = health.agg(F.count("*")).scalar()  # over the same shuffle
-    if exact:
+    if how is None:
         health = health.join(percentiles.exact(runs, ["name"], F.col("latency"), JOBS_PERCENTILES), "name", "left")
         latency = list(JOBS_PERCENTILES)
     else:

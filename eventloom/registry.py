@@ -19,10 +19,10 @@ from eventloom.operators.filters import filter_events, in_window, scope_project
 from eventloom.plans import dashboards, lenses
 from eventloom.schema import Limits
 from eventloom.session import configure, shared_path
-from eventloom.sources import segments, store
+from eventloom.sources import files, segments, store
 from eventloom.sources.tables import NOW, WHOLE, event_log, project_table, stream_event_log, table
 from eventloom.streaming.ingest import dedup_stream, run_body_ingest, run_ingest
-from eventloom.streaming.live import stream_stats, stream_tail
+from eventloom.streaming.live import read_tail, stream_stats, stream_tail
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -656,7 +656,7 @@ def _landed(spark: SparkSession, sf_dir: str, name: str, damaged: bool = True) -
         broken = F.get_json_object("value", "$.level") == "error"
         lines = lines.select(F.when(broken, F.substring("value", 1, 40)).otherwise(F.col("value")).alias("value"))
     lines.write.text(f"{path}/raw")
-    fs, _ = store._files(spark, path)
+    fs, _ = files.system(spark, path)
     target = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/segments")
     fs.mkdirs(target)
     parts = sorted(str(s.getPath()) for s in fs.listStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/raw")) if "part-" in str(s.getPath().getName()))
@@ -751,26 +751,33 @@ def _dedup_stream(spark, sf_dir):
     return _drained(query, path, spark, "_id STRING, app STRING").groupBy("app").agg(F.count("*").alias("n"))
 
 
+# Four micro-batches of errors: most, then a little that is new, then two that were seen before.
+TAIL_BATCHES = [
+    ("2024-01-01 00:00:00", "2024-01-20 00:00:00"), ("2024-01-20 00:00:00", "2024-01-20 03:00:00"),
+    ("2024-01-19 20:00:00", "2024-01-20 00:00:00"), ("2024-01-02 00:00:00", "2024-01-02 02:00:00"),
+]
+TAIL_SQL = " union all ".join(
+    f"select *, cast({i} as bigint) as arrived from ev where level = 'error' and received_at >= timestamp '{a}' and received_at < timestamp '{b}'"
+    for i, (a, b) in enumerate(TAIL_BATCHES)
+)
+
+
 @register(
     "stream_tail",
-    EV + "select _id, app, level, iso_at as received_at from ev where level = 'error' order by ev.received_at desc, _id desc limit 30",
+    EV + f""", seen as ({TAIL_SQL}), last as (select * from seen qualify row_number() over (partition by _id order by arrived desc) = 1)
+    select _id, app, level, iso_at as received_at, arrived from last order by arrived desc, last.received_at desc, _id desc limit 30""",
     log=False,
 )
 def _stream_tail(spark, sf_dir):
-    path = shared_path(spark, "tail")
-
-    def deliver(df, epoch):
-        df.select("_id", "app", "level", "received_at").write.mode("overwrite").parquet(f"{path}/batch={epoch}")
-
-    query = stream_tail(
-        stream_event_log(spark, sf_dir), deliver, {"level": "error"}, checkpoint=shared_path(spark, "checkpoint")
-    )
-    try:
-        query.processAllAvailable()
-    finally:
-        query.stop()
-    tail = pages.newest(spark.read.parquet(path).drop("batch"), 30)
-    return tail.select("_id", "app", "level", F.expr(iso("received_at")).alias("received_at"))
+    """The tail as the last of several micro-batches left it: events of earlier ones stay, those seen again move up."""
+    source, checkpoint = shared_path(spark, "arrivals"), shared_path(spark, "checkpoint")
+    ev = event_log(spark, sf_dir)
+    for a, b in TAIL_BATCHES:
+        filter_events(ev, {"from": a.replace(" ", "T") + "Z", "to": b.replace(" ", "T") + "Z"}).coalesce(1).write.mode("append").parquet(source)
+    stream = spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    stream_tail(stream, params={"level": "error"}, checkpoint=checkpoint, available_now=True).awaitTermination()
+    tail = read_tail(spark, f"{checkpoint}__tail")
+    return tail.select("_id", "app", "level", F.expr(iso("received_at")).alias("received_at"), "arrived")
 
 
 # --- audits ------------------------------------------------------------------

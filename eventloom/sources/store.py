@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 from eventloom.functions.times import instant, lit_instant
 from eventloom.functions.values import hot_columns
 from eventloom.schema import EVENT_SCHEMA, HOT_SCHEMA, STORE_COLUMNS
+from eventloom.sources import files, id_index
 
 STORE_SCHEMA = T.StructType(
     [*EVENT_SCHEMA.fields, T.StructField("hot", HOT_SCHEMA), T.StructField("event_date", T.DateType())]
@@ -40,8 +41,21 @@ def _write_laid_out(df: DataFrame, path: str, mode: str, **options) -> None:
 
 
 def write_events(ev: DataFrame, path: str, mode: str = "append") -> None:
-    """Write events to the table as they are, without a duplicate check."""
-    _write_laid_out(to_store(ev), path, mode)
+    """Write events to the table as they are, without a duplicate check; its ids are kept up where they are kept."""
+    spark = ev.sparkSession
+    if mode != "append":
+        files.delete(spark, id_index.root(path))
+    if not files.exists(spark, id_index.root(path)):
+        return _write_laid_out(to_store(ev), path, mode)
+    id_index.recover(spark, path)
+    id_index.cover(spark, path, _days(ev))
+    _write_with_ids(spark, ev, path)
+
+
+def _write_with_ids(spark: SparkSession, ev: DataFrame, path: str, small: bool = False) -> None:
+    id_index.stage(spark, path, ev, small)
+    _write_laid_out(to_store(ev), path, "append")
+    id_index.publish(spark, path)
 
 
 def read_events(spark: SparkSession, path: str, days: list | None = None) -> DataFrame:
@@ -49,31 +63,19 @@ def read_events(spark: SparkSession, path: str, days: list | None = None) -> Dat
     reader = spark.read.schema(STORE_SCHEMA)
     if days is None:
         return reader.parquet(path)
-    folders = [f for d in days if _exists(spark, f := f"{path.rstrip('/')}/event_date={d}")]
+    folders = [f for d in days if files.exists(spark, f := f"{path.rstrip('/')}/event_date={d}")]
     return reader.option("basePath", path).parquet(*folders) if folders else spark.createDataFrame([], STORE_SCHEMA)
 
 
-def _files(spark: SparkSession, path: str):
-    """The Hadoop file system of a path, and the path."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    fs, where = _files(spark, path)
-    return fs.exists(where)
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    fs, where = _files(spark, path)
-    fs.delete(where, True)
-
-
 def one_per_id(batch: DataFrame) -> DataFrame:
     """One row per `_id`: the earliest, ties by content, so that every retry keeps the same one."""
     texts = [F.col(c) for c in ("app", "env", "event", "level", "ts", "message")]
-    order = Window.partitionBy("_id").orderBy("received_at", *texts, F.to_json("ids"), F.to_json("data"))
-    return batch.withColumn("_nth", F.row_number().over(order)).filter("_nth = 1").drop("_nth")
+    same = Window.partitionBy("_id")
+    # documents become text only where an id does repeat
+    rest = [F.when(F.col("_copies") > 1, F.to_json(c)) for c in ("ids", "data")]
+    counted = batch.withColumn("_copies", F.count("*").over(same))
+    ranked = counted.withColumn("_nth", F.row_number().over(same.orderBy("received_at", *texts, *rest)))
+    return ranked.filter("_nth = 1").drop("_nth", "_copies")
 
 
 def new_rows(store: DataFrame, batch: DataFrame) -> DataFrame:
@@ -99,14 +101,23 @@ def append_new(spark: SparkSession, path: str, batch: DataFrame) -> None:
 
     Running it again with the same batch, or after a failed attempt, adds
     nothing twice.  An id belongs to one day: the same id on the same day is the
-    same event whatever its instant.
+    same event whatever its instant.  What the days of the batch have is looked
+    up in :mod:`eventloom.sources.id_index`, so the cost of a small batch does not
+    depend on how much they hold.
     """
+    id_index.recover(spark, path)
     # The batch is read for its days, its ids and its rows; kept in memory or on
     # disk meanwhile, and recomputed where an executor is lost.
     batch = one_per_id(batch).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        fresh = new_rows(read_events(spark, path, _days(batch)), batch) if _exists(spark, path) else batch
-        write_events(fresh, path)
+        # one row per day of the batch
+        days = {r["day"]: r["n"] for r in batch.groupBy(F.to_date("received_at").alias("day")).agg(F.count("*").alias("n")).collect()}
+        fresh, size = batch, sum(days.values())
+        if files.exists(spark, path):
+            id_index.cover(spark, path, days)
+            held = id_index.known(spark, path, days, batch, size)
+            fresh = batch.join(held, "_id", "left_anti").select(*batch.columns)
+        _write_with_ids(spark, fresh, path, size <= id_index.LISTED)
     finally:
         batch.unpersist()
 
@@ -142,9 +153,10 @@ def expire_events(spark: SparkSession, path: str, now, shortest_days: int | None
     days = sorted(r["event_date"] for r in per_day)
     if days:
         read = read_events(spark, path, days)
-        files = [(f,) for f in read.inputFiles()]  # one name per file of the days concerned
+        old_files = [(f,) for f in read.inputFiles()]  # one name per file of the days concerned
         _write_laid_out(read.filter(F.col("expires_at") > at), f"{staging}/rows", "overwrite")
-        spark.createDataFrame(files, "file string").coalesce(1).write.mode("overwrite").text(f"{staging}/replaced")
+        spark.createDataFrame(old_files, "file string").coalesce(1).write.mode("overwrite").text(f"{staging}/replaced")
+        id_index.forget(spark, path, days)
         finish_retention(spark, path)
     return days
 
@@ -152,8 +164,8 @@ def expire_events(spark: SparkSession, path: str, now, shortest_days: int | None
 def finish_retention(spark: SparkSession, path: str) -> None:
     """Puts complete survivors in place and removes the files they replace; harmless to repeat."""
     staging = f"{path.rstrip('/')}__retained"
-    if _exists(spark, f"{staging}/replaced/_SUCCESS"):
-        fs, where = _files(spark, f"{staging}/rows")
+    if files.exists(spark, f"{staging}/replaced/_SUCCESS"):
+        fs, where = files.system(spark, f"{staging}/rows")
         jvm = spark._jvm
         for folder in fs.globStatus(jvm.org.apache.hadoop.fs.Path(f"{where}/event_date=*")) or []:
             day = jvm.org.apache.hadoop.fs.Path(path, folder.getPath().getName())
@@ -161,8 +173,8 @@ def finish_retention(spark: SparkSession, path: str) -> None:
             for file in fs.listStatus(folder.getPath()):
                 fs.rename(file.getPath(), jvm.org.apache.hadoop.fs.Path(day, file.getPath().getName()))
         for r in spark.read.text(f"{staging}/replaced").collect():
-            _delete(spark, r["value"])
-    _delete(spark, staging)
+            files.delete(spark, r["value"])
+    files.delete(spark, staging)
 
 
 def compact_day(spark: SparkSession, path: str, day) -> None:

@@ -4,15 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from eventloom.functions.times import GROUPS
+from eventloom.operators import percentiles
 from eventloom.operators.filters import Params, filter_events
 from eventloom.operators.pages import tail_buffer
-from eventloom.operators.rollups import bucket_aggregates, bucket_columns, measures
+from eventloom.operators.rollups import STATS_PERCENTILES, bucket_aggregates, bucket_columns, measures
 from eventloom.schema import TAIL_MAX
+from eventloom.session import shared_path
+from eventloom.sources import files
 
 
 def stream_stats(ev: DataFrame, group: str = "hour", delay: str = "10 minutes") -> DataFrame:
@@ -24,16 +27,67 @@ def stream_stats(ev: DataFrame, group: str = "hour", delay: str = "10 minutes")
     if group not in GROUPS:
         raise ValueError(f"group must be one of: {', '.join(GROUPS)}")
     rows = measures(ev.withWatermark("received_at", delay))
-    buckets = rows.groupBy(F.window("received_at", f"1 {group}")).agg(*bucket_aggregates())
+    buckets = rows.groupBy(F.window("received_at", f"1 {group}")).agg(*bucket_aggregates(percentiles.approximate("latency", STATS_PERCENTILES.values())))
     return bucket_columns(buckets, "window.start")
 
 
+def keep_tail(spark: SparkSession, state: str, batch: DataFrame, epoch: int, n: int = TAIL_MAX) -> DataFrame:
+    """Moves a kept tail on by the matching events of one micro-batch, and returns it.
+
+    The tail is the `n` latest arrivals, each id once: by micro-batch, then by
+    instant and id; an id seen again moves up.  It is a table of `n` rows with
+    ``arrived``, the micro-batch, one folder per micro-batch below `state`.
+    A micro-batch that runs again starts from the one before it and writes the
+    same folder, so a retry changes nothing; folders no retry can need are removed.
+    """
+    order = [F.desc("arrived"), F.desc("received_at"), F.desc("_id")]
+    arrivals = tail_buffer(batch, n).withColumn("arrived", F.lit(epoch).cast("long"))
+    known = sorted(_epochs(spark, state))
+    before = [e for e in known if e < epoch]
+    if before:
+        earlier = spark.read.schema(arrivals.schema).parquet(f"{state}/epoch={before[-1]}")
+        seen = arrivals.select("_id")
+        arrivals = arrivals.unionByName(earlier.join(seen, "_id", "left_anti"))  # at most n rows a side
+    arrivals.orderBy(*order).limit(n).write.mode("overwrite").parquet(f"{state}/epoch={epoch}")
+    for e in known:
+        if e != epoch and (not before or e != before[-1]):
+            files.delete(spark, f"{state}/epoch={e}")
+    return spark.read.schema(arrivals.schema).parquet(f"{state}/epoch={epoch}").orderBy(*order)
+
+
+def read_tail(spark: SparkSession, state: str) -> DataFrame | None:
+    """The kept tail as the last micro-batch left it, latest arrival first; None before the first one."""
+    last = max(_epochs(spark, state), default=None)
+    if last is None:
+        return None
+    return spark.read.parquet(f"{state}/epoch={last}").orderBy(F.desc("arrived"), F.desc("received_at"), F.desc("_id"))
+
+
+def _epochs(spark: SparkSession, state: str) -> list[int]:
+    """Micro-batches that left a complete tail."""
+    found = [f for f in files.listed(spark, state) if "/epoch=" in f and files.exists(spark, f"{f}/_SUCCESS")]
+    return [int(f.rsplit("=", 1)[1]) for f in found]
+
+
 def stream_tail(
-    ev: DataFrame, deliver: Callable[[DataFrame, int], None], params: Params | None = None,
-    n: int = TAIL_MAX, interval: str = "2 seconds", checkpoint: str | None = None,
+    ev: DataFrame, deliver: Callable[[DataFrame, int], None] | None = None, params: Params | None = None,
+    n: int = TAIL_MAX, interval: str = "2 seconds", checkpoint: str | None = None, state: str | None = None,
+    available_now: bool = False,
 ) -> StreamingQuery:
-    """Hand the newest `n` distinct matching events of each micro-batch to `deliver`."""
-    writer = filter_events(ev, params).writeStream.foreachBatch(lambda df, epoch: deliver(tail_buffer(df, n), epoch))
+    """Keep the newest `n` distinct matching arrivals over all micro-batches, and hand them to `deliver` after each.
+
+    The kept rows are at `state` (default: beside the checkpoint), where
+    :func:`read_tail` finds them; a restarted stream goes on with them.
+    """
+    spark = ev.sparkSession
+    where = state or (f"{checkpoint.rstrip('/')}__tail" if checkpoint else shared_path(spark, "tail"))
+
+    def move(batch: DataFrame, epoch: int) -> None:
+        kept = keep_tail(batch.sparkSession, where, batch, epoch, n)
+        if deliver:
+            deliver(kept, epoch)
+
+    writer = filter_events(ev, params).writeStream.foreachBatch(move)
     if checkpoint:
         writer = writer.option("checkpointLocation", checkpoint)
-    return writer.trigger(processingTime=interval).start()
+    return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=interval)).start()

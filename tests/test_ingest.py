@@ -277,12 +277,12 @@ def test_expire_finishes_an_interrupted_run_beside_ingest(spark, tmp_path, moved
     """Rows appended while retention runs, or between a failed run and the next, stay."""
     path, now = str(tmp_path / "events"), "2026-06-13T00:00:00Z"
     store.write_events(_expiring(spark, "a", "2026-06-12T00:00:00Z").unionByName(_expiring(spark, "b", "2026-07-01T00:00:00Z")).coalesce(1), path)
-    finish, delete = store.finish_retention, store._delete
+    finish, delete = store.finish_retention, store.files.delete
 
     def die(*_):
         raise RuntimeError("lost")
 
-    monkeypatch.setattr(store, "_delete" if moved else "finish_retention", lambda *a: die() if "__retained" not in str(a[1]) or not moved else delete(*a))
+    monkeypatch.setattr(*((store.files, "delete") if moved else (store, "finish_retention")), lambda *a: die() if "__retained" not in str(a[1]) or not moved else delete(*a))
     if not moved:
         calls = iter([finish, die])
         monkeypatch.setattr(store, "finish_retention", lambda *a: next(calls)(*a))
@@ -292,7 +292,7 @@ def test_expire_finishes_an_interrupted_run_beside_ingest(spark, tmp_path, moved
     store.write_events(_expiring(spark, "c", "2026-07-01T00:00:00Z"), path)
     store.expire_events(spark, path, now)
     assert sorted(r._id for r in store.read_events(spark, path).collect()) == ["b", "c"]
-    assert not store._exists(spark, f"{path}__retained")
+    assert not store.files.exists(spark, f"{path}__retained")
 
 
 def test_compact_day(spark, tmp_path):

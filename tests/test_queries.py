@@ -4,6 +4,7 @@ import random
 
 import pytest
 from helpers import ids, log
+from pyspark.sql import functions as F
 
 from eventloom.operators import audit, pages, percentiles, rollups
 from eventloom.operators.filters import filter_events, scope_project
@@ -149,7 +150,9 @@ def test_jobs(spark):
         dict(event="cron.c", received_at=at(1), data=dict(status=True)),
         dict(event="cronx", received_at=at(1)),
     ])
-    got = [tuple(r)[0:1] + tuple(r)[2:] for r in rollups.jobs(ev, from_=FROM, to=TO).collect()]
+    rows = rollups.jobs(ev, from_=FROM, to=TO).collect()
+    assert {r.total_jobs for r in rows} == {3}
+    got = [tuple(r)[0:1] + tuple(r)[2:-1] for r in rows]
     assert got == [
         ("cron.a", "ok", 3, 1, 0.6667, 10.0, 30.0),
         ("cron.b", "failed", 2, 1, 0.5, None, None),
@@ -177,12 +180,15 @@ def test_project_scope(spark):
         scope_project(ev, projects, "unknown")
 
 
-def test_exact_percentiles_on_skewed_groups(spark):
-    """One group with a third of the rows, one repeated value, negatives, huge and tiny values."""
+@pytest.mark.parametrize("held, few, split", [(1 << 15, 4096, 4096), (100, 1, 16), (0, 4, 7)])
+def test_exact_percentiles_on_skewed_groups(spark, monkeypatch, held, few, split):
+    """One group with a third of the rows, one repeated value, negatives, huge and tiny values; held or narrowed."""
+    for name, value in (("HELD", held), ("FEW", few), ("SPLIT", split)):
+        monkeypatch.setattr(percentiles, name, value)
     rng = random.Random(11)
     rows = [("hot", rng.choice([7.0, rng.uniform(-50, 5000)])) for _ in range(3000)]
     rows += [("same", 3.25)] * 1000 + [(f"g{i % 50}", rng.choice([-1, 1]) * 10 ** rng.uniform(-9, 12)) for i in range(4000)]
-    rows += [("hot", None), ("empty", None), ("pair", 1.0), ("pair", 1.0000000000000002)]
+    rows += [("hot", None), ("empty", None), ("pair", 1.0), ("pair", 1.0000000000000002), ("hot", float("inf")), ("hot", 5e-324), ("hot", 1.7e308)]
     ps = {"p01": 0.01, "p50": 0.5, "p95": 0.95, "p100": 1.0}
     df = spark.createDataFrame(rows, "g string, v double")
     got = {r.g: r for r in percentiles.exact(df, ["g"], df.v, ps).collect()}
@@ -242,3 +248,15 @@ def test_a_window_that_ends_at_midnight_leaves_the_next_day_closed(spark, tmp_pa
     got = filter_events(store.read_events(spark, str(tmp_path)), {"from": "2026-06-11T00:00:00Z", "to": "2026-06-12T00:00:00Z"})
     assert ids(got) == ["1"]
     assert "event_date <= 2026-06-11" in got._jdf.queryExecution().optimizedPlan().toString() or "2026-06-11" in str(got._jdf.queryExecution().executedPlan())
+
+
+def test_percentiles_of_a_million_values_in_a_narrow_band(spark):
+    """No range that is put in order holds more than a few values, and few rounds lead there."""
+    n = 1_000_000
+    values = spark.range(n).select(F.lit("g").alias("g"), (F.lit(1e-4) + F.col("id") * 1e-10).alias("v"))
+    ps = {"p50": 0.5, "p99": 0.99}
+    assert not percentiles.fits(values, ["g"], "v")
+    got = percentiles.exact(values, ["g"], F.col("v"), ps).head()
+    assert got.p50 == 1e-4 + (n // 2 - 1) * 1e-10 and got.p99 == 1e-4 + (n * 99 // 100 - 1) * 1e-10
+    state = percentiles.narrowed(values.select(F.col("g").alias("_k0"), F.col("v").alias("_v"), F.lit(1).alias("_n")), ["_k0"], ps)
+    assert all(r["_many"] <= percentiles.FEW for r in state.collect())
