@@ -24,6 +24,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def step(df: DataFrame, name: str) -> DataFrame:
+    """Like :func:`written`; what the step shuffled is deleted once it is written."""
+    conf, key = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(key, "false")
+    conf.set(key, "true")
+    try:
+        return written(df, name)
+    finally:
+        conf.set(key, before)
+
+
 def doc_key(docs: DataFrame, column: str = "doc_id", text: str = "text") -> DataFrame:
     """The id and text of each row, null text as empty; every other column is left out."""
     return docs.select(F.col(column).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))

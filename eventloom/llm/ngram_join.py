@@ -14,11 +14,17 @@ share one.
 Nearly all parts hold elements.  A set with elements in more parts than its
 similar sets can make differ agrees with each of them on one that is not empty,
 so empty subsets are no signatures; only a set with too few such parts gives
-them too.  The guarantee holds without exception.
+them too.  In the parts' order, those filled in either set before the first that
+agrees all differ, so each set's first filled parts, one more than can differ,
+are enough.  The guarantee holds without exception.
 
 Equal sets are one class.  Of the classes that share a signature, each first
-meets one of them on full sets; where that does not make them one component,
-what is left meets in tiles of bounded size.  Only links leave a task.
+meets one of them; where that does not make them one component, what is left
+meets in tiles of bounded size.  A tile first compares parity sketches, a bit
+per place of a hashed set: an element that one of two sets lacks flips one bit,
+so more unlike bits than elements may differ rule a pair out for certain.  Only
+classes with a pair that is not ruled out send their texts to the tile, which
+compares full sets.  Only links leave it.
 """
 
 from __future__ import annotations
@@ -28,17 +34,16 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from eventloom.llm.common import components, doc_key, written
+from eventloom.llm.common import components, doc_key, step
 from eventloom.llm.words import mix, shingles, small_batches, split_words
 
 #: Second-level parts of a group, and how many of them may differ.  One part alone then makes a signature.
 PARTS, SPARE = 2, 1
-#: Shingles of a tile's side.
-TILE = 200_000
-SET_SCHEMA = "doc_id long, n_shingles long, fp binary, signatures array<long>"
+#: Shingles and sets of a tile's side, about.
+TILE, TILE_SETS = 200_000, 4096
 
 
 def bands(largest: int, threshold: int) -> list[int]:
@@ -77,7 +82,7 @@ def signatures(value: np.ndarray, starts: np.ndarray, threshold: int) -> tuple[n
     size = np.diff(starts)
     tops = np.array(bands(int(size.max(initial=1)) * 100 // threshold + 1, threshold))
     own = np.searchsorted(tops, size)
-    chosen = list(combinations(range(PARTS), PARTS - SPARE))
+    chosen = [list(c) for c in combinations(range(PARTS), PARTS - SPARE)]
     element = mix(value)
     low, high = (element & np.uint64(0xFFFFFFFF)).astype(np.float64), (element >> np.uint64(32)).astype(np.float64)
     place = mix(value ^ np.uint64(0x51ED270B))
@@ -102,12 +107,16 @@ def signatures(value: np.ndarray, starts: np.ndarray, threshold: int) -> tuple[n
         name = mix(sums[0]) ^ mix(sums[1] + np.uint64(0x632BE5AB)) + held.astype(np.uint64)
         who = np.repeat(np.arange(len(part)), n)
         number = (np.arange(len(who)) - first[who]).astype(np.uint64)
-        enough = np.bincount(who, (held > 0).sum(axis=1), len(part)) > differ
+        filled = np.cumsum(held.ravel() > 0)
+        begin = np.concatenate([[0], filled])[first * PARTS]
+        enough = np.diff(begin) > differ
+        # the first part that agrees is among each set's first parts: before it, every filled part differs
+        early = (filled - begin[:-1][who].repeat(PARTS)).reshape(-1, PARTS) <= differ[who][:, None] + 1
         for which, parts in enumerate(chosen):
             base = mix((band[who].astype(np.uint64) << np.uint64(40)) + number * np.uint64(len(chosen)) + np.uint64(which))
             for p in parts:
                 base = mix(base * np.uint64(31) + name[:, p])
-            keep = (held[:, list(parts)].sum(axis=1) > 0) | ~enough[who]
+            keep = ((held[:, parts] > 0) & early[:, parts]).any(axis=1) | ~enough[who]
             found.append(base[keep])
             owners.append(part[who[keep]])
     if not found:
@@ -117,8 +126,19 @@ def signatures(value: np.ndarray, starts: np.ndarray, threshold: int) -> tuple[n
     return signature[order], owner[order]
 
 
-def describe(docs: DataFrame, k: int, threshold: int) -> DataFrame:
-    """Per document: the size and fingerprint of its set, and its signatures (none for an empty set)."""
+def parities(value: np.ndarray, starts: np.ndarray) -> list[bytes]:
+    """A bit per place of each set, as many places as the next power of two from its size on (64 at least), told by element count parity."""
+    size = np.diff(starts)
+    places = np.maximum(64, 1 << np.ceil(np.log2(np.maximum(size, 1))).astype(np.int64))
+    first = np.concatenate([[0], np.cumsum(places)])
+    of = np.repeat(np.arange(len(size)), size)
+    place = (mix(value ^ np.uint64(0x7A3D90C5)) & (places[of] - 1).astype(np.uint64)).astype(np.int64)
+    bits = np.packbits((np.bincount(first[of] + place, minlength=int(first[-1])) & 1).astype(np.uint8))
+    return [bits[a:b].tobytes() for a, b in zip(first[:-1] // 8, first[1:] // 8, strict=True)]
+
+
+def describe(docs: DataFrame, k: int) -> DataFrame:
+    """Per document: the size, fingerprint and parity sketch of its set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches):
@@ -127,30 +147,61 @@ def describe(docs: DataFrame, k: int, threshold: int) -> DataFrame:
             # order-free sums of two mixings, with the size, name a set
             sums = [np.concatenate([[np.uint64(0)], np.cumsum(mix(value ^ np.uint64(s)))]) for s in (0x2545F491, 0x9E6C63D0876A9A47)]
             fp = np.stack([size.astype(np.uint64), *(s[starts[1:]] - s[starts[:-1]] for s in sums)], axis=1)
-            signature, owner = signatures(value, starts, threshold)
-            lists = pa.ListArray.from_arrays(
-                pa.array(np.searchsorted(owner, np.arange(batch.num_rows + 1)).astype(np.int32)), pa.array(signature.view(np.int64))
-            )
             names = pa.array([row.tobytes() for row in fp], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size), names, lists], ["doc_id", "n_shingles", "fp", "signatures"])
+            sketches = pa.array(parities(value, starts), pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size), names, sketches], ["doc_id", "n_shingles", "fp", "parity"])
+
+    return doc_key(docs).mapInArrow(run, "doc_id long, n_shingles long, fp binary, parity binary")
+
+
+def sign(texts: DataFrame, k: int, threshold: int) -> DataFrame:
+    """A row per text (rep, text) and signature: key, rep, n (size of its set)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches):
+            value, starts = distinct_sets(batch.column(1), k)
+            signature, owner = signatures(value, starts, threshold)
+            rep, size = np.asarray(batch.column(0))[owner], np.diff(starts)[owner]
+            yield pa.RecordBatch.from_arrays([pa.array(signature.view(np.int64)), pa.array(rep), pa.array(size)], ["key", "rep", "n"])
 
-    return doc_key(docs).mapInArrow(run, SET_SCHEMA)
+    return texts.select("rep", "text").mapInArrow(run, "key long, rep long, n long")
 
 
-def _links(tiles: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+def _open_pairs(tiles: DataFrame, sketches: DataFrame, threshold: int) -> DataFrame:
+    """The rows of tiles (tile, side, rep, comp) that could link with one of the other side in another component."""
+
+    def compare(rows: pa.Table) -> pa.Table:
+        side, comp, n = (rows.column(c).to_numpy() for c in ("side", "comp", "n"))
+        given = rows.column("parity").to_pylist()
+        width = min(map(len, given))
+        # halving the places adds up parities
+        bits = [np.bitwise_xor.reduce(np.frombuffer(x, np.uint64).reshape(-1, width // 8), axis=0) for x in given]
+        bits = np.stack(bits)
+        one, two = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        hope = np.zeros(len(side), dtype=bool)
+        for i in one:
+            others = two[(comp[two] != comp[i]) & (100 * np.minimum(n[two], n[i]) >= threshold * np.maximum(n[two], n[i]))]
+            unlike = np.bitwise_count(bits[others] ^ bits[i]).sum(axis=1, dtype=np.int64)
+            others = others[unlike <= bound(n[others] + n[i], threshold)]
+            hope[others] = True
+            hope[i] |= len(others) > 0
+        return rows.select(["tile", "side", "rep", "comp"]).filter(pa.array(hope))
+
+    return tiles.join(sketches, "rep").select(*tiles.columns, "n", "parity").groupBy("tile").applyInArrow(compare, tiles.schema)
+
+
+def _links(tiles: DataFrame, sketches: DataFrame, texts: DataFrame, k: int, threshold: int) -> DataFrame:
     """Links (a, b) between the components of the sides of every tile (tile, side, rep, comp), from full sets.
 
     A tile gives each two components once, however many of their members link.
     """
 
     def compare(rows: pa.Table) -> pa.Table:
-        side, rep, comp = (rows.column(c).to_numpy() for c in ("side", "rep", "comp"))
-        lists = rows.column("shingles").combine_chunks()
-        offset, value = lists.offsets.to_numpy(), lists.flatten().to_numpy()
-        offset = offset - offset[0]
+        side, comp = (rows.column(c).to_numpy() for c in ("side", "comp"))
+        value, offset = distinct_sets(rows.column("text"), k)
         size = np.diff(offset)
-        one, two = np.flatnonzero(side != 1), np.flatnonzero(side != 0)  # side 2 meets itself
-        held = np.isin(np.repeat(side, size), (1, 2))
+        one, two = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        held = np.repeat(side, size) == 1
         owner = np.repeat(np.searchsorted(two, np.arange(len(size))), size)[held]
         order = np.argsort(value[held], kind="stable")
         domain, owner = value[held][order], owner[order]
@@ -168,39 +219,37 @@ def _links(tiles: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
         found = np.unique(np.stack([np.concatenate(a), np.concatenate(b)]), axis=1) if a else np.zeros((2, 0), np.int64)
         return pa.Table.from_arrays([pa.array(found[0]), pa.array(found[1])], ["a", "b"])
 
-    return tiles.join(sets, "rep").groupBy("tile").applyInArrow(compare, "a long, b long").distinct()
+    hopeful = step(_open_pairs(tiles, sketches, threshold), "tiles")
+    return hopeful.hint("merge").join(texts.select("rep", "text"), "rep").groupBy("tile").applyInArrow(compare, "a long, b long").distinct()
 
 
-def _shingle_sets(docs: DataFrame, reps: DataFrame, k: int) -> DataFrame:
-    """The full sets (rep, shingles) of some documents."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches):
-            value, starts = distinct_sets(batch.column(1), k)
-            lists = pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(value.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), lists], ["rep", "shingles"])
-
-    texts = doc_key(docs).join(reps.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    return texts.mapInArrow(run, "rep long, shingles array<long>").dropDuplicates(["rep"])
+def _blocks(shingle_count: Column, sets: Column) -> Column:
+    return F.greatest(F.ceil(shingle_count / TILE), F.ceil(sets / TILE_SETS), F.lit(1)).cast("int")
 
 
 def _star_tiles(met: DataFrame, threshold: int) -> DataFrame:
     """Tiles in which members meet their pivot: side 0 is the pivot, side 1 some of the members."""
     pairs = met.filter(f"rep <> pivot and 100 * least(n, pivot_n) >= {threshold} * greatest(n, pivot_n)").select("pivot", "rep", "n").distinct()
-    heavy = pairs.groupBy("pivot").agg(F.ceil(F.sum("n") / TILE).cast("int").alias("blocks"))
+    heavy = pairs.groupBy("pivot").agg(_blocks(F.sum("n"), F.count("*")).alias("blocks"))
     dealt = pairs.join(heavy, "pivot").withColumn("tile", F.struct("pivot", F.pmod(F.xxhash64("rep"), "blocks").cast("int").alias("block")))
     centres = dealt.select("tile", F.lit(0).alias("side"), F.col("pivot").alias("rep"), F.col("pivot").alias("comp")).distinct()
     return centres.unionByName(dealt.select("tile", F.lit(1).alias("side"), "rep", F.col("rep").alias("comp")))
 
 
 def _rest_tiles(left: DataFrame) -> DataFrame:
-    """Tiles in which all members (key, rep, n, comp) of a key meet: of its blocks, each pair once (side 2: one with itself)."""
-    heavy = left.groupBy("key").agg(F.ceil(F.sum("n") / TILE).cast("int").alias("blocks"))
-    dealt = left.join(heavy, "key").withColumn("own", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    side = F.when(F.col("own") == F.col("other"), 2).otherwise((F.col("own") > F.col("other")).cast("int"))
-    tile = F.struct("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    return dealt.select(tile.alias("tile"), side.alias("side"), "rep", "comp")
+    """Tiles in which those members (key, rep, n, comp) of a key outside its largest component meet all of the key."""
+    shares = left.groupBy("key", "comp").agg(F.sum("n").alias("n"), F.count("*").alias("sets"))
+    shape = shares.groupBy("key").agg(F.max(F.struct("n", "sets", "comp")).alias("main"), F.sum("n").alias("n"), F.sum("sets").alias("sets"))
+    outer = _blocks(F.col("n") - F.col("main.n"), F.col("sets") - F.col("main.sets"))
+    shape = shape.select("key", F.col("main.comp").alias("main"), outer.alias("outer"), _blocks(F.col("n"), F.col("sets")).alias("whole"))
+    rows = left.join(shape, "key")
+    own = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    sides = [
+        rows.filter("comp <> main").select("key", own("outer").alias("i"), every("whole").alias("j"), F.lit(0).alias("side"), "rep", "comp"),
+        rows.select("key", every("outer").alias("i"), own("whole").alias("j"), F.lit(1).alias("side"), "rep", "comp"),
+    ]
+    return sides[0].unionAll(sides[1]).select(F.struct("key", "i", "j").alias("tile"), "side", "rep", "comp")
 
 
 def join_ngrams(docs: DataFrame, k: int = 5, threshold: int = 80) -> DataFrame:
@@ -214,29 +263,32 @@ def join_ngrams(docs: DataFrame, k: int = 5, threshold: int = 80) -> DataFrame:
     doc_id takes no part: its component_id is null.  An empty table gives no
     rows; other columns are ignored.
     """
-    sets = written(describe(docs, k, threshold), "signatures")
+    sets = step(describe(docs, k), "sets")
     known = sets.filter("doc_id is not null and n_shingles > 0")
-    classes = known.groupBy("fp").agg(F.min(F.struct("doc_id", "n_shingles", "signatures")).alias("r"))
-    keyed = classes.select(F.explode("r.signatures").alias("key"), F.col("r.doc_id").alias("rep"), F.col("r.n_shingles").alias("n"))
+    classes = known.groupBy("fp").agg(F.min(F.struct("doc_id", "n_shingles", "parity")).alias("r"))
+    sketches = step(classes.select(F.col("r.doc_id").alias("rep"), F.col("r.n_shingles").alias("n"), "r.parity"), "sketches")
+    # ids of classes and tiles grow with the corpus: none is sent to every task, at any size
+    reps = sketches.select(F.col("rep").alias("doc_id")).distinct().hint("merge")
+    texts = step(doc_key(docs).join(reps, "doc_id", "left_semi").withColumnRenamed("doc_id", "rep"), "texts")
+    keyed = sign(texts, k, threshold)
     # signatures with the same holders count once: two hashes of the holders stand for them
     holders = Window.partitionBy("key")
     marks = [F.expr(f"bit_xor(xxhash64(rep, {s}))").over(holders).alias(f"h{s}") for s in (1, 2)]
     shared = keyed.select("rep", "n", F.count("*").over(holders).alias("size"), *marks).filter("size > 1")
-    members = written(shared.distinct().select(F.struct("size", "h1", "h2").alias("key"), "rep", "n", "size"), "members")
+    members = step(shared.distinct().select(F.struct("size", "h1", "h2").alias("key"), "rep", "n", "size"), "members")
 
     popular = members.groupBy("rep").agg(F.sum("size").alias("pop"))
     ranked = members.join(popular, "rep")
     best = F.max(F.struct("pop", (-F.col("rep")).alias("neg"), "n")).alias("p")
     pivots = ranked.groupBy("key").agg(best).select("key", (-F.col("p.neg")).alias("pivot"), F.col("p.n").alias("pivot_n"))
     met = members.join(pivots, "key")
-    full = written(_shingle_sets(docs, members.select("rep"), k), "shingles")
-    links = written(_links(_star_tiles(met, threshold), full, threshold), "links")
+    links = step(_links(_star_tiles(met, threshold), sketches, texts, k, threshold), "links")
     labels = components(links)
 
     named = members.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep"))
     split = named.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("key")
-    left = written(named.join(split, "key", "left_semi").select("key", "rep", "n", "comp"), "left")
-    more = written(_links(_rest_tiles(left), full, threshold), "links")
+    left = step(named.join(split, "key", "left_semi").select("key", "rep", "n", "comp"), "left")
+    more = step(_links(_rest_tiles(left), sketches, texts, k, threshold), "links")
     if not more.isEmpty():
         labels = components(links.unionAll(more))
 
