@@ -104,3 +104,36 @@ def secret_spans(text):
         (r"[0-9a-f]+", 0, lambda m: len(m[0]) >= 24),
     ]
     return sorted((m.start(), p, m.end()) for p, (r, f, ok) in enumerate(rules) for m in re.finditer(r, text or "", f) if ok(m))
+
+
+def plain_words(text):
+    """Lower-case words of letters, marks and digits; characters of scripts without spaces alone."""
+    import regex
+
+    text = regex.sub(r"([\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}])", r" \1 ", (text or "").lower())
+    return regex.sub(r"[^\p{L}\p{M}\p{N}]+", " ", text).split()
+
+
+def local_alignment(item, words):
+    """Best Smith-Waterman score of two word lists: 2 for equal, -1 replaced or missing in `words`, -2 for an extra one."""
+    best, row = 0, [0] * (len(words) + 1)
+    for a in item:
+        new = [0]
+        for j, b in enumerate(words):
+            new.append(max(0, row[j] + (2 if a == b else -1), row[j + 1] - 1, new[j] - 2))
+        row, best = new, max(best, *new)
+    return best
+
+
+def leaks(rows, items, similarity):
+    """{(doc_id, item_id): best similarity} of all pairs at the threshold."""
+    out = {}
+    texts = [(d, plain_words(t)) for d, t in rows if d is not None]
+    for item, text in items:
+        x = plain_words(text)
+        for doc, words in texts:
+            if x and item is not None and len(set(x) & set(words)) >= len(set(x)) * similarity - (1 - similarity) * len(x):
+                same = (local_alignment(x, words) / len(x) + 1) / 3
+                if same >= similarity - 1e-9:
+                    out[doc, item] = max(same, out.get((doc, item), 0))
+    return out
