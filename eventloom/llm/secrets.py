@@ -10,6 +10,7 @@ checked on every document.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from re import _constants as kinds
 from re import _parser as parser
@@ -80,6 +81,10 @@ def _runs(tree, states: list[tuple[tuple[str, ...], str]] | None):
     return states
 
 
+#: Matches of a text whose positions are added up in one list.
+CHUNK = 256
+
+
 def build_index(docs: DataFrame, trigrams: list[str], key: str = "doc_id", text: str = "text") -> DataFrame:
     """(trigram, key): each trigram's documents, once each."""
     low = docs.select(key, F.lower(F.coalesce(F.col(text), F.lit(""))).alias("low"))
@@ -100,7 +105,8 @@ def match_spans(text: Column, rule: Rule, place: int) -> Column:
     """Leftmost, non-overlapping matches as (start, place, end) in characters, end exclusive.
 
     The pieces between matches and the matches themselves alternate, so their
-    lengths add up to positions.
+    lengths add up to positions.  They are added up chunk by chunk: a list that
+    grew by one match at a time would be copied once per match.
     """
     pattern = F.lit(rule.pattern)
     whole = F.regexp_extract_all(text, pattern, F.lit(0))
@@ -111,7 +117,6 @@ def match_spans(text: Column, rule: Rule, place: int) -> Column:
         F.transform(wanted, F.length).alias("value"),
     )
     none = F.expr("cast(array() as array<struct<start:int,place:int,end:int>>)")
-    start = F.struct(F.lit(0).alias("at"), none.alias("out"))
 
     def step(state: Column, part: Column) -> Column:
         begin = state["at"] + part["gap"]
@@ -119,7 +124,18 @@ def match_spans(text: Column, rule: Rule, place: int) -> Column:
         found = F.struct(begin.alias("start"), F.lit(place).alias("place"), end.alias("end"))
         return F.struct(end.alias("at"), F.when(part["value"] >= rule.least, F.concat(state["out"], F.array(found))).otherwise(state["out"]).alias("out"))
 
-    return F.when(F.size(whole) > 0, F.aggregate(parts, start, step, lambda state: state["out"])).otherwise(none)
+    def through(state: Column, chunk: Column) -> Column:
+        inner = F.aggregate(chunk, F.struct(state["at"].alias("at"), none.alias("out")), step)
+        return _let(inner, lambda done: F.struct(done["at"].alias("at"), F.concat(state["out"], F.array(done["out"])).alias("out")))
+
+    start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<array<struct<start:int,place:int,end:int>>>)").alias("out"))
+    chunks = _let(parts, lambda p: F.transform(F.sequence(F.lit(1), F.size(p), F.lit(CHUNK)), lambda i: F.slice(p, i, CHUNK)))
+    return F.when(F.size(whole) > 0, F.aggregate(chunks, start, through, lambda state: F.flatten(state["out"]))).otherwise(none)
+
+
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use` of a value that is computed once."""
+    return F.transform(F.array(value), use)[0]
 
 
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -191,3 +191,13 @@ def test_leaks_equal_alignment_of_all_pairs(spark):
     for block_seeds in (1 << 20, 5):
         got = {(r.doc_id, r.item_id): round(r.similarity, 9) for r in decontaminate.leaks(docs, tests, block_seeds=block_seeds).collect()}
         assert got == {k: round(v, 9) for k, v in leaks(rows, items, 0.8).items()}
+
+
+def test_very_many_secrets_in_one_text(spark):
+    """Positions of matches are added up in time linear in their number."""
+    n = 100_000
+    text = "deadbeefdeadbeefdeadbeef " * n
+    (row,) = secrets.scan(spark.createDataFrame([(1, text), (2, "x")], DOCS)).filter("doc_id = 1").selectExpr(
+        "size(found) as n", "found[size(found) - 1] as last", "found[1000] as some"
+    ).collect()
+    assert (row.n, row.last.start, row.last.end, row.some.start) == (n, 25 * (n - 1), 25 * n - 1, 25_000)
