@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 from eventloom.functions.values import (
     JSON_STRING,
+    as_array,
+    as_object,
     as_text,
     json_kind,
     parse_embedded,
@@ -31,27 +33,25 @@ MAX_DEPTH = Limits.max_depth
 def _leaves(ev: DataFrame, max_depth: int) -> DataFrame:
     """One row per leaf of `ids` and `data`: ``_id``, the keys from the root down, the value.
 
-    A chain of outer lateral explodes, one per level: scalars pass through the
-    deeper ones as they are.  Empty containers count as leaves, and so do
-    containers at the depth limit, so every part of a document is in one leaf.
+    A document's parts are one list that grows level by level inside the row,
+    for as many levels as that document has; only the finished leaves become
+    rows.  Empty containers count as leaves, and so do containers at the depth
+    limit, so every part of a document is in one leaf.
     """
-    tvf = ev.sparkSession.tvf
-    roots = F.array(
-        F.struct(F.lit("ids").alias("root"), F.to_variant_object("ids").alias("value")),
-        F.struct(F.lit("data").alias("root"), F.col("data").alias("value")),
-    )
-    df = ev.select("_id", F.explode(roots).alias("r")).select(
-        "_id", "r.root", F.expr("cast(array() as array<string>)").alias("keys"), F.col("r.value").alias("value")
-    )
-    df = df.filter(F.col("value").isNotNull())
-    for _ in range(max_depth):
-        # each level is folded into the leaf so far: no ancestor stays alive
-        inside = tvf.variant_explode_outer(F.col("value").outer()).toDF("_i", "_k", "_v")
-        key = F.coalesce("_k", F.col("_i").cast("string"))
-        df = df.lateralJoin(inside).select(
-            "_id", "root", F.when(key.isNull(), F.col("keys")).otherwise(F.concat("keys", F.array(key))).alias("keys"), F.coalesce("_v", "value").alias("value")
-        )
-    return df
+    part = "array<struct<keys: array<string>, value: variant, open: boolean>>"
+    under = "named_struct('keys', concat(e.keys, array({key})), 'value', {value}, 'open', true)"
+    fields = f"transform(map_entries({as_object('e.value')}), x -> {under.format(key='x.key', value='x.value')})"
+    items = f"transform({as_array('e.value')}, (x, i) -> {under.format(key='cast(i as string)', value='x')})"
+    leaf = "array(named_struct('keys', e.keys, 'value', e.value, 'open', false))"
+    # a scalar has no inside; the list of an inside is looked at twice but made once
+    inside = f"transform(array(coalesce({fields}, {items})), c -> if(size(c) > 0, c, {leaf}))[0]"
+    deeper = f"flatten(transform(parts, e -> if(e.open, {inside}, array(e))))"
+    grown = f"aggregate(sequence(1, {max_depth}), parts, (parts, level) -> if(exists(parts, e -> e.open), {deeper}, parts))"
+    roots = [("ids", "to_variant_object(ids)"), ("data", "data")]
+    one = [f"named_struct('root', '{root}', 'value', {value})" for root, value in roots]
+    df = ev.selectExpr("_id", f"inline(array({', '.join(one)}))").filter("value is not null")
+    df = df.selectExpr("_id", "root", f"cast(array(named_struct('keys', cast(array() as array<string>), 'value', value, 'open', true)) as {part}) as parts")
+    return df.selectExpr("_id", "root", f"inline({grown})").drop("open")
 
 
 def leaf_paths(ev: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:

@@ -526,7 +526,7 @@ def _document_bodies(spark, sf_dir):
         F.struct(text.alias("text"), F.array(F.array(F.struct(text.alias("copy")))).alias("nested")).alias("data"),
     )
     return table(spark, sf_dir, "documents").select(
-        F.col("doc_id").cast("string").alias("batch_id"), F.lit("user").alias("source_id"),
+        F.col("doc_id").cast("string").alias("batch_id"), F.when(F.col("doc_id") % 2 == 0, "user").otherwise("assistant").alias("source_id"),
         F.lit("2024-01-01T00:00:00Z").cast("timestamp").alias("received_at"), F.to_json(body).alias("body"),
     )
 
@@ -824,11 +824,16 @@ add(
 
 add(
     "leaf_paths",
-    EV + """select _id, 'ids.userId' as path, 'string' as kind, user_id as value from ev
-    union all select _id, 'data.status', 'number', cast(status as varchar) from ev where status is not null
-    union all select _id, 'data.inputTokens', 'number', cast(input_tokens as varchar) from ev where input_tokens is not null
-    union all select _id, 'data.k', 'number', cast(k as varchar) from ev where k is not null""",
-    lambda ev: documents.leaf_paths(ev).filter(F.col("path").isin("ids.userId", "data.status", "data.inputTokens", "data.k")),
+    EV + " union all ".join(
+        ["select _id, 'ids.userId' as path, 'string' as kind, cast(null as double) as num, user_id as str from ev"]
+        + [f"select _id, 'data.{name}', 'number', round(cast({column} as double), 6), null from ev where {column} is not null" for name, column in [
+            ("latencyMs", "latency_ms"), ("durationMs", "duration_ms"), ("status", "status"), ("costUsd", "cost_usd"), ("inputTokens", "input_tokens"), ("k", "k"),
+        ]]
+    ),
+    lambda ev: documents.leaf_paths(ev).select(
+        "_id", "path", "kind", F.when(F.col("kind") == "number", F.round(F.col("value").try_cast("double"), 6)).alias("num"),
+        F.when(F.col("kind") != "number", F.col("value")).alias("str"),
+    ),
 )
 
 
