@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from eventloom.functions.times import check_window, instant, lit_instant
 from eventloom.functions.values import BOOLEAN, NUMBER, STRING, parts, quote
-from eventloom.schema import LEVELS, QUERY_TEXT_MAX
+from eventloom.schema import INDEXED_IDS, LEVELS, QUERY_TEXT_MAX
 
 # Fixed value: what counts as a number in a filter.
 NUMERIC_PARAM = re.compile(r"^-?\d+(\.\d+)?$", re.ASCII)
@@ -163,7 +163,10 @@ def predicate(ev: DataFrame, params: Params | None = None) -> Column:
         elif name == "after":
             simple[name] = after_predicate(ev, raw)
         elif name.startswith("ids.") and len(name) > len("ids."):
-            simple[name] = F.col("ids").getItem(name[len("ids.") :]) == str(raw)
+            key = name[len("ids.") :]
+            simple[name] = F.col("ids").getItem(key) == str(raw)
+            if key in INDEXED_IDS and "hot_ids" in ev.columns:
+                simple[name] = (F.col(f"hot_ids.{key}") == str(raw)) & simple[name]
         elif name.startswith("data.") and len(name) > len("data."):
             side = name[-3:] if name.endswith(("__gte", "__lte")) else None
             key = name[: -len("__gte")] if side else name

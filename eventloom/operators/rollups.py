@@ -33,9 +33,10 @@ STATS_PERCENTILES = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
 JOBS_PERCENTILES = {"p50_ms": 0.5, "p95_ms": 0.95}
 
 
-def measures(ev: DataFrame) -> DataFrame:
-    """The numbers the time-bucket rollup needs, one narrow row per event."""
+def measures(ev: DataFrame, *kept: str) -> DataFrame:
+    """The numbers the time-bucket rollup needs, one narrow row per event, with the columns that are `kept`."""
     return ev.selectExpr(
+        *kept,
         "received_at",
         "level",
         to_double(first_present(field(ev, "data.latencyMs"), field(ev, "data.durationMs"))) + " as latency",

@@ -19,7 +19,7 @@ from eventloom.operators.filters import filter_events, in_window, scope_project
 from eventloom.plans import dashboards, lenses
 from eventloom.schema import Limits
 from eventloom.session import configure, shared_path
-from eventloom.sources import files, segments, store
+from eventloom.sources import files, rollup_table, segments, store
 from eventloom.sources.tables import NOW, WHOLE, event_log, project_table, stream_event_log, table
 from eventloom.streaming.ingest import dedup_stream, run_body_ingest, run_ingest
 from eventloom.streaming.live import read_tail, stream_stats, stream_tail
@@ -640,6 +640,38 @@ def _append_new(spark, sf_dir):
     return _stored(store.read_events(spark, path))
 
 
+@register(
+    "stats_rollup",
+    EV + ", s as (" + STATS_SQL.format(unit="day", where="true") + """)
+    select * exclude (p50, p95, p99, error_rate), error_rate, true as p50_near, true as p95_near, true as p99_near from s""",
+    log=False,
+)
+def _stats_rollup(spark, sf_dir):
+    """Days combined from stored hours that followed the appends; each percentile's true rank lies within 1% of the wanted one."""
+    ev, path = event_log(spark, sf_dir), shared_path(spark, "rolled")
+    for batch in (filter_events(ev, {"to": MID}), ev):
+        rollup_table.update(spark, path, store.append_new(spark, path, batch))
+    combined = rollup_table.stats(spark, path, "day", **SPAN).withColumnRenamed("bucket", "day")
+    latency = rollups.measures(store.read_events(spark, path)).selectExpr("latency", f"{bucket('received_at', 'day')} as day").filter("latency is not null")
+    near = latency.join(combined.select("day", *rollups.STATS_PERCENTILES), "day").groupBy("day").agg(*[
+        (F.abs(F.count_if(F.col("latency") <= F.col(p)) / F.count("*") - share) <= 0.01).alias(f"{p}_near") for p, share in rollups.STATS_PERCENTILES.items()
+    ])
+    return out(combined.drop(*rollups.STATS_PERCENTILES).join(near, "day").withColumnRenamed("day", "bucket"), "bucket", "error_rate")
+
+
+@register(
+    "trace_stored",
+    EV + "select _id, app, iso_at as received_at from ev where cast(_id as bigint) % 500 = 7",
+    log=False,
+)
+def _trace_stored(spark, sf_dir):
+    """What one request touched, from a written table whose Bloom filters know its id."""
+    path = shared_path(spark, "traced")
+    request = F.concat(F.lit("req-"), F.col("_id").cast("bigint") % 500)
+    store.write_events(event_log(spark, sf_dir).withColumn("ids", F.map_concat("ids", F.create_map(F.lit("requestId"), request))), path)
+    return pages.trace(store.read_events(spark, path), "requestId", "req-7").select("_id", "app", F.expr(iso("received_at")).alias("received_at"))
+
+
 @register("retention_rewrite", EV + STORED_SQL.format(where=f"{EXPIRES_SQL} > timestamp '2024-02-12'"), log=False)
 def _retention_rewrite(spark, sf_dir):
     path = shared_path(spark, "retention")

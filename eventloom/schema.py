@@ -32,6 +32,9 @@ HOT_KEYS = (
     "model",
 )
 
+# Correlation ids that are looked up by value; stored as columns of their own.
+INDEXED_IDS = ("requestId", "taskId")
+
 # Request/response key pairs of a payload, in priority order.
 PAYLOAD_PAIRS = (
     ("request", "response"),
@@ -88,6 +91,8 @@ TYPED_VALUE = T.StructType(
 
 HOT_SCHEMA = T.StructType([T.StructField(k, TYPED_VALUE) for k in HOT_KEYS])
 
+HOT_IDS_SCHEMA = T.StructType([T.StructField(k, T.StringType()) for k in INDEXED_IDS])
+
 EVENT_SCHEMA = T.StructType(
     [
         T.StructField("_id", T.StringType(), False),
@@ -107,7 +112,7 @@ EVENT_COLUMNS = EVENT_SCHEMA.fieldNames()
 
 # What the table on disk holds: the event, the typed side columns and the
 # partition column.
-STORE_COLUMNS = [*EVENT_COLUMNS, "hot", "event_date"]
+STORE_COLUMNS = [*EVENT_COLUMNS, "hot", "hot_ids", "event_date"]
 
 BATCH_SCHEMA = "batch_id STRING, source_id STRING, received_at TIMESTAMP, body STRING"
 SOURCE_SCHEMA = "source_id STRING, app STRING, env STRING, mode STRING"

@@ -20,8 +20,6 @@ TUNING = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
-    # each value of a list by itself meets the statistics, page index and Bloom filters of a file
-    "spark.sql.parquet.pushdown.inFilterThreshold": "1000",
 }
 
 _local_roots: dict[str, str] = {}

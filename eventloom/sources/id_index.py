@@ -27,6 +27,8 @@ from eventloom.sources import files
 SCHEMA = "_id string"
 #: Batches up to this many ids are looked up as a list; larger ones by a join with the days' ids.
 LISTED = 1000
+#: Ids of a list that readers take value by value (Spark's own default limit).
+SHORT = 10
 #: Runs of one size class that stay before they merge, and the size from which a run is final.
 FAN, FINAL_BYTES = 8, 256 << 20
 LAYOUT = {
@@ -64,8 +66,16 @@ def runs(spark: SparkSession, path: str, days: Iterable) -> DataFrame:
 
 
 def listed(spark: SparkSession, path: str, days: Iterable, ids: list[str]) -> DataFrame:
-    """Those of at most LISTED ids that the days have; the list is pushed to the files."""
-    return runs(spark, path, days).filter(F.col("_id").isin(ids))
+    """Those of at most LISTED ids that the days have; the list is pushed to the files.
+
+    It goes as a balanced tree of short lists: each value of a short list meets
+    the statistics, page index and Bloom filters by itself, and the readers, who
+    walk it recursively, never go deep.
+    """
+    tests = [F.col("_id").isin(ids[at : at + SHORT]) for at in range(0, len(ids), SHORT)] or [F.lit(False)]
+    while len(tests) > 1:
+        tests = [a | b for a, b in zip(tests[::2], tests[1::2])] + tests[len(tests) // 2 * 2 :]
+    return runs(spark, path, days).filter(tests[0])
 
 
 def known(spark: SparkSession, path: str, days: Iterable, batch: DataFrame, size: int) -> DataFrame:

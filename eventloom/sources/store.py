@@ -2,7 +2,8 @@
 
 Parquet partitioned by ``event_date``.  Writes rebalance by day, so a hot day is
 split over many tasks and files while small days share one, and sort files by
-``app, event, received_at`` so that row-group statistics prune those filters.
+``app, event, received_at`` so that row-group statistics prune those filters;
+Bloom filters do so for the correlation ids in `hot_ids`.
 """
 
 from __future__ import annotations
@@ -14,19 +15,22 @@ from pyspark.sql import types as T
 
 from eventloom.functions.times import instant, lit_instant
 from eventloom.functions.values import hot_columns
-from eventloom.schema import EVENT_SCHEMA, HOT_SCHEMA, STORE_COLUMNS
+from eventloom.schema import EVENT_SCHEMA, HOT_IDS_SCHEMA, HOT_SCHEMA, INDEXED_IDS, STORE_COLUMNS
 from eventloom.sources import files, id_index
 
 STORE_SCHEMA = T.StructType(
-    [*EVENT_SCHEMA.fields, T.StructField("hot", HOT_SCHEMA), T.StructField("event_date", T.DateType())]
+    [*EVENT_SCHEMA.fields, T.StructField("hot", HOT_SCHEMA), T.StructField("hot_ids", HOT_IDS_SCHEMA), T.StructField("event_date", T.DateType())]
 )
+# Correlation ids are looked up one at a time: Bloom filters tell which row groups have one.
+BLOOMS = {f"parquet.bloom.filter.enabled#hot_ids.{k}": "true" for k in INDEXED_IDS} | {"parquet.bloom.filter.adaptive.enabled": "true"}
 
 
 def to_store(ev: DataFrame) -> DataFrame:
     """Events with the typed side columns and the partition column."""
     if "hot" not in ev.columns:
         ev = ev.selectExpr("*", f"{hot_columns()} as hot")
-    return ev.withColumn("event_date", F.to_date("received_at")).select(*STORE_COLUMNS)
+    indexed = F.struct(*[F.col("ids")[k].alias(k) for k in INDEXED_IDS])
+    return ev.withColumn("hot_ids", indexed).withColumn("event_date", F.to_date("received_at")).select(*STORE_COLUMNS)
 
 
 def _write_laid_out(df: DataFrame, path: str, mode: str, **options) -> None:
@@ -34,7 +38,7 @@ def _write_laid_out(df: DataFrame, path: str, mode: str, **options) -> None:
         df.hint("rebalance", "event_date")
         .sortWithinPartitions("event_date", "app", "event", "received_at")
         .write.mode(mode)
-        .options(**options)
+        .options(**BLOOMS, **options)
         .partitionBy("event_date")
         .parquet(path)
     )
@@ -96,14 +100,14 @@ def _days(batch: DataFrame) -> list:
     return sorted(r[0] for r in batch.select(F.to_date("received_at")).distinct().collect())
 
 
-def append_new(spark: SparkSession, path: str, batch: DataFrame) -> None:
+def append_new(spark: SparkSession, path: str, batch: DataFrame) -> list:
     """Append the rows of a batch that the table does not have yet.
 
     Running it again with the same batch, or after a failed attempt, adds
     nothing twice.  An id belongs to one day: the same id on the same day is the
     same event whatever its instant.  What the days of the batch have is looked
     up in :mod:`eventloom.sources.id_index`, so the cost of a small batch does not
-    depend on how much they hold.
+    depend on how much they hold.  Returns the days of the batch.
     """
     id_index.recover(spark, path)
     # The batch is read for its days, its ids and its rows; kept in memory or on
@@ -118,6 +122,7 @@ def append_new(spark: SparkSession, path: str, batch: DataFrame) -> None:
             held = id_index.known(spark, path, days, batch, size)
             fresh = batch.join(held, "_id", "left_anti").select(*batch.columns)
         _write_with_ids(spark, fresh, path, size <= id_index.LISTED)
+        return sorted(days)
     finally:
         batch.unpersist()
 

@@ -15,11 +15,17 @@ def stored(spark, path):
 
 def scanned(df):
     """Rows that came out of the file scans of a collected frame."""
-    plan = df._jdf.queryExecution().executedPlan()
-    plan = plan.executedPlan() if "AdaptiveSparkPlan" in plan.nodeName() else plan
-    leaves, total = plan.collectLeaves(), 0
-    for i in range(leaves.size()):
-        total += leaves.apply(i).metrics().apply("numOutputRows").value()
+    total, plans = 0, [df._jdf.queryExecution().executedPlan()]
+    while plans:
+        plan = plans.pop()
+        if "AdaptiveSparkPlan" in plan.nodeName():
+            plan = plan.executedPlan()
+        leaves = plan.collectLeaves()
+        for leaf in (leaves.apply(i) for i in range(leaves.size())):
+            if "QueryStage" in leaf.nodeName():
+                plans.append(leaf.plan())
+            elif "Scan parquet" in leaf.nodeName():
+                total += leaf.metrics().apply("numOutputRows").value()
     return total
 
 
@@ -45,6 +51,13 @@ def test_lookup_reads_follow_the_batch(spark, tmp_path):
         assert not fresh.collect() and scanned(fresh) <= 2000
 
 
+def test_lists_up_to_the_limit(spark, tmp_path):
+    ids = big_day(spark, str(tmp_path), 5000)
+    some = [r._id for r in ids.limit(id_index.LISTED - 1).collect()] + ["none"]
+    assert id_index.listed(spark, str(tmp_path), [DAY], some).distinct().count() == id_index.LISTED - 1
+    assert id_index.listed(spark, str(tmp_path), [DAY], []).isEmpty()
+
+
 def test_runs_merge(spark, tmp_path):
     path = str(tmp_path / "events")
     for i in range(20):
