@@ -7,6 +7,7 @@ compare by value.  Each query runs over whole tables.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -382,17 +383,60 @@ add(
     select _id, app, event from ev where level = 'error' and _id not in (select _id from page)""",
     lambda ev: pages.exclude_page(*reversed(_split(ev))).select("_id", "app", "event"),
 )
+ISO_EXPIRES = """strftime(received_at + case level when 'debug' then interval 7 day when 'info' then interval 30 day
+  else interval 90 day end, '%Y-%m-%dT%H:%M:%S.%g') || 'Z'"""
 add(
     "to_api_json",
-    EV + """select _id, iso_at as "receivedAt", strftime(received_at + case level when 'debug' then interval 7 day when 'info' then interval 30 day
-      else interval 90 day end, '%Y-%m-%dT%H:%M:%S.%g') || 'Z' as "expiresAt", user_id, k, cast(null as varchar) as ts from ev""",
+    EV + f"""select _id, app, env, event, level, cast(null as varchar) as ts, message, iso_at as "receivedAt", {ISO_EXPIRES} as "expiresAt", user_id,
+      {", ".join(f"round(cast({c} as double), 6) as {c}" for c in ("latency_ms", "duration_ms", "status", "cost_usd", "input_tokens", "k"))},
+      '_id,app,data,env,event,expiresAt,ids,level,message,receivedAt' as keys from ev""",
     lambda ev: pages.to_api_json(ev).select(
-        F.json_tuple("json", "_id", "receivedAt", "expiresAt", "ts").alias("_id", "receivedAt", "expiresAt", "ts"),
+        F.json_tuple("json", "_id", "app", "env", "event", "level", "ts", "message", "receivedAt", "expiresAt").alias(
+            "_id", "app", "env", "event", "level", "ts", "message", "receivedAt", "expiresAt"),
         F.get_json_object("json", "$.ids.userId").alias("user_id"),
-        F.get_json_object("json", "$.data.k").cast("bigint").alias("k"),
+        *[F.round(F.get_json_object("json", f"$.data.{path}").cast("double"), 6).alias(c) for c, path in [
+            ("latency_ms", "latencyMs"), ("duration_ms", "durationMs"), ("status", "status"), ("cost_usd", "costUsd"), ("input_tokens", "inputTokens"), ("k", "k")]],
+        F.array_join(F.array_sort(F.json_object_keys("json")), ",").alias("keys"),
     ),
 )
 
+
+def _walked(ev: DataFrame) -> DataFrame:
+    """Every page of a walk over a few days' warnings, numbered."""
+    walk = pages.walk_pages(ev, 40, {"level": "warn", "from": "2024-01-03", "to": "2024-01-06"})
+    return reduce(DataFrame.unionByName, [page.select("_id", F.expr(iso("received_at")).alias("received_at"), F.lit(i).alias("page")) for i, page in enumerate(walk)])
+
+
+add(
+    "walk_pages",
+    EV + """select _id, iso_at as received_at, cast((row_number() over (order by ev.received_at desc, _id desc) - 1) // 40 as integer) as page
+      from ev where level = 'warn' and received_at >= timestamp '2024-01-03' and received_at < timestamp '2024-01-06'""",
+    _walked,
+)
+
+
+def _refused(ev: DataFrame) -> DataFrame:
+    """Per app, what a reader with a misspelt parameter is told instead of rows."""
+    try:
+        filter_events(ev, {"levle": "error"})
+    except ValueError as error:
+        return ev.groupBy("app").agg(F.count("*").alias("n")).withColumn("error", F.lit(str(error)))
+    return ev.limit(0).selectExpr("app", "0L as n", "'' as error")
+
+
+add("unknown_parameter", EV + """select app, count(*) as n, 'unknown parameter "levle"' as error from ev group by app""", _refused)
+add(
+    "jobs_status_words",
+    EV + """, runs as (select event as name, lower(word) in ('error', 'failed', 'failure') or level = 'error' as failed
+      from (select *, case cast(_id as bigint) % 5 when 0 then 'failed' when 1 then 'Failure' when 2 then 'ERROR' when 3 then 'failed it' end as word from ev))
+      select name, count(*) as runs, count(*) filter (where failed) as failures from runs group by name""",
+    lambda ev: rollups.jobs(
+        ev.drop("hot").withColumn("data", F.parse_json(F.to_json(F.struct(F.element_at(
+            F.array(*[F.lit(w) for w in ("failed", "Failure", "ERROR", "failed it", None)]), (F.col("_id").cast("bigint") % 5 + 1).cast("int")).alias("status"))))),
+        prefixes=("",), **SPAN,
+    ).select("name", "runs", "failures"),
+)
+
 # --- ingest ------------------------------------------------------------------
 
 SOURCES = [("user", "chat", "prod", "write"), ("assistant", "bot", "prod", "write"), ("readonly", "audit", "prod", "read")]
@@ -518,6 +562,38 @@ register(
 ))
 
 
+# Bodies that break each rule in turn, with the position and reason they are rejected for.
+BROKEN = [
+    ("5", 0, "event envelope must be a JSON object"), ("[]", None, "empty batch"), ('[{"event":"x"},null]', 1, "event envelope must be a JSON object"),
+    ('{"event":7}', 0, "event is required and must be a non-empty string"), ('{"event":"a\\u0001b"}', 0, "event must not contain control characters"),
+    ('{"event":"x","ts":"yesterday"}', 0, "ts must be a Date.parse-able string"), ('{"event":"x","ts":5}', 0, "ts must be a Date.parse-able string"),
+    ('{"event":"x","message":{}}', 0, "message must be a string"), ('[{"event":"x"},{"event":"x"},{"event":"x","ids":[1]}]', 2, "ids must be a plain object"),
+    ('{"event":"x","ids":{"a":{"b":1}}}', 0, "ids.a must be a string, number, or boolean"),
+    ('{"event":"x","ids":{%s}}' % ",".join(f'"k{i}":{i}' for i in range(11)), 0, "ids exceeds 10 keys"),
+    ('{"event":"x","data":"text"}', 0, "data must be a plain object"), ('{"event":"x","data":{"a":%s}}' % ("[" * 40 + "]" * 40), 0, "data nesting exceeds 32 levels"),
+    ("[%s]" % ",".join(['{"event":"x"}'] * 501), None, "batch exceeds 500 events"),
+]
+
+
+def _broken_bodies(spark, sf_dir):
+    """A body per conversation turn, broken in the way its number tells."""
+    kinds = spark.createDataFrame([(i, body) for i, (body, _, _) in enumerate(BROKEN)], "kind int, body string")
+    turns = table(spark, sf_dir, "conversations").withColumn("kind", ((F.col("conv_id") * 7 + F.col("turn")) % len(BROKEN)).cast("int"))
+    return turns.join(kinds, "kind").select(
+        F.concat_ws("-", "conv_id", "turn").alias("batch_id"), F.when(F.col("role") == "user", "user").otherwise("assistant").alias("source_id"),
+        F.timestamp_seconds(1704067200 + F.col("conv_id")).alias("received_at"), "body",
+    )
+
+
+register(
+    "normalize_broken",
+    "with k as (select * from (values " + ", ".join(f"({i}, {'null' if at is None else at}, {vl.quote(reason)})" for i, (_, at, reason) in enumerate(BROKEN)) + """)
+      v(kind, place, reason)) select concat(conv_id, '-', turn) as batch_id, cast(place as integer) as index, reason as error
+      from conversations join k on kind = (conv_id * 7 + turn) % """ + str(len(BROKEN)),
+    log=False,
+)(lambda spark, d: envelopes.normalize(_broken_bodies(spark, d), _sources(spark))[1])
+
+
 def _document_bodies(spark, sf_dir):
     """Each document as one posted body: its whole text in `data`, once as it is and once inside arrays."""
     text = F.coalesce("text", F.lit(""))
