@@ -33,6 +33,8 @@ from eventloom.llm.common import written
 
 #: A text is template where it stands on this share of a host's different pages, and on this many.
 SHARE, LEAST = 0.8, 5
+#: Unlike siblings from which on repeating patterns of them, of so many labels at most, are one of each.
+MANY, PATTERN = 64, 6
 #: Pages differ if their titles do, or the longest blocks that together make up this share of their text.
 SAME = 0.9
 #: Labelled elements inside each other that are told apart; deeper ones go by those around them.
@@ -205,10 +207,29 @@ def parse(text: str) -> Page:
     return Page(shape, title, [(n.number, own, line) for n, own, line in blocks])
 
 
+def _rows(siblings: list[Node]) -> Iterator[list[Node]]:
+    """Siblings that are one node of a shape: like ones in a row; in a list of very many, also those of a pattern that repeats."""
+    rows = [list(g) for _, g in groupby(siblings, lambda n: n.label)]
+    if len(rows) <= MANY:
+        return iter(rows)
+    labels, out, at = [r[0].label for r in rows], [], 0
+    while at < len(rows):
+        width, times = 1, 1
+        for p in range(2, PATTERN + 1):
+            n = at + p
+            while n < len(rows) and labels[n] == labels[n - p]:
+                n += 1
+            if (n - at) // p >= 3 and (n - at) // p * p > width * times:
+                width, times = p, (n - at) // p
+        out += [[x for r in rows[at + i : at + width * times : width] for x in r] for i in range(width)]
+        at += width * times
+    return iter(out)
+
+
 def _shape(root: Node) -> str:
-    """The tree as text, numbering its nodes; like siblings in a row are one node."""
+    """The tree as text, numbering its nodes."""
     out, count = [], 0
-    todo = [iter([list(g) for _, g in groupby(root.children, lambda n: n.label)])]
+    todo = [_rows(root.children)]
     while todo:
         nodes = next(todo[-1], None)
         if nodes is None:
@@ -223,7 +244,7 @@ def _shape(root: Node) -> str:
         count += 1
         if merged:
             out.append("(")
-            todo.append(iter([list(g) for _, g in groupby(merged, lambda n: n.label)]))
+            todo.append(_rows(merged))
     return "".join(out)
 
 
@@ -245,6 +266,8 @@ def _tree(shape: str) -> list:
 @lru_cache(maxsize=4096)
 def match(shape: str, reference: str) -> dict[int, int]:
     """Simple tree matching: node of `shape` -> node of `reference`, a largest order-preserving match of like nodes."""
+    if shape == reference:
+        return {i: i for i in range(len(re.findall(r"[^\s()]+", shape)))}
 
     def align(left: list, right: list) -> Generator:
         best = [[(0, ())] * (len(right) + 1) for _ in range(len(left) + 1)]

@@ -1,6 +1,8 @@
 """Sharding, packing, page extraction and the pipeline."""
 
 import random
+import re
+import time
 import zlib
 from collections import defaultdict
 
@@ -136,6 +138,16 @@ def test_tree_matching():
     assert wrapper.match(page, page) == {i: i for i in range(7)}
 
 
+@pytest.mark.parametrize("group", ["<dt>term {i}</dt><dd>meaning {i}</dd>", "<h2>head {i}</h2><p>one {i}</p><p>two {i}</p>", "<h3>a {i}</h3><p>b {i}</p><ul><li>c {i}</li></ul>"])
+def test_very_many_unlike_siblings(group):
+    """Lists of thousands of alternating elements align in time linear in their length, and keep their text."""
+    pages = [wrapper.parse(f"<body><h1>title</h1><article>{''.join(group.format(i=i) for i in range(n))}</article></body>") for n in (20_000, 15_000)]
+    start = time.perf_counter()
+    place = wrapper.match(pages[1].shape, pages[0].shape)
+    assert time.perf_counter() - start < 1 and len(place) >= 4 and len(pages[0].shape) < 200
+    assert [b[2] for b in pages[1].blocks][1] == re.sub("<[^>]*>", " ", group).format(i=0).split("  ")[0].strip()
+
+
 def test_constant_blocks_become_template(spark):
     """A line on all pages of a host goes though nothing labels it; copies of one article do not make its text a template."""
     rnd, rows, want = random.Random(11), [], {}
