@@ -723,14 +723,15 @@ def _append_new(spark, sf_dir):
     log=False,
 )
 def _stats_rollup(spark, sf_dir):
-    """Days combined from stored hours that followed the appends; each percentile's true rank lies within 1% of the wanted one."""
+    """Days combined from stored hours that followed the appends; each percentile holds a rank within 1% of the wanted one."""
     ev, path = event_log(spark, sf_dir), shared_path(spark, "rolled")
     for batch in (filter_events(ev, {"to": MID}), ev):
         rollup_table.update(spark, path, store.append_new(spark, path, batch))
     combined = rollup_table.stats(spark, path, "day", **SPAN).withColumnRenamed("bucket", "day")
     latency = rollups.measures(store.read_events(spark, path)).selectExpr("latency", f"{bucket('received_at', 'day')} as day").filter("latency is not null")
+    below, upto = (lambda p: F.count_if(F.col("latency") < F.col(p)) / F.count("*")), (lambda p: F.count_if(F.col("latency") <= F.col(p)) / F.count("*"))
     near = latency.join(combined.select("day", *rollups.STATS_PERCENTILES), "day").groupBy("day").agg(*[
-        (F.abs(F.count_if(F.col("latency") <= F.col(p)) / F.count("*") - share) <= 0.01).alias(f"{p}_near") for p, share in rollups.STATS_PERCENTILES.items()
+        ((below(p) - 0.01 <= share) & (upto(p) + 0.01 >= share)).alias(f"{p}_near") for p, share in rollups.STATS_PERCENTILES.items()
     ])
     return out(combined.drop(*rollups.STATS_PERCENTILES).join(near, "day").withColumnRenamed("day", "bucket"), "bucket", "error_rate")
 
