@@ -60,13 +60,15 @@ def leaf_paths(ev: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
     return leaves.selectExpr("_id", "path", f"{value_kind('t')} as kind", f"{value_text('t')} as value")
 
 
+def in_json_text(text: str) -> bool:
+    """Whether every document with the text in a key or scalar has it, ignoring case, in its JSON text."""
+    escaped = json.dumps(text, ensure_ascii=False) != f'"{text}"'  # escapes would hide it
+    return not escaped and bool(set(text.lower()) - set("0123456789.-+e"))  # a number may be spelt otherwise
+
+
 def _in_text(json_text: str, needle: str) -> str:
     """A cheap test that holds for every document with the needle in a key or scalar."""
-    if json.dumps(needle, ensure_ascii=False) != f'"{needle}"':
-        return "true"  # escapes would hide it in JSON text
-    if not set(needle) - set("0123456789.-+e"):
-        return "true"  # JSON text may spell a number otherwise
-    return f"coalesce(contains(lower({json_text}), {quote(needle)}), false)"
+    return f"coalesce(contains(lower({json_text}), {quote(needle)}), false)" if in_json_text(needle) else "true"
 
 
 def search_docs(ev: DataFrame, text: str, max_depth: int = Limits.max_depth) -> DataFrame:

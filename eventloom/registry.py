@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from eventloom.functions import text as tx
@@ -20,7 +20,7 @@ from eventloom.operators.filters import filter_events, in_window, scope_project
 from eventloom.plans import dashboards, lenses
 from eventloom.schema import Limits
 from eventloom.session import configure, shared_path
-from eventloom.sources import files, rollup_table, segments, store
+from eventloom.sources import files, rollup_table, segments, store, text_sieve
 from eventloom.sources.tables import NOW, WHOLE, event_log, project_table, stream_event_log, table
 from eventloom.streaming.ingest import dedup_stream, run_body_ingest, run_ingest
 from eventloom.streaming.live import read_tail, stream_stats, stream_tail
@@ -749,6 +749,14 @@ def _trace_stored(spark, sf_dir):
     return pages.trace(store.read_events(spark, path), "requestId", "req-7").select("_id", "app", F.expr(iso("received_at")).alias("received_at"))
 
 
+@register("logs_q_stored", EV + ROW_SQL.format(where=r"regexp_matches(message, '(number|no) \d*77$', 'i')"), log=False)
+def _logs_q_stored(spark, sf_dir):
+    """A text search over a written table whose bitmaps tell which files may match."""
+    path = shared_path(spark, "sieved")
+    text_sieve.update(spark, path, store.append_new(spark, path, event_log(spark, sf_dir)))
+    return rows(text_sieve.filter_stored(spark, path, {"q": r"(NUMBER|NO) \d*77$"}))
+
+
 @register("retention_rewrite", EV + STORED_SQL.format(where=f"{EXPIRES_SQL} > timestamp '2024-02-12'"), log=False)
 def _retention_rewrite(spark, sf_dir):
     path = shared_path(spark, "retention")
@@ -982,6 +990,17 @@ register(
     or contains(role, 'ment')""",
     log=False,
 )(lambda spark, d: documents.search_docs(_turns(spark, d), "MENT").select("_id"))
+@register("search_docs_stored", "select concat(conv_id, '-', turn) as _id from conversations where contains(lower(text), 'ment') or contains(role, 'ment')", log=False)
+def _search_docs_stored(spark, sf_dir):
+    """The turns as events of a written table of twenty days."""
+    path = shared_path(spark, "searched")
+    plain = {"app": "chat", "env": "prod", "event": "turn", "level": "info", "ts": None, "message": None}
+    at = F.timestamp_seconds(F.lit(1704067200) + F.crc32("_id") % 20 * 86400)
+    ev = _turns(spark, sf_dir).withColumns({c: F.lit(v).cast("string") for c, v in plain.items()})
+    text_sieve.update(spark, path, store.append_new(spark, path, ev.withColumn("received_at", at).withColumn("expires_at", at)))
+    return text_sieve.search_stored(spark, path, "MENT").select("_id")
+
+
 register(
     "req_res_pairs",
     """select concat(conv_id, '-', turn) as _id, case role when 'user' then 'prompt' else 'request' end as request_key,
@@ -1065,6 +1084,32 @@ register(
       select *, row_number() over (partition by root order by doc_id) as n from s)""",
     log=False,
 )(lambda spark, d: projects.assign_slugs(projects.unique_names(_valid_projects(spark, d))[0]).select("doc_id", "name", "slug"))
+NUMBERED_SQL = """with n as (select doc_id, doc_id % 3 as w, (row_number() over (partition by doc_id % 3 order by doc_id)) - 1 as i from documents),
+p as (select *, ['team', 'crew', 'unit'][w + 1] as word, i % 2 = 0 as numbered, i // 2 + 2 as k, i // 2 + 1 as j, sum(1 - i % 2) over (partition by w) as evens,
+  sum(i % 2) over (partition by w) as odds from n)
+select doc_id, case
+  when w = 0 and numbered or w = 1 and numbered and k > odds or w = 2 and numbered and (k < 4 or k - 2 > odds) then word || '-' || k
+  when numbered then word || '-' || k || '-2'
+  when j = 1 then word
+  when w = 0 then word || '-' || cast(evens + j as bigint)
+  when w = 1 then word || '-' || j
+  else word || '-' || (j + 2) end as slug from p"""
+
+
+@register("project_slugs_clashing", NUMBERED_SQL, log=False)
+def _slugs_clashing(spark, sf_dir):
+    """A third of the documents each are named "team 2", "team 3" and so on before "team!", after it, or in turns with it."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") % 3).alias("w"))
+    i = F.row_number().over(Window.partitionBy("w").orderBy("doc_id")) - 1
+    word = F.element_at(F.array(F.lit("team"), F.lit("crew"), F.lit("unit")), (F.col("w") + 1).cast("int"))
+    marks = F.translate(F.col("doc_id").cast("string"), "0123456789", "!#$%&()*+,")
+    named = docs.withColumn("i", i).select(
+        "doc_id", F.when(F.col("i") % 2 == 0, F.concat_ws(" ", word, F.expr("i div 2 + 2"))).otherwise(F.concat(word, marks)).alias("name"),
+        F.expr("doc_id + case when w = 0 and i % 2 = 1 or w = 1 and i % 2 = 0 then 1000000000000 else 0 end").alias("created_at"),
+    )
+    return projects.assign_slugs(named).select("doc_id", "slug")
+
+
 register(
     "list_projects",
     PROJECTS_SQL + """select name, case when n = 1 then root else root || '-' || n end as slug, lang || ',' || source as apps from (

@@ -1,16 +1,12 @@
 """Hourly partial aggregates kept beside the event table, from which longer rollups are combined.
 
 `<table>__rollup/event_date=<day>/` has a row per data file, hour, app and event:
-counts, sums and a mergeable sketch of the latencies.  A row belongs to the data
-file it was computed from, so bringing the rollup up to date means computing the
-files it does not know yet, in any order and as often as it takes; rows of files
-that retention or compaction replaced no longer count.  All rows of a data file
-are in one rollup file, which appears by one move: there are all of them or none.
+counts, sums and a mergeable sketch of the latencies.  It follows the event table
+as :mod:`eventloom.sources.beside` says.
 """
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterable
 from datetime import timedelta
 
@@ -22,12 +18,10 @@ from eventloom.functions.times import bucket, lit_instant, resolve_window
 from eventloom.operators.filters import event_prefix, scope
 from eventloom.operators.rollups import STATS_PERCENTILES, bucket_columns, measures
 from eventloom.schema import EVENT_SCHEMA, HOT_SCHEMA, LEVELS
-from eventloom.sources import files
+from eventloom.sources import beside
 
 #: Size of a latency sketch: its ranks are off by about 0.4% of the values it has seen.
 SKETCH = 800
-#: Rollup files of a day before they are put into one.
-FAN = 16
 KEYS = ["file", "hour", "app", "event"]
 SUMS = ["total", *LEVELS, "_statuses", "_status_errors", "cost", "tokens_in", "tokens_out"]
 SCHEMA = (
@@ -42,10 +36,6 @@ def root(path: str) -> str:
     return f"{path.rstrip('/')}__rollup"
 
 
-def _name(file: str) -> str:
-    return file.rsplit("/", 1)[-1]
-
-
 def partials(spark: SparkSession, data_files: list[str]) -> DataFrame:
     """The rollup rows of some data files."""
     ev = spark.read.schema(_READ).parquet(*data_files).withColumn("file", F.col("_metadata.file_name"))
@@ -59,34 +49,15 @@ def partials(spark: SparkSession, data_files: list[str]) -> DataFrame:
 
 def update(spark: SparkSession, path: str, days: Iterable) -> None:
     """Adds the rows of those data files of the days that the rollup does not have."""
-    for day in days:
-        table, kept = f"{path.rstrip('/')}/event_date={day}", f"{root(path)}/event_date={day}"
-        have = files.listed(spark, kept)
-        known = {r["file"] for r in spark.read.schema(SCHEMA).parquet(*have).select("file").distinct().collect()} if have else set()
-        new = [f for f in files.listed(spark, table) if _name(f) not in known]
-        if new:
-            _put(spark, partials(spark, new).repartition("file"), path, kept)
-        if len(have) >= FAN:
-            _put(spark, spark.read.schema(SCHEMA).parquet(*have).dropDuplicates(KEYS).repartition("file"), path, kept)
-            for file in have:
-                files.delete(spark, file)
-
-
-def _put(spark: SparkSession, rows: DataFrame, path: str, kept: str) -> None:
-    aside = f"{root(path)}_aside-{uuid.uuid4().hex}"
-    rows.write.parquet(aside)
-    files.make(spark, kept)
-    for file in files.listed(spark, aside):
-        files.move(spark, file, f"{kept}/{uuid.uuid4().hex}.parquet")
-    files.delete(spark, aside)
+    beside.follow(spark, path, root(path), days, SCHEMA, KEYS, lambda new: partials(spark, new))
 
 
 def rollup(spark: SparkSession, path: str, days: Iterable) -> DataFrame:
     """The rollup rows of the data files that the days have now, each once."""
     have, current = [], []
     for day in days:
-        have += files.listed(spark, f"{root(path)}/event_date={day}")
-        current += [(_name(f),) for f in files.listed(spark, f"{path.rstrip('/')}/event_date={day}")]
+        have += beside.kept_files(spark, root(path), day)
+        current += [(beside.name(f),) for f in beside.data_files(spark, path, day)]
     if not have or not current:
         return spark.createDataFrame([], SCHEMA)
     rows = spark.read.schema(SCHEMA).parquet(*have).join(spark.createDataFrame(current, "file string"), "file", "left_semi")

@@ -13,7 +13,7 @@ from pyspark.sql.streaming import StreamingQuery
 from eventloom.operators.envelopes import accepted, check_batches, rejected
 from eventloom.schema import Limits
 from eventloom.session import configure
-from eventloom.sources import rollup_table
+from eventloom.sources import rollup_table, text_sieve
 from eventloom.sources.segments import split_bad_lines, stream_segments
 from eventloom.sources.store import append_new
 
@@ -21,14 +21,15 @@ from eventloom.sources.store import append_new
 def run_ingest(
     spark: SparkSession, source: str, store: str, checkpoint: str, rejects: str | None = None,
     max_files: int = 1000, interval: str | None = "200 milliseconds", available_now: bool = False,
-    archive: str | None = None, rollup: bool = False,
+    archive: str | None = None, rollup: bool = False, sieve: bool = False,
 ) -> StreamingQuery:
     """Start copying segments below `source` into the table at `store`.
 
     Lines that are not events go to `rejects` as text (default: `<store>__rejects`)
     and never stop the stream.  `available_now` drains what has landed and ends.  Segments
     move to `archive`, when given, once they are in the table.  With `rollup`, the
-    stored hours of :mod:`eventloom.sources.rollup_table` follow each micro-batch.
+    stored hours of :mod:`eventloom.sources.rollup_table` follow each micro-batch; with
+    `sieve`, so do the text bitmaps of :mod:`eventloom.sources.text_sieve`.
     """
     configure(spark)
     rejects = (rejects or f"{store.rstrip('/')}__rejects").rstrip("/")
@@ -41,6 +42,8 @@ def run_ingest(
             days = append_new(session, store, events)
             if rollup:
                 rollup_table.update(session, store, days)
+            if sieve:
+                text_sieve.update(session, store, days)
             # Overwriting one folder per micro-batch keeps retries from repeating lines.
             bad.write.mode("overwrite").text(f"{rejects}/batch={epoch}")
         finally:

@@ -6,7 +6,7 @@ from helpers import log
 from test_id_index import scanned
 
 from eventloom.operators import pages, rollups
-from eventloom.sources import files, rollup_table, store
+from eventloom.sources import beside, files, rollup_table, store
 from eventloom.sources.tables import event_log, project_table
 
 SPAN = {"from_": "2024-01-01", "to": "2024-03-01"}
@@ -58,7 +58,7 @@ def test_repeats_failures_and_replaced_files(spark, tmp_path, monkeypatch):
     for i in range(20):
         store.write_events(log(spark, [dict(_id=f"{i}a"), dict(_id=f"{i}b", expires_at="2026-06-12T00:00:00Z")]), path)
         rollup_table.update(spark, path, ["2026-06-11"] * 2)
-    assert count() == [40] and len(files.listed(spark, f"{rollup_table.root(path)}/event_date=2026-06-11")) <= rollup_table.FAN + 1
+    assert count() == [40] and len(files.listed(spark, f"{rollup_table.root(path)}/event_date=2026-06-11")) <= beside.FAN + 1
     moves = iter([True])
 
     def lost(*args):
