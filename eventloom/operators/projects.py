@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from eventloom.functions.text import longer_than, slugify
 from eventloom.functions.values import as_array, as_object, as_text, json_kind
+from eventloom.session import shared_path
 
 # Limits of a project.
 NAME_MAX, APPS_MAX, APP_MAX = 80, 200, 128
@@ -65,8 +65,8 @@ def assign_slugs(df: DataFrame) -> DataFrame:
     In creation order a name takes its slug root, then ``root-2``, ``root-3``…
     A numbered slug that is also some other name's root goes to whichever row
     was created first; the later one moves on.  Ordinary roots are numbered by
-    a window.  Only roots that collide with a numbered form of another root
-    have to be settled together, and those are few.
+    a window.  Roots that collide with a numbered form of another root are
+    settled together, in rounds over a small table in the shared folder.
     """
     root = F.expr(slugify("name", NAME_MAX))
     rows = df.withColumn("_root", F.when(root == "", "project").otherwise(root))
@@ -88,24 +88,58 @@ def _numbered(root: Column, n: Column) -> Column:
 
 
 def _settle(rows: DataFrame) -> DataFrame:
-    """Slugs of families that hold several roots, in creation order."""
-    schema = T.StructType([*rows.schema.fields, T.StructField("slug", T.StringType())])
-    names = schema.fieldNames()
-
-    def settle(pdf):
-        taken, slugs = set(), []
-        upcoming: dict[str, int] = {}
-        pdf = pdf.sort_values(["created_at", "name"])
-        for root in pdf["_root"]:
-            n = upcoming.get(root, 1)
-            while (slug := root if n == 1 else f"{root}-{n}") in taken:
-                n += 1
-            taken.add(slug)
-            upcoming[root] = n + 1
-            slugs.append(slug)
-        return pdf.assign(slug=slugs)[names]
-
-    return rows.groupBy("_family").applyInPandas(settle, schema)
+    """Slugs of families that hold several roots.
+
+    Every row has a number that its own cannot be below; at first, its place
+    among the rows of its root.  Of rows that meet at one slug the earliest
+    stays and the others' numbers rise, until none meet: then each row's number
+    is the first that was free when it was created.
+    """
+    state = _kept(rows.select("_root", "_nth", F.struct("created_at", "name").alias("_at"), F.col("_nth").alias("_k")))
+    of_slug = Window.partitionBy("_slug").orderBy("_at")
+    while True:
+        held = state.withColumn("_slug", _numbered(F.col("_root"), F.col("_k"))).withColumn("_lost", F.row_number().over(of_slug) > 1)
+        if held.filter("_lost").isEmpty():
+            break
+        state = _kept(_raised(held))
+    return rows.join(state.select("_root", "_nth", "_k"), ["_root", "_nth"]).withColumn("slug", _numbered(F.col("_root"), F.col("_k")))
+
+
+def _raised(held: DataFrame) -> DataFrame:
+    """One round: the rows that lost their slug move on, and the later rows of their roots with them.
+
+    Slugs of other roots' rows that are older than a root's first loser are
+    taken for that loser and all later rows of its root, so those rows skip all
+    of them at once: the n-th of them has the n-th number that is left, counted
+    from the number that was lost.
+    """
+    first = held.filter("_lost").groupBy("_root").agg(F.min("_nth").alias("_from"), F.min("_k").alias("_lowest"), F.min("_at").alias("_since"))
+    # a slug is number 1 of the root of that name, and number k of the root without its last number k
+    last = F.regexp_extract("_slug", r"-([1-9]\d{0,8})$", 1)
+    readings = F.array(
+        F.struct(F.col("_slug").alias("of"), F.lit(1).alias("k")),
+        F.struct(F.regexp_replace("_slug", r"-[1-9]\d{0,8}$", "").alias("of"), last.try_cast("int").alias("k")),
+    )
+    read = held.select("_root", "_at", F.explode(readings).alias("r")).select(F.col("_root").alias("_by"), "_at", F.col("r.of").alias("_root"), F.col("r.k").alias("k"))
+    others = read.filter("_by <> _root and k is not null").join(first, "_root")
+    taken = others.filter("_at < _since and k >= _lowest").select("_root", (F.col("k") - F.col("_lowest") + 1).alias("k")).distinct()
+    left = F.col("k") - F.row_number().over(Window.partitionBy("_root").orderBy("k"))  # numbers below that are not taken
+    blocks = taken.select("_root", left.alias("_place"), F.lit(1).alias("_block"))
+    rows = held.join(first.drop("_since"), "_root", "left").withColumn("_place", F.col("_nth") - F.col("_from") + 1).withColumn("_block", F.lit(0))
+    so_far = Window.partitionBy("_root").orderBy("_place", "_block").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    skipped = rows.unionByName(blocks, allowMissingColumns=True).withColumn("_skipped", F.sum("_block").over(so_far)).filter("_block = 0")
+    jumped = F.when(F.col("_place") > 0, F.col("_lowest") - 1 + F.col("_place") + F.col("_skipped")).otherwise(0)
+    least = F.greatest(F.col("_k") + F.col("_lost").cast("int"), jumped) - F.col("_nth")
+    # rows of one root have rising numbers
+    rising = Window.partitionBy("_root").orderBy("_nth").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return skipped.select("_root", "_nth", "_at", (F.col("_nth") + F.max(least).over(rising)).cast("int").alias("_k"))
+
+
+def _kept(df: DataFrame) -> DataFrame:
+    """Writes a round's table to the shared folder and reads it back, which ends its lineage."""
+    path = shared_path(df.sparkSession, "slugs")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def list_projects(df: DataFrame) -> DataFrame:

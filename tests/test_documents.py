@@ -1,7 +1,10 @@
 """Operators on the inside of documents, and projects."""
 
+import itertools
 import json
+import random
 
+import pytest
 from helpers import ids, log
 from pyspark.sql import functions as F
 
@@ -105,6 +108,19 @@ def test_slugs_follow_creation_order(spark):
     assert [r.slug for r in projects.assign_slugs(df).orderBy("created_at").collect()] == want
 
 
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_slugs_equal_one_by_one_assignment(spark, seed):
+    draw = random.Random(seed)
+    tails = ["", " 2", " 3", " 4", " 2 2", " 2 3", " 02", " 1", " 7"]
+    names = [draw.choice(["team", "crew"]) + draw.choice(tails) + "!" * draw.randrange(9) for _ in range(150)]
+    taken = []
+    for name in names:
+        root = name.rstrip("!").replace(" ", "-")
+        taken.append(next(s for n in itertools.count(1) if (s := root if n == 1 else f"{root}-{n}") not in taken))
+    df = spark.createDataFrame([(n, i) for i, n in enumerate(names)], "name string, created_at int")
+    assert [r.slug for r in projects.assign_slugs(df).orderBy("created_at").collect()] == taken
+
+
 def test_names_are_unique_ignoring_case(spark):
     df = spark.createDataFrame([("Web", 1), ("WEB", 2), ("api", 3)], "name string, created_at int")
     kept, clash = projects.unique_names(df)
