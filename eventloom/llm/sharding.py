@@ -8,6 +8,8 @@ Fisher-Yates and numbers its records.
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +17,8 @@ from eventloom.llm.common import written
 
 SEED = 20240611
 BUCKET_BYTES = 16 << 20
+#: Tasks of pass two with one bucket each; beyond them a task takes up to BUCKETS_PER_TASK, one after the other.
+SINGLE_TASKS, BUCKETS_PER_TASK = 4096, 16
 
 
 def _score(key: Column, shard: int, seed: int) -> Column:
@@ -30,18 +34,25 @@ def pick_shard(key: Column, shards: int, seed: int = SEED) -> Column:
     return F.greatest(*[F.struct(_score(key, s, seed).alias("score"), F.lit(s).alias("shard")) for s in range(shards)])
 
 
-def scatter(records: DataFrame, key: str, size: str, shards: int, seed: int = SEED, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
-    """(key, record, shard, grown_shard, bucket) for every record.
-
-    A shard has as many buckets as its own bytes need.  Buckets spread by a hash
-    of the whole record, so rows that share a key spread too; equal rows of more
-    than a quarter of a bucket spread in runs of that size.  A record larger
-    than a bucket has one to itself and whatever else falls there.
-    """
+def bucket_counts(records: DataFrame, key: str, size: str, shards: int, seed: int = SEED, bucket_bytes: int = BUCKET_BYTES) -> list[int]:
+    """How many buckets each shard needs for its own bytes."""
     best = pick_shard(F.col(key), shards, seed)
-    sums = records.select(best["shard"].alias("shard"), F.col(size).alias("bytes")).groupBy("shard").agg(F.sum("bytes").alias("n")).collect()
+    sums = records.select(best["shard"].alias("shard"), F.col(size).alias("bytes")).groupBy("shard").agg(F.sum("bytes").alias("n")).collect()  # a row per shard
     held = {r["shard"]: int(r["n"] or 0) for r in sums}
-    buckets = F.array(*[F.lit(max(1, -(-held.get(s, 0) // bucket_bytes))) for s in range(shards)])
+    return [max(1, -(-held.get(s, 0) // bucket_bytes)) for s in range(shards)]
+
+
+def scatter(
+    records: DataFrame, key: str, size: str, shards: int, seed: int = SEED, bucket_bytes: int = BUCKET_BYTES, counts: list[int] | None = None
+) -> DataFrame:
+    """(key, record, shard, grown_shard, bucket) for every record; `counts` are the shards' :func:`bucket_counts`, where known.
+
+    Buckets spread by a hash of the whole record, so rows that share a key
+    spread too; equal rows of more than a quarter of a bucket spread in runs of
+    that size.  A record larger than a bucket has one to itself and whatever
+    else falls there.
+    """
+    buckets = F.array(*[F.lit(n) for n in counts or bucket_counts(records, key, size, shards, seed, bucket_bytes)])
     new = _score(F.col("key"), shards, seed)
     whole = _spread(records.select(F.col(key).alias("key"), F.struct(*records.columns).alias("record"), F.col(size).alias("bytes")), seed, bucket_bytes)
     dealt = whole.select("key", "record", "run", pick_shard(F.col("key"), shards, seed).alias("best"))
@@ -61,7 +72,7 @@ def _spread(whole: DataFrame, seed: int, bucket_bytes: int) -> DataFrame:
     repeats = written(counts.filter("n > 1").filter(F.col("n") * F.col("bytes") * 4 > bucket_bytes).select("digest"), "repeats")
     if repeats.isEmpty():
         return whole.select("key", "record", F.lit(0).cast("long").alias("run"))
-    named, few = whole.select("*", digest), F.broadcast(repeats)  # four per bucket at most
+    named, few = whole.select("*", digest), repeats  # four per bucket at most; Spark knows the written table's size
     per = F.greatest(F.lit(1), F.floor(F.lit(bucket_bytes) / 4 / F.greatest(F.lit(1), F.col("bytes")))).cast("long")
     equal = named.join(few, "digest", "left_semi").groupBy("key", "record", "bytes").agg(F.count("*").alias("n")).select("*", per.alias("per"))
     runs = equal.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / F.col("per")))).alias("run")).repartition("record", "run")
@@ -74,20 +85,26 @@ def shuffle_shards(records: DataFrame, key: str, size: str, shards: int, seed: i
     """(record, shard, slot, grown_shard) for every record; slot is its place in the shard, gapless from 0.
 
     `record` is the whole row, so its column names are free; `size` names the
-    column of its bytes.  A bucket is sorted before it is shuffled and buckets
-    have a fixed order in their task, so a repeated task gives the same order.
-    Null keys hash like any key, equal rows are all kept, an empty table gives
-    no rows.
+    column of its bytes.  The order follows from the records, the seed and the
+    bucket size alone, whatever the session's number of partitions: a bucket is
+    sorted before it is shuffled, and its number decides its task, whose number
+    and seed are the state of Spark's generator.  Null keys hash like any key,
+    equal rows are all kept, an empty table gives no rows.
     """
-    dealt = scatter(records, key, size, shards, seed, bucket_bytes)
-    held = dealt.groupBy("shard", "bucket").agg(F.sort_array(F.collect_list(F.struct("key", "record", "grown_shard"))).alias("rows"))
-    counts = dealt.groupBy("shard", "bucket").agg(F.count("*").alias("n"))
+    counts = bucket_counts(records, key, size, shards, seed, bucket_bytes)
+    dealt = scatter(records, key, size, shards, seed, bucket_bytes, counts)
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("shard", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    # the buckets are already where the join needs them: only offsets move
-    placed = held.join(offsets, ["shard", "bucket"]).sortWithinPartitions("shard", "bucket")
-    # Fisher-Yates within a bucket; the generator's state follows the seed, the partition and the order fixed above
-    mixed = placed.select("shard", "offset", F.shuffle("rows", seed).alias("rows"))
+    sizes = dealt.groupBy("shard", "bucket").agg(F.count("*").alias("n"))
+    offsets = sizes.select("shard", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    # a bucket's offset travels as one more row, so records move once and nothing is joined to them
+    rows = dealt.select("shard", "bucket", F.struct("key", "record", "grown_shard").alias("row")).unionByName(offsets, allowMissingColumns=True)
+    total = sum(counts)
+    tasks = min(total, max(SINGLE_TASKS, -(-total // BUCKETS_PER_TASK)))
+    number = F.get(F.array(*[F.lit(n - c) for n, c in zip(accumulate(counts), counts, strict=True)]), F.col("shard")) + F.col("bucket")
+    placed = rows.withColumn("task", (number % tasks).cast("int")).repartitionById(tasks, "task")
+    held = placed.groupBy("task", "shard", "bucket").agg(F.sort_array(F.collect_list("row")).alias("rows"), F.max("offset").alias("offset"))
+    # Fisher-Yates within a bucket, one bucket after the other
+    mixed = held.sortWithinPartitions("shard", "bucket").select("shard", "offset", F.shuffle("rows", seed).alias("rows"))
     out = mixed.select("shard", "offset", F.posexplode("rows").alias("pos", "row"))
     return out.select("row.record", "shard", (F.col("offset") + F.col("pos")).cast("long").alias("slot"), "row.grown_shard")
 

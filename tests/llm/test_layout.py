@@ -8,9 +8,12 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow.parquet as pq
 import pytest
+import xxhash
 from brute import near
 from test_dedup import DOCS, ODD, corpus, prose
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -55,6 +58,59 @@ def test_shards_odd_inputs(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == 50
 
 
+def test_shards_by_brute_force(spark):
+    """Each key's shard is the one whose seeded hash is largest."""
+    rows = [(d, "t", 17) for d in [*range(200), -1, 2**40]]
+    got = sharding.shuffle_shards(spark.createDataFrame(rows, DOCS + ", size long"), "doc_id", "size", 7, seed=5).collect()
+
+    def score(key, s):
+        state = 42
+        for value, width in ((5, 4), (s, 4), (key, 8)):
+            state = xxhash.xxh64_intdigest(value.to_bytes(width, "little", signed=True), state)
+        return state - 2**64 if state >= 2**63 else state
+
+    for r in got:
+        assert r.shard == max(range(7), key=lambda s: (score(r.record.doc_id, s), s))
+        assert r.grown_shard == max(range(8), key=lambda s: (score(r.record.doc_id, s), s))
+
+
+def test_order_does_not_follow_the_session(spark, monkeypatch):
+    """Slots follow the records, the seed and the bucket size: not partitions, not the order of the input, not AQE."""
+    docs = spark.createDataFrame([(i, f"t{i}", 100) for i in range(3000)], DOCS + ", size long")
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")}
+
+    def slots(df, partitions, adaptive):
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+        return {r.record.doc_id: (r.shard, r.slot) for r in sharding.shuffle_shards(df, "doc_id", "size", 4, bucket_bytes=5000).collect()}
+
+    try:
+        for single in (sharding.SINGLE_TASKS, 3):  # a task for each bucket, and several buckets in a task
+            monkeypatch.setattr(sharding, "SINGLE_TASKS", single)
+            first = slots(docs, 4, "true")
+            assert len(first) == 3000
+            assert first == slots(docs.repartition(5), 7, "false") == slots(docs.orderBy(F.desc("doc_id")), 2, "false")
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    # within a bucket each place is as likely: neighbours by id are not neighbours by slot
+    one = [d for d, _ in sorted(first.items(), key=lambda x: x[1])]
+    assert sum(abs(a - b) == 1 for a, b in zip(one, one[1:], strict=False)) < 30
+
+
+def test_written_shards_keep_their_order(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"t{i}", 100) for i in range(500)], DOCS + ", size long")
+    want = {(r.shard, r.slot): r.record.doc_id for r in sharding.shuffle_shards(docs, "doc_id", "size", 3).collect()}
+    sharding.write_shards(docs, str(tmp_path / "out"), "doc_id", "size", 3)
+    got = {}
+    for file in (tmp_path / "out").glob("shard=*/*.parquet"):
+        table = pq.read_table(file, partitioning=None)
+        slots = table["slot"].to_pylist()
+        assert slots == sorted(slots)
+        got |= {(int(file.parent.name.split("=")[1]), s): r["doc_id"] for s, r in zip(slots, table["record"].to_pylist(), strict=True)}
+    assert got == want
+
+
 def test_equal_rows_spread_over_buckets(spark):
     rows = [(i, "t", 100) for i in range(200)] + [(None, "x", 100)] * 150 + [(7, "y", 100)] * 150
     docs = spark.createDataFrame(rows, DOCS + ", size long").repartition(3)
