@@ -56,26 +56,53 @@ def group_exact(docs: DataFrame, counters: int = COUNTERS) -> DataFrame:
     group_size and each carries the same kept.  An empty table gives no rows;
     columns other than doc_id and text are ignored.
     """
+    digests, heavy = _split(docs, counters)
+    settled = digests.join(F.broadcast(heavy), "digest").select("doc_id", "keep_id", "group_size", "digest")
+    return settled.unionAll(_rest(digests, heavy)).select(
+        "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("digest").alias("text_sha256")
+    )
+
+
+def _split(docs: DataFrame, counters: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, digest) of all rows, and (digest, keep_id, group_size) of the frequent digests, `counters` rows at most."""
     digests = written(doc_key(docs).select("doc_id", F.sha2("text", 256).alias("digest")), "digests")
     # A summary row counts only if its exact count repeats: singles need no settling by broadcast.
     candidates = misra_gries(digests, counters).select("digest")
     heavy = digests.join(F.broadcast(candidates), "digest").groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-    heavy = written(heavy.filter("group_size > 1"), "heavy")  # at most `counters` rows
-    settled = digests.join(F.broadcast(heavy), "digest").select("doc_id", "keep_id", "group_size", "digest")
+    return digests, written(heavy.filter("group_size > 1"), "heavy")
+
+
+def _rest(digests: DataFrame, heavy: DataFrame) -> DataFrame:
+    """(doc_id, keep_id, group_size, digest) of the rows whose digest is not frequent."""
     of_text = Window.partitionBy("digest")
-    rest = digests.join(F.broadcast(heavy), "digest", "left_anti").select(
+    return digests.join(F.broadcast(heavy), "digest", "left_anti").select(
         "doc_id", F.max("doc_id").over(of_text).alias("keep_id"), F.count("*").over(of_text).alias("group_size"), "digest"
     )
-    return settled.unionAll(rest).select(
-        "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("digest").alias("text_sha256")
-    )
 
 
 def drop_exact(docs: DataFrame, counters: int = COUNTERS) -> DataFrame:
-    """The rows of `docs` that :func:`group_exact` keeps, with all their columns; rows that repeat id and text come once."""
-    kept = group_exact(docs, counters).filter("kept").select("doc_id", "text_sha256").distinct()
+    """The rows of `docs` that :func:`group_exact` keeps, with all their columns; rows that repeat id and text come once.
+
+    Texts stay where they are read: losers of frequent digests go by broadcast,
+    those of the others by their ids, which Spark broadcasts or shuffles by
+    their measured size.  Only rows that repeat both id and text are brought
+    together.
+    """
+    digests, heavy = _split(docs, counters)
+    lost = _rest(digests, heavy).filter(~F.col("doc_id").eqNullSafe(F.col("keep_id")))
+    losers = written(lost.select("doc_id", "digest").distinct(), "losers")
+    repeated = written(digests.groupBy("doc_id", "digest").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id", "digest"), "repeated")
     whole = docs.select(
         F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("id"), F.sha2(F.coalesce(F.col("text"), F.lit("")), 256).alias("sha")
     )
-    mine = whole.join(kept, whole["id"].eqNullSafe(kept["doc_id"]) & (whole["sha"] == kept["text_sha256"]), "left_semi")
-    return mine.dropDuplicates(["id", "sha"]).select("row.*")
+    winners = F.broadcast(heavy.select(F.col("digest").alias("frequent"), "keep_id"))
+    stay = F.col("frequent").isNull() | F.col("id").eqNullSafe(F.col("keep_id"))
+    kept = whole.join(winners, F.col("sha") == F.col("frequent"), "left").filter(stay).select("row", "id", "sha")
+
+    def named(few: DataFrame, how: str) -> DataFrame:
+        return kept.join(few, kept["id"].eqNullSafe(few["doc_id"]) & (kept["sha"] == few["digest"]), how)
+
+    kept = named(losers, "left_anti")
+    if not repeated.isEmpty():
+        kept = named(repeated, "left_anti").unionAll(named(repeated, "left_semi").dropDuplicates(["id", "sha"]))
+    return kept.select("row.*")

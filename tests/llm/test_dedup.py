@@ -70,6 +70,24 @@ def test_misra_gries_keeps_frequent(spark):
     assert {"a", "b"} <= {r.digest for r in got} and len(got) <= 3 and all(r["count"] <= 40 for r in got)
 
 
+@pytest.mark.parametrize("counters", [2, 1023])
+@pytest.mark.parametrize("broadcast", ["-1", "10m"])
+def test_dropped_exact_copies_by_brute_force(spark, counters, broadcast):
+    """Whatever way losers' ids reach the rows, with repeated rows and rows without id among frequent and rare texts."""
+    rows = corpus(4, 200)
+    rows = rows + rows[::3] + rows[::3] + [(None, t) for _, t in rows[::7]] + [(None, "no id"), (None, "no id"), (None, None), (10_000, "")]
+    best = {}
+    for d, t in rows:
+        best[t or ""] = max(best.get(t or "", -1), -1 if d is None else d)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    try:
+        got = exact_dedup.drop_exact(spark.createDataFrame(rows, DOCS), counters).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert sorted((-1 if r.doc_id is None else r.doc_id, r.text or "") for r in got) == sorted((d, t) for t, d in best.items())
+
+
 def test_exact_odd_inputs(spark):
     odd = spark.createDataFrame([(1, "t", *"abcd", 1, 2, 3), (1, "t", *"abcd", 1, 2, 3), (None, "t", *"abcd", 1, 2, 3), (None, "u", *"abcd", 1, 2, 3)], ODD)
     got = sorted((r.doc_id or -1, r.keep_id or -1, r.group_size, r.kept) for r in exact_dedup.group_exact(odd).collect())
