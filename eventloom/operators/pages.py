@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from eventloom.functions.times import EPOCH, iso
 from eventloom.operators.filters import Params, filter_events, pairs, scope
 from eventloom.schema import EVENT_COLUMNS, PAGE_DEFAULT, PAGE_MAX, TAIL_MAX
+from eventloom.session import shared_path
 
 
 def newest(df: DataFrame, n: int) -> DataFrame:
@@ -95,6 +96,7 @@ def walk_pages(
 ) -> Iterator[DataFrame]:
     """Pages until none follows, in a project or all, for interactive readers; ties never repeat or drop rows.
 
+    Each page is a read of the log; a whole walk at once is :func:`all_pages`.
     To move a whole result somewhere, write ``filter_events(...)`` instead.
     """
     after = None
@@ -106,6 +108,35 @@ def walk_pages(
             return
 
 
+def all_pages(
+    ev: DataFrame, limit: int = PAGE_MAX, params: Params | None = None, projects=None, project=None,
+) -> DataFrame:
+    """The matching events with the number of their page in a walk, ``page``, from 0; the log is read twice, however many pages.
+
+    A first read samples the order; rows are sorted over its ranges and written to the shared
+    folder with their place in their range, so the places stay as they are when
+    tasks run again; how many rows come before a range is a sum over a row per
+    range.
+    """
+    limit = page_limit(dict(pairs(params)).get("limit", limit))
+    rows = filter_events(ev, params)
+    if project is not None:
+        rows = scope(rows, dict(pairs(params)).get("app"), projects, project)
+    order = [F.desc("received_at"), F.desc("_id")]
+    ranged = rows.select(*[c for c in EVENT_COLUMNS if c in ev.columns]).repartitionByRange(*order).sortWithinPartitions(*order)
+    path = shared_path(ev.sparkSession, "walk")
+    ranged.withColumn("_at", F.monotonically_increasing_id()).write.parquet(path)
+    placed = ev.sparkSession.read.parquet(path).withColumn("_range", F.shiftright("_at", 33))
+    ranges = placed.groupBy("_range").agg(F.count("*").alias("_n"))  # a row per task
+    upto = F.sum("_n").over(Window.orderBy("_range"))
+    place = F.col("_before") + F.col("_at").bitwiseAND((1 << 33) - 1)
+    return (
+        placed.join(ranges.select("_range", (upto - F.col("_n")).alias("_before")), "_range")
+        .withColumn("page", F.floor(place / limit).cast("int"))
+        .drop("_at", "_range", "_before")
+    )
+
+
 def trace(ev: DataFrame, key: str, value: str) -> DataFrame:
     """Everything one correlation id touched, across apps, in time order."""
     return filter_events(ev, {f"ids.{key}": value}).orderBy("received_at", "_id")

@@ -76,6 +76,21 @@ def test_pages_split_ties(ties, stored):
     assert sum(walked, []) == [f"id-{i:02d}" for i in order]
 
 
+@pytest.mark.parametrize("stored", [False, True])
+def test_a_whole_walk_takes_few_jobs(spark, ties, stored):
+    ev = ties.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(19)))).withColumn("_id", F.concat("_id", F.lit("-"), "copy")).drop("copy")
+    ev = to_store(ev) if stored else ev
+    spark.sparkContext.setJobGroup("walk", "a walk of many pages")
+    try:
+        got = pages.all_pages(ev, 4, {"level": "warn,error"}).select("_id", "page").collect()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    want = sorted(((i // 4, f"id-{i:02d}-{c}") for i in range(25) if i % 4 > 1 for c in range(20)), reverse=True)
+    assert sorted(tuple(r) for r in got) == sorted((key, at // 4) for at, (_, key) in enumerate(want))
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("walk")) < 30  # 60 pages
+    assert pages.all_pages(ev, 4, {"level": "debug", "app": "none"}).count() == 0
+
+
 @pytest.mark.parametrize("params, want", [
     ({"level": "warn,error"}, [i for i in range(25) if i % 4 > 1]),
     ({"ids.requestId": "r-7"}, [7]),
