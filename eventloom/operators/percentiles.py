@@ -61,6 +61,14 @@ def exact(df: DataFrame, keys: list[str], value: Column, ps: dict[str, float]) -
     return out.withColumnsRenamed(dict(zip(names, keys)))
 
 
+def counted(values: DataFrame, keys: list[str], value: str, count: str, ps: dict[str, float]) -> DataFrame:
+    """:func:`exact` over distinct values of each group that come with their counts."""
+    names = [f"_k{i}" for i in range(len(keys))]
+    rows = values.select(*[F.col(k).alias(n) for k, n in zip(keys, names)], F.col(value).alias("_v"), F.col(count).alias("_n"))
+    rows = rows.filter(" and ".join(f"{n} is not null" for n in [*names, "_v"]))
+    return _selected(_kept(rows, "values"), names, ps).withColumnsRenamed(dict(zip(names, keys)))
+
+
 def _kept(df: DataFrame, name: str) -> DataFrame:
     """`df` computed once, in the shared folder."""
     path = shared_path(df.sparkSession, name)

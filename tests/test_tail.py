@@ -1,8 +1,9 @@
-"""The kept tail over micro-batches."""
+"""What is kept over micro-batches: the tail, the counts of the rollup."""
 
 from helpers import log
 
-from eventloom.streaming.live import keep_tail, read_tail, stream_tail
+from eventloom.operators import rollups
+from eventloom.streaming.live import keep_counts, keep_tail, read_counts, read_tail, stream_tail
 
 AT = "2026-06-11T00:{:02d}:00Z"
 
@@ -47,3 +48,20 @@ def test_a_restarted_stream_goes_on_with_its_tail(spark, tmp_path):
         deliver = lambda df, epoch: got.append([r._id for r in df.collect()])
         stream_tail(stream, deliver, {"level": "error"}, 2, checkpoint=checkpoint, available_now=True).awaitTermination()
     assert got == [["m02", "m01"], ["m03", "m02"]]
+
+
+def test_live_percentiles_are_exact_in_large_buckets(spark, tmp_path):
+    """60,000 values a day: beyond what an approximate summary holds exactly."""
+    state = str(tmp_path / "counts")
+    ev = log(spark, [dict(level="error")]).join(spark.range(60_000)).selectExpr(
+        "concat('e', id) as _id", "app", "env", "event", "level", "ts", "message", "ids",
+        "parse_json(to_json(named_struct('latencyMs', pmod(xxhash64(id), 1000003) / 7, 'status', 500))) as data",
+        "timestamp'2026-06-11 00:00:00' + make_interval(0, 0, 0, 0, 0, 0, id) as received_at", "expires_at",
+    )
+    assert read_counts(spark, state) is None
+    late, early = ev.filter("_id > 'e3'"), ev.filter("_id <= 'e3'")  # the second micro-batch is older than the first
+    for epoch, part in ((0, late), (1, early), (1, early)):
+        keep_counts(state, part, epoch, "day")
+    want = rollups.stats(ev, "day", "2026-06-11", "2026-06-12")
+    assert read_counts(spark, state).select(want.columns).collect() == want.collect()
+    assert want.head().total == 60_000
