@@ -191,14 +191,18 @@ def explode_batches(df: DataFrame) -> DataFrame:
 def stamp_source(df: DataFrame, sources: DataFrame) -> DataFrame:
     """`app` and `env` of each batch's source, with a reason for unknown or read-only sources.
 
-    The registry is joined without a hint: Spark broadcasts it only when its
-    size is known to be small, and splits hot sources when it is not.
+    The registry is joined without a hint: Spark broadcasts it when its size is
+    known to be small.  When it is not, the batches of a source are dealt over
+    as many parts as a shuffle has, each of which meets a copy of the source's
+    row, so few sources never put whole bodies into few tasks.
     """
     reason = _first(
         ("app is null", _reason("source")), ("coalesce(mode <> 'write', true)", _reason("mode"))
     )
-    known = sources.select("source_id", "app", "env", "mode")
-    return df.join(known, "source_id", "left").selectExpr("*", f"{reason} as reason")
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    known = sources.selectExpr("source_id", "app", "env", "mode", f"explode(sequence(0, {parts - 1})) as _part")
+    dealt = df.selectExpr("*", f"cast(pmod(xxhash64(batch_id), {parts}) as int) as _part")
+    return dealt.join(known, ["source_id", "_part"], "left").drop("_part").selectExpr("*", f"{reason} as reason")
 
 
 def derive_id(app: str, received_at: str, seq: str, envelope: str) -> str:

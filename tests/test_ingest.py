@@ -90,6 +90,21 @@ def test_sources(spark, sources):
         assert accepted.count() == 0 and rejected.head().error == error
 
 
+def test_bodies_of_one_source_spread_over_tasks(spark, sources):
+    """A registry of unknown size is joined by a shuffle, which one hot source must not put into one task."""
+    hot = spark.range(2000).selectExpr("cast(id as string) as batch_id", "'chat' as source_id", "timestamp'2026-06-11' as received_at", "'{\"event\":\"x\"}' as body")
+    before = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        checked = envelopes.check_batches(hot, sources)
+        tasks = [r["n"] for r in checked.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sum(tasks) == 2000 and max(tasks) < 1500
+
+
 def test_accepted_values(spark, sources):
     big = {"b": "y" * 300, "a": {"n": 1e3}}
     bodies = [
