@@ -12,6 +12,7 @@ import uuid
 from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from eventloom.sources import files
 
@@ -20,7 +21,13 @@ FAN = 16
 
 
 def name(file: str) -> str:
-    return file.rsplit("/", 1)[-1]
+    """A data file's day folder and name: tasks that write several days use one name in all of them."""
+    return "/".join(file.rsplit("/", 2)[-2:])
+
+
+#: SQL of :func:`name` for the rows of a read, and of the day in it.
+NAME = "substring_index(_metadata.file_path, '/', -2)"
+_DAY = "substring_index(substring_index(file, '/', 1), '=', -1)"
 
 
 def data_files(spark: SparkSession, path: str, day) -> list[str]:
@@ -37,27 +44,32 @@ def follow(
 ) -> None:
     """Adds the rows of those data files of the days that the table at `root` does not have.
 
-    `rows_of` computes the rows of some data files, with their name as `file`;
-    `keys` tell the rows of a file apart.
+    `rows_of` computes the rows of some data files, with their :func:`name` as `file`;
+    `keys` tell the rows of a file apart.  All days are done together, so the
+    number of jobs does not follow the number of days.
     """
-    for day in days:
-        have = kept_files(spark, root, day)
-        # one name per data file of the day
-        known = {r["file"] for r in spark.read.schema(schema).parquet(*have).select("file").distinct().collect()} if have else set()
-        new = [f for f in data_files(spark, path, day) if name(f) not in known]
-        if new:
-            _put(spark, rows_of(new), root, day, order)
-        if len(have) >= FAN:
-            _put(spark, spark.read.schema(schema).parquet(*have).dropDuplicates(keys), root, day, order)
-            for file in have:
-                files.delete(spark, file)
-
-
-def _put(spark: SparkSession, rows: DataFrame, root: str, day, order: list[str] | None) -> None:
-    aside, kept = f"{root}_aside-{uuid.uuid4().hex}", f"{root}/event_date={day}"
-    rows = rows.repartition("file")
-    (rows.sortWithinPartitions(*order) if order else rows).write.parquet(aside)
-    files.make(spark, kept)
-    for file in files.listed(spark, aside):
-        files.move(spark, file, f"{kept}/{uuid.uuid4().hex}.parquet")
+    days = list(dict.fromkeys(days))
+    have = {day: kept_files(spark, root, day) for day in days}
+    every = [f for kept in have.values() for f in kept]
+    # one name per data file of the days
+    known = {r["file"] for r in spark.read.schema(schema).parquet(*every).select("file").distinct().collect()} if every else set()
+    new = [f for day in days for f in data_files(spark, path, day) if name(f) not in known]
+    if new:
+        _put(spark, rows_of(new), root, order)
+    full = [f for kept in have.values() if len(kept) >= FAN for f in kept]
+    if full:
+        _put(spark, spark.read.schema(schema).parquet(*full).dropDuplicates(keys), root, order)
+        for file in full:
+            files.delete(spark, file)
+
+
+def _put(spark: SparkSession, rows: DataFrame, root: str, order: list[str] | None) -> None:
+    aside = f"{root}_aside-{uuid.uuid4().hex}"
+    rows = rows.withColumn("event_date", F.expr(_DAY)).repartition("file").sortWithinPartitions("event_date", *(order or []))
+    rows.write.partitionBy("event_date").parquet(aside)
+    for folder in files.listed(spark, aside):
+        kept = f"{root}/{folder.rsplit('/', 1)[-1]}"
+        files.make(spark, kept)
+        for file in files.listed(spark, folder):
+            files.move(spark, file, f"{kept}/{uuid.uuid4().hex}.parquet")
     files.delete(spark, aside)

@@ -38,7 +38,7 @@ def root(path: str) -> str:
 
 def partials(spark: SparkSession, data_files: list[str]) -> DataFrame:
     """The rollup rows of some data files."""
-    ev = spark.read.schema(_READ).parquet(*data_files).withColumn("file", F.col("_metadata.file_name"))
+    ev = spark.read.schema(_READ).parquet(*data_files).withColumn("file", F.expr(beside.NAME))
     rows = measures(ev, "file", "app", "event").selectExpr("*", f"{bucket('received_at', 'hour')} as hour")
     counts = ["count(*) as total", *[f"count_if(level = '{name}') as {name}" for name in LEVELS]]
     counts += ["count(status) as _statuses", "count_if(status >= 400) as _status_errors"]

@@ -46,22 +46,26 @@ def _place(gram: str) -> str:
 
 def bitmaps(spark: SparkSession, data_files: list[str]) -> DataFrame:
     """The sieve's rows of some data files; each file has one row of its own (bucket -1) even where it has no text."""
-    ev = spark.read.schema(_READ).parquet(*data_files).withColumn("file", F.col("_metadata.file_name"))
+    # short numbers stand for names and fields where a row is a gram
+    ev = spark.read.schema(_READ).parquet(*data_files).withColumn("_file", F.expr(f"xxhash64({beside.NAME})"))
     payload = "concat_ws(' ', to_json(ids), to_json(data))"
-    kinds = f"inline(array(named_struct('field', 'message', 'text', message), named_struct('field', 'payload', 'text', {payload})))"
-    texts = ev.selectExpr("file", kinds).selectExpr("file", "field", f"{grams.folded('text')} as text")
+    kinds = f"inline(array(named_struct('_field', 0, 'text', message), named_struct('_field', 1, 'text', {payload})))"
+    texts = ev.selectExpr("_file", kinds).selectExpr("_file", "_field", f"{grams.folded('text')} as text")
     # pieces overlap, so that no gram is cut
     cut = f"(?s)(?=(.{{1,{PIECE + grams.GRAM - 1}}})).{{1,{PIECE}}}"
-    pieces = texts.select("file", "field", F.explode(F.regexp_extract_all("text", F.lit(cut), F.lit(1))).alias("piece"))
+    pieces = texts.select("_file", "_field", F.explode(F.regexp_extract_all("text", F.lit(cut), F.lit(1))).alias("piece"))
     starts = f"sequence(1, length(piece) - {grams.GRAM - 1})"
     placed = pieces.filter(f"length(piece) >= {grams.GRAM}").selectExpr(
-        "file", "field", f"explode(transform({starts}, i -> {_place(f'substring(piece, i, {grams.GRAM})')})) as place"
+        "_file", "_field", f"explode(transform({starts}, i -> cast({_place(f'substring(piece, i, {grams.GRAM})')} as int))) as place"
     )
     # each task sends a file's places once, so what moves is bounded by the bitmaps and not by the texts
-    each = placed.distinct().selectExpr("file", "field", f"cast(place div {BUCKET} as int) as bucket", f"place % {BUCKET} as bit")
-    maps = each.groupBy(*KEYS).agg(F.expr("bitmap_construct_agg(bit) as bits"))
+    each = placed.distinct().selectExpr("_file", "_field", f"cast(place div {BUCKET} as int) as bucket", f"cast(place % {BUCKET} as long) as bit")
+    maps = each.groupBy("_file", "_field", "bucket").agg(F.expr("bitmap_construct_agg(bit) as bits"))
     known = spark.createDataFrame([(beside.name(f),) for f in data_files], "file string")
-    return maps.unionByName(known.selectExpr("file", "'' as field", "-1 as bucket", "cast(null as binary) as bits"))
+    # names that share a number share their bits, which only opens more files
+    named = maps.join(known.selectExpr("file", "xxhash64(file) as _file"), "_file")
+    named = named.selectExpr("file", "if(_field = 0, 'message', 'payload') as field", "bucket", "bits")
+    return named.unionByName(known.selectExpr("file", "'' as field", "-1 as bucket", "cast(null as binary) as bits"))
 
 
 def update(spark: SparkSession, path: str, days: Iterable) -> None:
@@ -88,7 +92,7 @@ def _holding(spark: SparkSession, kept: list[str], field: str, need: grams.Need)
 def _days(spark: SparkSession, path: str, from_=None, to=None) -> list[date]:
     """The days of the table that a window touches."""
     mark = "event_date="
-    held = [date.fromisoformat(n[len(mark) :]) for f in files.listed(spark, path) if (n := beside.name(f)).startswith(mark) and n[len(mark) :] != "__HIVE_DEFAULT_PARTITION__"]
+    held = [date.fromisoformat(n[len(mark) :]) for f in files.listed(spark, path) if (n := f.rsplit("/", 1)[-1]).startswith(mark) and n[len(mark) :] != "__HIVE_DEFAULT_PARTITION__"]
     first = instant(from_, "from").date() if from_ is not None else date.min
     last = (instant(to, "to") - timedelta(microseconds=1)).date() if to is not None else date.max
     return [d for d in held if first <= d <= last]

@@ -89,3 +89,20 @@ def test_trace_reads_only_row_groups_that_may_hold_the_id(spark, tmp_path):
     assert [r._id for r in found.collect()] == ["last", "9-7"]
     assert scanned(found) <= 2 * (41 + 40) < len(docs)  # the sort reads twice
     assert not pages.trace(store.read_events(spark, path), "taskId", "r9-7").collect()
+
+
+def test_days_are_followed_together_and_told_apart(spark, tmp_path):
+    """One task that writes several days names its files alike; the jobs of an update do not follow the number of days."""
+    path = str(tmp_path / "t")
+    ev = log(spark, [dict(_id=f"d{d}", received_at=f"2026-06-{d:02d}T01:00:00Z") for d in range(1, 11)])
+    store.write_events(ev, path)
+    days = [f"2026-06-{d:02d}" for d in range(1, 11)]
+    names = [beside.name(f) for d in days for f in beside.data_files(spark, path, d)]
+    assert len(set(names)) == len(names) == 10
+    spark.sparkContext.setJobGroup("follow", "ten days")
+    try:
+        rollup_table.update(spark, path, days)
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("follow")) < 10
+    assert [r.total for r in rollup_table.stats(spark, path, "day", "2026-06-01", "2026-06-11").collect()] == [1] * 10
