@@ -82,6 +82,15 @@ def one_per_id(batch: DataFrame) -> DataFrame:
     return ranked.filter("_nth = 1").drop("_nth", "_copies")
 
 
+def _without_repeats(batch: DataFrame) -> DataFrame:
+    """:func:`one_per_id` by which only rows of ids that do repeat are moved; the others are told by their ids alone."""
+    repeated = batch.groupBy("_id").agg(F.count("*").alias("_n")).filter("_n > 1").select("_id")
+    if repeated.isEmpty():
+        return batch
+    few = one_per_id(batch.join(repeated, "_id", "left_semi").select(*batch.columns))
+    return batch.join(repeated, "_id", "left_anti").select(*batch.columns).unionByName(few)
+
+
 def new_rows(store: DataFrame, batch: DataFrame) -> DataFrame:
     """Rows of a batch, one per id, whose `_id` is not in the store on any day of the batch.
 
@@ -112,8 +121,9 @@ def append_new(spark: SparkSession, path: str, batch: DataFrame) -> list:
     id_index.recover(spark, path)
     # The batch is read for its days, its ids and its rows; kept in memory or on
     # disk meanwhile, and recomputed where an executor is lost.
-    batch = one_per_id(batch).persist(StorageLevel.MEMORY_AND_DISK)
+    whole = batch.persist(StorageLevel.MEMORY_AND_DISK)
     try:
+        batch = _without_repeats(whole)
         # one row per day of the batch
         days = {r["day"]: r["n"] for r in batch.groupBy(F.to_date("received_at").alias("day")).agg(F.count("*").alias("n")).collect()}
         fresh, size = batch, sum(days.values())
@@ -124,7 +134,7 @@ def append_new(spark: SparkSession, path: str, batch: DataFrame) -> list:
         _write_with_ids(spark, fresh, path, size <= id_index.LISTED)
         return sorted(days)
     finally:
-        batch.unpersist()
+        whole.unpersist()
 
 
 def apply_retention(ev: DataFrame, now) -> DataFrame:

@@ -206,6 +206,17 @@ def test_append_skips_repeats_in_batch_and_store(spark, tmp_path):
     assert sorted(r._id for r in store.read_events(spark, path).collect()) == ["a", "b", "c"]
 
 
+def test_append_ranks_only_rows_of_repeated_ids(spark, tmp_path, monkeypatch):
+    ranked, one_per_id = [], store.one_per_id
+    monkeypatch.setattr(store, "one_per_id", lambda batch: ranked.append(batch.count()) or one_per_id(batch))
+    path = str(tmp_path / "t")
+    store.append_new(spark, path, log(spark, [dict(_id=f"u{i}") for i in range(6)]))
+    assert ranked == []
+    store.append_new(spark, path, log(spark, [dict(_id=i, message=str(n)) for n, i in enumerate(("u1", "v", "w", "w"))]))
+    assert ranked == [2]
+    assert sorted(r._id for r in store.read_events(spark, path).collect()) == ["u0", "u1", "u2", "u3", "u4", "u5", "v", "w"]
+
+
 def test_append_keeps_one_instant_of_an_id(spark, tmp_path):
     """An id is one event on its day, in one batch or several, and always the same copy of it stays."""
     path = str(tmp_path / "events")
