@@ -4,11 +4,12 @@ Which suffixes to index is decided by content: every 50-byte string has an
 anchor, its leftmost 16-byte gram of least hash, so equal strings have equal
 anchors.  A first exchange drops anchors that only one document has.  For the
 rest, the bytes around each anchor, once per part of the corpus and with the
-smallest document that has them there, go to the task that owns the gram.
-There, batches of suffixes cut at 50 bytes become sorted arrays; equal-sized
-arrays merge, so a task holds a logarithmic family of levels, each entry with
-the smallest document it was seen in.  Merge-scanning every batch against the
-levels gives each string's earliest document, and parts compare their own.
+documents and places that have them there, go to the task that owns the gram.
+There, equal ones are taken once and in the order of their smallest documents.
+Batches of their suffixes, cut at 50 bytes, are merge-scanned against the sorted
+arrays held so far, and what no array holds becomes a new one; equal-sized
+arrays merge, so a task holds a logarithmic family of levels.  A string met
+before was met in its smallest document, and parts remove the bytes so found.
 """
 
 from __future__ import annotations
@@ -31,74 +32,107 @@ BATCH = 1 << 18
 LAST = (1 << 63) - 1
 
 
+#: Strings whose anchors are found at a time; the arrays stay within a core's cache.
+STRINGS = 1 << 15
+_HIGH = np.uint64(0xFFFFFFFF00000000)
+
+
+def _words(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each byte on as a number."""
+    return np.ndarray(len(data) - 7, "<u8", np.ascontiguousarray(data), strides=(1,))
+
+
+def _gram_hash(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """A hash of the 16 bytes of two words."""
+    x = low * np.uint64(0x9E3779B97F4A7C15)
+    x += high * np.uint64(0xC2B2AE3D27D4EB4F)
+    x ^= x >> np.uint64(32)
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    return x
+
+
 def anchors(data: np.ndarray, starts: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, ...]:
-    """(key, text, position, begin, end) of every anchor: begin:end are the bytes of all strings it anchors."""
+    """(key, text, begin, end) of every anchor: begin:end are the bytes of all strings it anchors."""
     n, reach = len(data) - length + 1, length - GRAM + 1
     if n <= 0:
-        return (np.zeros(0, np.uint64), *(np.zeros(0, np.int64) for _ in range(4)))
-    grams = np.arange(len(data) - GRAM + 1)
-    value = span_hash(span_sums(data), grams, grams + GRAM)
-    least, place, size = value, np.arange(len(value), dtype=np.int32), 1
-    while size < reach:  # minima of windows of doubling width, the leftmost on ties
-        step = min(size, reach - size)
-        right = least[step:] < least[: len(least) - step]
-        place = np.where(right, place[step:], place[: len(place) - step])
-        least = np.where(right, least[step:], least[: len(least) - step])
-        size += step
-    text = np.searchsorted(starts, np.arange(n), side="right") - 1
-    whole = np.flatnonzero(np.arange(n) + length <= starts[text + 1])
-    if not len(whole):
-        return (np.zeros(0, np.uint64), *(np.zeros(0, np.int64) for _ in range(4)))
-    place = place[whole].astype(np.int64)
-    fresh = np.ones(len(whole), dtype=bool)
-    fresh[1:] = (place[1:] != place[:-1]) | (whole[1:] != whole[:-1] + 1)
-    first = np.flatnonzero(fresh)
-    last = np.append(first[1:], len(whole)) - 1
-    at = place[first]
-    return value[at], text[whole[first]], at - starts[text[whole[first]]], whole[first], whole[last] + length
+        return (np.zeros(0, np.uint64), *(np.zeros(0, np.int64) for _ in range(3)))
+    words, place = _words(data), np.empty(n, np.int64)
+    number = np.arange(STRINGS + reach, dtype=np.uint64)
+    for a in range(0, n, STRINGS):
+        m = min(STRINGS, n - a)
+        grams = m + reach - 1
+        some = words[a : a + grams + 8].copy()
+        least, size = _gram_hash(some[:grams], some[8 : grams + 8]), 1
+        least &= _HIGH  # 32 bits of hash, then the place: of equal hashes the leftmost is least
+        least |= number[:grams]
+        while size < reach:  # minima of windows of doubling width
+            step = min(size, reach - size)
+            least = np.minimum(least[step:], least[: len(least) - step])
+            size += step
+        place[a : a + m] = (least & ~_HIGH).view(np.int64) + a
+    whole = np.ones(n + 1, dtype=bool)
+    cross = (starts[1:-1, None] - np.arange(1, length)).ravel()  # strings over a text's end
+    whole[cross[(cross >= 0) & (cross < n)]] = False
+    whole[n] = False
+    turn = np.ones(n + 1, dtype=bool)
+    turn[1:n] = (place[1:] != place[:-1]) | ~whole[: n - 1]
+    begin = np.flatnonzero(whole & turn)
+    end = np.flatnonzero(whole[:n] & (turn[1:] | ~whole[1:])) + length
+    text = np.repeat(np.arange(len(starts) - 1), np.diff(np.searchsorted(begin, starts)))
+    at = place[begin]
+    return _gram_hash(words[at], words[at + 8]), text, begin, end
 
 
 class PartTexts:
     """A part's bytes, its documents, and its anchors grouped by gram."""
 
     def __init__(self, batch: pa.RecordBatch, i: int, shards: int, length: int) -> None:
-        row = {n: batch.column(n)[i].as_py() for n in ("part", "docs", "known", "text", "ends")}
-        self.part, self.length = row["part"], length
-        known = np.frombuffer(row["known"], np.uint8) > 0
-        self.known, self.docs = known, np.where(known, np.frombuffer(row["docs"], np.int64), LAST)
-        self.data = np.frombuffer(row["text"], np.uint8)
-        self.starts = np.concatenate([[0], np.frombuffer(row["ends"], np.int64)])
-        key, self.text, _, self.begin, self.end = anchors(self.data, self.starts, length)
+        self.part, self.docs, _, self.data, self.starts = part_row(batch, i)
+        key, text, self.begin, self.end = anchors(self.data, self.starts, length)
+        self.doc = self.docs[text]
         # a shard and 47 more bits name a gram; the lowest bit tells that several documents of the part have it
-        self.name = (((key >> np.uint64(40)) % np.uint64(shards)) << np.uint64(48)) | (mix(key + np.uint64(1)) & LOW & ~np.uint64(1))
-
-    def grams(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(name, several) of the distinct grams in order, and each anchor's."""
-        name, place = np.unique(self.name, return_inverse=True)
-        low, high = np.full(len(name), LAST), np.full(len(name), -1)
-        np.minimum.at(low, place, self.docs[self.text])
-        np.maximum.at(high, place, self.docs[self.text])
-        return name, low != high, place
+        name = (((key >> np.uint64(40)) % np.uint64(shards)) << np.uint64(48)) | (mix(key + np.uint64(1)) & LOW & ~np.uint64(1))
+        self.order = np.argsort(name)
+        name = name[self.order]
+        self.fresh = np.ones(len(name), dtype=bool)
+        self.fresh[1:] = name[1:] != name[:-1]
+        self.name = name[self.fresh]
+
+    def several(self) -> np.ndarray:
+        """Whether several documents of the part have each gram."""
+        doc, first = self.doc[self.order], np.flatnonzero(self.fresh)
+        if not len(first):
+            return np.zeros(0, dtype=bool)
+        return np.minimum.reduceat(doc, first) != np.maximum.reduceat(doc, first)
 
     def contexts(self, masks: list[dict]) -> tuple[np.ndarray, ...]:
-        """(shard, begin, end, smallest doc) of the distinct contexts of repeated grams in order; the anchors that have them, and which."""
-        name, _, place = self.grams()
-        again = np.zeros(len(name), dtype=bool)
+        """The distinct contexts of repeated grams in order of shards, and the anchors that have them in order of contexts.
+
+        Of contexts: shard, begin, end, hash, first of their anchors and one more.  Of anchors: begin, doc.
+        """
+        again, shard = np.zeros(len(self.name), dtype=bool), self.name >> np.uint64(48)
         for m in masks:
-            a, b = np.searchsorted(name >> np.uint64(48), (m["shard"], m["shard"] + 1))
+            a, b = np.searchsorted(shard, (m["shard"], m["shard"] + 1))
             again[a:b] = np.unpackbits(np.frombuffer(m["mask"], np.uint8), count=b - a) > 0
-        mine = np.flatnonzero(again[place])
+        group = np.cumsum(self.fresh) - 1
+        use = again[group]
+        mine, shard = self.order[use], shard[group[use]].astype(np.uint16)
         begin, end = self.begin[mine], self.end[mine]
         whole = span_hash(span_sums(self.data), begin, end) ^ (end - begin).astype(np.uint64)
-        order = np.lexsort((whole, self.name[mine]))
-        mine, whole = mine[order], whole[order]
-        own = self.name[mine]
-        fresh = np.ones(len(mine), dtype=bool)
-        fresh[1:] = (own[1:] != own[:-1]) | (whole[1:] != whole[:-1])
-        first, number = np.flatnonzero(fresh), np.cumsum(fresh) - 1
-        least = np.minimum.reduceat(self.docs[self.text[mine]], first) if len(first) else np.zeros(0, np.int64)
-        at = mine[first]
-        return (self.name[at] >> np.uint64(48)).astype(np.int64), self.begin[at], self.end[at], least, mine, number
+        order = np.argsort(whole)  # equal bytes have equal grams
+        order = order[np.argsort(shard[order], kind="stable")]
+        whole, shard, begin, end, doc = whole[order], shard[order], begin[order], end[order], self.doc[mine[order]]
+        fresh = np.ones(len(order), dtype=bool)
+        fresh[1:] = whole[1:] != whole[:-1]
+        first = np.append(np.flatnonzero(fresh), len(fresh))
+        return shard[fresh].astype(np.int64), begin[fresh], end[fresh], whole[fresh], first, begin, doc
+
+
+def part_row(batch: pa.RecordBatch, i: int) -> tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(part, docs, which of them are known, bytes, starts) of a row of the parts table; unknown documents come last."""
+    kinds = {"docs": np.int64, "known": np.uint8, "text": np.uint8, "ends": np.int64}
+    docs, known, text, ends = (np.frombuffer(batch.column(n)[i].as_buffer(), t) for n, t in kinds.items())
+    return batch.column("part")[i].as_py(), np.where(known > 0, docs, LAST), known > 0, text, np.concatenate([[0], ends])
 
 
 def _exploded(starts: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -109,7 +143,7 @@ def _exploded(starts: np.ndarray, size: np.ndarray) -> np.ndarray:
 def _cuts(shard: np.ndarray) -> Iterator[tuple[int, int, int]]:
     """(shard, from, to) of each run of a sorted array."""
     present, first = np.unique(shard, return_index=True)
-    yield from zip(present.tolist(), first.tolist(), [*first[1:].tolist(), len(shard)], strict=True)
+    yield from zip(present.tolist(), first.tolist(), np.append(first, len(shard))[1:].tolist(), strict=True)
 
 
 def _rows(rows: list[tuple], schema: str) -> pa.RecordBatch:
@@ -121,10 +155,11 @@ def _rows(rows: list[tuple], schema: str) -> pa.RecordBatch:
 
 GRAMS = "shard int, part long, keys binary"
 MASKS = "part long, shard int, mask binary"
-CONTEXTS = "shard int, part long, bytes binary, sizes binary, docs binary"
-RUNS = "part long, shard int, runs binary"
-#: A run of strings of one context: the context's number in its part and shard, first and last string, earliest document.
-RUN = np.dtype([("context", "<u4"), ("first", "<u2"), ("last", "<u2"), ("doc", "<i8")])
+#: Of each context its bytes, their number and hash and its number of places in the part; of each place where it begins and its document.
+CONTEXTS = "shard int, part long, bytes binary, sizes binary, hashes binary, places binary, begins binary, docs binary"
+RUNS = "part long, runs binary"
+#: Bytes of a part that go.
+RUN = np.dtype([("begin", "<u4"), ("end", "<u4")])
 
 
 def _grams(parts: DataFrame, shards: int, length: int) -> DataFrame:
@@ -132,9 +167,8 @@ def _grams(parts: DataFrame, shards: int, length: int) -> DataFrame:
         for batch in batches:
             for i in range(batch.num_rows):
                 own = PartTexts(batch, i, shards, length)
-                name, several, _ = own.grams()
-                keys = pack_keys((name & LOW) | several.astype(np.uint64))
-                yield _rows([(s, own.part, keys[a:b].tobytes()) for s, a, b in _cuts(name >> np.uint64(48))], GRAMS)
+                keys = pack_keys((own.name & LOW) | own.several().astype(np.uint64))
+                yield _rows([(s, own.part, keys[a:b].tobytes()) for s, a, b in _cuts(own.name >> np.uint64(48))], GRAMS)
 
     return parts.mapInArrow(run, GRAMS)
 
@@ -160,7 +194,7 @@ def _repeated(grams: DataFrame, shards: int) -> DataFrame:
                 at += n
             yield _rows(out, MASKS)
 
-    return grams.repartition(shards, "shard").mapInArrow(run, MASKS)
+    return grams.repartitionById(shards, "shard").mapInArrow(run, MASKS)
 
 
 def _contexts(parts: DataFrame, shards: int, length: int) -> DataFrame:
@@ -168,20 +202,22 @@ def _contexts(parts: DataFrame, shards: int, length: int) -> DataFrame:
         for batch in batches:
             for i in range(batch.num_rows):
                 own = PartTexts(batch, i, shards, length)
-                shard, begin, end, least, _, _ = own.contexts(batch.column("masks")[i].as_py() or [])
+                shard, begin, end, whole, first, place, doc = own.contexts(batch.column("masks")[i].as_py() or [])
                 size = end - begin
                 out = []
                 for s, a, b in _cuts(shard):
                     data = own.data[_exploded(begin[a:b], size[a:b])]
-                    out.append((s, own.part, data.tobytes(), size[a:b].astype(np.uint16).tobytes(), least[a:b].tobytes()))
+                    at = slice(first[a], first[b])
+                    places = np.diff(first[a : b + 1]).astype(np.uint32), place[at].astype(np.uint32), doc[at]
+                    out.append((s, own.part, *(x.tobytes() for x in (data, size[a:b].astype(np.uint16), whole[a:b], *places))))
                 yield _rows(out, CONTEXTS)
 
     return parts.mapInArrow(run, CONTEXTS)
 
 
-def sorted_order(name: np.ndarray, code: np.ndarray) -> np.ndarray:
+def sorted_order(name: np.ndarray, code: np.ndarray, kind: str | None = None) -> np.ndarray:
     """The order of (name, code).  Names alone nearly decide it; only runs of one name with several codes are sorted twice."""
-    order = np.argsort(name)
+    order = np.argsort(name, kind=kind)
     n, c = name[order], code[order]
     same = n[1:] == n[:-1]
     mixed = same & (c[1:] != c[:-1])
@@ -207,32 +243,51 @@ class Levels:
         self.held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
     @staticmethod
-    def array(name: np.ndarray, code: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def array(name: np.ndarray, code: np.ndarray, doc: np.ndarray, kind: str | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The suffixes in order, equal ones once, with their smallest doc."""
-        order = sorted_order(name, code)
+        order = sorted_order(name, code, kind)
         name, code, doc = name[order], code[order], doc[order]
         first = np.flatnonzero(np.append(True, (name[1:] != name[:-1]) | (code[1:] != code[:-1])))
         return name[first], code[first], np.minimum.reduceat(doc, first)
 
     def add(self, name: np.ndarray, code: np.ndarray, doc: np.ndarray) -> None:
         """A new batch becomes a level; levels of its size merge with it."""
-        if not len(name):
-            return
-        new = self.array(name, code, doc)
+        if len(name):
+            self._push(self.array(name, code, doc))
+
+    def _push(self, new: tuple[np.ndarray, np.ndarray, np.ndarray]) -> None:
         while self.held and len(self.held[-1][0]) <= 2 * len(new[0]):
-            new = self.array(*(np.concatenate(x) for x in zip(self.held.pop(), new, strict=True)))
+            new = self.array(*(np.concatenate(x) for x in zip(self.held.pop(), new, strict=True)), kind="stable")
         self.held.append(new)
 
     def scan(self, name: np.ndarray, code: np.ndarray) -> np.ndarray:
         """The smallest doc that any level holds for each suffix; the batch is merged along in its own order."""
+        return self._met(name, code, np.full(len(name), LAST), keep=False)
+
+    def meet(self, name: np.ndarray, code: np.ndarray, doc: np.ndarray) -> np.ndarray:
+        """The smallest doc of each suffix in the levels and the batch; what no level holds is added to them.
+
+        Batches must come in the order of their docs: what a level holds is then never undercut.
+        """
+        return self._met(name, code, doc, keep=True)
+
+    def _met(self, name: np.ndarray, code: np.ndarray, doc: np.ndarray, keep: bool) -> np.ndarray:
         least = np.full(len(name), LAST)
         if not len(name):
             return least
         order = sorted_order(name, code)
         n, c = name[order], code[order]
-        first = np.flatnonzero(np.append(True, (n[1:] != n[:-1]) | (c[1:] != c[:-1])))
-        group = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(n))))
-        n, c = n[first], c[first]
+        fresh = np.append(True, (n[1:] != n[:-1]) | (c[1:] != c[:-1]))
+        first = np.flatnonzero(fresh)
+        n, c, own = n[first], c[first], np.minimum.reduceat(doc[order], first)
+        best = self._held(n, c)
+        if keep and (new := best == LAST).any():
+            self._push((n[new], c[new], own[new]))
+        least[order] = np.minimum(best, own)[np.cumsum(fresh) - 1]
+        return least
+
+    def _held(self, n: np.ndarray, c: np.ndarray) -> np.ndarray:
+        """The smallest doc that any level holds for each of an array's suffixes."""
         best = np.full(len(n), LAST)
         for own_name, own, doc in self.held:
             at = np.searchsorted(own_name, n)
@@ -246,8 +301,7 @@ class Levels:
                 best[hit] = np.minimum(best[hit], doc[at[hit]])
                 todo = todo[~same]
                 at[todo] += 1
-        least[order] = best[group]
-        return least
+        return best
 
 
 def _suffixes(data: np.ndarray, size: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -256,89 +310,94 @@ def _suffixes(data: np.ndarray, size: np.ndarray, length: int) -> tuple[np.ndarr
     count = size - length + 1
     at = _exploded(starts, count)
     code = span_hash(span_sums(data), at, at + length)
-    prefix = np.zeros(len(at), np.uint64)
-    for i in range(4):
-        prefix = (prefix << np.uint64(8)) | data[at + i].astype(np.uint64)
+    prefix = np.ndarray(max(len(data) - 3, 0), ">u4", data, strides=(1,))[at].astype(np.uint64)
     return (prefix << np.uint64(32)) | (mix(code) >> np.uint64(32)), code, np.repeat(np.arange(len(size)), count)
 
 
-def _earliest(contexts: DataFrame, shards: int, length: int) -> DataFrame:
-    """The earliest document of every string of every context; a task holds the contexts of its shards and their index."""
-
-    def read(row: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        return np.frombuffer(row[2], np.uint8), np.frombuffer(row[3], np.uint16).astype(np.int64), np.frombuffer(row[4], np.int64)
-
-    def batched(rows: list[tuple]) -> Iterator[list[tuple]]:
-        some, n = [], 0
-        for row in rows:
-            some.append(row)
-            n += len(row[2]) // 4  # about as many strings
-            if n >= BATCH:
-                yield some
-                some, n = [], 0
-        if some:
-            yield some
+def _earlier(contexts: DataFrame, shards: int, length: int) -> DataFrame:
+    """The bytes of each part that an earlier document has; a task holds the contexts of its shards and their index."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
-        levels = Levels()
-        for some in batched(rows):
-            data, size, doc = (np.concatenate(x) for x in zip(*map(read, some), strict=True))
-            name, code, of = _suffixes(data, size, length)
-            levels.add(name, code, doc[of])
-        for some in batched(rows):
-            data, size, _ = (np.concatenate(x) for x in zip(*map(read, some), strict=True))
-            name, code, of = _suffixes(data, size, length)
-            least = levels.scan(name, code)
-            first = np.flatnonzero(np.append(True, (of[1:] != of[:-1]) | (least[1:] != least[:-1])))
-            last = np.append(first[1:], len(of)) - 1
-            begin = np.searchsorted(of, np.arange(len(size)))
-            counts = np.cumsum([0] + [len(r[3]) // 2 for r in some])
-            row_of = np.searchsorted(counts, of[first], side="right") - 1
-            found = np.zeros(len(first), RUN)
-            found["context"], found["doc"] = of[first] - counts[row_of], least[first]
-            found["first"], found["last"] = first - begin[of[first]], last - begin[of[first]]
-            yield _rows([(some[r][1], some[r][0], found[a:b].tobytes()) for r, a, b in _cuts(row_of)], RUNS)
-
-    return contexts.repartition(shards, "shard").mapInArrow(run, RUNS)
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+
+        def column(name: str, kind: type) -> tuple[np.ndarray, np.ndarray]:
+            """The values of all rows end to end, and how many each has."""
+            rows = [np.frombuffer(v.as_buffer(), kind) for b in held for v in b.column(name)]
+            return np.concatenate(rows), np.array([len(x) for x in rows])
+
+        parts = [p for b in held for p in b.column("part").to_pylist()]
+        data, size, whole, places = (column(n, k)[0] for n, k in (("bytes", np.uint8), ("sizes", np.uint16), ("hashes", np.uint64), ("places", np.uint32)))
+        (begin, many), (doc, _) = column("begins", np.uint32), column("docs", np.int64)
+        held.clear()
+        size = size.astype(np.int64)
+        _, at, same = np.unique(whole, return_index=True, return_inverse=True)  # equal contexts once
+        of = np.repeat(same, places)
+        start, size = (np.cumsum(size) - size)[at], size[at]
+        least = np.full(len(at), LAST)
+        np.minimum.at(least, of, doc)
+
+        levels, found = Levels(), []
+        order = np.argsort(least, kind="stable")
+        batch = np.cumsum(size[order] - length + 1) // BATCH
+        for some in np.split(order, np.flatnonzero(np.diff(batch)) + 1):
+            own = size[some]
+            name, code, context = _suffixes(data[_exploded(start[some], own)], own, length)
+            bound = least[some][context]
+            early = levels.meet(name, code, bound) < bound
+            joined = early[1:] & early[:-1] & (context[1:] == context[:-1])
+            first, last = np.flatnonzero(early & ~np.append(False, joined)), np.flatnonzero(early & ~np.append(joined, False))
+            ahead_of = (np.cumsum(own - length + 1) - (own - length + 1))[context[first]]
+            found.append((some[context[first]], first - ahead_of, last - ahead_of + length))
+        context, first, last = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.argsort(context, kind="stable")
+        context, first, last = context[order], first[order], last[order]
+        low, high = (np.searchsorted(context, np.arange(len(at)), side) for side in ("left", "right"))
+
+        later = np.flatnonzero(doc > least[of])  # an earlier document has the whole context
+        rest = np.flatnonzero(doc == least[of])
+        times = (high - low)[of[rest]]
+        own = _exploded(low[of[rest]], times)
+        rest = np.repeat(rest, times)
+        place = np.concatenate([later, rest])
+        gone = np.zeros(len(place), RUN)
+        gone["begin"] = begin[place] + np.concatenate([np.zeros(len(later), np.int64), first[own]])
+        gone["end"] = begin[place] + np.concatenate([size[of[later]], last[own]])
+        row = np.repeat(np.arange(len(parts)), many)[place]
+        order = np.argsort(row, kind="stable")
+        gone = gone[order]
+        yield _rows([(parts[r], gone[a:b].tobytes()) for r, a, b in _cuts(row[order])], RUNS)
+
+    return contexts.repartitionById(shards, "shard").mapInArrow(run, RUNS)
 
 
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
 
 
-def _removed(parts: DataFrame, shards: int, length: int) -> DataFrame:
+def _removed(parts: DataFrame) -> DataFrame:
     """Each text without the strings an earlier document has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                own = PartTexts(batch, i, shards, length)
-                shard, _, _, _, anchor, number = own.contexts(batch.column("masks")[i].as_py() or [])
-                gone = np.zeros(len(own.data) + 1, np.int32)
-                base = np.searchsorted(shard, np.arange(shards))
-                runs = [np.frombuffer(r["runs"], RUN) for r in batch.column("found")[i].as_py() or []]
-                where = [r["shard"] for r in batch.column("found")[i].as_py() or []]
-                if runs:
-                    every = np.concatenate(runs)
-                    context = every["context"] + np.repeat(base[where], [len(r) for r in runs])
-                    order = np.argsort(context, kind="stable")
-                    every, context = every[order], context[order]
-                    low, high = np.searchsorted(context, number, "left"), np.searchsorted(context, number, "right")
-                    use, at = np.repeat(anchor, high - low), _exploded(low, high - low)
-                    hit = every["doc"][at] < own.docs[own.text[use]]
-                    use, at = use[hit], at[hit]
-                    np.add.at(gone, own.begin[use] + every["first"][at], 1)
-                    np.add.at(gone, own.begin[use] + every["last"][at] + length, -1)
+                _, docs, known, data, starts = part_row(batch, i)
+                gone = np.zeros(len(data) + 1, np.int32)
+                for raw in batch.column("found")[i].as_py() or []:
+                    runs = np.frombuffer(raw, RUN)
+                    np.add.at(gone, runs["begin"], 1)
+                    np.add.at(gone, runs["end"], -1)
                 mask = np.cumsum(gone[:-1]) > 0
                 edge = mask.copy()
                 edge[1:] &= ~mask[:-1]
-                inner = own.starts[:-1][own.starts[:-1] < len(mask)]
+                inner = starts[:-1][starts[:-1] < len(mask)]
                 edge[inner] = mask[inner]
-                totals = [np.concatenate([[0], np.cumsum(x)]) for x in (mask, edge)]
-                removed, spans = (t[own.starts[1:]] - t[own.starts[:-1]] for t in totals)
-                kept = [own.data[a:b][~mask[a:b]].tobytes() for a, b in zip(own.starts[:-1], own.starts[1:], strict=True)]
-                ids = [d if k else None for d, k in zip(own.docs.tolist(), own.known.tolist(), strict=True)]
-                yield _rows(list(zip(ids, np.diff(own.starts).tolist(), removed.tolist(), spans.tolist(), kept, strict=True)), RESULT)
+                removed, spans = (np.diff(np.searchsorted(np.flatnonzero(x), starts)) for x in (mask, edge))
+                size = np.diff(starts)
+                ends = np.concatenate([[0], np.cumsum(size - removed)]).astype(np.int32)
+                kept = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(ends), pa.py_buffer(data[~mask])])
+                columns = [pa.array(docs, pa.int64(), mask=~known), *(pa.array(x, pa.int64()) for x in (size, removed, spans)), kept]
+                yield pa.RecordBatch.from_arrays(columns, [f.split()[0] for f in RESULT.split(", ")])
 
     return parts.mapInArrow(run, RESULT)
 
@@ -355,7 +414,6 @@ def drop_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """
     parts, shards = write_parts(docs, PART_BYTES)
     masks = written(_repeated(_grams(parts, shards, length), shards), "masks")
-    parts = parts.join(masks.groupBy("part").agg(F.collect_list(F.struct("shard", "mask")).alias("masks")), "part", "left")
-    found = written(_earliest(_contexts(parts, shards, length), shards, length), "runs")
-    parts = parts.join(found.groupBy("part").agg(F.collect_list(F.struct("shard", "runs")).alias("found")), "part", "left")
-    return _removed(parts, shards, length)
+    masked = parts.join(masks.groupBy("part").agg(F.collect_list(F.struct("shard", "mask")).alias("masks")), "part", "left")
+    found = written(_earlier(_contexts(masked, shards, length), shards, length), "runs")
+    return _removed(parts.join(found.groupBy("part").agg(F.collect_list("runs").alias("found")), "part", "left"))

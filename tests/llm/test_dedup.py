@@ -164,3 +164,75 @@ def test_levels_grow_geometrically():
     p, c = (rnd.integers(0, 60, 500).astype(np.uint64) for _ in range(2))
     want = [seen.get(x, suffix_dedup.LAST) for x in zip(p.tolist(), c.tolist(), strict=True)]
     assert levels.scan(p, c).tolist() == want
+
+
+def test_short_texts_have_no_repeated_strings(spark):
+    """Parts none of whose texts is as long as a string."""
+    rows = [(1, "short"), (2, "short"), (3, None), (4, "")]
+    got = suffix_dedup.drop_repeats(spark.createDataFrame(rows, DOCS)).collect()
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got} == repeats(rows, 50)
+
+
+def test_anchors_follow_the_bytes_of_each_string():
+    """Equal strings have equal anchors wherever they stand, and every string inside a text has one."""
+    import numpy as np
+
+    rnd = random.Random(5)
+    texts = [prose(rnd, rnd.randrange(0, 60), 3).encode() for _ in range(60)] + [b"", b"a" * 49, b"a" * 50, b"ab" * 90]
+    texts.append(rnd.randbytes(suffix_dedup.STRINGS) + texts[0] * 3 + b"ab" * 90)  # more than is hashed at a time
+    starts = np.cumsum([0] + [len(t) for t in texts])
+    key, text, begin, end = (x.tolist() for x in suffix_dedup.anchors(np.frombuffer(b"".join(texts), np.uint8), starts, 50))
+    seen, whole = {}, set()
+    for k, t, a, b in zip(key, text, begin, end, strict=True):
+        assert starts[t] <= a and b <= starts[t + 1]
+        for i in range(a, b - 49):
+            assert seen.setdefault(texts[t][i - starts[t] : i - starts[t] + 50], k) == k and (t, i) not in whole
+            whole.add((t, i))
+    assert whole == {(t, i) for t in range(len(texts)) for i in range(starts[t], starts[t + 1] - 49)}
+
+
+def test_levels_meet_batches_in_order_of_docs():
+    """What a level holds keeps its first document and is held once."""
+    import numpy as np
+
+    levels, rnd, seen = suffix_dedup.Levels(), np.random.default_rng(2), {}
+    for doc in [*range(0, 60, 2), suffix_dedup.LAST]:
+        p, c = (rnd.integers(0, 30, 40).astype(np.uint64) for _ in range(2))
+        pairs = list(zip(p.tolist(), c.tolist(), strict=True))
+        for x in pairs:
+            seen.setdefault(x, doc)
+        assert levels.meet(p, c, np.full(40, doc)).tolist() == [seen[x] for x in pairs]
+    assert sum(len(x[0]) for x in levels.held) == len(seen)
+
+
+def test_copied_contexts_are_indexed_once(monkeypatch):
+    """The strings that are named follow the different contexts, not their copies."""
+    import numpy as np
+
+    class Rows(list):
+        def mapInArrow(self, run, schema):
+            return Rows(run(iter(self)))
+
+        def repartitionById(self, *_):
+            return self
+
+    rnd = random.Random(6)
+    passage, parts, named = prose(rnd, 100).encode(), [], []
+    for doc in range(30):
+        text = passage + prose(rnd, 5, 10**9).encode()
+        grams = suffix_dedup.anchors(np.frombuffer(text, np.uint8), np.array([0, len(text)]))[0]
+        mask = [{"shard": 0, "mask": np.packbits(np.ones(len(grams), bool)).tobytes()}]
+        row = (doc, np.int64(100 - doc).tobytes(), b"\x01", text, np.int64(len(text)).tobytes(), mask)
+        names = ("part", "docs", "known", "text", "ends", "masks")
+        parts.append(pa.RecordBatch.from_arrays([pa.array([x]) for x in row], names))
+    plain = suffix_dedup._suffixes
+    monkeypatch.setattr(suffix_dedup, "_suffixes", lambda *a: (named.append(len((out := plain(*a))[0])), out)[1])
+    found = suffix_dedup._earlier(suffix_dedup._contexts(Rows(parts), 1, 50), 1, 50)
+    runs = {r["part"]: np.frombuffer(r["runs"], suffix_dedup.RUN) for b in found for r in b.to_pylist()}
+    assert sum(named) < len(passage) + 30 * 150
+    for doc in range(29):  # the last part has the smallest document
+        gone = np.zeros(len(passage), bool)
+        for a, b in runs[doc].tolist():
+            gone[a:b] = True
+        assert gone.all()
+    assert 29 not in runs
